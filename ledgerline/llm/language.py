@@ -150,8 +150,22 @@ def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
 
 
 def fit(docs: DataFrame, **options) -> LanguageModel:
-    rows = sorted(training_sample(docs).toLocalIterator(), key=lambda r: (r.doc_id, r.lang, r.text))
-    return train([r.text for r in rows], [r.lang for r in rows], **options)
+    """Train on the bounded sample, in one task; rows are ordered by id so that reruns agree."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        m = train(rows["text"].tolist(), rows["lang"].tolist(), **options)
+        parts = [np.asarray(a, np.float32).tobytes() for a in (m.embeddings, m.layer, m.bias)]
+        return pd.DataFrame([[m.languages, *parts, m.temperature, m.threshold]], columns=["names", "e", "w", "b", "t", "r"])
+
+    found = training_sample(docs).groupBy().applyInPandas(
+        run, "names array<string>, e binary, w binary, b binary, t double, r double"
+    ).collect()
+    if not found:
+        return train([], [])
+    r = found[0]
+    e, w, b = (np.frombuffer(x, np.float32) for x in (r.e, r.w, r.b))
+    return LanguageModel(list(r.names), e.reshape(BUCKETS, DIM), w.reshape(DIM, len(r.names)), b, r.t, r.r)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

@@ -120,6 +120,19 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("null"))
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> list[Column]:
+    text = F.col(text_col)
+    return [
+        source_key(F.col(source_col)).alias("skey"),
+        word_count(text).alias("size"),
+        sampling_key(F.col(id_col), quality(text), seed).alias("key"),
+    ]
+
+
+def _repeats() -> Column:
+    return F.col("epochs") + F.coalesce((F.col("key") <= F.col("cutoff")).cast("long"), F.lit(0))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         seed: str = "mix") -> DataFrame:
     """Decide how often each document enters the mix.
@@ -132,25 +145,41 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     the same id share a key and, within a source, are taken or left together; an
     empty table gives an empty result; other columns are ignored.
     """
-    text = F.col(text_col)
     base = cut(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            source_key(F.col(source_col)).alias("skey"),
-            word_count(text).alias("size"),
-            sampling_key(F.col(id_col), quality(text), seed).alias("key"),
+            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+            *_keyed(docs, id_col, text_col, source_col, seed),
         )
     )
     plan = cut(mixing_plan(base))
     total = plan.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     joined = join_unique(base, plan, ["skey"], "n_docs", total)
-    repeats = F.col("epochs") + F.coalesce((F.col("key") <= F.col("cutoff")).cast("long"), F.lit(0))
     return joined.select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * repeats).alias("taken"), repeats.alias("repeats")
+        "doc_id", "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"), _repeats().alias("repeats")
     )
 
 
+#: Plans of up to so many sources are broadcast to the documents.
+BROADCAST_SOURCES = 100_000
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+              seed: str = "mix") -> DataFrame:
+    """The rows of ``docs``, in their own columns, each as often as ``mix`` takes it.
+
+    What a source takes comes down to its epochs and one key, so documents meet a table with one row
+    per source and are not shuffled; a table too large to broadcast is joined on its key.
+    """
+    keys = _keyed(docs, id_col, text_col, source_col, seed)
+    plan = cut(mixing_plan(cut(docs.select(F.col(source_col).alias("source"), *keys))))
+    small = plan.select("skey", "epochs", "cutoff")
+    if plan.count() <= BROADCAST_SOURCES:
+        small = F.broadcast(small)
+    held = F.struct(*[F.col(c) for c in docs.columns]).alias("__doc")
+    met = docs.select(held, keys[0], keys[2]).join(small, "skey")
+    return met.select("__doc", F.explode(F.array_repeat(F.lit(1), _repeats().cast("int")))).select("__doc.*")
+
+
 SQL = """
 WITH base AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

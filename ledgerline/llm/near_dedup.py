@@ -15,12 +15,12 @@ done. Work per round is linear in the size of the buckets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.runtime import cut, join_unique
@@ -84,8 +84,8 @@ def _fingerprint(sh: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(sh.tobytes())
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``print`` (128-bit hash of the set, null if empty) and ``bands``."""
+def sketch(docs: DataFrame, carry: Sequence[Column] = ()) -> DataFrame:
+    """``doc_id``, ``carry``, ``n_shingles``, ``print`` (128-bit hash of the set, null if empty) and ``bands``."""
 
     @F.pandas_udf("n_shingles long, print binary, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -100,7 +100,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 }
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), run("text").alias("s")).select("doc_id", "s.*")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *carry, run("text").alias("__s"))
+    return rows.select(*rows.columns[:-1], "__s.*")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -243,8 +244,8 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     return classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Group near-duplicate rows: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
+def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column] = ()) -> DataFrame:
+    """Group near-duplicate rows: ``doc_id``, ``carry``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents whose shingle sets agree in at least ``percent`` per cent of their
     union are linked; a component is all that links reach and its id is the
@@ -257,7 +258,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept or dropped); an empty table gives an empty result; other columns are
     ignored.
     """
-    rows = cut(sketch(docs))
+    rows = cut(sketch(docs, carry))
     grouped = rows.filter("print is not null").groupBy("print").agg(
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),
@@ -272,7 +273,8 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     n_classes = ids.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     by_print = cut(join_unique(placed, ids, ["label"], "members", n_classes).select("print", "component_id", "copies"))
     n_rows = by_print.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    some = rows.filter("print is not null").select("doc_id", "n_shingles", "print")
-    out = join_unique(some, by_print, ["print"], "copies", n_rows).select("doc_id", "n_shingles", "component_id")
-    none = rows.filter("print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = [c for c in rows.columns if c not in ("print", "bands")]
+    some = rows.filter("print is not null").select(*own, "print")
+    out = join_unique(some, by_print, ["print"], "copies", n_rows).select(*own, "component_id")
+    none = rows.filter("print is null").select(*own, F.col("doc_id").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

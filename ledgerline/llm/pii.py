@@ -361,5 +361,6 @@ def find_spans(docs: DataFrame, net: dict[str, np.ndarray] | None = None) -> Dat
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of ``find_spans``: the counts are of base spans."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, exact_dedup, language, mixing, near_dedup, pii, toxicity
+from ledgerline.llm import bpe, exact_dedup, language, mixing, mtree, near_dedup, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"))
 
 
+def op7_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
@@ -48,7 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe": op5_bpe,
     "op6_language": op6_language,
+    "op7_mtree": op7_mtree,
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_mtree": mtree.SQL}
