@@ -63,18 +63,27 @@ def features(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         )
 
 
+def _pairs(texts) -> Iterator[np.ndarray]:
+    """Distinct (text, feature) pairs of each slice, packed into 64 bits."""
+    for doc, f in features(texts):
+        yield np.unique(doc.astype(np.uint64) << np.uint64(32) | f)
+
+
 def train(texts: list[str | None], labels: list[int], alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0,
           l2: float = 0.1, updates: int = 15_000, seed: int = 7) -> ToxicityModel:
     """FTRL-proximal in a fixed shuffled order, one update per text: three epochs, or more until ``updates``."""
     if not texts:
         return ToxicityModel(np.empty(0, np.uint32), np.empty(0, np.float32), 0.0)
-    doc, flat = (np.concatenate(x) for x in zip(*features(texts), strict=True))
-    pairs = np.unique(doc.astype(np.uint64) << np.uint64(32) | flat)
     # a feature of a single text says nothing about other texts
-    known, flat, often = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True, return_counts=True)
-    shared = often[flat] > 1
-    doc, flat = (pairs[shared] >> np.uint64(32)).astype(np.int64), flat[shared]
-    rows = np.split(flat, np.searchsorted(doc, np.arange(1, len(texts))))
+    slot = np.uint32((1 << 25) - 1)
+    often = np.zeros(1 << 25, np.uint16)
+    for pairs in _pairs(texts):
+        np.add.at(often, (pairs & np.uint64(slot)).astype(np.int64), 1)
+    kept = [p[often[(p & np.uint64(slot)).astype(np.int64)] > 1] for p in _pairs(texts)]
+    del often
+    pairs = np.unique(np.concatenate(kept))
+    known, flat = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
+    rows = np.split(flat, np.searchsorted(pairs >> np.uint64(32), np.arange(1, len(texts), dtype=np.uint64)))
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     lam = np.full(len(known) + 1, l1)
     lam[-1] = 0.0  # the last coordinate is the bias
@@ -98,9 +107,18 @@ def train(texts: list[str | None], labels: list[int], alpha: float = 1.0, beta:
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
-    """Train on the bounded sample, ordered by id so that reruns agree."""
-    rows = sorted(training_sample(docs, labels).toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
-    return train([r.text for r in rows], [r.toxic for r in rows], **options)
+    """Train on the bounded sample, in one task; rows are ordered by id so that reruns agree."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        m = train(rows["text"].tolist(), rows["toxic"].tolist(), **options)
+        return pd.DataFrame({"features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias]})
+
+    sample = training_sample(docs, labels)
+    found = sample.groupBy().applyInPandas(run, "features binary, weights binary, bias double").collect()
+    if not found:
+        return train([], [])
+    return ToxicityModel(np.frombuffer(found[0].features, np.uint32), np.frombuffer(found[0].weights, np.float32), found[0].bias)
 
 
 def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:

@@ -7,33 +7,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: ASCII letters and digits in lower case, bytes of other scripts as they are, all else to spaces.
-_PLAIN = bytes(
+PLAIN = bytes(
     c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256)
 )
+#: ASCII letters in lower case and ASCII white space to spaces; all else as it is.
+SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if c in b" \t\n\v\f\r" else c for c in range(256))
 #: Odd multipliers that mix the words of an n-gram.
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F],
                dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to ``limit`` words."""
-
-    def __init__(self, limit: int = 200_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def finish(x: np.ndarray) -> np.ndarray:
     """Spread mixed values over all 64 bits."""
     x = x ^ (x >> np.uint64(29))
@@ -61,21 +44,28 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def slices(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Plain bytes of the texts, gathered to slices, with the index of the text of each part.
+def _back(b: bytes, start: int, end: int, words: int) -> int:
+    """Where the last ``words`` words of ``b[start:end]`` begin."""
+    at = end
+    for _ in range(words):
+        at = len(b[start:at].rstrip(b" ")) + start
+        at = b.rfind(b" ", start, at) + 1 or start
+    return at
+
+
+def slices(texts: Iterable[str | None], table: bytes = PLAIN, overlap: int = 2) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Bytes of the texts by ``table``, gathered to slices, with the index of the text of each part.
 
-    A long text is cut at spaces into parts that overlap by two words, so that
-    n-grams of up to three words are all seen.
+    A long text is cut at spaces into parts that overlap by ``overlap`` words, so
+    that n-grams of up to one word more are all seen.
     """
     at, parts, size = [], [], 0
     for i, text in enumerate(texts):
-        b = (text or "").encode("utf-8", "replace").translate(_PLAIN)
+        b = (text or "").encode("utf-8", "replace").translate(table)
         o = 0
         while True:
-            end = len(b)
-            if end - o > SLICE:
-                end = max(b.rfind(b" ", o, o + SLICE), o)
-                end = end if end > o else o + SLICE
+            end = len(b) if len(b) - o <= SLICE else b.find(b" ", o + SLICE)
+            end = end if end >= 0 else len(b)
             at.append(i)
             parts.append(b[o:end])
             size += end - o
@@ -84,8 +74,8 @@ def slices(texts: Iterable[str | None]) -> Iterator[tuple[list[int], list[bytes]
                 at, parts, size = [], [], 0
             if end == len(b):
                 break
-            back = b.rfind(b" ", o, len(b[:end].rstrip().rpartition(b" ")[0].rstrip()))
-            o = back if o < back and end - back < SLICE // 2 else end
+            back = _back(b, o, end, overlap)
+            o = back if back > o else end
     if parts:
         yield at, parts
 
