@@ -26,20 +26,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: A key is hot when it holds more than one row in HOT_SHARE; there can be at most HOT_SHARE such keys.
-HOT_SHARE = 1000
+#: A key is hot when it holds more than HOT_ROWS rows and more than one row in HOT_SHARE; at most HOT_SHARE keys can be.
+HOT_ROWS, HOT_SHARE = 100_000, 1000
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: list[str], count_col: str, total: int) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], count_col: str) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per key.
 
-    ``right[count_col]`` is the number of left rows with that key and ``total``
-    the number of all left rows. At most ``HOT_SHARE`` keys can hold more than
-    ``total / HOT_SHARE`` rows each, so these are broadcast and their left rows
-    are not shuffled; all other keys are joined by shuffle, where no key can be
-    large. Both inputs are read twice, so pass stored tables.
+    ``right[count_col]`` is the number of left rows with that key. Hot keys, at
+    most ``HOT_SHARE`` of them, are broadcast and their left rows are not
+    shuffled; all other keys are joined by shuffle, where no key can be large.
+    Both inputs may be read more than once, so pass stored tables.
     """
-    hot = F.col(count_col) * HOT_SHARE > F.lit(total)
+    seen = right.agg(F.sum(count_col).alias("total"), F.max(count_col).alias("most")).first()
+    bound = max(HOT_ROWS, (seen.total or 0) // HOT_SHARE)
+    if (seen.most or 0) <= bound:
+        return left.join(right, on)
+    hot = F.col(count_col) > bound
     marked = left.join(F.broadcast(right.filter(hot).withColumn("__hot", F.lit(True))), on, "left")
     names = list(dict.fromkeys([*left.columns, *right.columns]))
     of_hot = marked.filter("__hot").select(names)
