@@ -70,11 +70,10 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.transform(_blocks(block_bytes), lambda b: _route(b, seed)).alias("__keys"),
         )
     )
-    n_cells = names.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     longest = rows.agg(F.coalesce(F.max(F.size("__keys")), F.lit(0))).first()[0]
     cells = rows.select("__row", F.size("__keys").alias("__cells"), F.posexplode("__keys").alias("__pos", "__k"))
     cells = cells.select("__row", "__cells", "__pos", "__k.k1", "__k.k2")
-    cells = join_unique(cells, names, ["k1", "k2"], "__n", n_cells).select("__row", "__cells", "__pos", "__name")
+    cells = join_unique(cells, names, ["k1", "k2"], "__n").select("__row", "__cells", "__pos", "__name")
     if longest > 1:
         cells = cut(cells)
     level, done = 0, []
@@ -93,8 +92,7 @@ def name_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .withColumn("__cells", F.ceil(F.col("__cells") / 2).cast("int"))
         )
         names = cut(_numbered(pairs, ["a", "b"]))
-        n_pairs = names.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-        cells = join_unique(pairs, names, ["a", "b"], "__n", n_pairs).select("__row", "__cells", "__pos", "__name")
+        cells = join_unique(pairs, names, ["a", "b"], "__n").select("__row", "__cells", "__pos", "__name")
         longest = (longest + 1) // 2
         if longest > 1:
             cells = cut(cells)
@@ -121,8 +119,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.max(F.struct("doc_id", "__row")).alias("__keep"), F.count(F.lit(1)).alias("group_size")
         )
     )
-    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
-    out = join_unique(named, groups, ["__level", "__name"], "group_size", total)
+    out = join_unique(named, groups, ["__level", "__name"], "group_size")
     return out.select(
         "doc_id",
         F.col("__keep.doc_id").alias("keep_id"),

@@ -152,8 +152,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         )
     )
     plan = cut(mixing_plan(base))
-    total = plan.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
-    joined = join_unique(base, plan, ["skey"], "n_docs", total)
+    joined = join_unique(base, plan, ["skey"], "n_docs")
     return joined.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * _repeats()).alias("taken"), _repeats().alias("repeats")
     )
