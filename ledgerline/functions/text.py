@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -58,7 +59,7 @@ def description_score(a: str | None, b: str | None) -> float:
     return 1.0 if a == b else round(similarity(a, b), 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_score(a: pd.Series, b: pd.Series) -> pd.Series:
     """``description_score`` of two columns; pairs that repeat within a batch are scored once."""
     known: dict[tuple, float] = {}

@@ -73,7 +73,7 @@ def match_anomalies(matches: DataFrame, bank: DataFrame, company: DataFrame) ->
     """Of probable matches: composite, else an amount that differs, else a date that differs. Sure matches raise none."""
     b = bank.select(F.col("id").alias("bank_transaction_id"), F.col("amount").alias("ba"), F.col("date").alias("bd"))
     c = company.select(F.col("id").alias("c_id"), F.col("amount").alias("ca"), F.col("date").alias("cd"))
-    m = matches.filter("status = 'PROBABLE_MATCH'").withColumn("c_id", F.element_at("company_ids", 1))
+    m = matches.filter("status = 'PROBABLE_MATCH'").withColumn("c_id", F.get("company_ids", F.lit(0)))
     m = m.join(b, "bank_transaction_id").join(c, "c_id").withColumns(
         {"transaction_id": F.col("bank_transaction_id"), "candidate_transaction_id": F.col("company_transaction_id")}
     )

@@ -126,6 +126,8 @@ def extract_delimited_rows(files: DataFrame) -> DataFrame:
         for files_ in batches:
             for file_id, text in zip(files_["file_id"], files_["text"], strict=True):
                 rows = _parse_delimited(text or "")
+                if not rows:
+                    continue
                 yield pd.DataFrame({"file_id": file_id, "row_no": range(1, len(rows) + 1), "cells": rows})
 
     return files.select("file_id", "text").mapInPandas(run, ROWS)
