@@ -7,10 +7,10 @@ signature. Shifted values lie side by side in memory, so a shingle's values for
 all coordinates are one contiguous read. Bands of the signature propose pairs;
 every link is confirmed on the full shingle sets.
 
-Pairs are never listed group by group. In each round every bucket names a few
-centres; members in another component than a centre are compared with it,
-links are merged, and buckets whose open members all lie in one component are
-done. Work per round is linear in the size of the buckets.
+Pairs within a bucket are never listed. Members are compared with a few centres
+of their buckets, and links are merged to components. Only buckets that then
+still hold several components are compared in full, block by block within tasks,
+and give no more links than join their components.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut, join_unique
-from ledgerline.llm.words import MIX, WordHashes, finish
+from ledgerline.functions.runtime import HOT_ROWS, cut, join_unique
+from ledgerline.llm.words import MIX, SPACED, finish, slice_words, slices
 
 SHINGLE = 5
 #: A link needs 100 * |intersection| >= PERCENT * |union|.
@@ -32,25 +32,37 @@ PERCENT = 85
 BANDS, ROWS = 20, 5
 #: Places of the permutations, a power of two.
 PLACES = 1 << 20
-#: Centres that a bucket names in each round after the first.
-CENTRES = 32
+#: Centres that a bucket names.
+CENTRES = 4
+#: Members and shingles of a block at most (about), and shingles counted at a time.
+BLOCK, WEIGHT, TOKENS = 512, 1_000_000, 4096
 #: Ids are broadcast up to so many rows; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: A centre is copied for each so many members that it is compared with.
 PAIRS = 2_000
 
 
-def shingles(text: str | None, hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; words in lower-case ASCII, split at ASCII white space."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = hashes.of(words)
-    n = max(len(h) - size + 1, 1)
-    out = np.full(n, np.uint64(min(len(h), size)), np.uint64)
-    for k in range(min(size, len(h))):
-        out = out * MIX[0] + finish(h[k : k + n] + MIX[k % len(MIX)])
-    return np.unique(finish(out))
+def shingle_sets_of(texts: Sequence[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's shingles; words in lower-case ASCII, split at ASCII white space."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
+    for at, parts in slices(texts, SPACED, size - 1):
+        words, part, _ = slice_words(parts)
+        n = max(len(words) - size + 1, 0)
+        grams = np.zeros(n, np.uint64)
+        for k in range(size):
+            grams = grams * MIX[0] + finish(words[k : k + n] + MIX[k])
+        grams = finish(grams)
+        first = np.searchsorted(part, np.arange(len(parts) + 1))
+        for p, i in enumerate(at):
+            a, b = first[p], first[p + 1]
+            if b - a >= size:
+                found[i].append(grams[a : b - size + 1])
+            elif b > a and not found[i]:  # a short text is one shingle
+                short = np.full(1, b - a, np.uint64)
+                for w in words[a:b]:
+                    short = finish(short * MIX[1] + w)
+                found[i].append(short)
+    return [np.unique(np.concatenate(f)) if f else np.empty(0, np.uint64) for f in found]
 
 
 @lru_cache(1)
@@ -70,11 +82,12 @@ def signature(sh: np.ndarray, coords: int = BANDS * ROWS, places: int = PLACES)
     return out
 
 
-def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit bucket key for each band."""
-    key = np.arange(1, bands + 1, dtype=np.uint64) * MIX[1]
+def band_keys(sigs: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit bucket key for each band of each signature."""
+    cells = sigs.reshape(-1, bands, rows).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX[1], cells.shape[:2])
     for k in range(rows):
-        key = finish(key * MIX[0] + sig.reshape(bands, rows)[:, k].astype(np.uint64) + MIX[2])
+        key = finish(key * MIX[0] + cells[:, :, k] + MIX[2])
     return key.view(np.int64)
 
 
@@ -89,14 +102,15 @@ def sketch(docs: DataFrame, carry: Sequence[Column] = ()) -> DataFrame:
 
     @F.pandas_udf("n_shingles long, print binary, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for texts in batches:
-            sets = [shingles(t, hashes) for t in texts]
+            sets = shingle_sets_of(texts)
+            full = [s for s in sets if len(s)]
+            keys = iter(band_keys(np.stack([signature(s) for s in full]))) if full else iter(())
             yield pd.DataFrame(
                 {
                     "n_shingles": [len(s) for s in sets],
                     "print": [_fingerprint(s) if len(s) else None for s in sets],
-                    "bands": [band_keys(signature(s)) if len(s) else None for s in sets],
+                    "bands": [next(keys) if len(s) else None for s in sets],
                 }
             )
 
@@ -109,42 +123,43 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("print binary, shingles array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
         for texts in batches:
-            sets = [shingles(t, hashes) for t in texts]
+            sets = shingle_sets_of(texts)
             yield pd.DataFrame(
                 {"print": [_fingerprint(s) if len(s) else None for s in sets], "shingles": [s.view(np.int64) for s in sets]}
             )
 
-    return docs.select(run("text").alias("s")).select("s.*").filter("print is not null")
+    # not marked deterministic, or a filter on its result would be moved before a join and run it on all rows
+    return docs.select(run.asNondeterministic()("text").alias("s")).select("s.*").filter("print is not null")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, n_edges: int) -> DataFrame:
     """Smallest node of each connected component: ``node``, ``label`` for the nodes of ``edges`` (``a``, ``b``).
 
     Each round every node takes the smallest label among itself and its
-    neighbours, and then the label of that label. Rounds are stored, and both
-    joins treat nodes with very many edges or followers apart.
+    neighbours, and then the label of that label. Rounds are stored. ``n_edges``
+    tells whether a node can have so many edges or followers that joins must
+    treat it apart.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    n_edges = both.count()
-    labels = cut(
-        both.groupBy(F.col("a").alias("node")).agg(
-            F.least(F.first("a"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")
-        )
+    labels = both.groupBy(F.col("a").alias("node")).agg(
+        F.least(F.first("a"), F.min("b")).alias("label"), F.count(F.lit(1)).alias("degree")
     )
-    n_nodes = labels.count()
+    many = n_edges * 2 > HOT_ROWS
+    labels = cut(labels)
     while True:
-        near = join_unique(both, labels.withColumnRenamed("node", "b"), ["b"], "degree", n_edges)
+        named = labels.withColumnRenamed("node", "b")
+        near = join_unique(both, named, ["b"], "degree") if many else both.join(named, "b")
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = cut(labels.join(near, "node").select("node", "label", "degree", F.least("label", "near").alias("low")))
-        followers = hooked.groupBy("low").agg(F.count(F.lit(1)).alias("followers"))
-        up = cut(followers.join(labels.select(F.col("node").alias("low"), F.col("label").alias("up")), "low"))
-        moved = cut(
-            join_unique(hooked, up, ["low"], "followers", n_nodes).select(
-                "node", "label", "degree", F.least("low", "up").alias("new")
-            )
-        )
+        hooked = labels.join(near, "node").select("node", "label", "degree", F.least("label", "near").alias("low"))
+        up = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
+        if many:
+            hooked = cut(hooked)
+            up = cut(up.join(hooked.groupBy("low").agg(F.count(F.lit(1)).alias("followers")), "low"))
+            met = join_unique(hooked, up, ["low"], "followers")
+        else:
+            met = hooked.join(up, "low")
+        moved = cut(met.select("node", "label", "degree", F.least("low", "up").alias("new")))
         changed = not moved.filter("new < label").isEmpty()
         labels = moved.select("node", F.col("new").alias("label"), "degree")
         if not changed:
@@ -169,10 +184,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     A centre with many members is copied so that each copy meets about PAIRS of them.
     """
-    n_pairs = pairs.count()
-    fans = cut(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).withColumn("copies", F.ceil(F.col("fan") / PAIRS)))
-    spread = join_unique(pairs, fans, ["a"], "fan", n_pairs)
-    spread = spread.select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"))
+    fans = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan")).withColumn("copies", F.ceil(F.col("fan") / PAIRS))
+    spread = pairs.join(fans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("copies")).alias("copy"))
     hubs = sets.join(fans, F.col("node") == F.col("a")).select(
         "a", F.col("shingles").alias("sa"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
     )
@@ -183,64 +196,103 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(inter * 100 >= union * percent).select("a", "b")
 
 
+def block_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between nodes of different labels, as few as join all that links join. Every pair is counted in full."""
+    size = np.array([len(s) for s in sets])
+    doc = np.repeat(np.arange(len(sets)), size)
+    token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    some = often[token] > 1  # a shingle of one set only is in no intersection
+    doc, token = doc[some], np.unique(token[some], return_inverse=True)[1]
+    inter = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    for start in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS):
+        at = slice(*np.searchsorted(token, [start, start + TOKENS]))
+        part = np.zeros((len(sets), TOKENS), np.float32)
+        part[doc[at], token[at] - start] = 1
+        inter += part @ part.T
+    inter = inter.astype(np.int64)
+    linked = inter * 100 >= (size[:, None] + size[None, :] - inter) * percent
+    linked &= (labels[:, None] != labels[None, :]) & (nodes[:, None] < nodes[None, :])
+    root = {v: v for v in labels.tolist()}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    out = []
+    for i, j in np.argwhere(linked).tolist():
+        a, b = find(int(labels[i])), find(int(labels[j]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _mixed_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their labels, of the buckets that hold several labels; ``blocks`` tells into how many a bucket is cut."""
+    named = members.drop("members").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("key").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")
+    ).filter("lo <> hi")
+    mixed = cut(
+        mixed.select("key", "members", F.ceil(F.greatest(F.col("members") / BLOCK, F.col("weight") / WEIGHT)).cast("int").alias("blocks"))
+    )
+    return join_unique(cut(named), mixed, ["key"], "members")
+
+
+def _link_mixed(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links across labels in mixed buckets: each pair of blocks of a bucket is compared in one task, in memory of fixed size."""
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = mixed.select("key", "node", "label", own.alias("own"), other.alias("other"))
+    dealt = dealt.select("key", "node", "label", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node")
+        found = block_links(rows["node"].to_numpy(), rows["label"].to_numpy(), list(rows["shingles"]), percent)
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    return dealt.join(sets, "node").groupBy("key", "i", "j").applyInPandas(run, "a long, b long")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Components of the classes (``node``, ``n_shingles``, ``bands``, ``print``, ``rep``): ``node``, ``label``."""
+    """Components of the classes (``node``, ``n_shingles``, ``bands``, ``print``, ``rep``): ``node``, ``label``.
+
+    First every bucket names a few centres, the same in all buckets of the same
+    documents, with which all its members are compared; that joins most. In
+    buckets that still hold several components, all pairs across components are
+    compared block by block.
+    """
     entries = classes.select(
-        "node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key")
-    ).withColumn("turn", F.xxhash64("node", "band"))
+        "node", F.col("n_shingles").alias("n"), F.xxhash64("node").alias("turn"), F.explode("bands").alias("key")
+    )
     shared = cut(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
-    total = shared.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    if total == 0:
-        return classes.select("node", F.col("node").alias("label"))
-    members = cut(join_unique(entries, shared, ["key"], "members", total).select("key", "node", "n", "turn", "members"))
+    members = cut(join_unique(entries, shared, ["key"], "members"))
+    alone = classes.select("node", F.col("node").alias("label"))
+    if members.isEmpty():
+        return alone
     sets = _sets_of(docs, classes, members.select("node").distinct())
-    open_, edges, slots = members.withColumn("label", F.col("node")), None, 1
-    labels = None
-    while True:
-        # the centre of a slot is the open member whose turn is first; a bucket has ``slots`` slots
-        slot = F.pmod("turn", F.lit(slots)).cast("int")
-        centres = cut(
-            open_.groupBy("key", slot.alias("slot")).agg(
-                F.min(F.struct("turn", "node", "n", "label")).alias("c"), F.max("members").alias("members")
-            )
-        )
-        hub = centres.select(
-            "key", "members", F.col("c.node").alias("cn"), F.col("c.n").alias("c_n"), F.col("c.label").alias("cl")
-        )
-        hubs = cut(hub.groupBy("key").agg(F.collect_list(F.struct("cn", "c_n", "cl")).alias("hubs"), F.max("members").alias("members")))
-        met = join_unique(open_.drop("members"), hubs, ["key"], "members", total)
-        met = met.select("node", "n", "label", F.explode("hubs").alias("h"))
-        pairs = (
-            met.filter("h.cl <> label")
-            .filter(F.least("n", "h.c_n") * 100 >= F.greatest("n", "h.c_n") * percent)
-            .select(F.col("h.cn").alias("a"), F.col("node").alias("b"))
-            .distinct()
-        )
-        found = cut(_confirm(cut(pairs), sets, percent))
-        edges = found if edges is None else edges.union(found)
-        if not found.isEmpty():
-            labels = components(edges)
-        # members that were centres have been compared with their whole bucket
-        was = centres.select("key", F.col("c.node").alias("node"))
-        left = open_.join(was, ["key", "node"], "left_anti").drop("label")
-        if labels is not None:
-            left = left.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            left = left.withColumn("label", F.col("node"))
-        left = cut(left)
-        mixed = cut(
-            left.groupBy("key")
-            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-            .filter("lo <> hi")
-            .select("key", "members")
-        )
-        total = mixed.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-        if total == 0:
-            break
-        open_ = cut(join_unique(left.drop("members"), mixed, ["key"], "members", total))
-        slots = CENTRES
-    if labels is None:
-        return classes.select("node", F.col("node").alias("label"))
+    slot = F.pmod("turn", F.lit(CENTRES)).cast("int").alias("slot")
+    best = members.groupBy("key", slot).agg(F.min(F.struct("turn", "node", "n")).alias("c"), F.max("members").alias("members"))
+    hubs = cut(best.groupBy("key").agg(F.collect_list("c").alias("hubs"), F.max("members").alias("members")))
+    met = join_unique(members.drop("members"), hubs, ["key"], "members").select("node", "n", F.explode("hubs").alias("h"))
+    pairs = cut(
+        met.filter("h.node <> node")
+        .filter(F.least("n", "h.n") * 100 >= F.greatest("n", "h.n") * percent)
+        .select(F.col("h.node").alias("a"), F.col("node").alias("b"))
+        .distinct()
+    )
+    edges = cut(_confirm(pairs, sets, percent))
+    n_edges = edges.count()
+    labels = components(edges, n_edges) if n_edges else alone
+    more = cut(_link_mixed(_mixed_buckets(members, labels), sets, percent).distinct())
+    n_more = more.count()
+    if n_more:
+        labels = components(edges.union(more), n_edges + n_more)
+    elif not n_edges:
+        return alone
     return classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
@@ -270,11 +322,9 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column]
     placed = cut(labels.join(classes.select("node", "print", "rep", "copies"), "node"))
     ids = placed.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members"))
     ids = cut(ids)
-    n_classes = ids.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
-    by_print = cut(join_unique(placed, ids, ["label"], "members", n_classes).select("print", "component_id", "copies"))
-    n_rows = by_print.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    by_print = cut(join_unique(placed, ids, ["label"], "members").select("print", "component_id", "copies"))
     own = [c for c in rows.columns if c not in ("print", "bands")]
     some = rows.filter("print is not null").select(*own, "print")
-    out = join_unique(some, by_print, ["print"], "copies", n_rows).select(*own, "component_id")
+    out = join_unique(some, by_print, ["print"], "copies").select(*own, "component_id")
     none = rows.filter("print is null").select(*own, F.col("doc_id").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
