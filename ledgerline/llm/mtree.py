@@ -31,7 +31,7 @@ K = 5
 QUERY_STEP = 50
 SCALE = 256
 #: Pivots at most, vectors of a page at most (about), vectors of a leaf, children of a node, queries of a block.
-PIVOTS, PAGE, LEAF, FANOUT, BLOCK = 64, 4096, 64, 8, 256
+PIVOTS, PAGE, LEAF, FANOUT, BLOCK = 16, 4096, 1024, 4, 64
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
         radius = float(to_centre.max())
         if len(rows) <= LEAF or radius == 0.0:
             by = np.argsort(to_centre, kind="stable")
-            nodes[at] = (centre, radius, up, None, (rows[by], to_centre[by]))
+            nodes[at] = (centre, radius, up, None, (rows[by], to_centre[by], m[rows[by]].astype(np.float64)))
             return at
         # children gather round rows far from each other
         seeds = [rows[int(to_centre.argmax())]]
@@ -90,13 +90,15 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
         return at
 
     grow(np.arange(len(ids)), None)
-    return {"ids": ids, "m": m, "nodes": nodes, "top": top}
+    # products of whole numbers below 2**53 are exact in doubles
+    return {"ids": ids, "m": m.astype(np.float64), "nodes": nodes, "top": top}
 
 
 def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, vec_id) of a page for one query, scores from ``floor`` up, and the distances computed."""
     nodes, ids, m = tree["nodes"], tree["ids"], tree["m"]
-    lq = np.append(q.astype(np.float64), 0.0)
+    q = q.astype(np.float64)
+    lq = np.append(q, 0.0)
     norm = float(lq @ lq) + tree["top"]
     slack = 1e-6 * (1 + norm) ** 0.5
 
@@ -124,15 +126,20 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
                 if dc - radius <= limit:
                     heapq.heappush(queue, (max(dc - radius, 0.0), c, dc))
             continue
-        rows, to_centre = leaf
+        rows, to_centre, _ = leaf
         rows = rows[np.searchsorted(to_centre, d - limit) : np.searchsorted(to_centre, d + limit, side="right")]
         if not len(rows):
             continue
         computed += len(rows)
-        scores = m[rows] @ q
-        least = floor if len(best) < k else best[0][0]
-        for s, i in zip(scores.tolist(), ids[rows].tolist(), strict=True):
-            if i == own or (least is not None and s < least):
+        scores = (m[rows] if len(rows) < len(leaf[0]) else leaf[2]) @ q
+        least = -np.inf if floor is None else floor
+        if len(best) == k:
+            least = max(least, best[0][0])
+        elif len(scores) > 2 * k:  # its own best can be held against the rest; one more for the query itself
+            least = max(least, np.partition(scores, -k - 1)[-k - 1])
+        good = np.flatnonzero(scores >= least)
+        for s, i in zip(scores[good].astype(np.int64).tolist(), ids[rows[good]].tolist(), strict=True):
+            if i == own:
                 continue
             if len(best) < k:
                 heapq.heappush(best, (s, -i))
