@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import cut
+
 #: Accepted extensions, size limit, delimiters in order of preference, header keywords.
 EXTENSIONS = (".csv", ".tsv", ".xlsx", ".xls", ".pdf")
 MAX_BYTES = 25 * 1024 * 1024
@@ -196,16 +198,38 @@ def write_job_output(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parse_job_id").parquet(path)
 
 
+def _nested(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of each job, nested in parts of MAX_EXPORT in ``order``, and the number of rows of each job.
+
+    Rows are ranked by prefix sums over ranges, so that a job of any size is ranked by many tasks.
+    """
+    own = [c for c in rows.columns if c not in ("parse_job_id", *order)]
+    dealt = rows.select("parse_job_id", F.struct(*order, *own).alias("r")).repartitionByRange("parse_job_id", "r")
+    dealt = cut(dealt.withColumn("range", F.spark_partition_id()))
+    sizes = dealt.groupBy("parse_job_id", "range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy("parse_job_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("parse_job_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    turn = F.row_number().over(W.partitionBy("parse_job_id", "range").orderBy("r"))
+    ranked = dealt.withColumn("turn", turn).join(before, ["parse_job_id", "range"])
+    part = F.floor((F.col("before") + F.col("turn") - 1) / MAX_EXPORT).cast("int").alias("part")
+    nested = ranked.groupBy("parse_job_id", part).agg(F.sort_array(F.collect_list("r")).alias(name))
+    return nested, sizes.groupBy("parse_job_id").agg(F.sum("n").alias(f"n_{name}"))
+
+
 def export_statement_package(transactions: DataFrame, errors: DataFrame, totals: DataFrame) -> DataFrame:
-    """One nested row for each job: totals, transactions by row (at most MAX_EXPORT), errors by row, metadata."""
-    own = [c for c in transactions.columns if c not in ("parse_job_id", "source_row")]
-    rows = transactions.filter(F.col("source_row") <= MAX_EXPORT).groupBy("parse_job_id").agg(
-        F.sort_array(F.collect_list(F.struct("source_row", *own))).alias("transactions")
-    )
-    bad = errors.groupBy("parse_job_id").agg(
-        F.sort_array(F.collect_list(F.struct("row_number", "field", "severity", "raw_value", "message"))).alias("errors")
-    )
+    """One nested row for each job and part: totals, transactions by row, errors by row (at most MAX_EXPORT of either), metadata.
+
+    Parts are numbered from 0; totals and status are those of the whole job and stand in each part. A job without
+    transactions has no totals and is kept for its errors.
+    """
+    rows, n_rows = _nested(transactions, "transactions", "source_row")
+    errors = errors.select("parse_job_id", "row_number", "field", "severity", "raw_value", "message")
+    bad, n_bad = _nested(errors, "errors", "row_number", "field", "severity", "raw_value", "message")
     kept = F.struct(*[c for c in totals.columns if c != "parse_job_id"]).alias("control_totals")
-    out = totals.select("parse_job_id", kept).join(rows, "parse_job_id", "left").join(bad, "parse_job_id", "left")
-    clean = F.size(F.coalesce("errors", F.array())) == 0
-    return out.withColumn("validation_status", F.when(clean, "PASSED").otherwise("PARTIAL_ERRORS"))
+    jobs = totals.select("parse_job_id", kept).join(n_rows, "parse_job_id", "full").join(n_bad, "parse_job_id", "full")
+    parts = F.ceil(F.greatest("n_transactions", "n_errors", F.lit(1)) / MAX_EXPORT).cast("int").alias("parts")
+    status = F.when(F.col("n_errors").isNull(), "PASSED").otherwise("PARTIAL_ERRORS").alias("validation_status")
+    jobs = jobs.select("parse_job_id", parts, "control_totals", status)
+    jobs = jobs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = jobs.join(rows, ["parse_job_id", "part"], "left").join(bad, ["parse_job_id", "part"], "left")
+    return out.select("parse_job_id", "part", "parts", "control_totals", "transactions", "errors", "validation_status")

@@ -65,3 +65,17 @@ def test_formats_and_lines(spark):
     lines = spark.createDataFrame([("f", 0, "01/10/2026 PAID SHOP 50.00 DR REF9"), ("f", 1, "Total 5")], "file_id string, line_no int, line string")
     row = T.extract_ocr_rows(lines).first()
     assert (row.cells["Description"], row.cells["Debit"], row.cells["Credit"], row.cells["Reference"]) == ("PAID SHOP 50.00", "DR", "", "REF9")
+
+
+def test_package_holds_every_row(spark, monkeypatch):
+    monkeypatch.setattr(T, "MAX_EXPORT", 2)
+    rows = spark.createDataFrame([("A", 100_000 + n, f"t{n}") for n in range(5)] + [("B", 7, "x")], "parse_job_id string, source_row int, description string")
+    bad = [("A", n, "date", "ERROR", None, "m") for n in range(3)] + [("C", 1, "date", "ERROR", "v", "m")]
+    errors = spark.createDataFrame(bad, "parse_job_id string, row_number int, field string, severity string, raw_value string, message string")
+    totals = rows.groupBy("parse_job_id").agg(F.count("*").alias("transaction_count"))
+    got = T.export_statement_package(rows, errors, totals).orderBy("parse_job_id", "part").collect()
+    assert [(p.parse_job_id, p.part, p.parts, [t.description for t in p.transactions or []], [e.row_number for e in p.errors or []], p.validation_status) for p in got] == [
+        ("A", 0, 3, ["t0", "t1"], [0, 1], "PARTIAL_ERRORS"), ("A", 1, 3, ["t2", "t3"], [2], "PARTIAL_ERRORS"), ("A", 2, 3, ["t4"], [], "PARTIAL_ERRORS"),
+        ("B", 0, 1, ["x"], [], "PASSED"), ("C", 0, 1, [], [1], "PARTIAL_ERRORS"),
+    ]
+    assert [p.control_totals and p.control_totals.transaction_count for p in got] == [5, 5, 5, 1, None]
