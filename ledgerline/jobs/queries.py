@@ -159,23 +159,24 @@ SELECT b_id, c_id, days::INT AS days, diff::DOUBLE AS diff, 1.0::DOUBLE AS refer
        CASE days WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.8 WHEN 3 THEN 0.6 WHEN 4 THEN 0.4 WHEN 5 THEN 0.4 ELSE 0 END::DOUBLE AS date_score
 FROM p""")
 def p_pair_scores(spark, sf_dir):
-    """P1, P2, P4."""
+    """P1, P2, P4 on the pairs of its SQL, which share a reference; p_match_scores has the other cases of P4."""
     bank, ledger = X.sides(spark, sf_dir)
-    b = bank.select("reconciliation_id", "type", "reference", F.col("id").alias("b_id"), F.col("amount").alias("x"), F.col("date").alias("bd"))
-    c = ledger.select("reconciliation_id", "type", "reference", F.col("id").alias("c_id"), F.col("amount").alias("y"), F.col("date").alias("cd"))
-    days = S.days_apart(F.col("bd"), F.col("cd"))
+    own = lambda d, p: d.select("reconciliation_id", "type", "reference", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "amount", "date", "reference")])
+    b, c = own(bank, "b"), own(ledger, "c")
+    days = S.days_apart(F.col("b_date"), F.col("c_date"))
     return b.join(c, ["reconciliation_id", "type", "reference"]).select(
-        "b_id", "c_id", days.alias("days"), F.abs(F.col("x") - F.col("y")).cast("double").alias("diff"),
-        S.reference_score(F.col("reference"), F.col("reference")).alias("reference_score"),
-        S.amount_score(F.col("x"), F.col("y")).alias("amount_score"), S.date_score(days).alias("date_score"),
+        "b_id", "c_id", days.alias("days"), F.abs(F.col("b_amount") - F.col("c_amount")).cast("double").alias("diff"),
+        S.reference_score(F.col("b_reference"), F.col("c_reference")).alias("reference_score"),
+        S.amount_score(F.col("b_amount"), F.col("c_amount")).alias("amount_score"), S.date_score(days).alias("date_score"),
     )
 
 
 @query()
 def p_match_scores(spark, sf_dir):
-    """P3, P5, P6 on all pairs that can reach the fuzzy threshold; texts are compared in Python."""
+    """P1 to P6 on all pairs that can reach the fuzzy threshold, whatever their references; texts are compared in Python."""
     bank, ledger = X.sides(spark, sf_dir)
-    return R.score_pairs(R.fuzzy_candidates(bank, ledger)).select("b_id", "c_id", "desc_score", "confidence", "reasons")
+    scored = R.score_pairs(R.fuzzy_candidates(bank, ledger))
+    return scored.select("b_id", "c_id", "days", "amount_score", "date_score", "reference_score", "desc_score", "confidence", "reasons")
 
 
 @query(f"""{X.BOTH}
@@ -226,25 +227,20 @@ def r_reference(spark, sf_dir):
 
 @query()
 def r_fuzzy(spark, sf_dir):
-    """R5 on rows without references."""
-    bank, ledger = X.sides(spark, sf_dir)
-    return R.match_fuzzy(bank.filter("reference is null"), ledger.filter("reference is null")).select(*_MATCH, "confidence", "reasons")
+    """R5 on whole sides."""
+    return R.match_fuzzy(*X.sides(spark, sf_dir)).select(*_MATCH, "confidence", "reasons")
 
 
 @query()
 def r_date_tolerance(spark, sf_dir):
-    """R6 on rows without references."""
-    bank, ledger = X.sides(spark, sf_dir)
-    return R.match_date_tolerance(bank.filter("reference is null"), ledger.filter("reference is null")).select(*_MATCH, "confidence", "reasons")
+    """R6 on whole sides."""
+    return R.match_date_tolerance(*X.sides(spark, sf_dir)).select(*_MATCH, "confidence", "reasons")
 
 
 @query()
 def r_composite(spark, sf_dir):
-    """R7 on rows whose references occur on one side only."""
-    bank, ledger = X.sides(spark, sf_dir)
-    refs = lambda d: d.select("reference").filter("reference is not null")
-    one = bank.filter("reference is not null").join(refs(ledger), "reference", "left_anti")
-    return R.match_composite(one, ledger.filter("reference is not null").join(refs(bank), "reference", "left_anti")).select(*_MATCH, "reasons")
+    """R7 on whole sides."""
+    return R.match_composite(*X.sides(spark, sf_dir)).select(*_MATCH, "reasons")
 
 
 @query()

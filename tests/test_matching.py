@@ -7,6 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import description_score
+from ledgerline.jobs import queries as J
 from ledgerline.operators import anomalies as A
 from ledgerline.operators import assign
 from ledgerline.operators import matching as R
@@ -104,3 +105,21 @@ def test_duplicates_and_missing(spark):
     assert (summary.matched_count, summary.unmatched_count, summary.run_status) == (1, 2, "REVIEW_REQUIRED")
     empty = bank.filter(F.lit(False))
     assert R.match_pipeline(empty, company)[0].count() == 0
+
+
+def test_stage_queries_take_whole_sides(spark, monkeypatch):
+    bank = side(spark, [
+        ("b1", 0, "rent north", "1000.00", "DEBIT", "UTR77"), ("b2", 0, "rent south", "2000.00", "DEBIT", "U2"), ("b3", 0, "tea", "300.00", "DEBIT", "U3"),
+        ("b4", 0, "wood", "50.00", "DEBIT", "U4"), ("b5", 0, "coal", "70.00", "DEBIT", None),
+    ], "BANK_STATEMENT")
+    ledger = side(spark, [
+        ("c1", 20, "rent north", "1000.00", "DEBIT", "XUTR77"), ("c2", 2, "rent south", "2000.00", "DEBIT", "Z9"), ("c3", 0, "x", "100.00", "DEBIT", "U3"),
+        ("c4", 1, "y", "200.00", "DEBIT", None), ("c5", 0, "wood", "50.00", "DEBIT", "U4"), ("c6", 0, "coal", "70.00", "DEBIT", "U6"),
+    ], "ACCOUNTING_LEDGER")
+    monkeypatch.setattr(J.X, "sides", lambda *_: (bank, ledger))
+    pairs = lambda name: {(r.bank_transaction_id, r.company_transaction_id) for r in J.QUERIES[name](spark, "").collect()}
+    assert pairs("r_fuzzy") == {("b1", "c1"), ("b2", "c2"), ("b4", "c5"), ("b5", "c6")}
+    assert pairs("r_date_tolerance") == {("b2", "c2")}
+    assert pairs("r_composite") == {("b3", "c3+c4")}
+    scores = {(r.b_id, r.c_id): r.reference_score for r in J.QUERIES["p_match_scores"](spark, "").collect()}
+    assert scores == {("b1", "c1"): 0.85, ("b2", "c2"): 0.0, ("b4", "c5"): 1.0, ("b5", "c6"): 0.0}
