@@ -97,7 +97,7 @@ def _fingerprint(sh: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(sh.tobytes())
 
 
-def sketch(docs: DataFrame, carry: Sequence[Column] = ()) -> DataFrame:
+def sketch(docs: DataFrame, carry: Sequence[Column] = (), bands: int = BANDS) -> DataFrame:
     """``doc_id``, ``carry``, ``n_shingles``, ``print`` (128-bit hash of the set, null if empty) and ``bands``."""
 
     @F.pandas_udf("n_shingles long, print binary, bands array<long>")
@@ -105,7 +105,7 @@ def sketch(docs: DataFrame, carry: Sequence[Column] = ()) -> DataFrame:
         for texts in batches:
             sets = shingle_sets_of(texts)
             full = [s for s in sets if len(s)]
-            keys = iter(band_keys(np.stack([signature(s) for s in full]))) if full else iter(())
+            keys = iter(band_keys(np.stack([signature(s, bands * ROWS) for s in full]), bands)) if full else iter(())
             yield pd.DataFrame(
                 {
                     "n_shingles": [len(s) for s in sets],
@@ -296,7 +296,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, percent: int = PERCENT) ->
     return classes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column] = ()) -> DataFrame:
+def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column] = (), bands: int = BANDS) -> DataFrame:
     """Group near-duplicate rows: ``doc_id``, ``carry``, ``n_shingles``, ``component_id``, ``kept``.
 
     Documents whose shingle sets agree in at least ``percent`` per cent of their
@@ -310,7 +310,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column]
     kept or dropped); an empty table gives an empty result; other columns are
     ignored.
     """
-    rows = cut(sketch(docs, carry))
+    rows = cut(sketch(docs, carry, bands))
     grouped = rows.filter("print is not null").groupBy("print").agg(
         F.first("n_shingles").alias("n_shingles"),
         F.first("bands").alias("bands"),

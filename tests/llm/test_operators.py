@@ -244,3 +244,12 @@ def test_pipeline_keeps_columns(spark):
     assert {r.doc_id for r in kept.filter(F.col("text").startswith("w1 ")).collect()} == {30}
     near = pipeline.drop_near_copies(spark, kept, "")
     assert near.columns == frame.columns and near.count() == 21
+
+
+def test_pipeline_drops_near_copies_from_80_per_cent(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = [f"w{i}" for i in range(54)]
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:20], "other", *text[21:]])), (3, " ".join([*text[:10], "x", *text[11:30], "y", *text[31:]]))]
+    frame = docs(spark, rows)  # 45 of 55 shingles agree, then 40 of 60
+    assert {r.doc_id for r in pipeline.drop_near_copies(spark, frame, "").collect()} == {1, 3}
+    assert all(r.kept for r in near_dedup.near_dedup(frame).collect())
