@@ -45,6 +45,7 @@ PAIRS = 2_000
 def shingle_sets_of(texts: Sequence[str | None], size: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's shingles; words in lower-case ASCII, split at ASCII white space."""
     found: list[list[np.ndarray]] = [[] for _ in texts]
+    shorts: dict[int, np.ndarray] = {}
     for at, parts in slices(texts, SPACED, size - 1):
         words, part, _ = slice_words(parts)
         n = max(len(words) - size + 1, 0)
@@ -57,12 +58,12 @@ def shingle_sets_of(texts: Sequence[str | None], size: int = SHINGLE) -> list[np
             a, b = first[p], first[p + 1]
             if b - a >= size:
                 found[i].append(grams[a : b - size + 1])
-            elif b > a and not found[i]:  # a short text is one shingle
+            elif b > a:  # a short text is one shingle; a longer one has a part with shingles
                 short = np.full(1, b - a, np.uint64)
                 for w in words[a:b]:
                     short = finish(short * MIX[1] + w)
-                found[i].append(short)
-    return [np.unique(np.concatenate(f)) if f else np.empty(0, np.uint64) for f in found]
+                shorts[i] = short
+    return [np.unique(np.concatenate(f)) if f else shorts.get(i, np.empty(0, np.uint64)) for i, f in enumerate(found)]
 
 
 @lru_cache(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ def finish(x: np.ndarray) -> np.ndarray:
 
 #: Texts are worked through in slices of about so many bytes.
 SLICE = 1 << 20
+_WORD = re.compile(rb"[^ ]+")
 _BYTE = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
@@ -57,7 +59,8 @@ def slices(texts: Iterable[str | None], table: bytes = PLAIN, overlap: int = 2)
     """Bytes of the texts by ``table``, gathered to slices, with the index of the text of each part.
 
     A long text is cut at spaces into parts that overlap by ``overlap`` words, so
-    that n-grams of up to one word more are all seen.
+    that n-grams of up to one word more are all seen. A part of a text with more
+    words than these has more than these as well.
     """
     at, parts, size = [], [], 0
     for i, text in enumerate(texts):
@@ -66,6 +69,9 @@ def slices(texts: Iterable[str | None], table: bytes = PLAIN, overlap: int = 2)
         while True:
             end = len(b) if len(b) - o <= SLICE else b.find(b" ", o + SLICE)
             end = end if end >= 0 else len(b)
+            while end < len(b) and (back := _back(b, o, end, overlap)) <= o:  # giant words or white space: one word more
+                word = _WORD.search(b, end)
+                end = word.end() if word else len(b)
             at.append(i)
             parts.append(b[o:end])
             size += end - o
@@ -74,8 +80,7 @@ def slices(texts: Iterable[str | None], table: bytes = PLAIN, overlap: int = 2)
                 at, parts, size = [], [], 0
             if end == len(b):
                 break
-            back = _back(b, o, end, overlap)
-            o = back if back > o else end
+            o = back
     if parts:
         yield at, parts
 

@@ -253,3 +253,15 @@ def test_pipeline_drops_near_copies_from_80_per_cent(spark):
     frame = docs(spark, rows)  # 45 of 55 shingles agree, then 40 of 60
     assert {r.doc_id for r in pipeline.drop_near_copies(spark, frame, "").collect()} == {1, 3}
     assert all(r.kept for r in near_dedup.near_dedup(frame).collect())
+
+
+def test_giant_words_and_white_space_are_cut_without_loss(monkeypatch):
+    giant = [c * 700 for c in "abcdefgh"]
+    texts = [f"{giant[0]} x", f"{giant[0]} y", " ".join(giant[:2]), " ".join(giant[:4]), " ".join(giant[:6]), "p q" + " " * 1800 + "r s t u v",
+             " " * 1800 + " ".join(giant[:4]) + " " * 900, " " * 1800 + " ".join(giant) + " z" * 600 + " " * 1800, " " * 1800, "a b c " + giant[2] + " d"]
+    whole = near_dedup.shingle_sets_of(texts)
+    assert [len(s) for s in whole] == [1, 1, 1, 1, 2, 3, 1, 9, 0, 1]
+    monkeypatch.setattr(words, "SLICE", 500)
+    for cut, full in zip(near_dedup.shingle_sets_of(texts), whole, strict=True):
+        assert np.array_equal(cut, full)
+    assert not np.array_equal(*near_dedup.shingle_sets_of(texts[:2]))
