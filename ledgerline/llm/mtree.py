@@ -132,15 +132,16 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
             continue
         computed += len(rows)
         scores = (m[rows] if len(rows) < len(leaf[0]) else leaf[2]) @ q
+        others = ids[rows] != own
+        if not others.all():
+            rows, scores = rows[others], scores[others]
         least = -np.inf if floor is None else floor
         if len(best) == k:
             least = max(least, best[0][0])
-        elif len(scores) > 2 * k:  # its own best can be held against the rest; one more for the query itself
-            least = max(least, np.partition(scores, -k - 1)[-k - 1])
+        elif len(scores) > 2 * k:  # its own best can be held against the rest
+            least = max(least, np.partition(scores, -k)[-k])
         good = np.flatnonzero(scores >= least)
         for s, i in zip(scores[good].astype(np.int64).tolist(), ids[rows[good]].tolist(), strict=True):
-            if i == own:
-                continue
             if len(best) < k:
                 heapq.heappush(best, (s, -i))
             elif (s, -i) > best[0]:
@@ -174,8 +175,8 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots:
     smaller vec_id; a query is no candidate of its own. Defined cases: vectors
     (or ids) that are null, or hold null or non-finite components, take no part;
     with fewer candidates all are returned; rows that share a vec_id are each a
-    candidate, and each row that is a query is answered under its id once;
-    vectors of other lengths than most are an error; an empty table gives an
+    candidate; of queries that share a vec_id the answers share the k ranks, so a
+    row that answers several of them has as many, as in the SQL; vectors of other lengths than most are an error; an empty table gives an
     empty result; other columns are ignored.
     """
     spark = vectors.sparkSession

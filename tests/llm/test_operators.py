@@ -265,3 +265,21 @@ def test_giant_words_and_white_space_are_cut_without_loss(monkeypatch):
     for cut, full in zip(near_dedup.shingle_sets_of(texts), whole, strict=True):
         assert np.array_equal(cut, full)
     assert not np.array_equal(*near_dedup.shingle_sets_of(texts[:2]))
+
+
+def test_top_k_with_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1 + i, [float(x) for x in rng.standard_normal(8)]) for i in range(40)]
+    rows += [(50, [2.0] * 8)] * 10 + [(100, [float(x) for x in rng.standard_normal(8)]) for _ in range(2)] + [(7, [1.0] * 8)] * 2
+    m = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v in rows]
+    expected = []
+    for q in (50, 100):
+        pairs = sorted((-int(a @ b), j) for i, a in m for j, b in m if i == q and j != q)
+        expected += [(q, n + 1, j, -s) for n, (s, j) in enumerate(pairs[:5])]
+    got = mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    # each row of the query finds the same five rows of a leaf
+    v = np.stack([b for _, b in m])
+    tree = mtree.build_tree(np.array([i for i, _ in m]), v, float((v * v).sum(1).max()))
+    best = sorted(((int(b @ m[40][1]), j) for j, b in m if j != 50), key=lambda x: (-x[0], x[1]))[:5]
+    assert sorted(mtree.search_tree(tree, 50, m[40][1], 5)[0]) == sorted(best)
