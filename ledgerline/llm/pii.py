@@ -288,9 +288,10 @@ def read_windows(net: Tagger, x: np.ndarray, starts: list[int], block: int = 102
 
 def reconcile(text: str, base, found) -> list[tuple[str, int, int]]:
     """One set of spans for the text: windows' spans of a kind that overlap become one, surer ones
-    are taken first, and base spans come before all."""
+    are taken first, and base spans come before all. Spans without a digit or ``@`` go first of all,
+    so that windows without either have no say."""
     merged: list[list] = []
-    for kind, a, b, p in sorted(found):
+    for kind, a, b, p in sorted(f for f in found if SIGNAL.search(text, f[1], f[2])):
         if merged and merged[-1][0] == kind and a < merged[-1][2]:
             merged[-1][2], merged[-1][3] = max(b, merged[-1][2]), max(p, merged[-1][3])
         else:

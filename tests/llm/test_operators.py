@@ -283,3 +283,11 @@ def test_top_k_with_repeated_ids(spark):
     tree = mtree.build_tree(np.array([i for i, _ in m]), v, float((v * v).sum(1).max()))
     best = sorted(((int(b @ m[40][1]), j) for j, b in m if j != 50), key=lambda x: (-x[0], x[1]))[:5]
     assert sorted(mtree.search_tree(tree, 50, m[40][1], 5)[0]) == sorted(best)
+
+
+def test_pii_spans_without_signal_change_nothing():
+    text = "call me at home on 555 1234 or later"
+    bare = ("phone", 5, 17, 0.99)
+    for sure, want in ((0.95, [("phone", 16, 27)]), (0.8, [])):  # it neither lengthens a span nor makes it surer
+        own = ("phone", 16, 27, sure)
+        assert pii.reconcile(text, [], [own]) == pii.reconcile(text, [], [bare, own]) == want
