@@ -1,14 +1,16 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines) are classified by softmax regression over hashed word
-n-grams that occur in license notices; all other n-grams carry no weight. The
-class ``unknown`` is learned from paragraphs of the documents, and a threshold
-on the best family's probability is calibrated on paragraphs kept out. A
-prediction is confirmed when enough of a template's words stand in the paragraph.
+Paragraphs (lines, and windows of neighbouring lines that may hold a wrapped
+notice) are classified by softmax regression over hashed word n-grams that occur
+in license notices; all other n-grams carry no weight. The class ``unknown`` is
+learned from paragraphs of the documents, and a threshold on the probability of
+a notice is calibrated on paragraphs kept out. A family is confirmed in such a
+notice when enough of a template's words stand there, and its name and version.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,6 +55,20 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 FAMILIES = ("unknown", *TEMPLATES)
+#: What names each family (and its version) in a text of lower-case words; one space between words.
+NAMES = {
+    "apache-2.0": r"apache license (version |v )?2 0|apache license v2 0",
+    "mit": r"mit license|associated documentation files",
+    "bsd": r"bsd \d clause|bsd license|redistribution and use in source and binary",
+    "gpl-3.0": r"gnu general public license (as published by the free software foundation )?(either )?(version 3|v3|3)",
+    "lgpl": r"gnu lesser general public license",
+    "mpl-2.0": r"mozilla public license (version |v )?2 0|mozilla public license v2 0",
+    "cc-by-nc": r"(cc by nc|creative commons attribution noncommercial) 4 0",
+    "cc-by-sa": r"(cc by sa|creative commons attribution sharealike) 4 0",
+    "cc-by": r"(cc by|creative commons attribution) 4 0",
+    "unlicense": r"free and unencumbered software",
+}
+_NAMED = {k: re.compile(rf"\b({v})\b".encode()) for k, v in NAMES.items()}
 #: Bound of the training sample: documents whose paragraphs serve as unknown ones.
 MAX_DOCS = 400
 #: Share of a template's words that confirms a prediction.
@@ -133,14 +149,14 @@ def train(unknown: list[str], seed: int = 13, epochs: int = 300) -> LicenseModel
         w -= rate * (xt.T @ p / len(xt))
         w = np.sign(w) * np.maximum(np.abs(w) - rate * 2e-5, 0)  # L1
         b -= rate * p.mean(0)
-    best = _softmax(x[kept_out & (y == 0)] @ w + b)[:, 1:].max(1)
+    best = _softmax(x[kept_out & (y == 0)] @ w + b)[:, 1:].sum(1)
     threshold = float(max(0.5, np.quantile(best, 1 - FALSE_RATE))) if len(best) else 0.5
     return LicenseModel(known, w, b, min(threshold, 0.95))
 
 
-def classify(model: LicenseModel, texts: list[str]) -> list[tuple[str, float, bool]]:
-    """Family (or ``unknown``), its probability, and whether a template confirms it, for each paragraph."""
-    out = [("unknown", 0.0, False)] * len(texts)
+def classify(model: LicenseModel, texts: list[str]) -> list[tuple[str, float]]:
+    """The likeliest family (or ``unknown``) of each paragraph, and the probability that it is a notice."""
+    out = [("unknown", 0.0)] * len(texts)
     doc, at = _hits(model.features, texts)
     if not len(doc):
         return out
@@ -149,14 +165,63 @@ def classify(model: LicenseModel, texts: list[str]) -> list[tuple[str, float, bo
     np.add.at(z, row, model.weights[at])
     p = _softmax(z)
     for i, q in zip(some, p, strict=True):
-        k = int(q[1:].argmax()) + 1
-        if q[k] >= model.threshold:
-            words = set(_word_list(texts[i]))
-            share = max(len(words & (t := set(_word_list(n)))) / len(t) for n in TEMPLATES[FAMILIES[k]])
-            out[i] = (FAMILIES[k], float(q[k]), share >= CONFIRM)
+        notice = float(1 - q[0])
+        if notice >= model.threshold:
+            out[i] = (FAMILIES[int(q[1:].argmax()) + 1], notice)
     return out
 
 
+_WORDS = {w: 1 << n for n, w in enumerate(sorted({w for ts in TEMPLATES.values() for t in ts for w in _word_list(t)}))}
+_MASKS = [(k, sum(_WORDS[w] for w in set(_word_list(t)))) for k, ts in TEMPLATES.items() for t in ts]
+#: A window takes lines until it has twice the words of the longest template.
+_LONGEST = 2 * max(len(_word_list(t)) for ts in TEMPLATES.values() for t in ts)
+
+
+def _like(mask: int) -> set[str]:
+    """Families of which enough of a template's words are in ``mask``."""
+    return {k for k, t in _MASKS if (mask & t).bit_count() >= CONFIRM * t.bit_count()}
+
+
+def notices(text: str | None) -> list[tuple[str, int, int]]:
+    """(family, first line, line after the last) of all places that agree with a template; line numbers are those of
+    ``paragraphs``. Windows do not go over a blank line, and of windows that overlap the shortest stands for the family."""
+    lines, blocks, masks = [], [], []
+    block = 0
+    for line in (text or "").split("\n"):
+        if not line.strip():
+            block += 1
+            continue
+        words = _word_list(line)
+        mask = 0
+        for w in set(words):
+            mask |= _WORDS.get(w, 0)
+        lines.append(words), blocks.append(block), masks.append(mask)
+    whole = 0
+    for mask in masks:
+        whole |= mask
+    if not _like(whole):
+        return []
+    found = []
+    for i in range(len(lines)):
+        if not masks[i]:
+            continue
+        mask, words, seen = 0, [], set()
+        for j in range(i, len(lines)):
+            if blocks[j] != blocks[i] or (j > i and len(words) >= _LONGEST):
+                break
+            mask, words = mask | masks[j], words + lines[j]
+            for k in _like(mask) - seen:
+                if _NAMED[k].search(b" ".join(words)):
+                    seen.add(k)
+                    found.append((k, i, j + 1))
+    out, taken = [], set()
+    for k, i, j in sorted(found, key=lambda f: (f[2] - f[1], f[1])):
+        if taken.isdisjoint(own := [(k, n) for n in range(i, j)]):
+            taken.update(own)
+            out.append((k, i, j))
+    return sorted(out, key=lambda f: (f[1], f[0]))
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LicenseModel:
     """Train on notices and on paragraphs of a bounded sample of documents (smallest hashes of their ids)."""
     ids = docs.filter("doc_id is not null and text is not null").select("doc_id").distinct()
@@ -184,7 +249,8 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     """Licenses named in every document: ``doc_id``, ``n_paragraphs``, ``n_predicted``, ``n_confirmed``, ``licenses``.
 
     ``licenses`` lists the confirmed families in alphabetical order, joined by
-    commas. Defined cases: null and empty texts have no paragraphs and no
+    commas. ``n_paragraphs`` and ``n_predicted`` count lines, of which those of a confirmed
+    notice are predicted; ``n_confirmed`` counts notices, each with its family. Defined cases: null and empty texts have no paragraphs and no
     license; rows with a null id and repeated rows are each scanned; ties between
     families go to the one listed first; an empty table gives an empty result;
     other columns are ignored.
@@ -197,13 +263,15 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
         m = LicenseModel(*shared.value)
         for texts in batches:
             parts = [paragraphs(t) for t in texts]
-            found = classify(m, [p for ps in parts for p in ps])
-            out, at = [], 0
-            for ps in parts:
-                own = [f for f in found[at : at + len(ps)] if f[0] != "unknown"]
-                at += len(ps)
-                sure = [f[0] for f in own if f[2]]
-                out.append((len(ps), len(own), len(sure), ",".join(sorted(set(sure)))))
+            places = [notices(t) for t in texts]
+            lines = iter(classify(m, [p for ps in parts for p in ps]))
+            windows = iter(classify(m, [" ".join(ps[i:j]) for ps, fs in zip(parts, places, strict=True) for _, i, j in fs]))
+            out = []
+            for ps, fs in zip(parts, places, strict=True):
+                predicted = {n for n in range(len(ps)) if next(lines)[0] != "unknown"}
+                sure = [f for f in fs if next(windows)[0] != "unknown"]
+                predicted.update(n for _, i, j in sure for n in range(i, j))
+                out.append((len(ps), len(predicted), len(sure), ",".join(sorted({k for k, _, _ in sure}))))
             yield pd.DataFrame(out, columns=["n_paragraphs", "n_predicted", "n_confirmed", "licenses"])
 
     return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")

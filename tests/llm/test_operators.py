@@ -291,3 +291,27 @@ def test_pii_spans_without_signal_change_nothing():
     for sure, want in ((0.95, [("phone", 16, 27)]), (0.8, [])):  # it neither lengthens a span nor makes it surer
         own = ("phone", 16, 27, sure)
         assert pii.reconcile(text, [], [own]) == pii.reconcile(text, [], [bare, own]) == want
+
+
+def test_licenses_wrapped_and_versions(spark):
+    import textwrap
+
+    plain = [(i, f"some words about number {i}\nand more of them") for i in range(50)]
+    long = {k: ts[-1] for k, ts in licenses.TEMPLATES.items() if len(ts[-1]) > 100}
+    rows = [(100 + n, "A file of ours.\n\n# " + "\n# ".join(textwrap.wrap(f"Copyright of us. {t}, and so on.", w)) + "\n\nThe end.")
+            for w in (40, 70, 80) for t in long.values() for n in [len(t) * 100 + w]]
+    wanted = {100 + len(t) * 100 + w: k for w in (40, 70, 80) for k, t in long.items()}
+    other = {
+        1: ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", "apache-2.0,mit"),
+        2: ("This work is licensed under the GNU General Public License, version 2.", ""),
+        3: ("This work is licensed under the GNU Affero General Public License, version 3.", ""),
+        4: ("Licensed under the Apache License, Version 1.1.", ""),
+        5: ("This library is licensed under the GNU Lesser General Public License.", "lgpl"),
+        6: ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        7: ("Licensed under CC BY 4.0.", "cc-by"),
+        8: ("This work is licensed under the GNU General\nPublic License, version 3.", "gpl-3.0"),
+    }
+    rows += [(10**6 + n, t) for n, (t, _) in other.items()]
+    wanted |= {10**6 + n: k for n, (_, k) in other.items()}
+    got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, [*plain, *rows])).collect()}
+    assert {d: got[d] for d in wanted} == wanted and all(got[i] == "" for i in range(50))
