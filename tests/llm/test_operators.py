@@ -315,3 +315,19 @@ def test_licenses_wrapped_and_versions(spark):
     wanted |= {10**6 + n: k for n, (_, k) in other.items()}
     got = {r.doc_id: r.licenses for r in licenses.scan(docs(spark, [*plain, *rows])).collect()}
     assert {d: got[d] for d in wanted} == wanted and all(got[i] == "" for i in range(50))
+
+
+def test_chat_parses_whole_transcripts(spark, monkeypatch):
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"User: is it {c}?" if t % 2 == 0 else f"Assistant: it is.\nReally so, {c}\n\nand more of it")
+            for c in range(40) for t in range(4)]
+    text = "System: be kind\nUser: Hello there\nwhat is two?\nAssistant: It is two.\n\nNot three.\nUser: thanks"
+    df = spark.createDataFrame([*rows, (100, 0, None, text), (None, 0, None, text), (101, 0, None, "\n".join([text] * 3))], "conv_id long, turn long, role string, text string")
+    want = [("system", "be kind"), ("user", "Hello there\nwhat is two?"), ("assistant", "It is two.\n\nNot three."), ("user", "thanks")]
+    want = [(r, f"<|im_start|>{r}\n{t}<|im_end|>\n") for r, t in want]
+    for model in (None, chat.fit(df.filter("false"))):
+        for segment in (256, 2):
+            monkeypatch.setattr(chat, "SEGMENT", segment)
+            got = chat.format_chats(df, model).orderBy("conv_id", "turn", "part").collect()
+            for c, times in ((100, 1), (None, 1), (101, 3)):
+                assert [(r.role_pred, r.rendered) for r in got if r.conv_id == c] == want * times
+            assert [(r.conv_id, r.turn, r.role_pred) for r in got if r.conv_id is not None and r.conv_id < 100] == [r[:3] for r in rows]
