@@ -39,16 +39,22 @@ SYMBOLS = 4 * 2 * REST
 STATES = 2 * len(ROLES)
 #: Counts before any is seen, besides a share of a role's turns: of markers that start turns, of lines that go on
 #: without a marker, and of moves to a line that goes on.
-PRIOR_MARKS, PRIOR_PLAIN, PRIOR_MOVES, PRIOR_SHARE = 200, 400, 3, 0.01
+PRIOR_MARKS, PRIOR_PLAIN, PRIOR_MOVES, PRIOR_SHARE = 4, 8, 3, 0.01
+#: What each opening counts in each state before it is seen.
+UNSEEN = 0.02
 
 
-def symbol(line: Column, opens: Column, first: Column) -> Column:
-    """Marker, whether the line opens its row, length, closing question mark, and whether it is the conversation's first, as one number."""
+def symbol(line: Column, opens: Column, first: Column, whole: Column) -> Column:
+    """Marker, whether the line opens its row, length, closing question mark, and whether it is the conversation's first, as one number.
+
+    Length and question mark of a line that opens its row are those of the ``whole`` text, unless that holds more markers.
+    """
     marker = F.lit(0)
     for k, role in enumerate(ROLES, 1):
         marker = F.when(line.rlike(MARKERS[role]), F.lit(k)).otherwise(marker)
-    length = F.least(F.floor(F.log2(F.length(line) + 1)), F.lit(LENGTHS - 1))
-    asks = F.rtrim(line).endswith("?").cast("int")
+    seen = F.when(opens, F.coalesce(whole, line)).otherwise(line)
+    length = F.least(F.floor(F.log2(F.length(seen) + 1)), F.lit(LENGTHS - 1))
+    asks = F.rtrim(seen).endswith("?").cast("int")
     return ((((marker * 2 + opens.cast("int")) * LENGTHS + length) * 2 + asks) * 2 + (opens & first).cast("int")).cast("int")
 
 
@@ -60,10 +66,13 @@ def _turns(conversations: DataFrame) -> DataFrame:
     """Rows with the symbols of their lines; a row without conversation or number is a conversation of its own."""
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     first = F.coalesce(F.col("turn") == 0, F.lit(False))
+    lines = _lines(F.col("text"))
+    later = F.exists(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.greatest(*[x.rlike(m) for m in MARKERS.values()]))
+    whole = F.when(~later, F.coalesce(F.col("text"), F.lit("")))
     return conversations.select(
         "conv_id", "turn", "role", "text",
         F.when(alone, F.monotonically_increasing_id()).alias("alone"),
-        F.transform(_lines(F.col("text")), lambda line, i: symbol(line, i == 0, first)).alias("syms"),
+        F.transform(lines, lambda line, i: symbol(line, i == 0, first, whole)).alias("syms"),
     )
 
 
@@ -75,7 +84,7 @@ def fit(conversations: DataFrame) -> dict[str, np.ndarray]:
     seen = _turns(conversations).filter(F.col("role").isin(*ROLES)).filter("alone is null").filter(fold(F.col("conv_id")) != 0)
     code = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
     seen = seen.select("conv_id", "turn", code.alias("r"), "syms", F.size("syms").alias("n"))
-    opening, rest = np.ones((5, STATES)), np.ones((REST, STATES))
+    opening, rest = np.full((5, STATES), UNSEEN), np.ones((REST, STATES))
     lines = seen.select("r", F.posexplode("syms").alias("at", "sym")).groupBy("sym", "r", (F.col("at") > 0).alias("on")).count()
     for row in lines.collect():
         state = 2 * row["r"] + row["on"]
@@ -83,7 +92,7 @@ def fit(conversations: DataFrame) -> dict[str, np.ndarray]:
         rest[row["sym"] % REST, state] += row["count"]
     move, start = np.full((STATES, STATES), 0.0), np.zeros(STATES)
     move[:, ::2], start[::2] = 1, 1
-    turns = opening[:, ::2].sum(0) - len(opening)
+    turns = opening[:, ::2].sum(0) - UNSEEN * len(opening)
     for r in range(len(ROLES)):
         share = PRIOR_SHARE * turns[r]
         opening[r + 1, 2 * r] += PRIOR_MARKS + share
