@@ -11,13 +11,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import cut, small_batches
 from ledgerline.llm.words import MIX, finish, slice_words, slices
 
 #: Bounds of the training sample: so many labelled texts of either class at most.
 MAX_TOXIC, MAX_CLEAN = 2_500, 4_000
+#: Bound of the features of the sample, each four bytes in the training task.
+MAX_FEATURES = 24_000_000
 #: Words also count by their first so many bytes, for inflected forms.
 PREFIXES = (4, 5, 6)
 
@@ -63,27 +68,33 @@ def features(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         )
 
 
-def _pairs(texts) -> Iterator[np.ndarray]:
-    """Distinct (text, feature) pairs of each slice, packed into 64 bits."""
+def text_features(texts) -> list[np.ndarray]:
+    """Sorted distinct features of each text, of which a text of any length is worked through in slices."""
+    found: list[list[np.ndarray]] = [[] for _ in texts]
     for doc, f in features(texts):
-        yield np.unique(doc.astype(np.uint64) << np.uint64(32) | f)
+        pairs = np.unique(doc.astype(np.uint64) << np.uint64(32) | f)
+        own, first = np.unique((pairs >> np.uint64(32)).astype(np.int64), return_index=True)
+        for i, part in zip(own, np.split(pairs.astype(np.uint32), first[1:]), strict=True):
+            found[i].append(part)
+    return [np.empty(0, np.uint32) if not f else f[0] if len(f) == 1 else np.unique(np.concatenate(f)) for f in found]
 
 
-def train(texts: list[str | None], labels: list[int], alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0,
+def train(rows: list[np.ndarray], labels: list[int], alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0,
           l2: float = 0.1, updates: int = 15_000, seed: int = 7) -> ToxicityModel:
-    """FTRL-proximal in a fixed shuffled order, one update per text: three epochs, or more until ``updates``."""
-    if not texts:
+    """FTRL-proximal in a fixed shuffled order over the features of each text (``text_features``), one update per text:
+    three epochs, or more until ``updates``."""
+    if not rows:
         return ToxicityModel(np.empty(0, np.uint32), np.empty(0, np.float32), 0.0)
-    # a feature of a single text says nothing about other texts
+    # a feature of a single text says nothing about other texts; counts stop at two, by the low bits
     slot = np.uint32((1 << 25) - 1)
-    often = np.zeros(1 << 25, np.uint16)
-    for pairs in _pairs(texts):
-        np.add.at(often, (pairs & np.uint64(slot)).astype(np.int64), 1)
-    kept = [p[often[(p & np.uint64(slot)).astype(np.int64)] > 1] for p in _pairs(texts)]
+    often = np.zeros(1 << 25, np.uint8)
+    for f in rows:
+        at = np.unique(f & slot)
+        often[at] = np.minimum(often[at] + 1, 2)
+    rows = [f[often[f & slot] > 1] for f in rows]
     del often
-    pairs = np.unique(np.concatenate(kept))
-    known, flat = np.unique((pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_inverse=True)
-    rows = np.split(flat, np.searchsorted(pairs >> np.uint64(32), np.arange(1, len(texts), dtype=np.uint64)))
+    known = np.unique(np.concatenate(rows))
+    rows = [np.searchsorted(known, f).astype(np.int32) for f in rows]
     z, n = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     lam = np.full(len(known) + 1, l1)
     lam[-1] = 0.0  # the last coordinate is the bias
@@ -106,16 +117,38 @@ def train(texts: list[str | None], labels: list[int], alpha: float = 1.0, beta:
     return ToxicityModel(known[keep], w[keep].astype(np.float32), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, **options) -> ToxicityModel:
+def sample_features(docs: DataFrame, labels: DataFrame, max_features: int = MAX_FEATURES) -> DataFrame:
+    """``toxic`` and ``f`` (distinct features, four bytes each) of the training sample.
+
+    Features are taken out of the texts by many tasks. Texts count in the order of their ids' hashes; one that brings
+    the sum above ``max_features`` is left out, and so are those after it, but a text of more than a hundredth of them
+    does not count at all.
+    """
+
+    @F.pandas_udf("binary")
+    def extract(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([f.tobytes() for f in text_features(list(texts))])
+
+    small_batches(docs.sparkSession)
+    found = training_sample(docs, labels).select("doc_id", "toxic", extract.asNondeterministic()("text").alias("f"))
+    found = cut(found.withColumn("n", F.length("f") / 4).filter(F.col("n") <= max_features / 100))
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    # ids and numbers of a bounded sample in one task
+    ids = found.select("doc_id", F.sum("n").over(order).alias("upto")).filter(F.col("upto") <= max_features)
+    return found.join(F.broadcast(ids.select("doc_id")), "doc_id").select("doc_id", "toxic", "f")
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_features: int = MAX_FEATURES, **options) -> ToxicityModel:
     """Train on the bounded sample, in one task; rows are ordered by id so that reruns agree."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id")
-        m = train(rows["text"].tolist(), rows["toxic"].tolist(), **options)
-        return pd.DataFrame({"features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias]})
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        m = train([np.frombuffer(f.as_buffer(), np.uint32) for f in rows["f"]], rows["toxic"].to_pylist(), **options)
+        return pa.table({"features": [m.features.tobytes()], "weights": [m.weights.tobytes()], "bias": [m.bias]})
 
-    sample = training_sample(docs, labels)
-    found = sample.groupBy().applyInPandas(run, "features binary, weights binary, bias double").collect()
+    sample = sample_features(docs, labels, max_features)
+    found = sample.groupBy().applyInArrow(run, "features binary, weights binary, bias double").collect()
     if not found:
         return train([], [])
     return ToxicityModel(np.frombuffer(found[0].features, np.uint32), np.frombuffer(found[0].weights, np.float32), found[0].bias)
@@ -143,6 +176,7 @@ def score_texts(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
 
 def scorer(docs: DataFrame, model: ToxicityModel):
     """A column function text -> score with the model's weights broadcast."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
 
     @F.pandas_udf("double")
@@ -161,7 +195,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
     is given. Defined cases: null and empty texts get the score of the bias
     alone; a row with a null id is scored and counts as held out; several labels
     of one id count as toxic if one does; rows repeated in ``docs`` are each
-    scored; without any label every score is 0.5; further columns are ignored.
+    scored; without any label every score is 0.5; a text of
+    any length is read whole, in slices; an empty table gives an empty result; further columns are ignored.
     """
     model = model or fit(docs, labels)
     score = scorer(docs, model)
@@ -171,6 +206,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, model: ToxicityModel | N
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, model: ToxicityModel | None = None) -> DataFrame:
-    """The rows of ``docs``, in their own columns, whose score is below 0.5."""
+    """The rows of ``docs``, in their own columns, whose score is below 0.5. Null and empty texts stay as long as the
+    bias alone is below 0.5; without any label all rows score 0.5, so none is judged and all stay."""
     model = model or fit(docs, labels)
+    if not len(model.features) and model.bias == 0:
+        return docs
     return docs.withColumn("__toxicity", scorer(docs, model)("text")).filter("__toxicity < 0.5").drop("__toxicity")
