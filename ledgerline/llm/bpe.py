@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the text's bytes cuts it into chunks, so that passages which
-documents share give the same chunks wherever they stand. The chunks that save
-most are encoded once and broadcast. A document is then put together from
-encoded chunks and from encodings of what lies between them. Where two meet,
-the join is encoded again from the last safe point before it to the first one
-after it, and reaches further out until there is one. A safe point lies between
-a character that is no white space and a space or line feed: pre-tokens never
-reach across it, so what is encoded from one safe point to another agrees
-exactly with the encoding of the whole text.
+documents share give the same chunks wherever they stand. Every chunk that
+stands in several texts is encoded once, by the task that its hash falls to, and
+its ids are joined back to the texts that hold it; equal texts are encoded once
+as well. A text is then put together from encoded chunks and from encodings of
+what lies between them. Where two meet, the join is encoded again from the last
+safe point before it to the first one after it, and reaches further out until
+there is one. A safe point lies between a character that is no white space and a
+space or line feed: pre-tokens never reach across it, so what is encoded from
+one safe point to another agrees exactly with the encoding of the whole text.
 """
 
 from __future__ import annotations
@@ -17,20 +18,22 @@ import base64
 import hashlib
 import json
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import cut, join_unique, small_batches
+
 #: Chunk lengths in bytes: about AVERAGE (a power of two), never outside the limits but at the end of a text.
 SHORTEST, AVERAGE, LONGEST = 512, 2048, 8192
 #: Bytes that the rolling hash sees, a power of two.
 WINDOW = 16
-#: At most so many chunks are encoded ahead and broadcast.
-DICTIONARY = 4096
+#: Keys of texts are broadcast up to so many (32 bytes each); beyond it they are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 _GEAR = np.random.default_rng(3).integers(0, 2**32, 256, dtype=np.uint32)
 _SAFE = re.compile(r"(?<=\S)[ \n]")
@@ -97,8 +100,6 @@ class Coder:
     """Encodes and decodes texts exactly as the tokenizers library does with no special tokens added."""
 
     files: Files
-    #: hash of a chunk -> text before its first safe point, ids between first and last, text after the last
-    known: dict[bytes, tuple[str, list[int], str]] = field(default_factory=dict)
 
     def __post_init__(self):
         import tiktoken
@@ -112,6 +113,8 @@ class Coder:
             self._bytes[i] = token
         self._decimal = [str(i) for i in range(size)]
         self._exact = None
+        #: ids as they are stored
+        self.stored = np.dtype(np.uint16 if size <= 1 << 16 else np.uint32)
 
     def encode_whole(self, text: str) -> list[int]:
         """Encode without chunks."""
@@ -126,7 +129,7 @@ class Coder:
         return self._exact.encode(text, add_special_tokens=False).ids
 
     def prepare(self, chunk: str) -> tuple[str, list[int], str] | None:
-        """What ``known`` holds of a chunk; None where it has no two safe points."""
+        """Text before the first safe point of a chunk, ids up to its last one, text after it; None where it has no two."""
         first = _SAFE.search(chunk)
         if first is None:
             return None
@@ -142,13 +145,14 @@ class Coder:
             return None
         return chunk[: first.start()], self.encode_whole(chunk[first.start() : last]), chunk[last:]
 
-    def encode(self, text: str) -> list[int]:
-        if not self.known:
+    def encode(self, text: str, known: dict[bytes, tuple[str, list[int], str]]) -> list[int]:
+        """Encode a text of which some chunks are ``known`` by their hashes, as ``prepare`` gives them."""
+        if not known:
             return self.encode_whole(text)
         ids: list[int] = []
         open_, bare = "", []  # text since the last safe point; chunks that are not known
         for chunk in chunks(text.encode("utf-8")):
-            entry = self.known.get(chunk_hash(chunk))
+            entry = known.get(chunk_hash(chunk))
             if entry is None:
                 bare.append(chunk)
                 continue
@@ -168,130 +172,143 @@ class Coder:
         return ",".join(map(self._decimal.__getitem__, ids))
 
 
-def _valid(text: str | None) -> str:
-    return text or ""
+def _small(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, marked to be broadcast if it has few rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
-def shared_chunks(docs: DataFrame, size: int = DICTIONARY) -> list[bytes]:
-    """Hashes of the at most ``size`` chunks whose reuse saves most bytes; counted over all documents."""
+def shared_chunks(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``texts`` (``key``, ``text``): chunks that occur more than once, and the texts that hold them.
+
+    Chunks are ``hash``, ``n`` (occurrences), ``owner`` (least key) and ``several`` (not all in one text and its copies);
+    texts are ``key``, ``hash``, ``n`` and ``several``.
+    """
+
+    @F.pandas_udf("array<binary>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for rows in batches:
+            yield pd.Series([[chunk_hash(c) for c in chunks(t.encode("utf-8"))] for t in rows])
+
+    held = cut(texts.select("key", F.explode(hashes("text")).alias("hash")))
+    found = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("owner"), F.max("key").alias("last"))
+    shared = cut(found.filter("n > 1").select("hash", "n", "owner", (F.col("owner") != F.col("last")).alias("several")))
+    holders = join_unique(held, shared, ["hash"], "n").select("key", "hash", "n", "several").distinct()
+    return shared, cut(holders)
 
-    @F.pandas_udf("array<struct<hash: binary, length: int>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(
-                [[{"hash": chunk_hash(c), "length": len(c)} for c in chunks(_valid(t).encode("utf-8"))] for t in texts]
-            )
-
-    top = (
-        docs.select(F.explode(cut("text")).alias("c"))
-        .groupBy("c.hash")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("c.length").alias("length"))
-        .filter("n > 1")
-        .orderBy(F.desc(F.expr("(n - 1) * length")), "hash")
-        .limit(size)
-    )
-    return [bytes(r.hash) for r in top.select("hash").collect()]  # at most ``size`` hashes
-
-
-def build_dictionary(docs: DataFrame, files: Files, size: int = DICTIONARY) -> dict[bytes, tuple[str, list[int], str]]:
-    """Encode each of the shared chunks once; at most ``size`` entries of LONGEST bytes come to the driver."""
-    wanted = shared_chunks(docs, size)
-    if not wanted:
-        return {}
-    sc = docs.sparkSession.sparkContext
-    ids, shared = sc.broadcast(frozenset(wanted)), sc.broadcast(files)
+
+def encode_chunks(texts: DataFrame, shared: DataFrame, files) -> DataFrame:
+    """``hash``, ``head``, ``body`` (stored ids) and ``tail`` of every chunk that several of ``texts`` hold.
+
+    A chunk is handed out by its owner and encoded once; chunks without two safe points are left out.
+    """
+    wanted = cut(shared.filter("several").groupBy(F.col("owner").alias("key")).agg(F.collect_list("hash").alias("hashes")))
 
     @F.pandas_udf("array<struct<hash: binary, chunk: string>>")
-    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        left = set(ids.value)  # each task hands out a chunk once
-        for texts in batches:
+    def pick(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts_, hashes in batches:
             out = []
-            for t in texts:
-                row = []
-                for c in chunks(_valid(t).encode("utf-8")) if left else ():
+            for t, hs in zip(texts_, hashes, strict=True):
+                own, left = [], set(hs)
+                for c in chunks(t.encode("utf-8")):
                     h = chunk_hash(c)
                     if h in left:
                         left.discard(h)
-                        row.append({"hash": h, "chunk": c.decode("utf-8")})
-                out.append(row)
+                        own.append({"hash": h, "chunk": c.decode("utf-8")})
+                out.append(own)
             yield pd.Series(out)
 
-    @F.pandas_udf("struct<head: string, body: array<int>, tail: string>")
+    @F.pandas_udf("head string, body binary, tail string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Coder(shared.value)
+        coder = Coder(files.value)
+        for rows in batches:
+            found = [coder.prepare(t) for t in rows]
+            packed = [(None, None, None) if e is None else (e[0], np.asarray(e[1], coder.stored).tobytes(), e[2]) for e in found]
+            yield pd.DataFrame(packed, columns=["head", "body", "tail"])
+
+    handed = texts.join(_small(wanted), "key").select(F.explode(pick("text", "hashes")).alias("c")).select("c.hash", "c.chunk")
+    dealt = handed.repartition("hash")  # the chunks of a long text are encoded by many tasks
+    return cut(dealt.select("hash", encode("chunk").alias("e")).select("hash", "e.*").filter("head is not null"))
+
+
+def _encode(docs: DataFrame, files: Files | None, kind: str, finish: Callable) -> DataFrame:
+    """The columns of ``docs`` without ``text``, and ``__out``: what ``finish(coder, ids)`` makes of each text's ids, of type ``kind``."""
+    small_batches(docs.sparkSession)
+    shared_files = docs.sparkSession.sparkContext.broadcast(files or default_files())
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.withColumns({"text": text, "__key": F.unhex(F.sha2(text, 256))})
+    own = [c for c in docs.columns if c != "text"]
+    shared, holders = shared_chunks(rows.select(F.col("__key").alias("key"), "text"))
+    again = _small(cut(holders.select(F.col("key").alias("__key")).distinct()))
+
+    @F.pandas_udf(kind)
+    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = Coder(shared_files.value)
         for texts in batches:
-            yield pd.DataFrame([coder.prepare(t) or (None, None, None) for t in texts], columns=["head", "body", "tail"])
-
-    found = docs.select(F.explode(pick("text")).alias("c")).groupBy("c.hash").agg(F.max("c.chunk").alias("chunk"))
-    rows = found.select("hash", encode("chunk").alias("e")).filter("e.head is not null").select("hash", "e.*").collect()
-    return {bytes(r.hash): (r.head, list(r.body), r.tail) for r in rows}
+            yield _series([finish(coder, coder.encode_whole(t)) for t in texts], kind)
 
-
-def _shared_coder(docs: DataFrame, files: Files | None, size: int):
-    files = files or default_files()
-    known = build_dictionary(docs, files, size)
-    packed = {h: (a, np.asarray(b, np.uint16 if max(b, default=0) < 65536 else np.uint32).tobytes(), c, max(b, default=0) < 65536) for h, (a, b, c) in known.items()}
-    return docs.sparkSession.sparkContext.broadcast((files, packed))
-
-
-def _open(shared) -> Coder:
-    files, packed = shared.value
-    return Coder(files, {h: (a, np.frombuffer(b, np.uint16 if short else np.uint32).tolist(), c) for h, (a, b, c, short) in packed.items()})
-
-
-def encode_documents(docs: DataFrame, files: Files | None = None, dictionary: int = DICTIONARY) -> DataFrame:
+    @F.pandas_udf(kind)
+    def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        coder = Coder(shared_files.value)
+        for texts, entries in batches:
+            out = []
+            for t, es in zip(texts, entries, strict=True):
+                known = {e["hash"]: (e["head"], np.frombuffer(e["body"], coder.stored).tolist(), e["tail"]) for e in ([] if es is None else es)}
+                out.append(finish(coder, coder.encode(t, known)))
+            yield _series(out, kind)
+
+    # texts without a chunk that occurs again stay where they are
+    plain = rows.join(again, "__key", "left_anti").select(*own, alone("text").alias("__out"))
+    repeated = rows.join(again, "__key", "left_semi")
+    texts = cut(repeated.groupBy(F.col("__key").alias("key")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    encoded = encode_chunks(texts, shared, shared_files)
+    counted = encoded.join(shared.select("hash", "n"), "hash")
+    parts = join_unique(holders.filter("several").select("key", "hash"), cut(counted), ["hash"], "n")
+    entries = parts.groupBy("key").agg(F.collect_list(F.struct("hash", "head", "body", "tail")).alias("entries"))
+    done = texts.join(entries, "key", "left").select(F.col("key").alias("__key"), "copies", joined("text", "entries").alias("__out"))
+    met = join_unique(repeated.select(*own, "__key"), cut(done), ["__key"], "copies")
+    return plain.unionByName(met.select(*own, "__out"))
+
+
+def _series(rows: list, kind: str):
+    """Results as pandas gives them to Spark: a frame where ``kind`` names fields."""
+    names = [f.split()[0] for f in kind.split(", ")]
+    return pd.Series(rows) if len(names) == 1 else pd.DataFrame(rows, columns=names)
+
+
+def encode_documents(docs: DataFrame, files: Files | None = None) -> DataFrame:
     """Token ids of every text: the columns of ``docs`` without ``text``, and ``ids``.
 
     Defined cases: a null text counts as empty and an empty text has no ids;
     special tokens spelled out in a text get their own ids, as in the
-    tokenizers library; very long texts are encoded whole; repeated rows are
-    each encoded; an empty table gives an empty result.
+    tokenizers library; very long texts are encoded whole; repeated rows each
+    get their ids; an empty table gives an empty result.
     """
-    shared = _shared_coder(docs, files, dictionary)
-
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _open(shared)
-        for texts in batches:
-            yield pd.Series([coder.encode(_valid(t)) for t in texts])
-
-    return docs.withColumn("ids", run("text")).drop("text")
+    return _encode(docs, files, "array<int>", lambda coder, ids: ids).withColumnRenamed("__out", "ids")
 
 
 def decode_documents(encoded: DataFrame, files: Files | None = None) -> DataFrame:
     """Texts of token ids: ``ids`` replaced by ``text``; null ids count as none."""
-    shared = encoded.sparkSession.sparkContext.broadcast((files or default_files(), {}))
+    small_batches(encoded.sparkSession)
+    shared = encoded.sparkSession.sparkContext.broadcast(files or default_files())
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _open(shared)
+        coder = Coder(shared.value)
         for rows in batches:
             yield pd.Series([coder.decode([] if i is None else list(i)) for i in rows])
 
     return encoded.withColumn("text", run("ids")).drop("ids")
 
 
-def digest_documents(docs: DataFrame, files: Files | None = None, dictionary: int = DICTIONARY) -> DataFrame:
+def digest_documents(docs: DataFrame, files: Files | None = None) -> DataFrame:
     """Encode and decode every text and give digests of both: ``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``.
 
     The same as ``encode_documents`` and ``decode_documents``, without moving the ids out of the task.
     """
-    shared = _shared_coder(docs, files, dictionary)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _open(shared)
-        for texts in batches:
-            out = []
-            for t in texts:
-                ids = coder.encode(_valid(t))
-                out.append(
-                    (
-                        len(ids),
-                        hashlib.sha256(coder.decimal(ids).encode()).hexdigest(),
-                        hashlib.sha256(coder.decode(ids).encode("utf-8")).hexdigest(),
-                    )
-                )
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", run("text").alias("d")).select("doc_id", "d.*")
+    def finish(coder: Coder, ids: list[int]) -> tuple[int, str, str]:
+        digest = lambda t: hashlib.sha256(t.encode("utf-8")).hexdigest()
+        return len(ids), digest(coder.decimal(ids)), digest(coder.decode(ids))
+
+    out = _encode(docs.select("doc_id", "text"), files, "n_tokens long, ids_sha256 string, decoded_sha256 string", finish)
+    return out.select("doc_id", "__out.*")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import cut
 from ledgerline.llm import bpe, chat, exact_dedup, language, licenses, mixing, mtree, near_dedup, pii, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean"
@@ -136,7 +137,10 @@ def test_bpe_agrees_with_the_library(spark):
     rows = [(i, shared[rng.randrange(4000) :] + "".join(rng.choice(parts) for _ in range(50)) + shared) for i in range(12)]
     rows += [(50, None), (51, ""), (52, "x" * 30000), (53, shared), (53, shared)]
     frame = docs(spark, rows)
-    assert bpe.build_dictionary(frame, bpe.default_files())
+    texts = cut(frame.select(F.col("doc_id").cast("string").cast("binary").alias("key"), F.coalesce("text", F.lit("")).alias("text")).distinct())
+    found, holders = bpe.shared_chunks(texts)
+    entries = bpe.encode_chunks(texts, found, spark.sparkContext.broadcast(bpe.default_files()))
+    assert entries.count() == entries.select("hash").distinct().count() > 1 and holders.filter("several").count() > 12
     for r in bpe.digest_documents(frame).collect():
         text = next(x for d, x in rows if d == r.doc_id) or ""
         ids = t.encode(text, add_special_tokens=False).ids
