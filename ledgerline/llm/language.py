@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import small_batches
 from ledgerline.llm.toxicity import fold
 
 GRAMS = (2, 3, 4)
@@ -178,6 +179,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     counts as held out; without any language to learn from all rows are
     ``und``; repeated rows are each predicted; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     # the mean of embeddings times the layer is the mean of their product
     table = (model.embeddings @ model.layer / model.temperature).astype(np.float64)

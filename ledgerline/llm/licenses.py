@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import small_batches
 from ledgerline.llm.toxicity import features
 from ledgerline.llm.words import PLAIN
 
@@ -255,6 +256,7 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
     families go to the one listed first; an empty table gives an empty result;
     other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias, model.threshold))
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import HOT_ROWS, cut, join_unique
+from ledgerline.functions.runtime import HOT_ROWS, cut, join_unique, small_batches
 from ledgerline.llm.words import MIX, SPACED, finish, slice_words, slices
 
 SHINGLE = 5
@@ -311,6 +311,7 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, carry: Sequence[Column]
     kept or dropped); an empty table gives an empty result; other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     rows = cut(sketch(docs, carry, bands))
     grouped = rows.filter("print is not null").groupBy("print").agg(
         F.first("n_shingles").alias("n_shingles"),

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.functions.runtime import small_batches
 from ledgerline.llm.toxicity import fold
 
 KINDS = ("email", "ip", "card", "phone")
@@ -344,6 +345,7 @@ def find_spans(docs: DataFrame, net: dict[str, np.ndarray] | None = None) -> Dat
     both columns agree; rows with a null id and repeated rows are each read;
     other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     net = net or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     kind = "array<struct<kind: string, start: int, end: int>>"
