@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -60,3 +61,22 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], count_col: str
     of_hot = marked.filter("__hot").select(names)
     of_rest = marked.filter("__hot is null").select(left.columns).join(right.filter(~hot), on).select(names)
     return of_hot.unionByName(of_rest)
+
+
+def rank_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Add the place (from 1) of each row among those of its key by ``order``, which is unique in a key.
+
+    A key of up to HOT_ROWS rows is ranked by a window. Where any key has more, rows are dealt to ranges of key and
+    order, and ranked by the sizes of the ranges before theirs.
+    """
+    df = cut(df)
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= HOT_ROWS:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    dealt = cut(df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("n"))
+    earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*keys, "__range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    turn = F.row_number().over(W.partitionBy(*keys, "__range").orderBy(order))
+    ranked = dealt.withColumn(name, turn).join(before, [*keys, "__range"])
+    return ranked.withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")

@@ -72,7 +72,10 @@ def text_score(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def with_text_score(pairs: DataFrame, a: str, b: str, name: str = "desc_score") -> DataFrame:
-    """Add the score of two text columns; equal texts are settled without Python."""
+    """Add the score of two text columns of stored ``pairs``: equal texts have 1, of the others each distinct pair is compared once."""
     clean = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", ""))
-    same: Column = clean(a) == clean(b)
-    return pairs.withColumn(name, F.when(same, F.lit(1.0)).otherwise(text_score(F.col(a), F.col(b))))
+    marked = pairs.withColumns({"__a": clean(a), "__b": clean(b)})
+    same: Column = F.col("__a") == F.col("__b")
+    distinct = marked.filter(~same).select("__a", "__b").distinct().withColumn("__score", text_score("__a", "__b"))
+    met = marked.join(distinct, ["__a", "__b"], "left")
+    return met.withColumn(name, F.when(same, F.lit(1.0)).otherwise(F.col("__score"))).drop("__a", "__b", "__score")

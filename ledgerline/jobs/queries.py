@@ -11,6 +11,7 @@ from ledgerline.functions import normalize as N
 from ledgerline.functions import scoring as S
 from ledgerline.functions.runtime import cut
 from ledgerline.jobs import fixtures as X
+from ledgerline.jobs import oracles as O
 from ledgerline.operators import anomalies as A
 from ledgerline.operators import mapping as M
 from ledgerline.operators import matching as R
@@ -171,12 +172,18 @@ def p_pair_scores(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""{O.SCORED}
+SELECT min(b) AS b_id, min(c) AS c_id, count(DISTINCT b) AS n_bank, count(DISTINCT c) AS n_company, any_value(days) AS days, any_value(amt) AS amount_score, any_value(dat) AS date_score,
+       any_value(ref) AS reference_score, any_value(descr) AS desc_score, any_value(conf) AS confidence, any_value(why1 || ' | ' || why2 || why3) AS reasons
+FROM scored WHERE could >= 0.75 GROUP BY reconciliation_id, type, ba, ca, bd, cd, bt, ct, bref, cref""")
 def p_match_scores(spark, sf_dir):
-    """P1 to P6 on all pairs that can reach the fuzzy threshold, whatever their references; texts are compared in Python."""
+    """P1 to P6 on all pairs of classes that can reach the fuzzy threshold, whatever their references; a class stands by its first id and its size."""
     bank, ledger = X.sides(spark, sf_dir)
     scored = R.score_pairs(R.fuzzy_candidates(bank, ledger))
-    return scored.select("b_id", "c_id", "days", "amount_score", "date_score", "reference_score", "desc_score", "confidence", "reasons")
+    for p, side, name in (("b", bank, "n_bank"), ("c", ledger, "n_company")):
+        members = R._rows(side, p).groupBy(f"{p}_cls").agg(F.min(f"{p}_id").alias(f"{p}_id"), F.count(F.lit(1)).alias(name))
+        scored = scored.join(members, f"{p}_cls")
+    return scored.select("b_id", "c_id", "n_bank", "n_company", "days", "amount_score", "date_score", "reference_score", "desc_score", "confidence", F.array_join("reasons", " | ").alias("reasons"))
 
 
 @query(f"""{X.BOTH}
@@ -225,28 +232,47 @@ def r_reference(spark, sf_dir):
     return out.select(*_MATCH[:2], "match_type", "date_difference_days", F.col("amount_difference").cast("double").alias("amount_difference"))
 
 
-@query()
+def _shown(matches: DataFrame, *more: str) -> DataFrame:
+    """Match results with lists as texts and amounts as doubles."""
+    texts = {"company_ids": F.array_join("company_ids", "+"), "reasons": F.array_join("reasons", " | "), "amount_difference": F.col("amount_difference").cast("double")}
+    names = [c.split(" AS ")[-1] for c in O.SHOWN.split(", ")]
+    return matches.withColumns(texts).select(*more, *names)
+
+
+@query(f"{O.stage_alone('exact', O.EXACT)} SELECT {O.SHOWN} FROM results")
+def r_exact_results(spark, sf_dir):
+    """R3 with scores, confidence and reasons."""
+    return _shown(R.match_exact(*X.sides(spark, sf_dir)))
+
+
+@query(f"{O.stage_alone('reference', O.REFERENCE)} SELECT {O.SHOWN} FROM results")
+def r_reference_results(spark, sf_dir):
+    """R4 with scores, confidence, status and reasons."""
+    return _shown(R.match_reference(*X.sides(spark, sf_dir)))
+
+
+@query(f"{O.stage_alone('fuzzy', O.FUZZY)} SELECT {O.SHOWN} FROM results")
 def r_fuzzy(spark, sf_dir):
     """R5 on whole sides."""
-    return R.match_fuzzy(*X.sides(spark, sf_dir)).select(*_MATCH, "confidence", "reasons")
+    return _shown(R.match_fuzzy(*X.sides(spark, sf_dir)))
 
 
-@query()
+@query(f"{O.stage_alone('tolerant', O.TOLERANT)} SELECT {O.SHOWN} FROM results")
 def r_date_tolerance(spark, sf_dir):
     """R6 on whole sides."""
-    return R.match_date_tolerance(*X.sides(spark, sf_dir)).select(*_MATCH, "confidence", "reasons")
+    return _shown(R.match_date_tolerance(*X.sides(spark, sf_dir)))
 
 
-@query()
+@query(f"{O.COMPOSITE} SELECT {O.SHOWN} FROM two_results")
 def r_composite(spark, sf_dir):
     """R7 on whole sides."""
-    return R.match_composite(*X.sides(spark, sf_dir)).select(*_MATCH, "reasons")
+    return _shown(R.match_composite(*X.sides(spark, sf_dir)))
 
 
-@query()
+@query(f"{O.MATCHED} SELECT id, {O.SHOWN} FROM {O.NAMED_MATCHES}")
 def r_match_pipeline(spark, sf_dir):
     """R3 to R10: one result for each bank row."""
-    return R.match_pipeline(*X.sides(spark, sf_dir))[0]
+    return _shown(R.match_pipeline(*X.sides(spark, sf_dir))[0], "id")
 
 
 @query(f"""{X.BOTH} SELECT b.id AS bank_transaction_id, b.amount::DOUBLE AS amount_difference, 'UNMATCHED' AS status
@@ -275,7 +301,12 @@ def _run(spark, sf_dir):
     return bank, ledger, matches, A.detect_anomalies(bank, ledger, matches, left)
 
 
-@query()
+@query(f"""{O.ANOMALIES},
+counted AS (SELECT reconciliation_id, count(*) AS total_bank, count(*) FILTER (status = 'MATCHED') AS matched_count, count(*) FILTER (status = 'PROBABLE_MATCH') AS probable_count,
+                   count(*) FILTER (status = 'UNMATCHED') AS unmatched_count FROM results GROUP BY 1),
+odd AS (SELECT reconciliation_id, count(*) AS n FROM anomalies GROUP BY 1)
+SELECT c.*, coalesce(n, 0) AS anomaly_count, CASE WHEN coalesce(n, 0) = 0 AND matched_count = total_bank THEN 'COMPLETED' ELSE 'REVIEW_REQUIRED' END AS run_status
+FROM counted c LEFT JOIN odd USING (reconciliation_id)""")
 def r_run_summary(spark, sf_dir):
     """R11."""
     _, _, matches, found = _run(spark, sf_dir)
@@ -310,43 +341,72 @@ def a_missing_in_bank(spark, sf_dir):
     return A.missing_in_bank(left).select("transaction_id", "type", "severity", F.col("amount_difference").cast("double").alias("amount_difference"))
 
 
-@query()
+def _evidence(found: DataFrame, *more: str) -> DataFrame:
+    """Anomalies with evidence as one text and amounts as doubles."""
+    texts = {"evidence": F.array_join("evidence", " | "), "amount_difference": F.col("amount_difference").cast("double")}
+    return found.withColumns(texts).select(*O.ANOMALY.split(", "), *more)
+
+
+@query(f"{O.ANOMALIES} SELECT {O.ANOMALY} FROM anomalies")
 def a_detect_anomalies(spark, sf_dir):
     """A1 to A6."""
-    return _run(spark, sf_dir)[3]
+    return _evidence(_run(spark, sf_dir)[3])
 
 
-@query()
+_FOUND = O.findings(A.FINDINGS, A.OTHER_FINDING, A.LARGE_DIFFERENCE)
+_FINDING = "finding, conclusion, finding_confidence, risk, recommended_action"
+
+
+@query(f"{O.ANOMALIES}{_FOUND} SELECT {O.ANOMALY}, {_FINDING} FROM found_out")
 def a_investigate(spark, sf_dir):
     """A7."""
-    return A.investigate(_run(spark, sf_dir)[3])
+    return _evidence(A.investigate(_run(spark, sf_dir)[3]), *_FINDING.split(", "))
+
+
+def _last_character(c: str):
+    return F.ascii(F.right(F.col(c), F.lit(1)))
 
 
 def _reviews(found: DataFrame) -> DataFrame:
     """Reviews of every anomaly, by its id: two of each third, so that the latest one counts."""
-    n = F.abs(F.hash("id")) % 3
+    n = _last_character("id") % 3
     actions = F.array(F.lit("CONFIRM_MATCH"), F.lit("REJECT_MATCH"), F.lit("MARK_RESOLVED"))
     first = found.select(F.col("id").alias("anomaly_id"), F.element_at(actions, n + 1).alias("action"), F.lit(1).alias("review_seq"))
     again = found.filter(n == 0).select(F.col("id").alias("anomaly_id"), F.lit("MARK_RESOLVED").alias("action"), F.lit(2).alias("review_seq"))
     return first.unionByName(again)
 
 
-@query()
+@query(f"""{O.ANOMALIES},
+sure AS (SELECT DISTINCT transaction_id AS b, candidate_transaction_id AS c FROM anomalies WHERE candidate_transaction_id IS NOT NULL AND ascii(right(id, 1)) % 3 = 0)
+SELECT m.id, m.bank_transaction_id, m.company_transaction_id, CASE WHEN s.b IS NOT NULL THEN 'MATCHED' ELSE m.status END AS status,
+       CASE WHEN s.b IS NOT NULL THEN 1.0::DOUBLE ELSE m.confidence END AS confidence
+FROM {O.NAMED_MATCHES} m LEFT JOIN sure s ON s.b = m.bank_transaction_id AND s.c = m.company_transaction_id""")
 def a_apply_reviews(spark, sf_dir):
-    """A8."""
+    """A8, its matches: a confirmation of a pair holds although a later review of the anomaly is another action."""
     _, _, matches, found = _run(spark, sf_dir)
     found = cut(found)
-    return A.apply_anomaly_reviews(found, matches, _reviews(found))[1]
+    out = A.apply_anomaly_reviews(found, matches, _reviews(found))[1]
+    return out.select("id", "bank_transaction_id", "company_transaction_id", "status", "confidence")
 
 
-@query()
+@query(f"{O.ANOMALIES} SELECT id, type, 'RESOLVED' AS status FROM anomalies")
+def a_reviewed_anomalies(spark, sf_dir):
+    """A8, its anomalies: the latest action of each review is none that confirms."""
+    _, _, matches, found = _run(spark, sf_dir)
+    found = cut(found)
+    return A.apply_anomaly_reviews(found, matches, _reviews(found))[0].select("id", "type", "status")
+
+
+@query(f"""{O.MATCHED}
+SELECT id, CASE WHEN m.status <> 'PROBABLE_MATCH' THEN m.status WHEN ascii(right(id, 1)) % 2 = 0 THEN 'MATCHED' ELSE 'UNMATCHED' END AS status,
+       CASE WHEN m.status <> 'PROBABLE_MATCH' THEN confidence WHEN ascii(right(id, 1)) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM {O.NAMED_MATCHES} m""")
 def a_apply_decisions(spark, sf_dir):
     """A9."""
     matches = _run(spark, sf_dir)[2]
     decided = matches.filter("status = 'PROBABLE_MATCH'").select(
-        F.col("id").alias("match_id"), F.when(F.hash("id") % 2 == 0, "confirm").otherwise("reject").alias("decision"), F.lit(1).alias("seq")
+        F.col("id").alias("match_id"), F.when(_last_character("id") % 2 == 0, "confirm").otherwise("reject").alias("decision"), F.lit(1).alias("seq")
     )
-    return A.apply_match_decisions(matches, decided)
+    return A.apply_match_decisions(matches, decided).select("id", "status", "confidence")
 
 
 def _runs(spark, sf_dir):
@@ -366,25 +426,47 @@ def q_latest_run(spark, sf_dir):
     return Q.latest_run(_runs(spark, sf_dir)).withColumn("started_at", F.col("started_at").cast("string"))
 
 
-@query()
+@query(f"""{O.ANOMALIES},
+m AS (SELECT reconciliation_id, count(*) AS total_bank_transactions, count(*) FILTER (status = 'MATCHED') AS matched, count(*) FILTER (status = 'PROBABLE_MATCH') AS probable,
+             count(*) FILTER (status = 'UNMATCHED') AS unmatched FROM results GROUP BY 1),
+x AS (SELECT reconciliation_id, count(*) AS anomalies, count(*) FILTER (type = 'DUPLICATE_TRANSACTION') AS duplicates, sum(amount_difference::DECIMAL(18,2))::DOUBLE AS total_difference
+      FROM anomalies GROUP BY 1),
+l AS (SELECT reconciliation_id, count(*) AS company_rows FROM ledger GROUP BY 1)
+SELECT m.*, coalesce(x.anomalies, 0) AS anomalies, coalesce(duplicates, 0) AS duplicates, coalesce(total_difference, 0) AS total_difference, coalesce(company_rows, 0) AS company_rows,
+       matched + probable AS total_company_transactions, CASE WHEN coalesce(x.anomalies, 0) = 0 AND probable = 0 THEN 'RECONCILIATION COMPLETE' ELSE 'REVIEW REQUIRED' END AS headline
+FROM m LEFT JOIN x USING (reconciliation_id) LEFT JOIN l USING (reconciliation_id)""")
 def q_reconciliation_summary(spark, sf_dir):
     """Q2."""
     _, ledger, matches, found = _run(spark, sf_dir)
-    return Q.reconciliation_summary(matches, found, ledger)
+    return Q.reconciliation_summary(matches, found, ledger).withColumn("total_difference", F.col("total_difference").cast("double"))
 
 
-@query()
+@query(f"""{O.MATCHED}
+SELECT m.id, {O.SHOWN.replace("reconciliation_id,", "m.reconciliation_id,", 1)}, b.description AS bank_description, b.amount::DOUBLE AS bank_amount, b.date::VARCHAR AS bank_date,
+       c.description AS company_description, c.amount::DOUBLE AS company_amount, c.date::VARCHAR AS company_date
+FROM {O.NAMED_MATCHES} m LEFT JOIN bank b ON b.id = m.bank_transaction_id LEFT JOIN ledger c ON c.id = m.company_transaction_id""")
 def q_matches_report(spark, sf_dir):
     """Q3."""
     bank, ledger, matches, _ = _run(spark, sf_dir)
-    return Q.matches_report(matches, bank, ledger)
-
-
-@query()
+    out = Q.matches_report(matches, bank, ledger)
+    both = [f"{p}_{c}" for p in ("bank", "company") for c in ("description", "amount", "date")]
+    plain = {c: F.col(c).cast("string" if c.endswith("date") else "double") for c in both if not c.endswith("description")}
+    return _shown(out.withColumns(plain), "id", *both)
+
+
+@query(f"""{O.ANOMALIES}{_FOUND},
+both_sides AS (SELECT * FROM bank UNION ALL SELECT * FROM ledger)
+SELECT f.id, f.reconciliation_id, transaction_id, candidate_transaction_id, f.type, severity, amount_difference, date_difference_days, evidence, {_FINDING},
+       t.description AS transaction_description, t.amount::DOUBLE AS transaction_amount, t.date::VARCHAR AS transaction_date,
+       c.description AS candidate_description, c.amount::DOUBLE AS candidate_amount, c.date::VARCHAR AS candidate_date
+FROM found_out f LEFT JOIN both_sides t ON t.id = transaction_id LEFT JOIN both_sides c ON c.id = candidate_transaction_id""")
 def q_anomalies_report(spark, sf_dir):
     """Q4."""
     bank, ledger, _, found = _run(spark, sf_dir)
-    return Q.anomalies_report(A.investigate(found), bank.unionByName(ledger))
+    out = Q.anomalies_report(A.investigate(found), bank.unionByName(ledger))
+    both = [f"{p}_{c}" for p in ("transaction", "candidate") for c in ("description", "amount", "date")]
+    plain = {c: F.col(c).cast("string" if c.endswith("date") else "double") for c in both if not c.endswith("description")}
+    return _evidence(out.withColumns(plain), *_FINDING.split(", "), *both)
 
 
 @query(f"{_CANON} SELECT transaction_id AS id, source_row, description FROM (SELECT *, row_no AS source_row FROM canon WHERE parse_job_id = 'JOB_3') ORDER BY source_row LIMIT 50 OFFSET 20")

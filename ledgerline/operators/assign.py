@@ -1,38 +1,85 @@
-"""One-to-one assignment in parallel rounds.
+"""One-to-one assignment of bank rows to company rows.
 
 Bank rows choose in the order of their rank, each its best company row that is
-still free. All company rows prefer the bank row of lower rank, so the outcome
-is the one stable matching, and deferred acceptance finds it whatever the order
-of proposals.
+still free. Rows of either side with the same values form a class; whether two
+rows may meet, and how well they agree, is a matter of their classes. Where
+every bank class of a group may meet every company class of it, equally well,
+the first bank row takes the first company row, the second the second, and so
+on: such groups of any size are ranked and joined. All others are settled in
+rounds: since all company rows prefer the bank row of lower rank, the outcome is
+the one stable matching, and deferred acceptance finds it whatever the order of
+proposals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import cut, rank_within
+
+
+def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, prefer: Column | None = None) -> DataFrame:
+    """Pairs ``b_id``, ``c_id`` with the columns of their edge, as a sequential pass over bank rows would make them.
+
+    ``bank`` has ``b_id``, ``b_ord`` and ``b_cls``, ``company`` the same with ``c_``; ``edges`` is a stored table with one
+    row for each pair of classes that may meet. A bank row takes the free company row of the highest ``prefer``, then of
+    the first ``c_ord``.
+    """
+    edges = edges.withColumn("prefer", F.lit(0.0) if prefer is None else prefer)
+    # a group is named by the least company class that its bank classes may meet
+    of_b = edges.groupBy("b_cls").agg(F.min("c_cls").alias("group"))
+    named = edges.select("b_cls", "c_cls", "prefer").join(of_b, "b_cls")
+    of_c = named.groupBy("c_cls").agg(F.min("group").alias("c_group"))
+    named = cut(named.join(of_c, "c_cls"))
+    sizes = named.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("b_cls").alias("nb"), F.count_distinct("c_cls").alias("nc"),
+        F.min("prefer").alias("lo"), F.max("prefer").alias("hi"),
+    )
+    across = named.filter("group <> c_group").select(F.explode(F.array("group", "c_group")).alias("group"))
+    mixed = cut(across.union(sizes.filter("n <> nb * nc or lo <> hi").select("group")).distinct())
+    whole = named.join(mixed, "group", "left_anti")
+    ranked = lambda rows, p: rank_within(
+        rows.join(whole.select(f"{p}_cls", "group").distinct(), f"{p}_cls").select("group", f"{p}_ord", f"{p}_id", f"{p}_cls"),
+        ["group"], f"{p}_ord", "turn",
+    )
+    pairs = ranked(bank, "b").join(ranked(company, "c"), ["group", "turn"]).select("b_cls", "c_cls", "b_id", "c_id")
+    if not mixed.isEmpty():
+        left = named.join(mixed, "group", "left_semi")
+        met = bank.join(left, "b_cls").join(company, "c_cls")
+        won = priority_match(met.select(
+            "b_cls", "c_cls", "b_id", "c_id", F.col("b_id").alias("b"), F.col("c_id").alias("c"), F.col("b_ord").alias("b_rank"),
+            F.col("b_cls").alias("cls"), F.struct(-F.col("prefer"), F.col("c_ord")).alias("wish"),
+        ))
+        pairs = pairs.unionByName(won.select(pairs.columns))
+    return pairs.join(edges, ["b_cls", "c_cls"])
 
 
 def priority_match(edges: DataFrame) -> DataFrame:
-    """The pairs that a sequential pass over bank rows would make.
+    """The pairs that a sequential pass over bank rows would make, in rounds.
 
-    ``edges`` has ``b``, ``b_rank``, ``c`` and ``wish`` (smaller is better for the
-    bank row; unique for each ``b``); further columns are kept. Each round every
-    bank row proposes to its best remaining company row and each company row
-    holds the lowest rank that proposed; edges of higher ranks to a held row can
-    never win and go. Done when no edge goes.
+    ``edges`` has ``b``, ``b_rank``, ``c``, ``wish`` (smaller is better for the bank row; unique for each ``b``) and ``cls``:
+    bank rows of one ``cls`` have the same company rows and wishes. Each round every bank row proposes to its best remaining company row,
+    and each company row holds the lowest rank that proposed; edges of higher ranks to a held row can never win and go.
+    Of a class, each bank row ends at a later wish than the one before it, so it starts that much further on. Done when
+    no edge goes.
     """
-    live = cut(edges)
+    turn = edges.select("cls", "b", "b_rank").distinct()
+    turn = turn.select("b", F.row_number().over(W.partitionBy("cls").orderBy("b_rank")).alias("turn"))
+    live = cut(edges.join(turn, "b").withColumn("pos", F.row_number().over(W.partitionBy("b").orderBy("wish"))))
+    upto = W.partitionBy("cls").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     while True:
-        best = live.groupBy("b").agg(F.min_by(F.struct("c", "b_rank"), F.col("wish")).alias("p"))
+        at = live.groupBy("b").agg(F.min("pos").alias("at"), F.first("cls").alias("cls"), F.first("turn").alias("turn"))
+        at = at.select("b", (F.max(F.col("at") - F.col("turn")).over(upto) + F.col("turn")).alias("from"))
+        ahead = live.join(at, "b").withColumn("behind", F.col("pos") < F.col("from")).drop("from")
+        best = ahead.filter("not behind").groupBy("b").agg(F.min_by(F.struct("c", "b_rank"), F.col("pos")).alias("p"))
         held = best.groupBy(F.col("p.c").alias("c")).agg(F.min("p.b_rank").alias("held_rank"))
-        met = live.join(held, "c", "left")
-        lost = F.coalesce(F.col("b_rank") > F.col("held_rank"), F.lit(False))
-        kept = cut(met.withColumn("lost", lost))
+        beaten = F.coalesce(F.col("b_rank") > F.col("held_rank"), F.lit(False))
+        kept = cut(ahead.join(held, "c", "left").withColumn("lost", F.col("behind") | beaten).drop("behind", "held_rank"))
         if kept.filter("lost").isEmpty():
-            return live.join(best.select("b", F.col("p.c").alias("c")), ["b", "c"])
-        live = kept.filter("not lost").drop("held_rank", "lost")
+            return live.join(best.select("b", F.col("p.c").alias("c")), ["b", "c"]).drop("turn", "pos")
+        live = kept.filter("not lost").drop("lost")
 
 
 def priority_pairs(hyperedges: DataFrame) -> DataFrame:

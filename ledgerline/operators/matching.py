@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions import scoring as S
 from ledgerline.functions.runtime import cut
 from ledgerline.functions.text import with_text_score
-from ledgerline.operators.assign import priority_match, priority_pairs
+from ledgerline.operators.assign import match_classes, priority_pairs
 
 #: Source types of either side, thresholds, texts.
 BANK_TYPES = ("BANK_STATEMENT", "BANK")
@@ -25,19 +25,17 @@ WINDOW_DAYS = 5
 COMPOSITE_CONFIDENCE = 0.88
 NO_CANDIDATE = "No corresponding candidate transaction found in company accounts"
 
-_FIELDS = ("id", "date", "description", "amount", "type", "reference", "source_row")
-
-
 def split_sides(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Bank and company rows. Where a reconciliation has bank rows, no company rows and several sources,
-    its first source is the bank and the second the company."""
+    its first source is the bank and the second the company: by ``source_seq`` (order of creation) if there is one, then by id."""
     is_bank, is_company = F.col("source_type").isin(*BANK_TYPES), F.col("source_type").isin(*COMPANY_TYPES)
     sources = transactions.groupBy("reconciliation_id", "source_id").agg(
-        F.max(is_bank).alias("bank"), F.max(is_company).alias("company")
+        F.max(is_bank).alias("bank"), F.max(is_company).alias("company"),
+        F.min("source_seq" if "source_seq" in transactions.columns else F.lit(0)).alias("seq"),
     )
     per = W.partitionBy("reconciliation_id")
     sources = (
-        sources.withColumn("turn", F.row_number().over(per.orderBy("source_id")))
+        sources.withColumn("turn", F.row_number().over(per.orderBy("seq", "source_id")))
         .withColumn("fall_back", F.max("bank").over(per) & ~F.max("company").over(per) & (F.count(F.lit(1)).over(per) >= 2))
         .select("reconciliation_id", "source_id", "turn", "fall_back")
     )
@@ -60,16 +58,33 @@ def input_status(transactions: DataFrame) -> DataFrame:
     )
 
 
-def _side(df: DataFrame, p: str) -> DataFrame:
-    """Columns of a side with a prefix, and its place in the order as a struct."""
-    named = [F.col(c).alias(f"{p}_{c}") for c in _FIELDS]
-    return df.select("reconciliation_id", *named, F.struct("date", "source_row", "id").alias(f"{p}_ord"))
+#: What makes rows of a side alike for matching.
+_CLASS = ("reconciliation_id", "type", "amount", "date", "description", "reference")
+
+
+def _rows(side: DataFrame, p: str) -> DataFrame:
+    """Id, place in the order and class of each row; absent texts are empty."""
+    plain = [F.coalesce(c, F.lit("")).alias(c) if c in ("description", "reference") else F.col(c) for c in _CLASS]
+    return side.select(
+        F.col("id").alias(f"{p}_id"), F.struct("date", "source_row", "id").alias(f"{p}_ord"), F.struct(*plain).alias(f"{p}_cls")
+    )
+
+
+def _classes(side: DataFrame, p: str) -> DataFrame:
+    """The distinct classes of a side, with their fields: ``reconciliation_id``, ``type`` and the others by prefix."""
+    own = [F.col(f"{p}_cls.{c}").alias(f"{p}_{c}") for c in _CLASS[2:]]
+    return _rows(side, p).select(f"{p}_cls").distinct().select("*", f"{p}_cls.reconciliation_id", f"{p}_cls.type", *own)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Add scores, ``confidence``, differences and reasons to pairs with ``b_`` and ``c_`` columns."""
+    """Add scores, ``confidence``, differences and reasons to pairs of rows with ``b_`` and ``c_`` columns.
+
+    Types are ``b_type`` and ``c_type`` or, of pairs that share it, ``type``.
+    """
     days = S.days_apart(F.col("b_date"), F.col("c_date"))
-    out = with_text_score(pairs, "b_description", "c_description").select(
+    if "type" in pairs.columns:
+        pairs = pairs.withColumns({"b_type": F.col("type"), "c_type": F.col("type")}).drop("type")
+    out = with_text_score(cut(pairs), "b_description", "c_description").select(
         "*", S.amount_score(F.col("b_amount"), F.col("c_amount")).alias("amount_score"), days.alias("days"),
         S.reference_score(F.col("b_reference"), F.col("c_reference")).alias("reference_score"),
         F.abs(F.col("b_amount") - F.col("c_amount")).cast("decimal(18,2)").alias("diff"),
@@ -85,12 +100,9 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(same, F.col(c)).otherwise(0.0) for c in scores})
 
 
-def _assigned(scored: DataFrame, best_first: bool = False) -> DataFrame:
-    """One-to-one pairs; a bank row wishes for the first company row, or for the surest."""
-    wish = F.struct(-F.col("confidence"), "c_ord") if best_first else F.struct("c_ord")
-    return priority_match(
-        scored.withColumns({"b": F.col("b_id"), "c": F.col("c_id"), "b_rank": F.col("b_ord"), "wish": wish})
-    ).drop("b", "c", "b_rank", "wish")
+def _assigned(bank: DataFrame, company: DataFrame, scored: DataFrame, prefer: Column | None = None) -> DataFrame:
+    """One-to-one pairs of rows from the scored pairs of classes that may meet; by order alone, or the surest first."""
+    return match_classes(cut(_rows(bank, "b")), cut(_rows(company, "c")), cut(scored), prefer)
 
 
 def _result(pairs: DataFrame, stage: str, status: Column, kind: Column, confidence: Column, reasons: Column) -> DataFrame:
@@ -109,39 +121,40 @@ def _first_two() -> Column:
 
 def match_exact(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Same type, amount and date, and equal references or descriptions of .85 and more: MATCHED, at least .95."""
-    b, c = _side(bank, "b"), _side(company, "c").withColumnRenamed("reconciliation_id", "c_rec")
-    on = (F.col("reconciliation_id") == F.col("c_rec")) & (F.col("b_type") == F.col("c_type"))
-    pairs = b.join(c, on & (F.col("b_amount") == F.col("c_amount")) & (F.col("b_date") == F.col("c_date"))).drop("c_rec")
-    scored = score_pairs(pairs)
-    same_ref = F.coalesce((F.col("b_reference") != "") & (F.upper("b_reference") == F.upper("c_reference")), F.lit(False))
-    won = _assigned(scored.filter(same_ref | (F.col("desc_score") >= 0.85)))
+    b, c = _classes(bank, "b"), _classes(company, "c")
+    key = {"amount": "b_amount", "date": "b_date"}
+    pairs = b.withColumns({k: F.col(v) for k, v in key.items()}).join(
+        c.withColumns({k: F.col(v.replace("b_", "c_")) for k, v in key.items()}), ["reconciliation_id", "type", *key]
+    ).drop(*key)
+    same_ref = (F.col("b_reference") != "") & (F.upper("b_reference") == F.upper("c_reference"))
+    won = _assigned(bank, company, score_pairs(pairs).filter(same_ref | (F.col("desc_score") >= 0.85)))
     kind = F.when(same_ref & (F.col("desc_score") < 0.85), "REFERENCE").otherwise("EXACT")
     why = F.concat(F.array(F.lit("Amount matched"), F.lit("Date matched"), F.lit("Direction matched")), _first_two())
     return _result(won, "EXACT", F.lit("MATCHED"), kind, F.greatest("confidence", F.lit(0.95)), why)
 
 
 def match_reference(bank: DataFrame, company: DataFrame) -> DataFrame:
-    """Same type and reference, and equal amounts or a score of .80: MATCHED from .90, else PROBABLE_MATCH."""
-    has = F.coalesce(F.col("reference"), F.lit("")) != ""
-    b = _side(bank.filter(has), "b").withColumn("key", F.upper(F.trim("b_reference")))
-    c = _side(company.filter(has), "c").withColumn("key", F.upper(F.trim("c_reference")))
-    pairs = b.withColumnRenamed("b_type", "type").join(c.withColumnRenamed("c_type", "type"), ["reconciliation_id", "type", "key"])
-    pairs = pairs.withColumns({"b_type": F.col("type"), "c_type": F.col("type")}).drop("type", "key")
-    won = _assigned(score_pairs(pairs).filter((F.col("diff") == 0) | (F.col("confidence") >= REFERENCE)))
+    """Same type and reference, and equal amounts or a score of .80: MATCHED from .90, else PROBABLE_MATCH.
+
+    A MATCHED pair can differ in amount or date.
+    """
+    keyed = lambda side, p: _classes(side, p).filter(f"{p}_reference <> ''").withColumn("key", F.upper(F.trim(f"{p}_reference")))
+    pairs = keyed(bank, "b").join(keyed(company, "c"), ["reconciliation_id", "type", "key"]).drop("key")
+    won = _assigned(bank, company, score_pairs(pairs).filter((F.col("diff") == 0) | (F.col("confidence") >= REFERENCE)))
     why = F.concat(F.array(F.lit("Reference / UTR matched exactly")), _first_two())
     status = F.when(F.col("confidence") >= SURE, "MATCHED").otherwise("PROBABLE_MATCH")
     return _result(won, "REFERENCE", status, F.lit("REFERENCE"), F.col("confidence"), why)
 
 
 def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
-    """All pairs of one type that can reach the fuzzy threshold, found by keys.
+    """All pairs of classes of one type that can reach the fuzzy threshold, found by keys.
 
     Such a pair is (A) within 5 days and 5 per cent; or (B1) without references
     and of equal amount; or (B2) has related references and amounts within half
     a per cent. Each case is an equi-join on buckets of which the neighbours
     are listed as well.
     """
-    b, c = _side(bank, "b").withColumnRenamed("b_type", "type"), _side(company, "c").withColumnRenamed("c_type", "type")
+    b, c = _classes(bank, "b"), _classes(company, "c")
     base = ["reconciliation_id", "type"]
     near = lambda col: F.explode(F.sequence(col - 1, col + 1))
     logs = lambda col, width: F.floor(F.log(F.col(col).cast("double")) / width)
@@ -151,14 +164,14 @@ def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
     a_c = pos_c.withColumn("ka", logs("c_amount", 0.0514)).withColumn("kd", day("c_date"))
     near_days = F.abs(F.date_diff("b_date", "c_date")) <= WINDOW_DAYS
     a = a_b.join(a_c, [*base, "ka", "kd"]).filter(near_days).drop("ka", "kd")
-    none = lambda col: F.coalesce(F.col(col), F.lit("")) == ""
+    none = lambda col: F.col(col) == ""
     b1_b, b1_c = b.filter(none("b_reference")).withColumn("k", F.col("b_amount")), c.filter(none("c_reference")).withColumn("k", F.col("c_amount"))
     b1 = b1_b.join(b1_c, [*base, "k"]).filter(~near_days).drop("k")
     b2_b = pos_b.filter(~none("b_reference")).withColumn("k", near(logs("b_amount", 0.00502)))
     b2_c = pos_c.filter(~none("c_reference")).withColumn("k", logs("c_amount", 0.00502))
     related = S.reference_score(F.col("b_reference"), F.col("c_reference")) > 0
     b2 = b2_b.join(b2_c, [*base, "k"]).filter(~near_days & related).drop("k")
-    pairs = a.unionByName(b1).unionByName(b2).withColumns({"b_type": F.col("type"), "c_type": F.col("type")}).drop("type")
+    pairs = a.unionByName(b1).unionByName(b2)
     # what the pair could reach with equal descriptions settles most pairs without comparing texts
     days = S.days_apart(F.col("b_date"), F.col("c_date"))
     could = S.match_score(
@@ -170,7 +183,8 @@ def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
 
 def match_fuzzy(bank: DataFrame, company: DataFrame) -> DataFrame:
     """The free company row of the highest score from .75: MATCHED from .90 with equal amount and date."""
-    won = _assigned(score_pairs(fuzzy_candidates(bank, company)).filter(F.col("confidence") >= FUZZY), best_first=True)
+    scored = score_pairs(fuzzy_candidates(bank, company)).filter(F.col("confidence") >= FUZZY)
+    won = _assigned(bank, company, scored, F.col("confidence"))
     sure = (F.col("confidence") >= SURE) & (F.col("days") == 0) & (F.col("diff") == 0)
     status = F.when(sure, "MATCHED").otherwise("PROBABLE_MATCH")
     kind = F.when(F.col("days") > 0, "DATE_TOLERANCE").otherwise("FUZZY")
@@ -179,34 +193,43 @@ def match_fuzzy(bank: DataFrame, company: DataFrame) -> DataFrame:
 
 def match_date_tolerance(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Same type and amount, 1 to 5 days apart, a score of .70: PROBABLE_MATCH."""
-    b, c = _side(bank, "b"), _side(company, "c").withColumnRenamed("reconciliation_id", "c_rec")
-    on = (F.col("reconciliation_id") == F.col("c_rec")) & (F.col("b_type") == F.col("c_type")) & (F.col("b_amount") == F.col("c_amount"))
-    pairs = b.join(c, on & S.days_apart(F.col("b_date"), F.col("c_date")).between(1, WINDOW_DAYS)).drop("c_rec")
-    won = _assigned(score_pairs(pairs).filter(F.col("confidence") >= TOLERANT))
+    b, c = _classes(bank, "b").withColumn("amount", F.col("b_amount")), _classes(company, "c").withColumn("amount", F.col("c_amount"))
+    pairs = b.join(c, ["reconciliation_id", "type", "amount"]).drop("amount")
+    pairs = pairs.filter(S.days_apart(F.col("b_date"), F.col("c_date")).between(1, WINDOW_DAYS))
+    won = _assigned(bank, company, score_pairs(pairs).filter(F.col("confidence") >= TOLERANT))
     lead = F.concat(F.lit("Amount matches; date differs by "), F.col("days").cast("string"), F.lit(" days (timing window)"))
     return _result(won, "DATE_TOLERANCE", F.lit("PROBABLE_MATCH"), F.lit("DATE_TOLERANCE"), F.col("confidence"), F.concat(F.array(lead), _first_two()))
 
 
+def _side(df: DataFrame, p: str) -> DataFrame:
+    """Id, date, amount and place in the order of the rows of a side, with a prefix."""
+    named = [F.col(c).alias(f"{p}_{c}") for c in ("id", "date", "amount")]
+    return df.select("reconciliation_id", "type", *named, F.struct("date", "source_row", "id").alias(f"{p}_ord"))
+
+
 def match_composite(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Two company rows of one type within 5 days whose amounts add up to the bank amount: PROBABLE_MATCH.
 
-    The first row is found by a range join on days, the second by an equi-join on the amount that is missing.
+    The smaller of the two is found by a range join on days, the other by an equi-join on the amount that is missing.
     """
-    b = _side(bank, "b").withColumnRenamed("b_type", "type")
-    c = _side(company, "c").withColumnRenamed("c_type", "type")
-    one = c.select("reconciliation_id", "type", *[F.col(f"c_{x}").alias(f"one_{x}") for x in ("id", "date", "amount", "ord")])
-    two = c.select("reconciliation_id", "type", *[F.col(f"c_{x}").alias(f"two_{x}") for x in ("id", "date", "amount", "ord")])
+    b, c = _side(bank, "b"), _side(company, "c")
+    part = lambda p: c.select("reconciliation_id", "type", *[F.col(f"c_{x}").alias(f"{p}_{x}") for x in ("id", "date", "amount", "ord")])
     within = lambda x: F.abs(F.date_diff("b_date", x)) <= WINDOW_DAYS
     day = lambda x: F.floor(F.unix_date(F.col(x)) / 6)
-    first = (
+    small = (
         b.withColumn("kd", F.explode(F.sequence(day("b_date") - 1, day("b_date") + 1)))
-        .join(one.withColumn("kd", day("one_date")), ["reconciliation_id", "type", "kd"])
-        .filter(within("one_date") & (F.col("one_amount") < F.col("b_amount")))
-        .withColumn("missing", (F.col("b_amount") - F.col("one_amount")).cast("decimal(18,2)"))
+        .join(part("small").withColumn("kd", day("small_date")), ["reconciliation_id", "type", "kd"])
+        .filter(within("small_date") & (F.col("small_amount") * 2 <= F.col("b_amount")))
+        .withColumn("missing", (F.col("b_amount") - F.col("small_amount")).cast("decimal(18,2)"))
     )
-    both = first.join(
-        two.withColumn("missing", F.col("two_amount").cast("decimal(18,2)")), ["reconciliation_id", "type", "missing"]
-    ).filter(within("two_date") & (F.col("one_ord") < F.col("two_ord")))
+    large = part("large").withColumn("missing", F.col("large_amount").cast("decimal(18,2)"))
+    both = small.join(large, ["reconciliation_id", "type", "missing"]).filter(within("large_date"))
+    first = F.col("small_ord") < F.col("large_ord")
+    both = both.filter(first | ((F.col("small_amount") < F.col("large_amount")) & (F.col("small_id") != F.col("large_id"))))
+    turned = lambda x, y: [F.when(first, F.col(f"{x}_{v}")).otherwise(F.col(f"{y}_{v}")) for v in ("id", "date", "amount", "ord")]
+    named = [v.alias(f"{p}_{n}") for p, vs in (("one", turned("small", "large")), ("two", turned("large", "small")))
+             for n, v in zip(("id", "date", "amount", "ord"), vs, strict=True)]
+    both = both.select("reconciliation_id", "b_id", "b_ord", "b_date", "b_amount", *named)
     edges = both.select(
         "reconciliation_id", F.col("b_id").alias("b"), F.col("b_ord").alias("b_rank"), F.col("one_id").alias("c1"),
         F.col("two_id").alias("c2"), F.struct("one_ord", "two_ord").alias("wish"), "b_amount", "one_amount", "two_amount",

@@ -89,7 +89,7 @@ def test_priority_match_is_serial_choice(spark):
         fit = sorted((w, c) for x, r, c, w in edges if r == b and c not in free)
         if fit:
             free.add(fit[0][1]), expected.add((f"b{b}", fit[0][1]))
-    df = spark.createDataFrame(edges, "b string, b_rank int, c string, wish double")
+    df = spark.createDataFrame(edges, "b string, b_rank int, c string, wish double").withColumn("cls", F.col("b"))
     assert {(r.b, r.c) for r in assign.priority_match(df).collect()} == expected
 
 
