@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as N
 from ledgerline.functions import scoring as S
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import cut, ensure_checkpoint_dir
 from ledgerline.jobs import fixtures as X
 from ledgerline.jobs import oracles as O
 from ledgerline.operators import anomalies as A
@@ -606,45 +608,186 @@ def s_classify_pdf(spark, sf_dir):
     return T.classify_pdf_text(pages.select("file_id").distinct(), pages)
 
 
-@query()
+@query(f"""{_CANON}{_ERRORS.split(_NORMAL)[1]},
+t AS (SELECT parse_job_id, count(*) AS n, min(row_no) AS lo, max(row_no) AS hi, sum(amount)::DOUBLE AS amount FROM canon GROUP BY 1),
+e AS (SELECT parse_job_id, count(*) AS errors, count(*) FILTER (severity = 'WARNING') AS warnings FROM errs GROUP BY 1),
+m AS (SELECT parse_job_id, count(*) AS total_rows FROM money GROUP BY 1)
+SELECT parse_job_id, 0 AS part, CASE WHEN greatest(n, errors) > 50000 THEN 2 ELSE 1 END AS parts, 'STMT_' || parse_job_id AS statement_id, 'orders.csv' AS filename, total_rows, n AS valid_rows,
+       warnings AS warning_count, errors - warnings AS error_count, CASE WHEN errors > warnings THEN 'PARTIAL_ERRORS' ELSE 'PASSED' END AS validation_status,
+       n AS n_transactions, lo AS first_row, hi AS last_row, amount, errors AS n_errors
+FROM t JOIN e USING (parse_job_id) JOIN m USING (parse_job_id)""")
 def s_statement_package(spark, sf_dir):
-    """S13."""
-    rows = _normalized(spark, sf_dir)
+    """S13: what stands in the packages."""
+    rows = cut(_normalized(spark, sf_dir))
     good = V.canonical_transactions(rows)
-    return T.export_statement_package(good, V.validate_rows(rows), V.control_totals(good))
+    jobs = V.job_counters(rows).withColumns({
+        "reconciliation_id": F.lit("REC"), "source_id": F.lit("SRC"), "source_type": F.lit("BANK_STATEMENT"), "filename": F.lit("orders.csv"), "file_type": F.lit("CSV"),
+        "sha256": F.sha2("parse_job_id", 256)})
+    packages = T.export_statement_package(good, V.validate_rows(rows), V.control_totals(good), jobs)
+    t = F.col("transactions")
+    return packages.select(
+        "parse_job_id", "part", "parts", "statement_id", "filename", "total_rows", "valid_rows", "warning_count", "error_count", "metadata.validation_status",
+        F.size(t).alias("n_transactions"), t[0]["source_row"].alias("first_row"), F.element_at(t, -1)["source_row"].alias("last_row"),
+        F.aggregate(t, F.lit(0).cast("decimal(38,2)"), lambda a, r: (a + r.amount).cast("decimal(38,2)")).cast("double").alias("amount"), F.size("errors").alias("n_errors"),
+    )
 
 
-def _mapped(spark, sf_dir):
-    rows = T.extract_delimited_rows(X.raw_files(spark, sf_dir))
+@query(f"{_CANON} SELECT parse_job_id, count(*) AS n, sum(CASE WHEN parse_job_id = 'JOB_1' THEN 2 ELSE 1 END * amount)::DOUBLE AS amount FROM canon GROUP BY 1")
+def s_write_output(spark, sf_dir):
+    """S12: all jobs are written, one is written again with doubled amounts, and the folder is read back."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/output-{uuid.uuid4().hex}"
+    rows = cut(V.canonical_transactions(_normalized(spark, sf_dir)).select("parse_job_id", "id", "amount"))
+    T.write_job_output(rows, path)
+    T.write_job_output(rows.filter("parse_job_id = 'JOB_1'").withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")), path)
+    return spark.read.parquet(path).groupBy("parse_job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+@query("""
+SELECT 'FILE_' || o_custkey::VARCHAR AS file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS row_no,
+       CASE WHEN o_custkey % 4 < 2 THEN 'UTR' || o_orderkey WHEN o_custkey % 4 = 2 THEN 'Order ' || o_orderkey ELSE o_totalprice::DECIMAL(18,2)::VARCHAR END AS value
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def s_extract_rows(spark, sf_dir):
+    """S11: files of four formats by customer."""
+    files = X.raw_files(spark, sf_dir)
+    turn = F.regexp_extract("file_id", r"(\d+)$", 1).cast("long") % 4
+    kinds = F.array(*map(F.lit, ("CSV", "PDF_OCR", "PDF_TEXT", "XLSX")))
+    files = files.withColumn("format", F.element_at(kinds, (turn + 1).cast("int")))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    file_id = F.concat(F.lit("FILE_"), F.col("o_custkey").cast("string")).alias("file_id")
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    scanned = F.concat_ws(" ", F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit("PAID SHOP"), price, F.concat(F.lit("UTR"), "o_orderkey"))
+    scanned = o.select(file_id, F.col("o_orderkey").cast("int").alias("line_no"), scanned.alias("line"))
+    typed = _page_lines(spark, sf_dir).withColumn("file_id", F.replace("file_id", F.lit("PAGE"), F.lit("FILE")))
+    lines = scanned.join(files.filter("format = 'PDF_OCR'"), "file_id", "left_semi").unionByName(typed.join(files.filter("format = 'PDF_TEXT'"), "file_id", "left_semi"))
+    grid = o.select(file_id, (F.col("o_orderkey") + 1).cast("int").alias("line_no"), F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), price).alias("cells"))
+    grid = grid.unionByName(grid.select("file_id").distinct().select("file_id", F.lit(0).alias("line_no"), F.array(F.lit("Date"), F.lit("Amount")).alias("cells")))
+    of = lambda *names: F.coalesce(*[F.try_element_at("cells", F.lit(n)) for n in names])
+    rows = T.extract_rows(files, lines, grid)
+    return rows.select("file_id", "row_no", of("Ref No", "Chq/Ref No", "UTR", "Reference", "Description", "Amount").alias("value"))
+
+
+@query(f"""{X.BOTH},
+s AS (SELECT *, right(reconciliation_id, 1) IN ('0', '2', '4', '6', '8') AS even FROM (SELECT * FROM bank UNION ALL SELECT * FROM ledger))
+SELECT CASE WHEN (source_id = 'SRC_BANK') = even THEN 'bank' ELSE 'company' END AS side, reconciliation_id, count(*) AS n, sum(amount)::DOUBLE AS amount FROM s GROUP BY ALL""")
+def r_split_fallback(spark, sf_dir):
+    """R1 without ledgers by type: the source that was made first is the bank, here the ledger's in odd reconciliations."""
+    bank, ledger = X.sides(spark, sf_dir)
+    even = F.right("reconciliation_id", F.lit(1)).isin("0", "2", "4", "6", "8")
+    rows = bank.unionByName(ledger).withColumn("source_type", F.when((F.col("source_id") == "SRC_BANK"), "BANK").otherwise("INVOICES"))
+    rows = rows.withColumn("source_seq", F.when((F.col("source_id") == "SRC_BANK") == even, 1).otherwise(2))
+    b, c = R.split_sides(rows)
+    both = b.withColumn("side", F.lit("bank")).unionByName(c.withColumn("side", F.lit("company")))
+    return both.groupBy("side", "reconciliation_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+def _candidates(rows):
     heads = rows.filter("row_no = 1").select("file_id", F.posexplode(F.map_keys("cells")).alias("position", "header"))
-    return rows, M.infer_column_mappings(M.header_candidates(heads, M.header_samples(rows)))
+    return M.header_candidates(heads, M.header_samples(rows))
+
+
+def _mapped(spark, sf_dir):
+    rows = cut(T.extract_delimited_rows(X.raw_files(spark, sf_dir)))
+    return rows, M.infer_column_mappings(_candidates(rows))
+
+
+def _unnamed(spark, sf_dir):
+    """Rows of files whose headers say little: dates, notes, amounts and codes by content or keyword only."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    turn = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    cells = F.map_from_arrays(F.array(*map(F.lit, ("Posted", "My remark", "Worth", "Code"))), F.array(
+        F.date_format("o_orderdate", "dd/MM/yyyy"), F.concat(F.lit("of status "), "o_orderstatus"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.col("o_orderpriority")))
+    return o.select(F.concat(F.lit("FILE_"), F.col("o_custkey").cast("string")).alias("file_id"), turn.cast("int").alias("row_no"), cells.alias("cells"))
+
+
+@query("""
+WITH files AS (SELECT DISTINCT o_custkey AS k FROM orders),
+maps(source_column, target_field, confidence, method) AS (VALUES ('Posted', 'date', 0.9::DOUBLE, 'heuristic'), ('My remark', 'description', 0.92::DOUBLE, 'ai'), ('Worth', 'amount', 0.75::DOUBLE, 'heuristic'),
+  ('Code', NULL, 0.0::DOUBLE, 'manual'))
+SELECT 'FILE_' || k::VARCHAR AS file_id, source_column, target_field, confidence, method, 0.86::DOUBLE AS file_confidence, 'READY_FOR_EXECUTION' AS status FROM files, maps""")
+def m_content_mappings(spark, sf_dir):
+    """M5, M6, M8, M11."""
+    maps = cut(M.infer_column_mappings(_candidates(cut(_unnamed(spark, sf_dir)))))
+    whole = M.mapping_confidence(maps).withColumnRenamed("confidence", "file_confidence")
+    return maps.join(whole, "file_id").select("file_id", "source_column", "target_field", "confidence", "method", "file_confidence", "status")
 
 
 @query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+v AS (SELECT o_custkey, 'Posted' AS header, strftime(o_orderdate, '%d/%m/%Y') AS value, n FROM r WHERE n <= 10 UNION ALL SELECT o_custkey, 'My remark', 'of status ' || o_orderstatus, n FROM r WHERE n <= 10
+  UNION ALL SELECT o_custkey, 'Worth', o_totalprice::DECIMAL(18,2)::VARCHAR, n FROM r WHERE n <= 10 UNION ALL SELECT o_custkey, 'Code', trim(o_orderpriority), n FROM r WHERE n <= 10),
+d AS (SELECT o_custkey, header, value, min(n) AS n FROM v WHERE value <> '' GROUP BY ALL)
+SELECT 'FILE_' || o_custkey::VARCHAR AS file_id, header, string_agg(value, ' | ' ORDER BY n) AS samples FROM d GROUP BY ALL""")
+def m_header_samples(spark, sf_dir):
+    """M2."""
+    return M.header_samples(_unnamed(spark, sf_dir)).select("file_id", "header", F.array_join("samples", " | ").alias("samples"))
+
+
+_LAYOUTS = """
 WITH files AS (SELECT DISTINCT o_custkey AS k FROM orders JOIN customer ON o_custkey = c_custkey),
 maps(kind, source_column, target_field) AS (VALUES
   (0, 'Txn Date', 'date'), (0, 'Particulars', 'description'), (0, 'Ref No', 'reference'), (0, 'Debit', 'debit'), (0, 'Credit', 'credit'), (0, 'Balance', 'balance'),
   (1, 'Date', 'date'), (1, 'Narration', 'description'), (1, 'Chq/Ref No', 'reference'), (1, 'Withdrawal Amt.', 'debit'), (1, 'Deposit Amt.', 'credit'),
   (1, 'Closing Balance', 'balance'),
-  (2, 'Transact Date', 'date'), (2, 'Narrative Details', 'description'), (2, 'UTR', 'reference'), (2, 'Money Out Dr', 'debit'), (2, 'Money In Cr', 'credit'), (2, 'Net Bal', 'balance'))
+  (2, 'Transact Date', 'date'), (2, 'Narrative Details', 'description'), (2, 'UTR', 'reference'), (2, 'Money Out Dr', 'debit'), (2, 'Money In Cr', 'credit'), (2, 'Net Bal', 'balance'))"""
+
+
+@query(f"""{_LAYOUTS}
 SELECT 'FILE_' || k::VARCHAR AS file_id, source_column, target_field FROM files JOIN maps ON k % 3 = kind""")
 def m_infer_mappings(spark, sf_dir):
     """M1 to M7."""
     return _mapped(spark, sf_dir)[1].select("file_id", "source_column", "target_field")
 
 
-@query()
+@query("SELECT DISTINCT 'FILE_' || o_custkey::VARCHAR AS file_id, 1.0::DOUBLE AS confidence, 'READY_FOR_EXECUTION' AS status FROM orders JOIN customer ON o_custkey = c_custkey")
 def m_mapping_confidence(spark, sf_dir):
     """M8, M11."""
     return M.mapping_confidence(_mapped(spark, sf_dir)[1])
 
 
-@query()
+@query(f"{_LAYOUTS} SELECT 'FILE_' || k::VARCHAR AS file_id, source_column, target_field, 1.0::DOUBLE AS confidence, 'learned' AS method FROM files JOIN maps ON k % 3 = kind")
 def m_learned_rules(spark, sf_dir):
     """M9, M10: the rules of the first customers' layouts laid over all files."""
     maps = cut(_mapped(spark, sf_dir)[1].withColumn("source_type", F.lit("BANK_STATEMENT")))
     rules = M.learn_rules(maps, 1).dropDuplicates(["source_type", "source_column"])
-    return M.overlay_learned_rules(maps, rules)
+    return M.overlay_learned_rules(maps, rules).select("file_id", "source_column", "target_field", "confidence", "method")
+
+
+@query("""
+SELECT 'FILE_' || o_custkey::VARCHAR AS file_id, 'UTR' || o_orderkey::VARCHAR AS reference,
+       CASE WHEN (o_orderstatus = 'F') = (o_custkey % 2 = 1) THEN 'CREDIT' ELSE 'DEBIT' END AS type, o_custkey % 2 = 1 AS described
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def w_user_mapping(spark, sf_dir):
+    """M12: in files of even customers the user has debit and credit changed over and maps no description but the reference."""
+    rows, maps = _mapped(spark, sf_dir)
+    maps = cut(maps)
+    even = F.regexp_extract("file_id", r"(\d+)$", 1).cast("long") % 2 == 0
+    turned = F.when(F.col("target_field") == "debit", "credit").when(F.col("target_field") == "credit", "debit").otherwise(F.col("target_field"))
+    user = maps.filter(even & F.col("target_field").isin("date", "debit", "credit", "reference")).withColumn("target_field", turned)
+    out = V.normalize_rows(M.apply_mapping(rows, maps, user).withColumns({"parse_job_id": F.col("file_id"), "filename": F.lit("statement.csv")}))
+    return out.select("file_id", "reference", "money.type", (F.col("description") != "").alias("described"))
+
+
+@query("""
+SELECT 'REC_' || (o_custkey % 16) AS reconciliation_id, 'UTR' || o_orderkey AS bank_reference, CASE WHEN o_orderkey % 10 <> 7 THEN 'UTR' || o_orderkey END AS company_reference,
+       CASE WHEN o_orderkey % 10 = 7 THEN 'UNMATCHED' ELSE 'MATCHED' END AS status, CASE WHEN o_orderkey % 10 = 7 THEN 'NONE' ELSE 'EXACT' END AS match_type
+FROM orders JOIN customer ON o_custkey = c_custkey""")
+def w_files_to_matches(spark, sf_dir):
+    """W1 into W2: bank and ledger files of every customer to canonical transactions, and these to matches; ledgers lack every tenth order."""
+    bank = X.raw_files(spark, sf_dir).withColumns({"kind": F.lit("BANK_STATEMENT"), "source_id": F.lit("SRC_BANK")})
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"UTR\d*7([,;|\t]|$)")), "\n")
+    ledger = bank.withColumns({"text": kept, "kind": F.lit("ACCOUNTING_LEDGER"), "source_id": F.lit("SRC_LEDGER"), "file_id": F.concat(F.lit("L"), "file_id")})
+    files = cut(bank.unionByName(ledger))
+    rows = cut(T.extract_delimited_rows(files))
+    maps = M.infer_column_mappings(_candidates(rows))
+    rec = F.concat(F.lit("REC_"), (F.regexp_extract("file_id", r"(\d+)$", 1).cast("long") % 16).cast("string"))
+    origin = files.select("file_id", F.col("kind").alias("source_type"), "source_id", rec.alias("reconciliation_id"))
+    mapped = M.apply_mapping(rows, maps).join(origin, "file_id").withColumns({"parse_job_id": F.col("file_id"), "filename": F.lit("statement.csv")})
+    transactions = cut(V.canonical_transactions(V.normalize_rows(mapped)))
+    matches = R.match_pipeline(*R.split_sides(transactions))[0]
+    named = lambda p: transactions.select(F.col("id").alias(f"{p}_transaction_id"), F.col("reference").alias(f"{p}_reference"))
+    out = matches.join(named("bank"), "bank_transaction_id").join(named("company"), "company_transaction_id", "left")
+    return out.select("reconciliation_id", "bank_reference", "company_reference", "status", "match_type")
 
 
 @query("""

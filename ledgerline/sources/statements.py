@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,11 @@ HEADER_KEYWORDS = ("date", "txn date", "transaction date", "value date", "partic
                    "debit", "credit", "withdrawal", "deposit", "amount", "balance", "ref", "utr", "chq")
 DEFAULT_HEADERS = ("Date", "Description", "Debit", "Credit", "Balance")
 SNIFF_LINES, CSV_HEADER_LINES, TEXT_HEADER_LINES, MIN_PDF_TEXT, MAX_EXPORT = 15, 25, 30, 50, 50_000
+#: Account and currency where a statement names none.
+CURRENCY, ACCOUNT = "INR", "DEFAULT_ACC"
 ROWS = "file_id string, row_no int, cells map<string,string>"
+#: The only cell of a row, numbered 0, that stands for a file that could not be read: the reason.
+UNREAD = "\x00unread"
 
 
 def describe_files(files: DataFrame) -> DataFrame:
@@ -122,15 +127,22 @@ def _parse_delimited(text: str) -> list[dict[str, str]]:
 
 
 def extract_delimited_rows(files: DataFrame) -> DataFrame:
-    """Raw rows of delimited files (``file_id``, ``text``): one file in a row, quoted cells, own dialect for each file."""
+    """Raw rows of delimited files (``file_id``, ``text``): one file in a row, quoted cells of any length, own dialect for each file.
+
+    A file that cannot be parsed gives one row with the cell UNREAD, from which validation makes a FATAL error.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
         for files_ in batches:
             for file_id, text in zip(files_["file_id"], files_["text"], strict=True):
-                rows = _parse_delimited(text or "")
-                if not rows:
-                    continue
-                yield pd.DataFrame({"file_id": file_id, "row_no": range(1, len(rows) + 1), "cells": rows})
+                first = 1
+                try:
+                    rows = _parse_delimited(text or "")
+                except csv.Error as e:
+                    rows, first = [{UNREAD: f"The file could not be read: {e}"}], 0
+                if rows:
+                    yield pd.DataFrame({"file_id": file_id, "row_no": range(first, first + len(rows)), "cells": rows})
 
     return files.select("file_id", "text").mapInPandas(run, ROWS)
 
@@ -187,9 +199,19 @@ def extract_grid_rows(grid: DataFrame) -> DataFrame:
     return _numbered(rows.filter(F.exists(F.map_values("cells"), lambda v: v != "")))
 
 
-def extract_rows(delimited: DataFrame, text: DataFrame, ocr: DataFrame, grid: DataFrame) -> DataFrame:
-    """One table of raw rows of all layouts; files of unknown format are read as delimited."""
-    parts = (extract_delimited_rows(delimited), extract_text_rows(text), extract_ocr_rows(ocr), extract_grid_rows(grid))
+def extract_rows(files: DataFrame, lines: DataFrame, grid: DataFrame) -> DataFrame:
+    """One table of raw rows of all files, each read by its format.
+
+    ``files`` has ``file_id``, ``format`` and ``text``; ``lines`` (``file_id``, ``line_no``, ``line``) are the lines of page
+    texts, and ``grid`` (``file_id``, ``line_no``, ``cells``) the rows of sheets. Files of other formats are read as delimited.
+    """
+    kind = F.coalesce(F.upper("format"), F.lit(""))
+    of = lambda *names: files.filter(kind.isin(*names)).select("file_id")
+    routed = ("XLSX", "PDF_TEXT", "PDF", "PDF_OCR", "SCANNED_PDF")
+    parts = (
+        extract_delimited_rows(files.filter(~kind.isin(*routed))), extract_text_rows(lines.join(of("PDF_TEXT", "PDF"), "file_id", "left_semi")),
+        extract_ocr_rows(lines.join(of("PDF_OCR", "SCANNED_PDF"), "file_id", "left_semi")), extract_grid_rows(grid.join(of("XLSX"), "file_id", "left_semi")),
+    )
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
@@ -216,20 +238,33 @@ def _nested(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFra
     return nested, sizes.groupBy("parse_job_id").agg(F.sum("n").alias(f"n_{name}"))
 
 
-def export_statement_package(transactions: DataFrame, errors: DataFrame, totals: DataFrame) -> DataFrame:
-    """One nested row for each job and part: totals, transactions by row, errors by row (at most MAX_EXPORT of either), metadata.
+def export_statement_package(transactions: DataFrame, errors: DataFrame, totals: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One nested row for each job and part: file and counts, totals, transactions by row, errors by row (at most MAX_EXPORT of either), metadata.
 
-    Parts are numbered from 0; totals and status are those of the whole job and stand in each part. A job without
-    transactions has no totals and is kept for its errors.
+    ``jobs`` has the counters of ``validate.job_counters`` with ``reconciliation_id``, ``source_id``, ``source_type``,
+    ``filename``, ``file_type`` and ``sha256``. Parts are numbered from 0; counts, totals and status are those of the
+    whole job and stand in each part. A job passes if no error but warnings stands against it; one without
+    transactions has no totals.
     """
     rows, n_rows = _nested(transactions, "transactions", "source_row")
-    errors = errors.select("parse_job_id", "row_number", "field", "severity", "raw_value", "message")
+    errors = errors.select("parse_job_id", "row_number", "page_number", "field", "severity", "raw_value", "message")
     bad, n_bad = _nested(errors, "errors", "row_number", "field", "severity", "raw_value", "message")
     kept = F.struct(*[c for c in totals.columns if c != "parse_job_id"]).alias("control_totals")
-    jobs = totals.select("parse_job_id", kept).join(n_rows, "parse_job_id", "full").join(n_bad, "parse_job_id", "full")
+    met = jobs.join(totals.select("parse_job_id", kept), "parse_job_id", "left").join(n_rows, "parse_job_id", "left").join(n_bad, "parse_job_id", "left")
     parts = F.ceil(F.greatest("n_transactions", "n_errors", F.lit(1)) / MAX_EXPORT).cast("int").alias("parts")
-    status = F.when(F.col("n_errors").isNull(), "PASSED").otherwise("PARTIAL_ERRORS").alias("validation_status")
-    jobs = jobs.select("parse_job_id", parts, "control_totals", status)
-    jobs = jobs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    out = jobs.join(rows, ["parse_job_id", "part"], "left").join(bad, ["parse_job_id", "part"], "left")
-    return out.select("parse_job_id", "part", "parts", "control_totals", "transactions", "errors", "validation_status")
+    status = F.when(F.col("error_count") == 0, "PASSED").otherwise("PARTIAL_ERRORS")
+    own = F.coalesce("control_totals.status", F.lit("NOT_APPLICABLE"))
+    metadata = F.struct(
+        F.col("filename").alias("source_file"), F.lower(F.coalesce("file_type", F.lit("csv"))).alias("parser"), F.col("total_rows").alias("total_transactions"),
+        F.col("valid_rows").alias("valid_transactions"), own.alias("control_status"), status.alias("validation_status"),
+    ).alias("metadata")
+    named = ("reconciliation_id", "source_id", "source_type", "filename", "sha256", "total_rows", "valid_rows", "warning_count", "error_count", "control_totals")
+    met = met.select("parse_job_id", parts, F.concat(F.lit("STMT_"), "parse_job_id").alias("statement_id"), *named, F.coalesce("file_type", F.lit("UNKNOWN")).alias("file_type"),
+                     F.lit(ACCOUNT).alias("account"), F.lit(CURRENCY).alias("currency"), metadata)
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.join(rows, ["parse_job_id", "part"], "left").join(bad, ["parse_job_id", "part"], "left")
+
+
+def write_statement_packages(packages: DataFrame, path: str) -> None:
+    """Write packages as JSON lines under their jobs; a job that is exported again replaces exactly its own."""
+    packages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parse_job_id").json(path)

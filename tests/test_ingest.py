@@ -24,6 +24,11 @@ def ingest(spark, text):
     return maps, V.normalize_rows(mapped)
 
 
+def jobs_of(rows):
+    own = {c: F.lit(c) for c in ("reconciliation_id", "source_id", "source_type", "filename", "file_type", "sha256")}
+    return V.job_counters(rows).withColumns(own)
+
+
 def test_file_to_transactions(spark):
     maps, rows = ingest(spark, TEXT)
     assert {m.source_column: m.target_field for m in maps.collect()} == {
@@ -38,8 +43,9 @@ def test_file_to_transactions(spark):
     assert str(totals.difference) == "5.00" and totals.status == "CONTROL_TOTAL_MISMATCH"  # the last row has no balance
     errors = {(e.row_number, e.field, e.severity) for e in V.validate_rows(rows).collect()}
     assert errors == {(2, "reference", "WARNING"), (3, "date", "ERROR")}
-    package = T.export_statement_package(good, V.validate_rows(rows), V.control_totals(good)).first()
-    assert package.validation_status == "PARTIAL_ERRORS" and [t.source_row for t in package.transactions] == [1, 2, 4]
+    package = T.export_statement_package(good, V.validate_rows(rows), V.control_totals(good), jobs_of(rows)).first()
+    assert package.metadata.validation_status == "PARTIAL_ERRORS" and [t.source_row for t in package.transactions] == [1, 2, 4]
+    assert (package.statement_id, package.error_count, package.warning_count, len(package.errors)) == ("STMT_J", 1, 1, 2)
 
 
 def test_fuzzy_headers_and_empty_files(spark):
@@ -67,15 +73,80 @@ def test_formats_and_lines(spark):
     assert (row.cells["Description"], row.cells["Debit"], row.cells["Credit"], row.cells["Reference"]) == ("PAID SHOP 50.00", "DR", "", "REF9")
 
 
-def test_package_holds_every_row(spark, monkeypatch):
+def test_package_holds_every_row(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(T, "MAX_EXPORT", 2)
     rows = spark.createDataFrame([("A", 100_000 + n, f"t{n}") for n in range(5)] + [("B", 7, "x")], "parse_job_id string, source_row int, description string")
-    bad = [("A", n, "date", "ERROR", None, "m") for n in range(3)] + [("C", 1, "date", "ERROR", "v", "m")]
-    errors = spark.createDataFrame(bad, "parse_job_id string, row_number int, field string, severity string, raw_value string, message string")
-    totals = rows.groupBy("parse_job_id").agg(F.count("*").alias("transaction_count"))
-    got = T.export_statement_package(rows, errors, totals).orderBy("parse_job_id", "part").collect()
-    assert [(p.parse_job_id, p.part, p.parts, [t.description for t in p.transactions or []], [e.row_number for e in p.errors or []], p.validation_status) for p in got] == [
+    bad = [("A", n, 1, "date", "ERROR", None, "m") for n in range(3)] + [("B", 1, 1, "reference", "WARNING", "v", "m"), ("C", 1, 1, "date", "ERROR", "v", "m")]
+    errors = spark.createDataFrame(bad, "parse_job_id string, row_number int, page_number int, field string, severity string, raw_value string, message string")
+    totals = rows.groupBy("parse_job_id").agg(F.count("*").alias("transaction_count"), F.lit("VERIFIED").alias("status"))
+    counts = [("A", 8, 5, 0, 3), ("B", 1, 1, 1, 0), ("C", 1, 0, 0, 1)]
+    jobs = spark.createDataFrame(counts, "parse_job_id string, total_rows long, valid_rows long, warning_count long, error_count long")
+    jobs = jobs.withColumns({c: F.lit(None).cast("string") for c in ("reconciliation_id", "source_id", "source_type", "filename", "file_type", "sha256")})
+    packages = T.export_statement_package(rows, errors, totals, jobs)
+    got = packages.orderBy("parse_job_id", "part").collect()
+    assert [(p.parse_job_id, p.part, p.parts, [t.description for t in p.transactions or []], [e.row_number for e in p.errors or []], p.metadata.validation_status) for p in got] == [
         ("A", 0, 3, ["t0", "t1"], [0, 1], "PARTIAL_ERRORS"), ("A", 1, 3, ["t2", "t3"], [2], "PARTIAL_ERRORS"), ("A", 2, 3, ["t4"], [], "PARTIAL_ERRORS"),
-        ("B", 0, 1, ["x"], [], "PASSED"), ("C", 0, 1, [], [1], "PARTIAL_ERRORS"),
+        ("B", 0, 1, ["x"], [1], "PASSED"), ("C", 0, 1, [], [1], "PARTIAL_ERRORS"),
     ]
     assert [p.control_totals and p.control_totals.transaction_count for p in got] == [5, 5, 5, 1, None]
+    T.write_statement_packages(packages, str(tmp_path / "p"))
+    T.write_statement_packages(packages.filter("parse_job_id = 'B'"), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).count() == 5
+
+
+HDFC = """BANK STATEMENT OF ACCOUNT
+ACCOUNT NUMBER: 1
+BRANCH: X
+CURRENCY: INR
+Date,Narration,Chq/Ref No,Withdrawal Amt.,Deposit Amt.,Closing Balance
+""" + "\n".join(f"0{n + 1}/10/2026,entry {n},R{n},{d},{c},{b}" for n, (d, c, b) in enumerate([
+    ("1250.00", "", "98750.00"), ("", "85000.00", "183750.00"), ("480.50", "", "183269.50"), ("48500.00", "", "134769.50"), ("10000.00", "", "124769.50"),
+    ("", "3400.00", "128169.50"), ("2450.00", "", "125719.50")]))
+SBI = """State Bank - E-Statement
+Customer Name: X
+Account No: 1
+Txn Date,Particulars,Ref No,Debit,Credit,Balance
+01-Oct-2026,shop,UTR991827,"₹1,250.00",,"₹54,200.00"
+02-Oct-2026,rent,,"₹25,000.00",,"₹29,200.00"
+03-Oct-2026,invoice,UTR771628,,"₹1,50,000.00","₹1,79,200.00"
+INVALID_DATE_ROW,corrupt,REF999,"₹500.00",,"₹1,78,700.00"
+05-Oct-2026,cloud,GCLD88192,"₹4,200.00",,"₹1,74,500.00"
+"""
+
+
+def test_statements_with_known_totals(spark):
+    _, rows = ingest(spark, HDFC)
+    t = V.control_totals(V.canonical_transactions(rows)).first()
+    got = [str(x) for x in (t.opening_balance, t.total_debits, t.total_credits, t.closing_balance, t.status, t.transaction_count)]
+    assert got == ["100000.00", "62680.50", "88400.00", "125719.50", "VERIFIED", "7"]
+    _, rows = ingest(spark, SBI)
+    t = V.control_totals(V.canonical_transactions(rows)).first()
+    got = [str(x) for x in (t.opening_balance, t.total_debits, t.total_credits, t.expected_closing, t.closing_balance, t.difference, t.status)]
+    assert got == ["55450.00", "30450.00", "150000.00", "175000.00", "174500.00", "-500.00", "CONTROL_TOTAL_MISMATCH"]
+    c = V.job_counters(rows).first()
+    assert (c.total_rows, c.valid_rows, c.warning_count, c.error_count) == (5, 4, 1, 1)
+    first = V.canonical_transactions(rows).orderBy("source_row").first()
+    assert first.provenance.asDict() == {"file_id": "f1", "filename": "f.csv", "page": 1, "row": 1} and first.source_type == "BANK_STATEMENT" and first.vendor is None
+
+
+def test_giant_cells_and_files_that_cannot_be_read(spark, monkeypatch):
+    giant = "Date,Narration,Debit\n01/10/2026," + "x" * 200_000 + ",5\n"
+    open_quote = 'Date,Narration,Debit\n01/10/2026,"never closed,5\n' + "02/10/2026,y,6\n" * 20_000
+    files = spark.createDataFrame([("a", giant), ("b", open_quote)], "file_id string, text string")
+    got = {r.file_id: r.cells["Narration"] for r in T.extract_delimited_rows(files).collect()}
+    assert len(got["a"]) == 200_000 and got["b"].startswith("never closed,5")
+    rows = spark.createDataFrame([("f", 0, {T.UNREAD: "bad"}), ("g", 1, {"Date": "01/10/2026"})], T.ROWS)
+    maps = spark.createDataFrame([("g", "date", "Date")], "file_id string, target_field string, source_column string")
+    out = V.normalize_rows(M.apply_mapping(rows, maps).withColumns({"parse_job_id": F.col("file_id"), "filename": F.lit("f.csv")}))
+    errors = V.validate_rows(out).filter("parse_job_id = 'f'").collect()
+    assert [(e.row_number, e.field, e.severity, e.message) for e in errors] == [(0, "file", "FATAL", "bad")]
+
+
+def test_files_of_one_layout_are_mapped_once(spark):
+    text = "Date,Narration,Debit\n01/10/2026,x,5\n"
+    files = spark.createDataFrame([("a", text), ("b", text.replace("x", "y")), ("c", "")], "file_id string, text string")
+    rows = T.extract_delimited_rows(files)
+    heads = rows.filter("row_no = 1").select("file_id", F.posexplode(F.map_keys("cells")).alias("position", "header"))
+    maps = M.infer_column_mappings(M.header_candidates(heads, M.header_samples(rows)))
+    assert {(m.file_id, m.target_field, tuple(m.sample_values)) for m in maps.collect()} == {
+        (f, t, v) for f, n in (("a", "x"), ("b", "y")) for t, v in (("date", ("01/10/2026",)), ("description", (n,)), ("debit", ("5",)))}

@@ -1,9 +1,10 @@
-"""The staged matching against a plain sequential pass, and the seeded case of eight rows on either side."""
+"""The staged matching against a plain sequential pass, eight known rows on either side, and many equal rows."""
 
 import datetime
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.functions.text import description_score
@@ -123,3 +124,62 @@ def test_stage_queries_take_whole_sides(spark, monkeypatch):
     assert pairs("r_composite") == {("b3", "c3+c4")}
     scores = {(r.b_id, r.c_id): r.reference_score for r in J.QUERIES["p_match_scores"](spark, "").collect()}
     assert scores == {("b1", "c1"): 0.85, ("b2", "c2"): 0.0, ("b4", "c5"): 1.0, ("b5", "c6"): 0.0}
+
+
+def test_eight_known_rows(spark):
+    bank = side(spark, [
+        ("B1", 0, "UPI-AMAZON PAY INDIA-429182@okhdfc", "1250.00", "DEBIT", "UPI0092817"), ("B2", 1, "SALARY CREDIT OCT 2026 ACME CORP", "85000.00", "CREDIT", "SAL992810"),
+        ("B3", 3, "NEFT-ABC LOGISTICS CORP-SERVICES", "48500.00", "DEBIT", "NEFT881920"), ("B4", 4, "ATM CASH WITHDRAWAL BKC BRANCH", "10000.00", "DEBIT", "ATM109281"),
+        ("B5", 5, "AMAZON WEB SERVICES CLOUD HOSTING", "25000.00", "DEBIT", "AWS771920"), ("B6", 5, "AMAZON WEB SERVICES CLOUD HOSTING", "25000.00", "DEBIT", "AWS771920"),
+        ("B7", 6, "OFFICE SUPPLIES INDIA PVT LTD", "4200.00", "DEBIT", "OFF99120"), ("B8", 7, "BULK VENDOR PAYMENT VEND-992", "25000.00", "DEBIT", "UTR9928")], "BANK_STATEMENT")
+    company = side(spark, [
+        ("C1", 0, "Amazon Seller Services India", "1250.00", "DEBIT", "UPI0092817"), ("C2", 1, "October Payroll Acme Corp", "85000.00", "CREDIT", "SAL992810"),
+        ("C3", 1, "ABC Logistics Delivery Charges", "48500.00", "DEBIT", "NEFT881920"), ("C4", 5, "Amazon Web Services Hosting", "25000.00", "DEBIT", "AWS771920"),
+        ("C5", 6, "Office Supplies India", "4000.00", "DEBIT", "OFF99120"), ("C6", 7, "Vendor Part A Payment", "10000.00", "DEBIT", "VEND-A"),
+        ("C7", 7, "Vendor Part B Payment", "15000.00", "DEBIT", "VEND-B"), ("C8", 8, "Client Retainer Invoice #1042", "50000.00", "CREDIT", "INV1042")], "ACCOUNTING_LEDGER")
+    matches, left = R.match_pipeline(bank, company)
+    got = {m.bank_transaction_id: (m.company_transaction_id, m.match_type, m.status, m.confidence) for m in matches.collect()}
+    assert got == {
+        "B1": ("C1", "REFERENCE", "MATCHED", 0.95), "B2": ("C2", "REFERENCE", "MATCHED", 0.95), "B5": ("C4", "EXACT", "MATCHED", 1.0), "B3": ("C3", "REFERENCE", "PROBABLE_MATCH", 0.864),
+        "B7": ("C5", "REFERENCE", "PROBABLE_MATCH", 0.84), "B6": ("C6+C7", "COMPOSITE", "PROBABLE_MATCH", 0.88), "B4": (None, "NONE", "UNMATCHED", 0.0), "B8": (None, "NONE", "UNMATCHED", 0.0)}
+    found = A.detect_anomalies(bank, company, matches, left).collect()
+    assert sorted((f.type, f.severity, f.transaction_id) for f in found) == [
+        ("AMOUNT_MISMATCH", "MEDIUM", "B7"), ("COMPOSITE_MATCH", "LOW", "B6"), ("DATE_MISMATCH", "LOW", "B3"), ("DUPLICATE_TRANSACTION", "HIGH", "B5"),
+        ("MISSING_IN_BANK", "HIGH", "C8"), ("MISSING_IN_COMPANY", "HIGH", "B4"), ("MISSING_IN_COMPANY", "HIGH", "B8")]
+    assert sum(f.amount_difference for f in found) == Decimal("85200.00")
+
+
+def test_equal_rows_are_paired_in_order_without_rounds(spark, monkeypatch):
+    rows = lambda p, n, gap=0: side(spark, [(f"{p}{i:04d}", gap, "salary", "100.00", "DEBIT", None) for i in range(n)], "X")
+    monkeypatch.setattr(R, "match_classes", lambda *a: assign.match_classes(*a))
+    monkeypatch.setattr(assign, "priority_match", lambda *a: pytest.fail("no rounds are needed"))
+    for stage, gap in ((R.match_exact, 0), (R.match_fuzzy, 0), (R.match_date_tolerance, 4)):
+        got = stage(rows("B", 1000), rows("C", 900, gap)).collect()
+        assert sorted((m.bank_transaction_id, m.company_transaction_id) for m in got) == [(f"B{i:04d}", f"C{i:04d}") for i in range(900)]
+
+
+def test_ranks_over_ranges(spark, monkeypatch):
+    from ledgerline.functions import runtime
+
+    rows = spark.range(1000).selectExpr("id % 3 as k", "id * 7919 % 1000 as o")
+    monkeypatch.setattr(runtime, "HOT_ROWS", 50)
+    got = runtime.rank_within(rows, ["k"], "o", "turn").collect()
+    for k in range(3):
+        mine = sorted((r.o, r.turn) for r in got if r.k == k)
+        assert [t for _, t in mine] == list(range(1, len(mine) + 1))
+
+
+def test_classes_in_rounds_are_serial_choice(spark):
+    rng = random.Random(3)
+    bank = [(f"b{i:02d}", rng.randrange(5)) for i in range(40)]
+    company = [(f"c{i:02d}", rng.randrange(6)) for i in range(40)]
+    edges = {(x, y): rng.choice([0.8, 0.9]) for x in range(5) for y in range(6) if rng.random() < 0.4}
+    free, expected = set(), set()
+    for b, x in bank:
+        fit = sorted((-edges[x, y], c) for c, y in company if (x, y) in edges and c not in free)
+        if fit:
+            free.add(fit[0][1]), expected.add((b, fit[0][1]))
+    frame = lambda rows, p: spark.createDataFrame(rows, f"{p}_id string, {p}_cls int").withColumn(f"{p}_ord", F.col(f"{p}_id"))
+    e = spark.createDataFrame([(x, y, w) for (x, y), w in edges.items()], "b_cls int, c_cls int, w double")
+    got = assign.match_classes(frame(bank, "b"), frame(company, "c"), e, F.col("w"))
+    assert {(r.b_id, r.c_id) for r in got.collect()} == expected
