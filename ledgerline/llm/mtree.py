@@ -12,7 +12,9 @@ a routing vector, a covering radius and the distance to the parent's routing
 vector. A search takes nodes in the order of their lower bounds; with the
 stored distances the triangle inequality rules nodes out before their distance
 is computed. Queries first search their own page, and carry the score that they
-have to beat to the other pages.
+have to beat. They are then sent to the pages that their balls do not rule out:
+what is moved is a query's vector for each such page, and a page's tree once for
+each TILE of queries.
 """
 
 from __future__ import annotations
@@ -30,18 +32,31 @@ from ledgerline.functions.runtime import cut
 K = 5
 QUERY_STEP = 50
 SCALE = 256
-#: Pivots at most, vectors of a page at most (about), vectors of a leaf, children of a node, queries of a block.
-PIVOTS, PAGE, LEAF, FANOUT, BLOCK = 16, 4096, 1024, 4, 64
+#: Pivots at most, vectors of a page at most (about), vectors of a leaf, children of a node.
+PIVOTS, PAGE, LEAF, FANOUT = 16, 4096, 1024, 4
+#: Queries that meet a page at a time (about).
+TILE = 4096
+#: Bounds of pages are broadcast up to so many; beyond it no page is ruled out before it is met.
+BROADCAST_PAGES = 50_000
+#: Products are exact in doubles up to this squared norm, in 64-bit integers up to the next; longer vectors take no part.
+EXACT_NORM, LARGEST_NORM = 1 << 53, 1 << 62
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """``vec_id`` and ``v``: floor(256 x) of each component; rows with null or non-finite components are left out."""
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    """``vec_id``, ``v`` (floor(256 x) of each component), ``dim`` and ``norm`` (squared).
+
+    Rows with null or non-finite components are left out, and so are those whose squared norm is above LARGEST_NORM, as
+    their products need not fit 64 bits.
+    """
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > F.lit(float(1 << 31)) / SCALE))
     whole = vectors.filter(F.col("embedding").isNotNull() & ~bad & F.col("vec_id").isNotNull())
-    return whole.select(
+    rows = whole.select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"),
     )
+    square = lambda kind: F.aggregate("v", F.lit(0).cast(kind), lambda a, x: (a + (x * x).cast(kind)).cast(kind))
+    rows = rows.filter(square("double") <= F.lit(float(LARGEST_NORM)))
+    return rows.withColumns({"dim": F.size("v"), "norm": square("long")})
 
 
 def _matrix(column) -> np.ndarray:
@@ -61,7 +76,8 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
     or, as a leaf, rows in place of children, with each row's distance to the routing vector.
     """
     order = np.argsort(ids, kind="stable")
-    ids, m = ids[order], m[order]
+    # products of whole numbers are exact in doubles as long as they stay below 2**53
+    ids, m = ids[order], m[order].astype(np.float64 if top <= EXACT_NORM else np.int64)
     lifted = _lift(m, top)
     nodes: list = []
 
@@ -74,7 +90,7 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
         radius = float(to_centre.max())
         if len(rows) <= LEAF or radius == 0.0:
             by = np.argsort(to_centre, kind="stable")
-            nodes[at] = (centre, radius, up, None, (rows[by], to_centre[by], m[rows[by]].astype(np.float64)))
+            nodes[at] = (centre, radius, up, None, (rows[by], to_centre[by]))
             return at
         # children gather round rows far from each other
         seeds = [rows[int(to_centre.argmax())]]
@@ -90,15 +106,14 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
         return at
 
     grow(np.arange(len(ids)), None)
-    # products of whole numbers below 2**53 are exact in doubles
-    return {"ids": ids, "m": m.astype(np.float64), "nodes": nodes, "top": top}
+    return {"ids": ids, "m": m, "nodes": nodes, "top": top}
 
 
 def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None = None) -> tuple[list[tuple[int, int]], int]:
     """The k best (score, vec_id) of a page for one query, scores from ``floor`` up, and the distances computed."""
     nodes, ids, m = tree["nodes"], tree["ids"], tree["m"]
-    q = q.astype(np.float64)
-    lq = np.append(q, 0.0)
+    q = q.astype(m.dtype)
+    lq = np.append(q.astype(np.float64), 0.0)
     norm = float(lq @ lq) + tree["top"]
     slack = 1e-6 * (1 + norm) ** 0.5
 
@@ -126,12 +141,12 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
                 if dc - radius <= limit:
                     heapq.heappush(queue, (max(dc - radius, 0.0), c, dc))
             continue
-        rows, to_centre, _ = leaf
+        rows, to_centre = leaf
         rows = rows[np.searchsorted(to_centre, d - limit) : np.searchsorted(to_centre, d + limit, side="right")]
         if not len(rows):
             continue
         computed += len(rows)
-        scores = (m[rows] if len(rows) < len(leaf[0]) else leaf[2]) @ q
+        scores = m[rows] @ q
         others = ids[rows] != own
         if not others.all():
             rows, scores = rows[others], scores[others]
@@ -152,20 +167,27 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
 
 
 def _pages(vectors: DataFrame, pivots: int, page: int) -> DataFrame:
-    """``page`` (a number) and ``pivot`` of each row of the stored ``vectors``."""
+    """``page`` (a number) and ``pivot`` of each row of the stored ``vectors``; a page holds vectors of one length."""
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
-    centres = _matrix(chosen.toPandas()["v"]).astype(np.float64)  # at most ``pivots`` rows
-    shared = vectors.sparkSession.sparkContext.broadcast(np.unique(centres, axis=0))
+    centres = [np.asarray(v, np.float64) for v in chosen.toPandas()["v"]]  # at most ``pivots`` rows
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
 
     @F.pandas_udf("int")
     def nearest(v: pd.Series) -> pd.Series:
-        c, x = shared.value, _matrix(v).astype(np.float64)
-        return pd.Series(((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1))
+        out = np.zeros(len(v), np.int32)
+        length = v.map(len).to_numpy()
+        for n in np.unique(length):
+            own = [(k, c) for k, c in enumerate(shared.value) if len(c) == n]
+            if own:
+                c, x = np.stack([c for _, c in own]), _matrix(v[length == n]).astype(np.float64)
+                near = ((c * c).sum(1)[None, :] - 2 * (x @ c.T)).argmin(1)
+                out[length == n] = np.array([k for k, _ in own])[near]
+        return pd.Series(out)
 
     placed = cut(vectors.withColumn("pivot", nearest("v")))
-    sizes = placed.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / page).alias("split"))  # at most ``pivots`` rows
-    split = placed.join(F.broadcast(sizes), "pivot")
-    return split.withColumn("page", F.xxhash64("pivot", F.pmod(F.xxhash64("vec_id"), F.col("split"))))
+    sizes = placed.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / page).alias("split"))  # at most ``pivots`` rows a length
+    split = placed.join(sizes, ["dim", "pivot"])
+    return split.withColumn("page", F.xxhash64("dim", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("split"))))
 
 
 def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots: int = PIVOTS, page: int = PAGE) -> DataFrame:
@@ -173,10 +195,11 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots:
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the
     smaller vec_id; a query is no candidate of its own. Defined cases: vectors
-    (or ids) that are null, or hold null or non-finite components, take no part;
+    (or ids) that are null, or hold null or non-finite components, take no part, nor do
+    vectors whose squared norm is above LARGEST_NORM;
     with fewer candidates all are returned; rows that share a vec_id are each a
     candidate; of queries that share a vec_id the answers share the k ranks, so a
-    row that answers several of them has as many, as in the SQL; vectors of other lengths than most are an error; an empty table gives an
+    row that answers several of them has as many, as in the SQL; a query meets vectors of its own length only; an empty table gives an
     empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -184,51 +207,52 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots:
     schema = "query_id long, rank int, vec_id long, score long"
     if ready.isEmpty():
         return spark.createDataFrame([], schema)
-    norms = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    top = float(ready.agg(F.max(norms)).first()[0])
+    top = float(ready.agg(F.max("norm")).first()[0])
     placed = cut(_pages(ready, pivots, page))
     queries = placed.filter(F.col("vec_id") % query_step == 0)
 
     def index(rows: pd.DataFrame) -> pd.DataFrame:
         tree = build_tree(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]), top)
-        return pd.DataFrame({"page": [rows["page"].iloc[0]], "tree": [pickle.dumps(tree, 5)]})
-
-    trees = cut(placed.groupBy("page").applyInPandas(index, "page long, tree binary"))
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        packed = pickle.dumps((rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]), rows["floor"].tolist()), 5)
-        return pd.DataFrame({"home": [rows["home"].iloc[0]], "block": [rows["block"].iloc[0]], "queries": [packed]})
+        centre, radius = tree["nodes"][0][:2]
+        return pd.DataFrame({"page": [rows["page"].iloc[0]], "dim": [rows["dim"].iloc[0]], "centre": [centre.tolist()], "radius": [radius], "tree": [pickle.dumps(tree, 5)]})
 
-    def blocks(qs: DataFrame) -> DataFrame:
-        """Queries in blocks; a query with a ``home`` is met with that page only."""
-        n = max(1, qs.count() // BLOCK)
-        dealt = qs.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int"))
-        return dealt.groupBy("home", "block").applyInPandas(gather, "home long, block int, queries binary")
-
-    found_schema = "query_id long, vec_id long, score long, computed long"
+    trees = cut(placed.groupBy("page").applyInPandas(index, "page long, dim int, centre array<double>, radius double, tree binary"))
 
     def search(batches):
         for rows in batches:
             out = []
             for tree, packed in zip(rows["tree"], rows["queries"], strict=True):
                 t = pickle.loads(tree)
-                for own, q, floor in zip(*pickle.loads(packed), strict=True):
-                    got, computed = search_tree(t, int(own), q, k, None if pd.isna(floor) else int(floor))
-                    out += [(int(own), i, s, computed) for s, i in got]
+                for own, q, floor in pickle.loads(packed):
+                    got, computed = search_tree(t, own, q, k, floor)
+                    out += [(own, i, s, computed) for s, i in got]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "computed"]).astype("int64")
 
+    def meet(sent: DataFrame, tiles: int) -> DataFrame:
+        """Answers of the pages that queries (``vec_id``, ``v``, ``floor``, ``page``) are sent to; a page meets about TILE queries in one task."""
+
+        def gather(rows: pd.DataFrame) -> pd.DataFrame:
+            packed = [(int(i), np.asarray(v, np.int64), None if pd.isna(f) else int(f)) for i, v, f in zip(rows["vec_id"], rows["v"], rows["floor"], strict=True)]
+            return pd.DataFrame({"page": [rows["page"].iloc[0]], "tile": [rows["tile"].iloc[0]], "queries": [pickle.dumps(packed, 5)]})
+
+        dealt = sent.withColumn("tile", F.pmod(F.xxhash64("vec_id", "v"), F.lit(tiles)).cast("int"))
+        groups = dealt.groupBy("page", "tile").applyInPandas(gather, "page long, tile int, queries binary")
+        met = groups.join(trees.select("page", "tree"), "page").select("queries", "tree")
+        return met.mapInPandas(search, "query_id long, vec_id long, score long, computed long")
+
+    n_queries = queries.count()
     # first the own page, for a score to beat
-    home = blocks(queries.select("vec_id", "v", F.lit(None).cast("long").alias("floor"), F.col("page").alias("home")))
-    first = home.join(trees, home.home == trees.page).select("queries", "tree").mapInPandas(search, found_schema)
+    first = meet(queries.select("vec_id", "v", F.lit(None).cast("long").alias("floor"), "page"), max(1, n_queries // TILE))
     floors = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    withfloor = queries.join(floors, queries.vec_id == floors.query_id, "left")
-    everywhere = cut(blocks(withfloor.select("vec_id", "v", F.col("low").alias("floor"), F.lit(0).cast("long").alias("home"))))
-    # every block of the stated query set against every page
-    n_blocks = everywhere.agg(F.coalesce(F.max("block"), F.lit(-1))).first()[0]
-    pairs = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(n_blocks, 0)))))
-    pairs = pairs.join(everywhere, "block").select("queries", "tree")
-    # of rows that repeat a vec_id with the same score, each is a candidate
-    found = pairs.mapInPandas(search, found_schema).select("query_id", "vec_id", "score")
+    ready_queries = cut(queries.join(floors, queries.vec_id == floors.query_id, "left").select("vec_id", "v", "dim", "norm", F.col("low").alias("floor")))
+    bounds = trees.select("page", "dim", "centre", "radius")
+    if trees.count() <= BROADCAST_PAGES:
+        bounds = F.broadcast(bounds)
+    # of a page all products with a query stay below the bound that its ball gives
+    apart = F.sqrt(F.aggregate(F.zip_with(F.concat("v", F.array(F.lit(0).cast("long"))), "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))
+    reach = F.sqrt(F.greatest(F.col("norm") + F.lit(top) - 2.0 * F.col("floor"), F.lit(0.0))) + 1e-6 * F.sqrt(1.0 + F.col("norm") + F.lit(top))
+    sent = ready_queries.join(bounds, "dim").filter(F.col("floor").isNull() | (apart - F.col("radius") <= reach))
+    found = meet(sent.select("vec_id", "v", "floor", "page"), max(1, n_queries // TILE)).select("query_id", "vec_id", "score")
     # each page gives k rows for a query at most; the page results are merged in two steps of bounded groups
     ranked = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).agg(
         F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("neg"))), asc=False), 1, k).alias("best")

@@ -335,3 +335,16 @@ def test_chat_parses_whole_transcripts(spark, monkeypatch):
             for c, times in ((100, 1), (None, 1), (101, 3)):
                 assert [(r.role_pred, r.rendered) for r in got if r.conv_id == c] == want * times
             assert [(r.conv_id, r.turn, r.role_pred) for r in got if r.conv_id is not None and r.conv_id < 100] == [r[:3] for r in rows]
+
+
+def test_top_k_of_uneven_and_huge_vectors(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.standard_normal(4 if i % 3 else 6)]) for i in range(1, 160)]
+    rows += [(300, [1e300] * 4), (301, [1e300] * 6), (302, []), (350, []), (400, [9e5] * 4), (401, [-9e5, 9e5, 9e5, 1.0]), (402, [9e5, 3.0, 1e-3, 0.0])]
+    m = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if not v or max(map(abs, v)) < 1e7}
+    expected = set()
+    for q in (i for i in m if i % 50 == 0):
+        best = sorted((-sum(a * b for a, b in zip(m[q], m[i], strict=True)), i) for i in m if i != q and len(m[i]) == len(m[q]))[:5]
+        expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in mtree.top_k(df, page=20, pivots=3).collect()} == expected
