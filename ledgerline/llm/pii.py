@@ -1,16 +1,19 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
-The patterns give the base spans, which always stay. The network is trained in
-numpy on windows labelled by base spans and adds spans that it reads as the same
-kinds. It decodes overlapping windows by Viterbi; the spans of all windows of a
-text are then reconciled together. Every span must hold a digit or an ``@`` (each
-of the four kinds does), so a window without either can give no span and is not
-decoded; the result is the same as with decoding it.
+The patterns give the base spans, which always stay. The network finds what the
+patterns miss: it is trained in numpy on labelled windows in which base spans
+stand as they are or are written in other ways (``disguised``: spelled-out signs,
+other separators, numbers without a country code), and adds spans that it reads
+as the same kinds. It decodes overlapping windows by Viterbi; the spans of all
+windows of a text are then reconciled together. Every span must hold a digit, an
+``@`` or the word "dot", as all spans do that it has learned; a window without
+these can give no span and is not decoded; the result is the same as with
+decoding it.
 """
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import pickle
 import re
 from collections.abc import Iterator
@@ -18,28 +21,31 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.runtime import small_batches
 from ledgerline.llm.toxicity import fold
 
 KINDS = ("email", "ip", "card", "phone")
-#: The patterns of the base spans.
+#: The patterns of the base spans. A run of digits is taken whole, so that time grows with the text only;
+#: of e-mail addresses what follows the ``@``, and the characters before it.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "email": re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+BEFORE_AT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 #: Window length and step in characters; their difference is what neighbours share.
 WINDOW, STEP = 96, 64
 HIDDEN = 16
-#: Bounds of the training sample: documents, and windows of them.
-MAX_DOCS, MAX_WINDOWS = 1_500, 6_000
-STEPS, BATCH = 220, 48
+#: Bounds of the training sample: documents, their characters in all and each, and windows of them.
+MAX_DOCS, MAX_CHARS, MAX_TEXT, MAX_WINDOWS = 1_500, 20_000_000, 200_000, 12_000
+STEPS, BATCH = 320, 64
 #: Least mean posterior probability of a span that the network adds.
 CONFIDENCE = 0.9
-SIGNAL = re.compile(r"[0-9@]")
+SIGNAL = re.compile(r"[0-9@]|(?<![A-Za-z])dot(?![A-Za-z])")
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 LETTER, OTHER, PAD = 128, 129, 130
 
@@ -61,19 +67,62 @@ def _accept(kind: str, found: str) -> bool:
     return kind != "phone" or 8 <= len(digits) <= 15
 
 
+def _plausible(kind: str, found: str) -> bool:
+    """Whether a span of the network has the numbers of its kind, however they are written."""
+    numbers = re.findall("[0-9]+", found)
+    if kind == "ip":
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return _accept(kind, "".join(numbers)) if kind != "email" else True
+
+
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses: from each ``@`` to the left over what may stand before it, but not into the address before."""
+    end = 0
+    for m in PATTERNS["email"].finditer(text):
+        head = text[max(end, text.rfind("@", end, m.start()) + 1) : m.start()]
+        start = len(head.rstrip(BEFORE_AT)) - len(head) + m.start()
+        if start < m.start():
+            yield start, m.end()
+            end = m.end()
+
+
 def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     """Spans of the patterns by kind, then start, in code points."""
     text = text or ""
-    need = {"email": "@", "ip": ".", "phone": "+"}
-    if not SIGNAL.search(text):
-        return []
-    return [
-        (k, m.start(), m.end())
-        for k in KINDS
-        if need.get(k, "") in text
-        for m in PATTERNS[k].finditer(text)
-        if _accept(k, m.group())
-    ]
+    out = [("email", a, b) for a, b in _emails(text)] if "@" in text else []
+    if not re.search("[0-9]", text):
+        return out
+    need = {"ip": ".", "card": "", "phone": "+"}
+    return out + [(k, m.start(), m.end()) for k in KINDS[1:] if need[k] in text for m in PATTERNS[k].finditer(text) if _accept(k, m.group())]
+
+
+def disguise(kind: str, found: str, rng) -> str:
+    """A base span written in a way that its pattern does not cover."""
+    pick = lambda *forms: forms[int(rng.integers(len(forms)))]
+    if kind == "email":
+        dot = pick(" dot ", " (dot) ", "[dot]", "(dot)")
+        return found.replace("@", pick(" at ", " (at) ", "[at]", " @ ", "(at)")).replace(".", dot)
+    if kind == "ip":
+        return pick(" . ", "[.]", "(.)", " dot ").join(found.split("."))
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "card":
+        return pick("  ", ".", "/", " - ", "_").join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    home = digits[-10:]
+    return pick("({}) {}-{}", "{}.{}.{}", "{}-{}-{}", "+ 1 {} {} {}", "001/{}/{}-{}").format(home[:3], home[3:6], home[6:])
+
+
+def disguised(text: str, spans, rng) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its spans disguised, and where they then stand; of spans that overlap the first is taken."""
+    out, at, size, placed = [], 0, 0, []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], s[2])):
+        if a < at:
+            continue
+        new = disguise(kind, text[a:b], rng)
+        out += [text[at:a], new]
+        size += a - at + len(new)
+        placed.append((kind, size - len(new), size))
+        at = b
+    return "".join([*out, text[at:]]), placed
 
 
 def classes(text: str) -> np.ndarray:
@@ -91,13 +140,13 @@ def window_starts(n: int) -> range:
 
 
 def signal_windows(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an ``@``."""
-    found = set()
+    """Starts of the windows that hold a digit, an ``@`` or the beginning of a "dot"."""
+    found, last = set(), window_starts(len(text))[-1]
     for m in SIGNAL.finditer(text):
         p = m.start()
         first = max(0, -(-(p - WINDOW + 1) // STEP))
-        found.update(range(first * STEP, p + 1, STEP))
-    return sorted(s for s in found if s in window_starts(len(text)))
+        found.update(range(first * STEP, min(p, last) + 1, STEP))
+    return sorted(found)
 
 
 def _sigmoid(x):
@@ -236,18 +285,32 @@ def _label(n: int, spans) -> np.ndarray:
     return y
 
 
-def train(texts: list[str], steps: int = STEPS, seed: int = 1) -> dict[str, np.ndarray] | None:
-    """Adam on windows of the texts that hold a digit or an ``@``; None without any."""
-    xs, ys = [], []
+def labelled_windows(texts: list[str], rng, most: int = MAX_WINDOWS) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """At most ``most`` windows and their tags: with spans as they stand and disguised, as many with a signal but no span, and some others."""
+    marked, bare, plain = [], [], []
     for text in texts:
-        x, y = classes(text), _label(len(text), base_spans(text))
-        for s in signal_windows(text):
-            if len(xs) < MAX_WINDOWS and not (s and 2 <= y[s] and y[s] % 2 == 0):
-                xs.append(_window(x, s))
-                ys.append(np.pad(y[s : s + WINDOW], (0, max(0, s + WINDOW - len(y)))))
+        base = base_spans(text)
+        for t, spans in [(text, base), disguised(text, base, rng)] if base else [(text, base)]:
+            x, y = classes(t), _label(len(t), spans)
+            own = set(signal_windows(t))
+            for s in [*own, *(s for s in window_starts(len(t)) if s not in own and rng.random() < 0.02)]:
+                if not (s < len(y) and y[s] and y[s] % 2 == 0):  # no window starts inside a span
+                    w = _window(x, s), np.pad(y[s : s + WINDOW], (0, max(0, s + WINDOW - len(y))))
+                    (marked if w[1].any() else bare if s in own else plain).append(w)
+    take = lambda ws, n: [ws[i] for i in rng.permutation(len(ws))[:n]]
+    chosen = take(marked, most // 2)
+    half = max(len(chosen), most // 8)
+    chosen += take(bare, half) + take(plain, half // 4)
+    return [x for x, _ in chosen], [y for _, y in chosen]
+
+
+def train(texts: list[str], steps: int = STEPS, seed: int = 1, windows: int = MAX_WINDOWS) -> dict[str, np.ndarray] | None:
+    """Adam on labelled windows of the texts; None without any."""
+    rng = np.random.default_rng(seed)
+    xs, ys = labelled_windows(texts, rng, windows)
     if not xs:
         return None
-    xs, ys, rng = np.stack(xs), np.stack(ys), np.random.default_rng(seed)
+    xs, ys = np.stack(xs), np.stack(ys)
     net = Tagger(seed=seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
@@ -289,23 +352,31 @@ def read_windows(net: Tagger, x: np.ndarray, starts: list[int], block: int = 102
 
 def reconcile(text: str, base, found) -> list[tuple[str, int, int]]:
     """One set of spans for the text: windows' spans of a kind that overlap become one, surer ones
-    are taken first, and base spans come before all. Spans without a digit or ``@`` go first of all,
-    so that windows without either have no say."""
+    are taken first, and base spans come before all; cards need valid digits, addresses four numbers, phones enough digits. Spans without a signal go first of all,
+    so that windows without one have no say."""
     merged: list[list] = []
     for kind, a, b, p in sorted(f for f in found if SIGNAL.search(text, f[1], f[2])):
         if merged and merged[-1][0] == kind and a < merged[-1][2]:
             merged[-1][2], merged[-1][3] = max(b, merged[-1][2]), max(p, merged[-1][3])
         else:
             merged.append([kind, a, b, p])
-    taken = [(a, b) for _, a, b in base]
+    # spans taken so far as disjoint stretches in order
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a), ends.append(b)
     out = list(base)
     for kind, a, b, p in sorted(merged, key=lambda s: (-s[3], s[1], s[0])):
         while a < b and text[a].isspace():
             a += 1
         while a < b and text[b - 1].isspace():
             b -= 1
-        if p >= CONFIDENCE and SIGNAL.search(text, a, b) and b - a >= 5 and all(b <= c or d <= a for c, d in taken):
-            taken.append((a, b))
+        at = bisect.bisect_left(starts, b)  # the stretch before is the only one that can reach beyond ``a``
+        if p >= CONFIDENCE and SIGNAL.search(text, a, b) and b - a >= 5 and _plausible(kind, text[a:b]) and (at == 0 or ends[at - 1] <= a):
+            starts.insert(at, a), ends.insert(at, b)
             out.append((kind, a, b))
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -320,10 +391,14 @@ def all_spans(text: str | None, net: Tagger | None, skip_bare_windows: bool = Tr
     return base, reconcile(text, base, read_windows(net, classes(text), starts))
 
 
-def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """A bounded sample outside fold 0 of texts with a digit or an ``@``: smallest hashes of their ids."""
+def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_text: int = MAX_TEXT) -> DataFrame:
+    """A bounded sample outside fold 0 of texts with a digit or an ``@``: smallest hashes of their ids, up to ``max_chars``
+    characters in all; longer texts than ``max_text`` do not count."""
     rows = docs.filter("doc_id is not null").filter(fold(F.col("doc_id")) != 0).filter(F.col("text").rlike("[0-9@]"))
-    ids = rows.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_docs)
+    rows = rows.filter(F.length("text") <= max_text)
+    sizes = rows.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_docs)
+    upto = F.sum("n").over(W.orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over at most max_docs rows of numbers
+    ids = sizes.withColumn("upto", upto).filter(F.col("upto") <= max_chars)
     return rows.join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
 
 
@@ -341,7 +416,7 @@ def find_spans(docs: DataFrame, net: dict[str, np.ndarray] | None = None) -> Dat
     """Spans of every row: ``doc_id``, ``base`` and ``spans``, arrays of (kind, start, end) in code points.
 
     Defined cases: a null text counts as empty and has no spans; a text without
-    digit and ``@`` has none; where no text has any, the network is left out and
+    digit, ``@`` and "dot" has none; a text of any length is read whole; where no text has any, the network is left out and
     both columns agree; rows with a null id and repeated rows are each read;
     other columns are ignored.
     """
@@ -362,8 +437,8 @@ def find_spans(docs: DataFrame, net: dict[str, np.ndarray] | None = None) -> Dat
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and digests of ``find_spans``: the counts are of base spans."""
+    """Counts and digests of ``find_spans``: ``n_spans`` counts all spans, the other counts those of the patterns."""
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(text(F.col("base")), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
