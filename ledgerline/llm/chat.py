@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import cut, small_batches
 from ledgerline.llm.toxicity import fold
 
 ROLES = ("system", "user", "assistant")
@@ -170,6 +170,7 @@ def format_chats(conversations: DataFrame, model: dict[str, np.ndarray] | None =
     their texts; without labels only markers tell roles apart, and of equally
     likely ones the first named wins; an empty table gives an empty result; other columns are ignored.
     """
+    small_batches(conversations.sparkSession)
     model = model or fit(conversations)
     shared = conversations.sparkSession.sparkContext.broadcast(model)
 

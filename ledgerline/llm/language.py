@@ -22,8 +22,8 @@ from ledgerline.llm.toxicity import fold
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 13
 DIM = 16
-#: Bound of the training sample.
-MAX_TRAIN = 2_500
+#: Bounds of the training sample: texts, and characters of each.
+MAX_TRAIN, MAX_TEXT = 2_500, 50_000
 #: Texts are worked through in pieces of so many bytes.
 PIECE = 1 << 20
 #: Share of rightly labelled calibration rows that rejection may turn away.
@@ -141,9 +141,10 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """Bounded sample outside fold 0: the rows with the smallest hashes of their ids."""
+def training_sample(docs: DataFrame, max_train: int = MAX_TRAIN, max_text: int = MAX_TEXT) -> DataFrame:
+    """Bounded sample outside fold 0: the rows with the smallest hashes of their ids; longer texts than ``max_text`` do not count."""
     rows = docs.filter("doc_id is not null and text is not null and lang is not null").filter(fold(F.col("doc_id")) != 0)
+    rows = rows.filter(F.length("text") <= max_text)
     ids = rows.select("doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_train)
     # at most max_train ids are broadcast; of rows that share an id one is taken
     chosen = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
@@ -177,7 +178,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
     language is still named there. Defined cases: a null text, or one without a
     letter, gives ``und`` with score 0 and is rejected; a row with a null id
     counts as held out; without any language to learn from all rows are
-    ``und``; repeated rows are each predicted; other columns are ignored.
+    ``und``; repeated rows are each predicted; a text of any length is read whole; an empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     model = model or fit(docs)

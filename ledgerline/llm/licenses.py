@@ -70,8 +70,9 @@ NAMES = {
     "unlicense": r"free and unencumbered software",
 }
 _NAMED = {k: re.compile(rf"\b({v})\b".encode()) for k, v in NAMES.items()}
-#: Bound of the training sample: documents whose paragraphs serve as unknown ones.
-MAX_DOCS = 400
+#: Bounds of the training sample: documents whose paragraphs serve as unknown ones, characters of such a document,
+#: paragraphs, and words that are put around notices.
+MAX_DOCS, MAX_TEXT, MAX_PARAGRAPHS, MAX_FILLER = 400, 50_000, 3_000, 20_000
 #: Share of a template's words that confirms a prediction.
 CONFIRM = 0.75
 #: Share of kept-out unknown paragraphs that may pass the calibrated threshold.
@@ -119,7 +120,7 @@ def _softmax(z):
 def train(unknown: list[str], seed: int = 13, epochs: int = 300) -> LicenseModel:
     """Softmax regression on notices, whole and worn (words lost, words of documents around them), and unknown paragraphs."""
     rng = np.random.default_rng(seed)
-    filler = [w for p in unknown for w in p.split()][:20_000] or ["text"]
+    filler = [w for p in unknown for w in p.split()][:MAX_FILLER] or ["text"]
     texts, y = [], []
     for k, name in enumerate(FAMILIES[1:], 1):
         for template in TEMPLATES[name]:
@@ -223,9 +224,11 @@ def notices(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LicenseModel:
-    """Train on notices and on paragraphs of a bounded sample of documents (smallest hashes of their ids)."""
-    ids = docs.filter("doc_id is not null and text is not null").select("doc_id").distinct()
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_text: int = MAX_TEXT, max_paragraphs: int = MAX_PARAGRAPHS) -> LicenseModel:
+    """Train on notices and on at most ``max_paragraphs`` paragraphs of a bounded sample of documents (smallest hashes of
+    their ids; longer texts than ``max_text`` do not count)."""
+    docs = docs.filter("doc_id is not null and text is not null").filter(F.length("text") <= max_text)
+    ids = docs.select("doc_id").distinct()
     ids = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(max_docs).select("doc_id")
     sample = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
     notice = {w for ts in TEMPLATES.values() for t in ts for w in _word_list(t)}
@@ -233,7 +236,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> LicenseModel:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found = [p for t in rows.sort_values("doc_id")["text"] for p in paragraphs(t)]
         # a paragraph mostly of notices' words may be a notice and is no example of an unknown one
-        plain = [p for p in found if len(notice & set(ws := _word_list(p))) < 0.4 * max(len(set(ws)), 1)][:3000]
+        plain = [p for p in found if len(notice & set(ws := _word_list(p))) < 0.4 * max(len(set(ws)), 1)][:max_paragraphs]
         m = train(plain)
         return pd.DataFrame([[m.features.tobytes(), m.weights.tobytes(), m.bias.tobytes(), m.threshold]], columns=["f", "w", "b", "t"])
 

@@ -389,3 +389,153 @@ def test_top_k_of_uneven_and_huge_vectors(spark):
         expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in mtree.top_k(df, page=20, pivots=3).collect()} == expected
+
+
+def test_ftrl_is_the_plain_recursion():
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefgh") * 4 for _ in range(12)) for _ in range(30)]
+    labels = [int("aaaa bbbb" in t) for t in texts]
+    rows = toxicity.text_features(texts)
+    model = toxicity.train(rows, labels, l1=0.3, updates=90)
+    seen = {}
+    for f in rows:
+        for x in f.tolist():
+            seen[x] = seen.get(x, 0) + 1
+    z, n = {}, {}
+
+    def weight(i):
+        lam = 0.0 if i == "bias" else 0.3
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= lam else -(v - (lam if v > 0 else -lam)) / ((1.0 + n.get(i, 0.0) ** 0.5) / 1.0 + 0.1)
+
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(30):
+            at = [*(x for x in rows[k].tolist() if seen[x] > 1), "bias"]
+            p = 1 / (1 + np.exp(-sum(map(weight, at))))
+            g = p - labels[k]
+            for i in at:
+                w, before = weight(i), n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) * w
+                n[i] = before + g * g
+    want = {i: weight(i) for i in z if weight(i) and i != "bias"}
+    got = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    assert set(got) == set(want) and all(abs(got[i] - want[i]) < 1e-4 for i in want) and abs(model.bias - weight("bias")) < 1e-9
+    own = [sum(got.get(x, 0.0) for x in f.tolist()) + model.bias for f in rows]
+    assert np.allclose(toxicity.score_texts(model, texts), 1 / (1 + np.exp(-np.array(own))))
+
+
+def test_toxicity_odd_tables(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    rows = [(i, "kind sun " * 20 if i % 2 == 0 else "vile mud " * 20) for i in range(40)] + [(90, "sun river " * 200_000), (91, "x" * 100_000), (91, "x" * 100_000)]
+    got = toxicity.score_documents(docs(spark, rows), labels).collect()
+    assert len(got) == 43 and all(0 <= r.score <= 1 for r in got)
+    assert toxicity.score_documents(docs(spark, rows).filter("false"), labels).count() == 0
+    assert toxicity.drop_toxic(docs(spark, rows), labels.filter("false")).count() == 43
+    few = toxicity.sample_features(docs(spark, rows), labels, max_features=3000)
+    assert few.count() > 0 and few.agg(F.sum(F.length("f"))).first()[0] <= 12_000
+
+
+def test_language_is_the_plain_average(spark):
+    rows = [(i, f"der und die nicht {i} schön", "de") for i in range(60)] + [(100 + i, f"the and of with {i} thing", "en") for i in range(60)]
+    frame = docs(spark, [*rows, (300, "und the " * 30_000, None), (300, "und the " * 30_000, None)])
+    m = language.fit(frame)
+    for r in language.identify(frame, m).collect():
+        text = next(t for d, t, _ in [*rows, (300, "und the " * 30_000, None)] if d == r.doc_id).encode().lower()
+        grams = [h for n in (2, 3, 4) for h in language._buckets(np.frombuffer(text, np.uint8).astype(np.uint32), n).tolist()]
+        z = (np.mean(m.embeddings[grams], axis=0, dtype=np.float64) @ m.layer + m.bias) / m.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == m.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-5 and r.rejected == (r.score < m.threshold)
+    assert language.identify(frame.filter("false"), m).count() == 0
+
+
+def test_chat_is_the_best_of_all_paths(spark, monkeypatch):
+    import itertools
+
+    rng = random.Random(12)
+    line = lambda: rng.choice(["User: hello?", "Assistant: yes it is so", "and more of it", "System: be kind", "what is it?", "", "A: no"])
+    rows = [(c, t, None, "\n".join(line() for _ in range(rng.choice([1, 1, 2])))) for c in range(25) for t in range(3)]
+    rows += [(c, 1, None, "repeated turn") for c in range(3)]
+    learned = [(100 + c, t, "user" if t % 2 == 0 else "assistant", line()) for c in range(30) for t in range(4)]
+    schema = "conv_id long, turn long, role string, text string"
+    model = chat.fit(spark.createDataFrame(learned, schema))
+    frame = spark.createDataFrame(rows, schema)
+    monkeypatch.setattr(chat, "SEGMENT", 2)
+    got = {}
+    for r in chat.format_chats(frame, model).collect():
+        got.setdefault(r.conv_id, []).append((r.turn, r.role_pred))
+    turns = {}
+    for r in chat._turns(frame).collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text, r.syms))
+    for c, ts in turns.items():
+        ts.sort(key=lambda x: x[:2])
+        syms = [(s, n) for n, (_, _, ss) in enumerate(ts) for s in ss]
+        if len(syms) > 5:
+            continue
+        best, path = -np.inf, None
+        for p in itertools.product(range(chat.STATES), repeat=len(syms)):
+            score = model["start"][p[0]] + sum(model["move"][a, b] for a, b in zip(p, p[1:])) + sum(model["emit"][s, x] for (s, _), x in zip(syms, p, strict=True))  # noqa: B905
+            if score > best:
+                best, path = score, p
+        want = [(ts[n][0], chat.ROLES[x // 2]) for (_, n), x in zip(syms, path, strict=True) if x % 2 == 0]
+        assert sorted(got[c]) == sorted(want)
+    assert sum(len([s for _, _, ss in ts for s in ss]) <= 5 for ts in turns.values()) > 10
+
+
+def test_licenses_odd_tables(spark):
+    rows = [(i, f"some words about number {i}\nand more of them") for i in range(40)] + [(50, None), (51, ""), (52, "  \n "), (None, "Released under the MIT License."), (53, "plain words " * 100_000)]
+    rows += [(54, "Licensed under CC BY 4.0."), (54, "Licensed under CC BY 4.0.")]
+    got = licenses.scan(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and sorted(r.licenses for r in got if r.licenses) == ["cc-by", "cc-by", "mit"]
+    assert licenses.scan(docs(spark, rows).filter("false")).count() == 0
+
+
+def test_pipeline_is_a_plain_run(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    duckdb = pytest.importorskip("duckdb")
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    rng = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rows = [[i, say(rng.randrange(20, 90)), "en", rng.choice(["a", "b", "b", "c", None])] for i in range(160)]
+    for i in range(0, 160, 4):
+        rows[i][1] += " you vile wretch"
+    rows += [[200 + i, rows[i][1], "en", "a"] for i in range(1, 12, 2)]  # exact copies
+    rows += [[300 + i, rows[i][1] + " end", "en", "b"] for i in range(1, 40, 5)]  # near copies
+    rows += [[400, None, "en", "a"], [401, "", "en", None], [402, "two words", "en", "a"], [402, "two words", "en", "a"]]
+    docs(spark, [tuple(r) for r in rows]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(160)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = sorted(map(tuple, pipeline.run(spark, str(tmp_path)).collect()))
+    kept = [(d, t, s) for d, t, _, s in rows if "vile wretch" not in (t or "")]
+    latest = {}
+    for d, t, s in kept:
+        if (t or "") not in latest or latest[t or ""][0] < d:
+            latest[t or ""] = (d, t, s)
+    kept = sorted(latest.values(), key=lambda r: r[0])
+    least = brute_components([(d, t) for d, t, _ in kept], 80)[0]
+    kept = [r for r, c in zip(kept, least, strict=True) if r[0] == c]
+    con = duckdb.connect()
+    con.execute("create table documents(doc_id bigint, text varchar, source varchar)")
+    con.executemany("insert into documents values (?, ?, ?)", kept)
+    times = {r[0]: r[1] for r in con.execute(f"select doc_id, repeats from ({mixing.SQL})").fetchall()}
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for d, text, _ in kept:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want += [(d, len(ids), digest(",".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False)))] * times[d]
+    assert got == sorted(want) and len(got) > 50
+
+
+def test_pipeline_stages_of_odd_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"w{i}" for i in range(40_000))
+    for rows in ([], [(None, None), (None, ""), (1, "a"), (1, "a"), (2, long), (3, long + " x")]):
+        frame = docs(spark, rows)
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, frame, str(tmp_path))
+            assert out.count() >= 0 and (name == "bpe" or out.columns == frame.columns)
+            assert rows or out.count() == 0
