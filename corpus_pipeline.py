@@ -25,12 +25,14 @@ def _key(docs: DataFrame):
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go."""
+    """Documents that the toxicity model rejects go. Null and empty texts are judged like any other and stay unless the bias rejects;
+    repeated rows share their fate; without labels nothing is judged and all stay; an empty table stays empty."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest id stays; of rows repeated with one id and text, one."""
+    """Of equal texts the one with the largest id stays; of rows repeated with one id and text, one. Null counts as
+    empty; of a group of null ids one stays; an empty table stays empty."""
     kept = exact_dedup.exact_dedup(docs).filter("kept")
     keys = kept.select(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_sha256").alias("__key"))
     keyed = docs.withColumn("__key", _key(docs))
@@ -38,18 +40,22 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (word shingles alike by 80 per cent) stays: the one with the smallest id."""
+    """One document of each group of near copies (word shingles alike by 80 per cent) stays: the one with the smallest id.
+    Null, empty and blank texts have no shingles and stay; a text of fewer than five words is one shingle; rows that share
+    an id are told apart by their texts; an empty table stays empty."""
     gone = near_dedup.near_dedup(docs, NEAR_PERCENT, [_key(docs).alias("__key")], NEAR_BANDS).filter("not kept").select("__key")
     return docs.withColumn("__key", _key(docs)).join(gone, "__key", "left_anti").drop("__key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; documents that it leaves out go."""
+    """Each document as often as the mix takes it; documents that it leaves out go. Null and empty texts add
+    nothing to a target and follow the key of their id; a null source is one of its own; an empty table stays empty."""
     return mixing.apply_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text for each row of the mix."""
+    """Number of tokens and digests of ids and decoded text for each row of the mix. A null text counts
+    as empty and has no tokens; a row that the mix repeats is listed as often; an empty table gives an empty result."""
     return bpe.digest_documents(docs)
 
 
