@@ -102,7 +102,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
 
 def _assigned(bank: DataFrame, company: DataFrame, scored: DataFrame, prefer: Column | None = None) -> DataFrame:
     """One-to-one pairs of rows from the scored pairs of classes that may meet; by order alone, or the surest first."""
-    return match_classes(cut(_rows(bank, "b")), cut(_rows(company, "c")), cut(scored), prefer)
+    return match_classes(_rows(bank, "b"), _rows(company, "c"), cut(scored), prefer)
 
 
 def _result(pairs: DataFrame, stage: str, status: Column, kind: Column, confidence: Column, reasons: Column) -> DataFrame:
