@@ -63,15 +63,16 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], count_col: str
     return of_hot.unionByName(of_rest)
 
 
-def rank_within(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: str, name: str, most: int | None = None) -> DataFrame:
     """Add the place (from 1) of each row among those of its key by ``order``, which is unique in a key.
 
-    A key of up to HOT_ROWS rows is ranked by a window. Where any key has more, rows are dealt to ranges of key and
-    order, and ranked by the sizes of the ranges before theirs.
+    ``most`` is the number of rows of the largest key; it is counted if not given. Up to HOT_ROWS, keys are ranked by a
+    window. Where a key has more, rows are dealt to ranges of key and order, and ranked by the sizes of the ranges before theirs.
     """
-    df = cut(df)
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (most or 0) <= HOT_ROWS:
+    if most is None:
+        df = cut(df)
+        most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= HOT_ROWS:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(order)))
     dealt = cut(df.repartitionByRange(*keys, order).withColumn("__range", F.spark_partition_id()))
     sizes = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("n"))

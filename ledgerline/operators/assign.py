@@ -24,29 +24,40 @@ def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, prefer:
     """Pairs ``b_id``, ``c_id`` with the columns of their edge, as a sequential pass over bank rows would make them.
 
     ``bank`` has ``b_id``, ``b_ord`` and ``b_cls``, ``company`` the same with ``c_``; ``edges`` is a stored table with one
-    row for each pair of classes that may meet. A bank row takes the free company row of the highest ``prefer``, then of
-    the first ``c_ord``.
+    row for each pair of classes that may meet, and the numbers of their rows, ``b_n`` and ``c_n`` (counted where absent).
+    A bank row takes the free company row of the highest ``prefer``, then of the first ``c_ord``.
     """
+    for p, rows in (("b", bank), ("c", company)):
+        if f"{p}_n" not in edges.columns:
+            edges = edges.join(rows.groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n")), f"{p}_cls")
     edges = edges.withColumn("prefer", F.lit(0.0) if prefer is None else prefer)
     # a group is named by the least company class that its bank classes may meet
     of_b = edges.groupBy("b_cls").agg(F.min("c_cls").alias("group"))
-    named = edges.select("b_cls", "c_cls", "prefer").join(of_b, "b_cls")
+    named = edges.select("b_cls", "c_cls", "b_n", "c_n", "prefer").join(of_b, "b_cls")
     of_c = named.groupBy("c_cls").agg(F.min("group").alias("c_group"))
     named = cut(named.join(of_c, "c_cls"))
     sizes = named.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("b_cls").alias("nb"), F.count_distinct("c_cls").alias("nc"),
-        F.min("prefer").alias("lo"), F.max("prefer").alias("hi"),
+        F.min("prefer").alias("lo"), F.max("prefer").alias("hi"), F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c"),
     )
-    across = named.filter("group <> c_group").select(F.explode(F.array("group", "c_group")).alias("group"))
-    mixed = cut(across.union(sizes.filter("n <> nb * nc or lo <> hi").select("group")).distinct())
-    whole = named.join(mixed, "group", "left_anti")
-    ranked = lambda rows, p: rank_within(
+    across = named.filter("group <> c_group").select(F.explode(F.array("group", "c_group")).alias("group")).distinct()
+    groups = cut(sizes.join(across.withColumn("across", F.lit(True)), "group", "left").select(
+        "group", F.expr("n <> nb * nc or lo <> hi or across is not null").alias("mixed"),
+        # of a group that is not mixed, each bank class has nc edges and each company class nb
+        F.expr("sum_b div nc").alias("b_rows"), F.expr("sum_c div nb").alias("c_rows"),
+    ))
+    known = groups.agg(
+        F.bool_or("mixed").alias("mixed"), *[F.max(F.expr(f"if(mixed, 0, {c})")).alias(c) for c in ("b_rows", "c_rows")]
+    ).first()
+    whole = named.join(groups.filter("not mixed").select("group"), "group") if known.mixed else named
+    ranked = lambda rows, p, most: rank_within(
         rows.join(whole.select(f"{p}_cls", "group").distinct(), f"{p}_cls").select("group", f"{p}_ord", f"{p}_id", f"{p}_cls"),
-        ["group"], f"{p}_ord", "turn",
+        ["group"], f"{p}_ord", "turn", most or 0,
     )
-    pairs = ranked(bank, "b").join(ranked(company, "c"), ["group", "turn"]).select("b_cls", "c_cls", "b_id", "c_id")
-    if not mixed.isEmpty():
-        left = named.join(mixed, "group", "left_semi")
+    pairs = ranked(bank, "b", known.b_rows).join(ranked(company, "c", known.c_rows), ["group", "turn"])
+    pairs = pairs.select("b_cls", "c_cls", "b_id", "c_id")
+    if known.mixed:
+        left = named.join(groups.filter("mixed").select("group"), "group")
         met = bank.join(left, "b_cls").join(company, "c_cls")
         won = priority_match(met.select(
             "b_cls", "c_cls", "b_id", "c_id", F.col("b_id").alias("b"), F.col("c_id").alias("c"), F.col("b_ord").alias("b_rank"),

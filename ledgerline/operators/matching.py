@@ -71,9 +71,10 @@ def _rows(side: DataFrame, p: str) -> DataFrame:
 
 
 def _classes(side: DataFrame, p: str) -> DataFrame:
-    """The distinct classes of a side, with their fields: ``reconciliation_id``, ``type`` and the others by prefix."""
+    """The distinct classes of a side, their numbers of rows, and their fields: ``reconciliation_id``, ``type`` and the others by prefix."""
     own = [F.col(f"{p}_cls.{c}").alias(f"{p}_{c}") for c in _CLASS[2:]]
-    return _rows(side, p).select(f"{p}_cls").distinct().select("*", f"{p}_cls.reconciliation_id", f"{p}_cls.type", *own)
+    classes = _rows(side, p).groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n"))
+    return classes.select("*", f"{p}_cls.reconciliation_id", f"{p}_cls.type", *own)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
