@@ -76,6 +76,7 @@ def with_text_score(pairs: DataFrame, a: str, b: str, name: str = "desc_score")
     clean = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", ""))
     marked = pairs.withColumns({"__a": clean(a), "__b": clean(b)})
     same: Column = F.col("__a") == F.col("__b")
-    distinct = marked.filter(~same).select("__a", "__b").distinct().withColumn("__score", text_score("__a", "__b"))
-    met = marked.join(distinct, ["__a", "__b"], "left")
-    return met.withColumn(name, F.when(same, F.lit(1.0)).otherwise(F.col("__score"))).drop("__a", "__b", "__score")
+    others = marked.filter(~same)
+    scores = others.select("__a", "__b").distinct().withColumn(name, text_score("__a", "__b"))
+    out = marked.filter(same).withColumn(name, F.lit(1.0)).unionByName(others.join(scores, ["__a", "__b"]))
+    return out.drop("__a", "__b")

@@ -31,20 +31,21 @@ def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, prefer:
         if f"{p}_n" not in edges.columns:
             edges = edges.join(rows.groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n")), f"{p}_cls")
     edges = edges.withColumn("prefer", F.lit(0.0) if prefer is None else prefer)
-    # a group is named by the least company class that its bank classes may meet
-    of_b = edges.groupBy("b_cls").agg(F.min("c_cls").alias("group"))
+    # A group is named by the least hash of the company classes that its bank classes may meet. Two groups of one name
+    # would only count as mixed; numbers alone are aggregated, in hash tables.
+    of_b = edges.groupBy("b_cls").agg(F.min(F.xxhash64("c_cls")).alias("group"), F.count(F.lit(1)).alias("b_met"))
     named = edges.select("b_cls", "c_cls", "b_n", "c_n", "prefer").join(of_b, "b_cls")
-    of_c = named.groupBy("c_cls").agg(F.min("group").alias("c_group"))
+    of_c = named.groupBy("c_cls").agg((F.min("group") != F.max("group")).alias("across"), F.count(F.lit(1)).alias("c_met"))
     named = cut(named.join(of_c, "c_cls"))
+    ends = [f(c).alias(f"{p}_{c}") for c in ("b_met", "c_met", "prefer") for p, f in (("lo", F.min), ("hi", F.max))]
     sizes = named.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("b_cls").alias("nb"), F.count_distinct("c_cls").alias("nc"),
-        F.min("prefer").alias("lo"), F.max("prefer").alias("hi"), F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c"),
+        F.count(F.lit(1)).alias("n"), *ends, F.bool_or("across").alias("across"), F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c")
     )
-    across = named.filter("group <> c_group").select(F.explode(F.array("group", "c_group")).alias("group")).distinct()
-    groups = cut(sizes.join(across.withColumn("across", F.lit(True)), "group", "left").select(
-        "group", F.expr("n <> nb * nc or lo <> hi or across is not null").alias("mixed"),
-        # of a group that is not mixed, each bank class has nc edges and each company class nb
-        F.expr("sum_b div nc").alias("b_rows"), F.expr("sum_c div nb").alias("c_rows"),
+    groups = cut(sizes.select(
+        "group",
+        # where all bank classes meet as many, and all company classes, every pair meets if the product is the number of edges
+        F.expr("across or lo_b_met <> hi_b_met or lo_c_met <> hi_c_met or n <> hi_b_met * hi_c_met or lo_prefer <> hi_prefer").alias("mixed"),
+        F.expr("sum_b div hi_b_met").alias("b_rows"), F.expr("sum_c div hi_c_met").alias("c_rows"),
     ))
     known = groups.agg(
         F.bool_or("mixed").alias("mixed"), *[F.max(F.expr(f"if(mixed, 0, {c})")).alias(c) for c in ("b_rows", "c_rows")]

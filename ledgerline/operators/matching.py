@@ -62,19 +62,28 @@ def input_status(transactions: DataFrame) -> DataFrame:
 _CLASS = ("reconciliation_id", "type", "amount", "date", "description", "reference")
 
 
+def _class_fields() -> list[Column]:
+    """The fields of a class; absent texts are empty."""
+    return [F.coalesce(c, F.lit("")).alias(c) if c in ("description", "reference") else F.col(c) for c in _CLASS]
+
+
+def _class_name() -> Column:
+    """A class by the SHA-256 digest of its fields, each with its length (-1 if null): 32 bytes, whatever the length of the texts."""
+    texts = [c.cast("string") for c in _class_fields()]
+    parts = [p for c in texts for p in (F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.coalesce(c, F.lit("")))]
+    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+
+
 def _rows(side: DataFrame, p: str) -> DataFrame:
-    """Id, place in the order and class of each row; absent texts are empty."""
-    plain = [F.coalesce(c, F.lit("")).alias(c) if c in ("description", "reference") else F.col(c) for c in _CLASS]
-    return side.select(
-        F.col("id").alias(f"{p}_id"), F.struct("date", "source_row", "id").alias(f"{p}_ord"), F.struct(*plain).alias(f"{p}_cls")
-    )
+    """Id, place in the order and class of each row."""
+    return side.select(F.col("id").alias(f"{p}_id"), F.struct("date", "source_row", "id").alias(f"{p}_ord"), _class_name().alias(f"{p}_cls"))
 
 
 def _classes(side: DataFrame, p: str) -> DataFrame:
     """The distinct classes of a side, their numbers of rows, and their fields: ``reconciliation_id``, ``type`` and the others by prefix."""
-    own = [F.col(f"{p}_cls.{c}").alias(f"{p}_{c}") for c in _CLASS[2:]]
-    classes = _rows(side, p).groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n"))
-    return classes.select("*", f"{p}_cls.reconciliation_id", f"{p}_cls.type", *own)
+    classes = side.select(*_class_fields()).groupBy(*_CLASS).agg(F.count(F.lit(1)).alias(f"{p}_n"))
+    own = [F.col(c).alias(f"{p}_{c}") for c in _CLASS[2:]]
+    return classes.select(_class_name().alias(f"{p}_cls"), f"{p}_n", "reconciliation_id", "type", *own)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
