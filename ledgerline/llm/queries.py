@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chat, exact_dedup, language, licenses, mixing, mtree, near_dedup, periodic, pii, toxicity
+from ledgerline.llm import bpe, chat, exact_dedup, language, licenses, merkle, mixing, mtree, near_dedup, periodic, pii, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.with_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_tampered(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_near_dedup": op2_near_dedup,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
     "op12_periodic": op12_periodic,
+    "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_mtree": mtree.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_mtree": mtree.SQL, "op13_merkle": merkle.SQL}
