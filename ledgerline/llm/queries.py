@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import bpe, chat, exact_dedup, language, licenses, merkle, mixing, mtree, near_dedup, periodic, pii, toxicity
+from ledgerline.llm import bpe, chat, exact_dedup, language, licenses, merkle, mixing, mtree, near_dedup, periodic, pii, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.with_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents"))))
 
@@ -72,8 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
+    "op11_warc": op11_warc,
     "op12_periodic": op12_periodic,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_mtree": mtree.SQL, "op13_merkle": merkle.SQL}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_mtree": mtree.SQL, "op11_warc": warc.SQL, "op13_merkle": merkle.SQL}
