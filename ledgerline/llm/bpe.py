@@ -19,11 +19,11 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.runtime import cut, join_unique, small_batches
@@ -172,6 +172,11 @@ class Coder:
         return ",".join(map(self._decimal.__getitem__, ids))
 
 
+def _sent(spark: SparkSession, files: Files | None):
+    """The contents of the files broadcast as a plain tuple: broadcasts are pickled by reference, and executors need no copy of this package."""
+    return spark.sparkContext.broadcast(astuple(files or default_files()))
+
+
 def _small(keys: DataFrame) -> DataFrame:
     """A stored table of keys, marked to be broadcast if it has few rows."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
@@ -219,7 +224,7 @@ def encode_chunks(texts: DataFrame, shared: DataFrame, files) -> DataFrame:
 
     @F.pandas_udf("head string, body binary, tail string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Coder(files.value)
+        coder = Coder(Files(*files.value))
         for rows in batches:
             found = [coder.prepare(t) for t in rows]
             packed = [(None, None, None) if e is None else (e[0], np.asarray(e[1], coder.stored).tobytes(), e[2]) for e in found]
@@ -233,7 +238,7 @@ def encode_chunks(texts: DataFrame, shared: DataFrame, files) -> DataFrame:
 def _encode(docs: DataFrame, files: Files | None, kind: str, finish: Callable) -> DataFrame:
     """The columns of ``docs`` without ``text``, and ``__out``: what ``finish(coder, ids)`` makes of each text's ids, of type ``kind``."""
     small_batches(docs.sparkSession)
-    shared_files = docs.sparkSession.sparkContext.broadcast(files or default_files())
+    shared_files = _sent(docs.sparkSession, files)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({"text": text, "__key": F.unhex(F.sha2(text, 256))})
     own = [c for c in docs.columns if c != "text"]
@@ -242,13 +247,13 @@ def _encode(docs: DataFrame, files: Files | None, kind: str, finish: Callable) -
 
     @F.pandas_udf(kind)
     def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder(shared_files.value)
+        coder = Coder(Files(*shared_files.value))
         for texts in batches:
             yield _series([finish(coder, coder.encode_whole(t)) for t in texts], kind)
 
     @F.pandas_udf(kind)
     def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        coder = Coder(shared_files.value)
+        coder = Coder(Files(*shared_files.value))
         for texts, entries in batches:
             out = []
             for t, es in zip(texts, entries, strict=True):
@@ -289,11 +294,11 @@ def encode_documents(docs: DataFrame, files: Files | None = None) -> DataFrame:
 def decode_documents(encoded: DataFrame, files: Files | None = None) -> DataFrame:
     """Texts of token ids: ``ids`` replaced by ``text``; null ids count as none."""
     small_batches(encoded.sparkSession)
-    shared = encoded.sparkSession.sparkContext.broadcast(files or default_files())
+    shared = _sent(encoded.sparkSession, files)
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder(shared.value)
+        coder = Coder(Files(*shared.value))
         for rows in batches:
             yield pd.Series([coder.decode([] if i is None else list(i)) for i in rows])
 

@@ -36,27 +36,29 @@ SCALE = 256
 PIVOTS, PAGE, LEAF, FANOUT = 16, 4096, 1024, 4
 #: Queries that meet a page at a time (about).
 TILE = 4096
-#: Bounds of pages are broadcast up to so many; beyond it no page is ruled out before it is met.
-BROADCAST_PAGES = 50_000
-#: Products are exact in doubles up to this squared norm, in 64-bit integers up to the next; longer vectors take no part.
+#: Bounds of pages are broadcast up to so many bytes; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Products are exact in doubles up to this squared norm, in 64-bit integers up to the next, beyond it in Python's whole numbers.
 EXACT_NORM, LARGEST_NORM = 1 << 53, 1 << 62
+#: Scores and scaled components that 64 bits do not hold count as the nearest number that they do (LARGEST is the greatest such double).
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+LARGEST = float((1 << 63) - 1024)
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """``vec_id``, ``v`` (floor(256 x) of each component), ``dim`` and ``norm`` (squared).
+    """``vec_id``, ``v`` (floor(256 x) of each component), ``dim`` and ``norm`` (squared, as a double).
 
-    Rows with null or non-finite components are left out, and so are those whose squared norm is above LARGEST_NORM, as
-    their products need not fit 64 bits.
+    Rows with null or non-finite components are left out; all others take part, whatever the size of their components.
     """
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > F.lit(float(1 << 31)) / SCALE))
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    fits = lambda x: F.greatest(F.least(x.cast("double") * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))
     whole = vectors.filter(F.col("embedding").isNotNull() & ~bad & F.col("vec_id").isNotNull())
     rows = whole.select(
         F.col("vec_id").cast("long").alias("vec_id"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"),
+        F.transform("embedding", lambda x: F.floor(fits(x)).cast("long")).alias("v"),
     )
-    square = lambda kind: F.aggregate("v", F.lit(0).cast(kind), lambda a, x: (a + (x * x).cast(kind)).cast(kind))
-    rows = rows.filter(square("double") <= F.lit(float(LARGEST_NORM)))
-    return rows.withColumns({"dim": F.size("v"), "norm": square("long")})
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.withColumns({"dim": F.size("v"), "norm": square})
 
 
 def _matrix(column) -> np.ndarray:
@@ -77,7 +79,7 @@ def build_tree(ids: np.ndarray, m: np.ndarray, top: float) -> dict:
     """
     order = np.argsort(ids, kind="stable")
     # products of whole numbers are exact in doubles as long as they stay below 2**53
-    ids, m = ids[order], m[order].astype(np.float64 if top <= EXACT_NORM else np.int64)
+    ids, m = ids[order], m[order].astype(np.float64 if top <= EXACT_NORM else np.int64 if top <= LARGEST_NORM else object)
     lifted = _lift(m, top)
     nodes: list = []
 
@@ -147,6 +149,8 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
             continue
         computed += len(rows)
         scores = m[rows] @ q
+        if scores.dtype == object:
+            scores = np.array([min(max(s, LEAST), MOST) for s in scores], np.int64)
         others = ids[rows] != own
         if not others.all():
             rows, scores = rows[others], scores[others]
@@ -167,7 +171,10 @@ def search_tree(tree: dict, own: int, q: np.ndarray, k: int, floor: int | None =
 
 
 def _pages(vectors: DataFrame, pivots: int, page: int) -> DataFrame:
-    """``page`` (a number) and ``pivot`` of each row of the stored ``vectors``; a page holds vectors of one length."""
+    """``page`` (a number) and ``pivot`` of each row of the stored ``vectors``; a page holds vectors of one length.
+
+    Rows of a pivot are dealt to its pages by their own numbers, so that rows of one id or one vector spread as well.
+    """
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots)
     centres = [np.asarray(v, np.float64) for v in chosen.toPandas()["v"]]  # at most ``pivots`` rows
     shared = vectors.sparkSession.sparkContext.broadcast(centres)
@@ -184,10 +191,10 @@ def _pages(vectors: DataFrame, pivots: int, page: int) -> DataFrame:
                 out[length == n] = np.array([k for k, _ in own])[near]
         return pd.Series(out)
 
-    placed = cut(vectors.withColumn("pivot", nearest("v")))
+    placed = cut(vectors.withColumn("pivot", nearest("v")).withColumn("row", F.monotonically_increasing_id()))
     sizes = placed.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / page).alias("split"))  # at most ``pivots`` rows a length
     split = placed.join(sizes, ["dim", "pivot"])
-    return split.withColumn("page", F.xxhash64("dim", "pivot", F.pmod(F.xxhash64("vec_id"), F.col("split"))))
+    return split.withColumn("page", F.xxhash64("dim", "pivot", F.pmod(F.xxhash64("row"), F.col("split")))).drop("row")
 
 
 def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots: int = PIVOTS, page: int = PAGE) -> DataFrame:
@@ -195,8 +202,8 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots:
 
     Returns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score``; ties go to the
     smaller vec_id; a query is no candidate of its own. Defined cases: vectors
-    (or ids) that are null, or hold null or non-finite components, take no part, nor do
-    vectors whose squared norm is above LARGEST_NORM;
+    (or ids) that are null, or hold null or non-finite components, take no part; scaled components and
+    scores beyond 64 bits are given and ranked as the nearest 64-bit number;
     with fewer candidates all are returned; rows that share a vec_id are each a
     candidate; of queries that share a vec_id the answers share the k ranks, so a
     row that answers several of them has as many, as in the SQL; a query meets vectors of its own length only; an empty table gives an
@@ -246,7 +253,7 @@ def top_k(vectors: DataFrame, k: int = K, query_step: int = QUERY_STEP, pivots:
     floors = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     ready_queries = cut(queries.join(floors, queries.vec_id == floors.query_id, "left").select("vec_id", "v", "dim", "norm", F.col("low").alias("floor")))
     bounds = trees.select("page", "dim", "centre", "radius")
-    if trees.count() <= BROADCAST_PAGES:
+    if (bounds.agg(F.sum(F.size("centre") * 8 + 32)).first()[0] or 0) <= BROADCAST_BYTES:
         bounds = F.broadcast(bounds)
     # of a page all products with a query stay below the bound that its ball gives
     apart = F.sqrt(F.aggregate(F.zip_with(F.concat("v", F.array(F.lit(0).cast("long"))), "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x))

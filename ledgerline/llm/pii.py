@@ -60,7 +60,7 @@ def _luhn(digits: str) -> bool:
 
 def _accept(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in found.split(".")))
     digits = re.sub("[^0-9]", "", found) if kind in ("card", "phone") else ""
     if kind == "card":
         return 16 <= len(digits) <= 19 and _luhn(digits)

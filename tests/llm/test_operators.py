@@ -196,6 +196,17 @@ def plain_spans(text):
     return out
 
 
+def test_pii_zeros_of_any_length(spark):
+    zeros = "0" * 6000
+    texts = [f"{zeros}.1.1.1", f"{zeros}1.2.3.4", f"1.2.3.{zeros}255", f"1.2.3.{zeros}256", "0.0.0.0"]
+    assert [len(pii.base_spans(t)) for t in texts] == [1, 1, 1, 0, 1]
+
+
+def test_bpe_broadcasts_plain_values(spark):
+    sent = bpe._sent(spark, bpe.Files("a", b"b", "c")).value
+    assert type(sent) is tuple and sent == ("a", b"b", "c")
+
+
 def test_pii_spans(spark):
     rng = random.Random(4)
     text = "mail a.b@c.example.com, 10.0.0.256 10.0.0.25 4111 1111 1111 1111 call +1 (222) 333-4444 é"
@@ -382,15 +393,23 @@ def test_top_k_of_uneven_and_huge_vectors(spark):
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in rng.standard_normal(4 if i % 3 else 6)]) for i in range(1, 160)]
     rows += [(300, [1e300] * 4), (301, [1e300] * 6), (302, []), (350, []), (400, [9e5] * 4), (401, [-9e5, 9e5, 9e5, 1.0]), (402, [9e5, 3.0, 1e-3, 0.0])]
-    m = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if not v or max(map(abs, v)) < 1e7}
+    rows += [(500, [1e7, -2e7, 0.0, 1.0]), (501, [-1e300, 1e300, 0.0, 0.0]), (502, [float("inf"), 0.0, 0.0, 0.0])]
+    held = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    m = {i: [int(np.clip(np.floor(256 * x), -mtree.LARGEST, mtree.LARGEST)) for x in v] for i, v in rows if i != 502}
     expected = set()
     for q in (i for i in m if i % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(m[q], m[i], strict=True)), i) for i in m if i != q and len(m[i]) == len(m[q]))[:5]
+        best = sorted((-held(sum(a * b for a, b in zip(m[q], m[i], strict=True))), i) for i in m if i != q and len(m[i]) == len(m[q]))[:5]
         expected |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert {tuple(r) for r in mtree.top_k(df, page=20, pivots=3).collect()} == expected
 
 
+def test_pages_stay_bounded_where_rows_share_an_id(spark):
+    rows = spark.createDataFrame([(50, [1.0, 2.0])] * 900 + [(i, [float(i % 7), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    sizes = mtree._pages(cut(mtree.quantized(rows)), 2, 100).groupBy("page").count().agg({"count": "max"}).first()[0]
+    assert sizes < 200
+
+
 def test_ftrl_is_the_plain_recursion():
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefgh") * 4 for _ in range(12)) for _ in range(30)]
