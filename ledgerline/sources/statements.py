@@ -154,9 +154,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def _zip(headers: Column, cells: Column) -> Column:
-    """Map of named headers to cells by position; missing cells are empty."""
-    padded = F.transform(headers, lambda h, i: F.struct(h.alias("k"), F.coalesce(F.get(cells, i), F.lit("")).alias("v")))
-    return F.map_from_entries(F.filter(padded, lambda e: e.k != ""))
+    """Map of named headers to cells by position; missing cells are empty, and of columns with one name the last one counts."""
+    names = F.array_distinct(F.filter(headers, lambda h: h != ""))
+    last = lambda h: (F.size(headers) - F.array_position(F.reverse(headers), h)).cast("int")
+    return F.map_from_arrays(names, F.transform(names, lambda h: F.coalesce(F.get(cells, last(h)), F.lit(""))))
 
 
 def extract_text_rows(lines: DataFrame) -> DataFrame:
@@ -165,7 +166,7 @@ def extract_text_rows(lines: DataFrame) -> DataFrame:
     head = lines.join(find_header_line(lines), "file_id")
     named = head.filter("line_no = header_line").select("file_id", split(F.col("line")).alias("h"))
     default = F.array(*map(F.lit, DEFAULT_HEADERS))
-    named = named.select("file_id", F.when(F.size("h") < 2, default).otherwise(F.array_distinct("h")).alias("h"))
+    named = named.select("file_id", F.when(F.size("h") < 2, default).otherwise(F.col("h")).alias("h"))
     body = head.filter("line_no > header_line").select("file_id", "line_no", split(F.col("line")).alias("t")).filter("size(t) >= 2")
     return _numbered(body.join(named, "file_id").select("file_id", "line_no", _zip(F.col("h"), F.col("t")).alias("cells")))
 

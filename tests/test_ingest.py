@@ -54,6 +54,24 @@ def test_fuzzy_headers_and_empty_files(spark):
     assert T.extract_delimited_rows(spark.createDataFrame([("f", ""), ("g", None)], "file_id string, text string")).count() == 0
 
 
+def test_of_equal_headers_the_last_counts(spark):
+    lines = spark.createDataFrame([("f", 0, "Date  Ref  Description  Ref  Debit"), ("f", 1, "01/10/2026  R1  Tea  R2  5"), ("f", 2, "02/10/2026  R3  Rent")], "file_id string, line_no int, line string")
+    got = {r.row_no: r.cells for r in T.extract_text_rows(lines).collect()}
+    assert got[1] == {"Date": "01/10/2026", "Ref": "R2", "Description": "Tea", "Debit": "5"}
+    assert got[2] == {"Date": "02/10/2026", "Ref": "", "Description": "Rent", "Debit": ""}
+    grid = spark.createDataFrame([("s", 0, ["Date", "Amount", None, "Amount"]), ("s", 1, ["d", "1", "x", "2"]), ("s", 2, ["e", "3"])], "file_id string, line_no int, cells array<string>")
+    assert [r.cells for r in T.extract_grid_rows(grid).orderBy("row_no").collect()] == [{"Date": "d", "Amount": "2"}, {"Date": "e", "Amount": ""}]
+    assert T._parse_delimited("Date,Amount,Amount\nd,1,2\n") == [{"Date": "d", "Amount": "2"}]
+
+
+def test_of_columns_with_one_target_the_rightmost_counts(spark):
+    rows = spark.createDataFrame([("f", 1, {"A": "1", "B": "2", "C": "3"})], T.ROWS)
+    maps = spark.createDataFrame([("f", 0, "B", "debit"), ("f", 1, "A", "debit"), ("f", 2, "C", None)], "file_id string, position int, source_column string, target_field string")
+    assert M.apply_mapping(rows, maps).first().raw_debit == "1"
+    user = maps.filter("target_field is not null").drop("position")
+    assert M.apply_mapping(rows, maps, user).first().raw_debit == "2"
+
+
 def test_learned_rules_and_output(spark, tmp_path):
     maps = spark.createDataFrame([("BANK", " Foo ", None, 0.0, "manual")], "source_type string, source_column string, target_field string, confidence double, method string")
     rules = spark.createDataFrame([("BANK", "foo", "debit", 1.0, 1), ("BANK", "foo", "credit", 1.0, 2)], "source_type string, source_column string, target_field string, confidence double, created_seq int")
