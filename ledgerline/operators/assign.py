@@ -2,70 +2,193 @@
 
 Bank rows choose in the order of their rank, each its best company row that is
 still free. Rows of either side with the same values form a class; whether two
-rows may meet, and how well they agree, is a matter of their classes. Where
-every bank class of a group may meet every company class of it, equally well,
-the first bank row takes the first company row, the second the second, and so
-on: such groups of any size are ranked and joined. All others are settled in
-rounds: since all company rows prefer the bank row of lower rank, the outcome is
-the one stable matching, and deferred acceptance finds it whatever the order of
-proposals.
+rows may meet, and how well they agree, is a matter of their classes, so classes
+are compared and pairs of rows are never listed. Three ways lead to the outcome:
+
+* Two classes that meet each other only: the first bank row takes the first
+  company row, the second the second, and so on; ranked and joined.
+* All other classes are settled group by group, a group being any set of classes
+  that no edge leaves. One task takes many groups and makes the sequential pass
+  over their rows in turn: each bank class keeps the heads of its company classes
+  in a heap, so a row costs the logarithm of its classes.
+* A group beyond a bound is first cut into connected components. Components still beyond it are ranked and joined if
+  every class meets every other equally well; else they are settled in rounds: since all company rows prefer the bank
+  row of lower rank, the outcome is the one stable matching, and deferred acceptance finds it whatever the order of proposals.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut, rank_within
+from ledgerline.functions.runtime import HOT_ROWS, cut, rank_within
+
+#: Rows and class edges of a group that one task settles, and rows that a task takes of several groups.
+GROUP_ROWS, GROUP_EDGES, TASK_ROWS = 400_000, 400_000, 50_000
+#: Rounds in which labels of classes spread through a group beyond the bound.
+LABEL_ROUNDS = 6
+_PAIRS = "b_cls binary, c_cls binary, b_id string, c_id string"
 
 
-def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, prefer: Column | None = None) -> DataFrame:
+def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, group: Column, prefer: Column | None = None) -> DataFrame:
     """Pairs ``b_id``, ``c_id`` with the columns of their edge, as a sequential pass over bank rows would make them.
 
-    ``bank`` has ``b_id``, ``b_ord`` and ``b_cls``, ``company`` the same with ``c_``; ``edges`` is a stored table with one
-    row for each pair of classes that may meet, and the numbers of their rows, ``b_n`` and ``c_n`` (counted where absent).
-    A bank row takes the free company row of the highest ``prefer``, then of the first ``c_ord``.
+    ``bank`` has ``b_id``, ``b_ord`` (date, source_row, id) and ``b_cls``, ``company`` the same with ``c_``; ``edges`` has one row for each
+    pair of classes that may meet, and the numbers of their rows, ``b_n`` and ``c_n`` (counted where absent). No edge leads from
+    one ``group`` (a number) to another. A bank row takes the free company row of the highest ``prefer``, then of the first ``c_ord``.
     """
     for p, rows in (("b", bank), ("c", company)):
         if f"{p}_n" not in edges.columns:
             edges = edges.join(rows.groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n")), f"{p}_cls")
-    edges = edges.withColumn("prefer", F.lit(0.0) if prefer is None else prefer)
-    # A group is named by the least hash of the company classes that its bank classes may meet. Two groups of one name
-    # would only count as mixed; numbers alone are aggregated, in hash tables.
-    of_b = edges.groupBy("b_cls").agg(F.min(F.xxhash64("c_cls")).alias("group"), F.count(F.lit(1)).alias("b_met"))
-    named = edges.select("b_cls", "c_cls", "b_n", "c_n", "prefer").join(of_b, "b_cls")
-    of_c = named.groupBy("c_cls").agg((F.min("group") != F.max("group")).alias("across"), F.count(F.lit(1)).alias("c_met"))
-    named = cut(named.join(of_c, "c_cls"))
+    met = lambda p: F.count(F.lit(1)).over(W.partitionBy(f"{p}_cls"))
+    edges = edges.withColumns({"prefer": F.lit(0.0) if prefer is None else prefer, "group": group})
+    edges = cut(edges.withColumn("b_met", met("b")).withColumn("c_met", met("c")))
+    alone = (F.col("b_met") == 1) & (F.col("c_met") == 1)
+    most = lambda where, c: F.max(F.when(where, F.col(c))).alias(c)
+    known = edges.agg(most(alone, "b_n"), most(alone, "c_n"), F.count_if(~alone).alias("others")).first()
+    named = edges.select("b_cls", "c_cls", "b_n", "c_n", "prefer", "group", "b_met", "c_met")
+    pairs = _in_turn(bank, company, named.filter(alone), ["b_cls"], ["c_cls"], known.b_n or 0, known.c_n or 0)
+    if known.others:
+        pairs = pairs.unionByName(_settled(bank, company, named.filter(~alone)))
+    return pairs.join(edges.drop("group", "b_met", "c_met"), ["b_cls", "c_cls"])
+
+
+def _in_turn(bank: DataFrame, company: DataFrame, edges: DataFrame, b_keys: list[str], c_keys: list[str], b_most: int, c_most: int) -> DataFrame:
+    """The k-th bank row of ``b_keys`` with the k-th company row of ``c_keys``, of the classes of ``edges``."""
+    def ranked(rows: DataFrame, p: str, keys: list[str], most: int) -> DataFrame:
+        own = list(dict.fromkeys([f"{p}_cls", *keys, *(c_keys if p == "b" else [])]))
+        met = rows.join(edges.select(own).distinct() if b_keys == c_keys else edges.select(own), f"{p}_cls")
+        return rank_within(met.select(*own, f"{p}_ord", f"{p}_id"), keys, f"{p}_ord", "turn", most)
+
+    left, right = ranked(bank, "b", b_keys, b_most), ranked(company, "c", c_keys, c_most)
+    return left.join(right, [*c_keys, "turn"]).select("b_cls", "c_cls", "b_id", "c_id")
+
+
+def _weights(edges: DataFrame) -> DataFrame:
+    """Class edges and rows of each group: a class stands in as many edges as it meets classes."""
+    rows = F.sum(F.col("b_n") / F.col("b_met") + F.col("c_n") / F.col("c_met"))
+    return edges.groupBy("group").agg(F.count(F.lit(1)).alias("edges"), rows.alias("rows"))
+
+
+def _settled(bank: DataFrame, company: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of rows of ``edges`` (with ``group``, ``b_met``, ``c_met``), group by group where these are within the bound."""
+    large = (F.col("edges") > GROUP_EDGES) | (F.col("rows") > GROUP_ROWS)
+    sizes = _weights(edges)
+    seen = sizes.agg(F.count_if(large).alias("large"), F.sum(F.when(~large, F.col("rows") + F.col("edges"))).alias("size")).first()
+    if not seen.large:
+        return _passes(bank, company, edges, seen.size or 0)
+    sizes = cut(sizes)
+    small = edges.join(sizes.filter(~large).select("group"), "group")
+    parts = cut(_components(edges.join(sizes.filter(large).select("group"), "group")))
+    sizes = cut(_weights(parts).join(parts.groupBy("group").agg(F.max("open").alias("open")), "group"))
+    large = large | F.col("open")
+    closed = parts.join(sizes.filter(~large).select("group"), "group").select(small.columns)
+    small = cut(small.unionByName(closed))
+    out = _passes(bank, company, small, _weights(small).agg(F.sum(F.col("rows") + F.col("edges"))).first()[0] or 0)
+    beyond = parts.join(sizes.filter(large).select("group"), "group").select(small.columns)
+    return out if beyond.isEmpty() else out.unionByName(_beyond(bank, company, beyond))
+
+
+def _components(edges: DataFrame) -> DataFrame:
+    """``edges`` with a ``group`` for each connected component, as far as labels come in LABEL_ROUNDS; ``open`` where they have not met."""
+    label = cut(edges.withColumn("group", F.xxhash64("c_cls")))
+    for _ in range(LABEL_ROUNDS):
+        least = lambda p: F.min("group").over(W.partitionBy(f"{p}_cls"))
+        label = cut(label.withColumn("group", least("b")).withColumn("group", least("c")))
+        ends = lambda p: F.min("group").over(W.partitionBy(f"{p}_cls")) != F.max("group").over(W.partitionBy(f"{p}_cls"))
+        label = cut(label.withColumn("open", ends("b")).withColumn("open", F.col("open") | ends("c")))
+        if label.filter("open").isEmpty():
+            break
+        label = label.drop("open")
+    return label if "open" in label.columns else label.withColumn("open", ends("b")).withColumn("open", F.col("open") | ends("c"))
+
+
+def _passes(bank: DataFrame, company: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """Sequential passes: edges and rows of a group meet in one task, which takes about TASK_ROWS of them."""
+    parts = max(1, int(size // TASK_ROWS) + 1)
+    none = {"b_cls": "binary", "c_cls": "binary", "prefer": "double", "date": "date", "source_row": "long", "id": "string"}
+    part = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("part")
+    shape = lambda df, **given: df.select(part, *[given[c].alias(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in none.items()])
+
+    def rows(side: DataFrame, p: str) -> DataFrame:
+        met = side.join(edges.select(f"{p}_cls", "group").distinct(), f"{p}_cls")
+        return shape(met, **{f"{p}_cls": F.col(f"{p}_cls"), "date": F.col(f"{p}_ord.date"), "source_row": F.col(f"{p}_ord.source_row").cast("long"), "id": F.col(f"{p}_id")})
+
+    links = shape(edges, **{c: F.col(c) for c in ("b_cls", "c_cls", "prefer")})
+    return links.unionByName(rows(bank, "b")).unionByName(rows(company, "c")).groupBy("part").applyInArrow(_pass, _PAIRS)
+
+
+def _pass(table: pa.Table) -> pa.Table:
+    """One pass over the groups of a task. Rows have one class, edges two."""
+    order: Callable = lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2])  # noqa: E731  null first, as in Spark
+    wishes: dict[bytes, dict[float, list[bytes]]] = {}
+    free: dict[bytes, list[tuple]] = {}
+    rows: list[tuple] = []
+    names = ("b_cls", "c_cls", "prefer", "date", "source_row", "id")
+    for b, c, prefer, *place in zip(*(table[n].to_pylist() for n in names), strict=True):
+        if b is not None and c is not None:
+            wishes.setdefault(b, {}).setdefault(-prefer, []).append(c)
+        elif b is not None:
+            rows.append((order(place), b))
+        else:
+            free.setdefault(c, []).append(order(place))
+    rows.sort()
+    for places in free.values():
+        places.sort(reverse=True)  # the head is the last
+    tiers: dict[bytes, list[list[tuple]]] = {}
+    out: list[tuple] = []
+    for place, b in rows:
+        if b not in tiers:
+            tiers[b] = [[(free[c][-1], c) for c in cs if free.get(c)] for _, cs in sorted(wishes[b].items(), reverse=True)]
+            for heads in tiers[b]:
+                heapq.heapify(heads)
+        left = tiers[b]
+        while left:
+            heads = left[-1]
+            if not heads:
+                left.pop()
+                continue
+            head, c = heads[0]
+            places = free[c]
+            if places and places[-1] == head:
+                places.pop()
+                out.append((b, c, place[-1], head[-1]))
+                break
+            if places:  # others have taken from this class
+                heapq.heapreplace(heads, (places[-1], c))
+            else:
+                heapq.heappop(heads)
+    columns = list(zip(*out, strict=True)) or [[]] * 4
+    kinds = (pa.binary(), pa.binary(), pa.string(), pa.string())
+    return pa.table({n: pa.array(v, k) for n, v, k in zip(("b_cls", "c_cls", "b_id", "c_id"), columns, kinds, strict=True)})
+
+
+def _beyond(bank: DataFrame, company: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pairs of rows of groups beyond the bound: ranked and joined where every class meets every other equally well, else in rounds."""
     ends = [f(c).alias(f"{p}_{c}") for c in ("b_met", "c_met", "prefer") for p, f in (("lo", F.min), ("hi", F.max))]
-    sizes = named.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n"), *ends, F.bool_or("across").alias("across"), F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c")
-    )
+    sizes = edges.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *ends, F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c"))
     groups = cut(sizes.select(
         "group",
         # where all bank classes meet as many, and all company classes, every pair meets if the product is the number of edges
-        F.expr("across or lo_b_met <> hi_b_met or lo_c_met <> hi_c_met or n <> hi_b_met * hi_c_met or lo_prefer <> hi_prefer").alias("mixed"),
+        F.expr("lo_b_met <> hi_b_met or lo_c_met <> hi_c_met or n <> hi_b_met * hi_c_met or lo_prefer <> hi_prefer").alias("mixed"),
         F.expr("sum_b div hi_b_met").alias("b_rows"), F.expr("sum_c div hi_c_met").alias("c_rows"),
     ))
-    known = groups.agg(
-        F.bool_or("mixed").alias("mixed"), *[F.max(F.expr(f"if(mixed, 0, {c})")).alias(c) for c in ("b_rows", "c_rows")]
-    ).first()
-    whole = named.join(groups.filter("not mixed").select("group"), "group") if known.mixed else named
-    ranked = lambda rows, p, most: rank_within(
-        rows.join(whole.select(f"{p}_cls", "group").distinct(), f"{p}_cls").select("group", f"{p}_ord", f"{p}_id", f"{p}_cls"),
-        ["group"], f"{p}_ord", "turn", most or 0,
-    )
-    pairs = ranked(bank, "b", known.b_rows).join(ranked(company, "c", known.c_rows), ["group", "turn"])
-    pairs = pairs.select("b_cls", "c_cls", "b_id", "c_id")
-    if known.mixed:
-        left = named.join(groups.filter("mixed").select("group"), "group")
-        met = bank.join(left, "b_cls").join(company, "c_cls")
-        won = priority_match(met.select(
-            "b_cls", "c_cls", "b_id", "c_id", F.col("b_id").alias("b"), F.col("c_id").alias("c"), F.col("b_ord").alias("b_rank"),
-            F.col("b_cls").alias("cls"), F.struct(-F.col("prefer"), F.col("c_ord")).alias("wish"),
-        ))
-        pairs = pairs.unionByName(won.select(pairs.columns))
-    return pairs.join(edges, ["b_cls", "c_cls"])
+    known = groups.agg(F.bool_or("mixed").alias("mixed"), *[F.max(F.expr(f"if(mixed, 0, {c})")).alias(c) for c in ("b_rows", "c_rows")]).first()
+    whole = edges.join(groups.filter("not mixed").select("group"), "group")
+    pairs = _in_turn(bank, company, whole, ["group"], ["group"], known.b_rows, known.c_rows)
+    if not known.mixed:
+        return pairs
+    met = bank.join(edges.join(groups.filter("mixed").select("group"), "group"), "b_cls").join(company, "c_cls")
+    won = priority_match(met.select(
+        "b_cls", "c_cls", "b_id", "c_id", F.col("b_id").alias("b"), F.col("c_id").alias("c"), F.col("b_ord").alias("b_rank"),
+        F.col("b_cls").alias("cls"), F.struct(-F.col("prefer"), F.col("c_ord")).alias("wish"),
+    ))
+    return pairs.unionByName(won.select(pairs.columns))
 
 
 def priority_match(edges: DataFrame) -> DataFrame:

@@ -110,9 +110,12 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return out.withColumns({c: F.when(same, F.col(c)).otherwise(0.0) for c in scores})
 
 
-def _assigned(bank: DataFrame, company: DataFrame, scored: DataFrame, prefer: Column | None = None) -> DataFrame:
-    """One-to-one pairs of rows from the scored pairs of classes that may meet; by order alone, or the surest first."""
-    return match_classes(_rows(bank, "b"), _rows(company, "c"), cut(scored), prefer)
+def _assigned(bank: DataFrame, company: DataFrame, scored: DataFrame, keys: tuple[str, ...], prefer: Column | None = None) -> DataFrame:
+    """One-to-one pairs of rows from the scored pairs of classes that may meet; by order alone, or the surest first.
+
+    All pairs agree in ``keys``; that two values can share a number does no harm.
+    """
+    return match_classes(_rows(bank, "b"), _rows(company, "c"), scored, F.xxhash64("reconciliation_id", "b_type", *keys), prefer)
 
 
 def _result(pairs: DataFrame, stage: str, status: Column, kind: Column, confidence: Column, reasons: Column) -> DataFrame:
@@ -137,7 +140,7 @@ def match_exact(bank: DataFrame, company: DataFrame) -> DataFrame:
         c.withColumns({k: F.col(v.replace("b_", "c_")) for k, v in key.items()}), ["reconciliation_id", "type", *key]
     ).drop(*key)
     same_ref = (F.col("b_reference") != "") & (F.upper("b_reference") == F.upper("c_reference"))
-    won = _assigned(bank, company, score_pairs(pairs).filter(same_ref | (F.col("desc_score") >= 0.85)))
+    won = _assigned(bank, company, score_pairs(pairs).filter(same_ref | (F.col("desc_score") >= 0.85)), ("b_amount", "b_date"))
     kind = F.when(same_ref & (F.col("desc_score") < 0.85), "REFERENCE").otherwise("EXACT")
     why = F.concat(F.array(F.lit("Amount matched"), F.lit("Date matched"), F.lit("Direction matched")), _first_two())
     return _result(won, "EXACT", F.lit("MATCHED"), kind, F.greatest("confidence", F.lit(0.95)), why)
@@ -149,8 +152,8 @@ def match_reference(bank: DataFrame, company: DataFrame) -> DataFrame:
     A MATCHED pair can differ in amount or date.
     """
     keyed = lambda side, p: _classes(side, p).filter(f"{p}_reference <> ''").withColumn("key", F.upper(F.trim(f"{p}_reference")))
-    pairs = keyed(bank, "b").join(keyed(company, "c"), ["reconciliation_id", "type", "key"]).drop("key")
-    won = _assigned(bank, company, score_pairs(pairs).filter((F.col("diff") == 0) | (F.col("confidence") >= REFERENCE)))
+    pairs = keyed(bank, "b").join(keyed(company, "c"), ["reconciliation_id", "type", "key"])
+    won = _assigned(bank, company, score_pairs(pairs).filter((F.col("diff") == 0) | (F.col("confidence") >= REFERENCE)), ("key",))
     why = F.concat(F.array(F.lit("Reference / UTR matched exactly")), _first_two())
     status = F.when(F.col("confidence") >= SURE, "MATCHED").otherwise("PROBABLE_MATCH")
     return _result(won, "REFERENCE", status, F.lit("REFERENCE"), F.col("confidence"), why)
@@ -194,7 +197,7 @@ def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
 def match_fuzzy(bank: DataFrame, company: DataFrame) -> DataFrame:
     """The free company row of the highest score from .75: MATCHED from .90 with equal amount and date."""
     scored = score_pairs(fuzzy_candidates(bank, company)).filter(F.col("confidence") >= FUZZY)
-    won = _assigned(bank, company, scored, F.col("confidence"))
+    won = _assigned(bank, company, scored, (), F.col("confidence"))
     sure = (F.col("confidence") >= SURE) & (F.col("days") == 0) & (F.col("diff") == 0)
     status = F.when(sure, "MATCHED").otherwise("PROBABLE_MATCH")
     kind = F.when(F.col("days") > 0, "DATE_TOLERANCE").otherwise("FUZZY")
@@ -206,7 +209,7 @@ def match_date_tolerance(bank: DataFrame, company: DataFrame) -> DataFrame:
     b, c = _classes(bank, "b").withColumn("amount", F.col("b_amount")), _classes(company, "c").withColumn("amount", F.col("c_amount"))
     pairs = b.join(c, ["reconciliation_id", "type", "amount"]).drop("amount")
     pairs = pairs.filter(S.days_apart(F.col("b_date"), F.col("c_date")).between(1, WINDOW_DAYS))
-    won = _assigned(bank, company, score_pairs(pairs).filter(F.col("confidence") >= TOLERANT))
+    won = _assigned(bank, company, score_pairs(pairs).filter(F.col("confidence") >= TOLERANT), ("b_amount",))
     lead = F.concat(F.lit("Amount matches; date differs by "), F.col("days").cast("string"), F.lit(" days (timing window)"))
     return _result(won, "DATE_TOLERANCE", F.lit("PROBABLE_MATCH"), F.lit("DATE_TOLERANCE"), F.col("confidence"), F.concat(F.array(lead), _first_two()))
 

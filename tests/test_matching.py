@@ -169,17 +169,70 @@ def test_ranks_over_ranges(spark, monkeypatch):
         assert [t for _, t in mine] == list(range(1, len(mine) + 1))
 
 
-def test_classes_in_rounds_are_serial_choice(spark):
-    rng = random.Random(3)
-    bank = [(f"b{i:02d}", rng.randrange(5)) for i in range(40)]
-    company = [(f"c{i:02d}", rng.randrange(6)) for i in range(40)]
-    edges = {(x, y): rng.choice([0.8, 0.9]) for x in range(5) for y in range(6) if rng.random() < 0.4}
+def classes_and_rows(spark, rng, n_bank, n_company, kinds, share):
+    bank = [(f"b{i:02d}", rng.randrange(kinds)) for i in range(n_bank)]
+    company = [(f"c{i:02d}", rng.randrange(kinds + 1)) for i in range(n_company)]
+    edges = {(x, y): rng.choice([0.8, 0.9]) for x in range(kinds) for y in range(kinds + 1) if rng.random() < share}
     free, expected = set(), set()
     for b, x in bank:
         fit = sorted((-edges[x, y], c) for c, y in company if (x, y) in edges and c not in free)
         if fit:
             free.add(fit[0][1]), expected.add((b, fit[0][1]))
-    frame = lambda rows, p: spark.createDataFrame(rows, f"{p}_id string, {p}_cls int").withColumn(f"{p}_ord", F.col(f"{p}_id"))
-    e = spark.createDataFrame([(x, y, w) for (x, y), w in edges.items()], "b_cls int, c_cls int, w double")
-    got = assign.match_classes(frame(bank, "b"), frame(company, "c"), e, F.col("w"))
-    assert {(r.b_id, r.c_id) for r in got.collect()} == expected
+
+    def frame(rows, p):
+        df = spark.createDataFrame(rows, f"{p}_id string, cls int")
+        place = F.struct(F.lit(None).cast("date").alias("date"), F.lit(1).alias("source_row"), F.col(f"{p}_id").alias("id"))
+        return df.select(f"{p}_id", place.alias(f"{p}_ord"), F.col("cls").cast("string").cast("binary").alias(f"{p}_cls"))
+
+    e = spark.createDataFrame([(str(x).encode(), str(y).encode(), w) for (x, y), w in edges.items()], "b_cls binary, c_cls binary, w double")
+    return frame(bank, "b"), frame(company, "c"), e, expected
+
+
+@pytest.mark.parametrize("bound", [None, 0, 12])
+def test_classes_are_serial_choice(spark, monkeypatch, bound):
+    rng = random.Random(3)
+    if bound is not None:  # groups beyond the bound: components, and rounds across those still beyond it
+        monkeypatch.setattr(assign, "GROUP_ROWS", bound)
+    for kinds, share in ((5, 0.4), (20, 0.05)):
+        bank, company, e, expected = classes_and_rows(spark, rng, 40, 40, kinds, share)
+        got = assign.match_classes(bank, company, e, F.lit(0), F.col("w"))
+        assert {(r.b_id, r.c_id) for r in got.collect()} == expected
+
+
+def test_a_group_beyond_the_bound_with_long_chains(spark, monkeypatch):
+    monkeypatch.setattr(assign, "GROUP_ROWS", 10)
+    monkeypatch.setattr(assign, "LABEL_ROUNDS", 2)
+    name = lambda i: str(i).encode()
+    chain = [(name(i), name(j), 1.0) for i in range(14) for j in (i, i + 1)] + [(name(100), name(100), 1.0), (name(100), name(101), 1.0)]
+    side_ = lambda p, ids: spark.createDataFrame([(f"{p}{i:03d}", i) for i in ids], f"{p}_id string, cls int").select(
+        f"{p}_id", F.struct(F.lit(None).cast("date").alias("date"), F.lit(1).alias("source_row"), F.col(f"{p}_id").alias("id")).alias(f"{p}_ord"),
+        F.col("cls").cast("string").cast("binary").alias(f"{p}_cls"))
+    got = assign.match_classes(side_("b", [*range(14), 100]), side_("c", [*range(15), 100, 101]), spark.createDataFrame(chain, "b_cls binary, c_cls binary, w double"), F.lit(0))
+    assert {(r.b_id, r.c_id) for r in got.collect()} == {(f"b{i:03d}", f"c{i:03d}") for i in [*range(14), 100]}
+
+
+def stored_steps(monkeypatch):
+    seen = []
+    for module in (assign, R):
+        monkeypatch.setattr(module, "cut", lambda df, f=module.cut: (seen.append(1), f(df))[1])
+    return seen
+
+
+def test_alike_texts_with_one_odd_pair_take_few_stored_steps(spark, monkeypatch):
+    texts = [f"monthly salary payment of staff member {i:02d}" for i in range(24)]
+    rows = lambda p, odd: side(spark, [(f"{p}{i:02d}", 0, t, "100.00", "DEBIT", None) for i, t in enumerate([*texts, odd])], "X")
+    seen = stored_steps(monkeypatch)
+    bank, company = rows("B", "rent"), rows("C", "monthly salary payment")
+    got = {(m.bank_transaction_id, m.company_transaction_id) for m in R.match_exact(bank, company).collect()}
+    assert len(seen) <= 8
+    order = lambda d: sorted(d.collect(), key=lambda r: r.id)
+    assert got == {(b, c) for stage, b, c in sequential(order(bank), order(company)) if stage == "EXACT"}
+
+
+def test_many_equal_rows_and_an_odd_one_without_pairs_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(assign, "priority_match", lambda *a: pytest.fail("no rounds are needed"))
+    n = 10_000
+    rows = lambda p, odd: side(spark, [*[(f"{p}{i:05d}", 0, "salary october", "100.00", "DEBIT", None) for i in range(n)], (f"{p}{n}", 0, odd, "100.00", "DEBIT", None)], "X")
+    seen = stored_steps(monkeypatch)
+    got = R.match_exact(rows("B", "salary october staff"), rows("C", "october salary")).collect()
+    assert sorted((m.bank_transaction_id, m.company_transaction_id) for m in got) == [(f"B{i:05d}", f"C{i:05d}") for i in range(n + 1)] and len(seen) <= 8
