@@ -640,7 +640,7 @@ def s_write_output(spark, sf_dir):
     rows = cut(V.canonical_transactions(_normalized(spark, sf_dir)).select("parse_job_id", "id", "amount"))
     T.write_job_output(rows, path)
     T.write_job_output(rows.filter("parse_job_id = 'JOB_1'").withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")), path)
-    return spark.read.parquet(path).groupBy("parse_job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
+    return T.read_job_output(spark, path).groupBy("parse_job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
 @query("""

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions.runtime import cut
+from ledgerline.sources.store import read_parts, write_parts
 
 #: Accepted extensions, size limit, delimiters in order of preference, header keywords.
 EXTENSIONS = (".csv", ".tsv", ".xlsx", ".xls", ".pdf")
@@ -216,9 +217,17 @@ def extract_rows(files: DataFrame, lines: DataFrame, grid: DataFrame) -> DataFra
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def write_job_output(df: DataFrame, path: str) -> None:
-    """Write rows under their job; a job that runs again replaces exactly its own rows."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parse_job_id").parquet(path)
+def write_job_output(df: DataFrame, path: str, jobs: DataFrame | None = None) -> None:
+    """Write rows under their job; a job that runs again replaces exactly its own rows, all or nothing.
+
+    ``jobs`` (``parse_job_id``) are the jobs that have run, those without rows too; by default the jobs of ``df``.
+    """
+    write_parts(df, path, "parse_job_id", jobs)
+
+
+def read_job_output(spark: SparkSession, path: str, jobs: DataFrame | None = None) -> DataFrame:
+    """The rows that the last run of each job has written, of all jobs or of ``jobs``."""
+    return read_parts(spark, path, only=None if jobs is None else jobs.select(F.concat(F.lit("p_"), "parse_job_id").alias("part")))
 
 
 def _nested(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:
@@ -266,6 +275,10 @@ def export_statement_package(transactions: DataFrame, errors: DataFrame, totals:
     return met.join(rows, ["parse_job_id", "part"], "left").join(bad, ["parse_job_id", "part"], "left")
 
 
-def write_statement_packages(packages: DataFrame, path: str) -> None:
-    """Write packages as JSON lines under their jobs; a job that is exported again replaces exactly its own."""
-    packages.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("parse_job_id").json(path)
+def write_statement_packages(packages: DataFrame, path: str, jobs: DataFrame | None = None) -> None:
+    """Write packages as JSON lines under their jobs; a job that is exported again replaces exactly its own, all or nothing."""
+    write_parts(packages, path, "parse_job_id", jobs, "json")
+
+
+def read_statement_packages(spark: SparkSession, path: str) -> DataFrame:
+    return read_parts(spark, path, "json")

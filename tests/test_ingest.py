@@ -80,7 +80,7 @@ def test_learned_rules_and_output(spark, tmp_path):
     out = str(tmp_path / "out")
     T.write_job_output(spark.createDataFrame([(1, "a"), (2, "b")], "x int, parse_job_id string"), out)
     T.write_job_output(spark.createDataFrame([(3, "b")], "x int, parse_job_id string"), out)
-    assert sorted(r.x for r in spark.read.parquet(out).collect()) == [1, 3]
+    assert sorted(r.x for r in T.read_job_output(spark, out).collect()) == [1, 3]
 
 
 def test_formats_and_lines(spark):
@@ -109,7 +109,8 @@ def test_package_holds_every_row(spark, monkeypatch, tmp_path):
     assert [p.control_totals and p.control_totals.transaction_count for p in got] == [5, 5, 5, 1, None]
     T.write_statement_packages(packages, str(tmp_path / "p"))
     T.write_statement_packages(packages.filter("parse_job_id = 'B'"), str(tmp_path / "p"))
-    assert spark.read.json(str(tmp_path / "p")).count() == 5
+    back = T.read_statement_packages(spark, str(tmp_path / "p"))
+    assert back.count() == 5 and back.columns == packages.columns
 
 
 HDFC = """BANK STATEMENT OF ACCOUNT
