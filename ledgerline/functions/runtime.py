@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table below the checkpoint folder and go on from there.
+
+    As ``cut``, but the rows are computed once (a checkpoint computes its last stage twice), later steps read only the columns
+    that they use, and Spark knows the table's size when it picks a join. The tables go when the application ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    root = f"{spark.sparkContext.getCheckpointDir()}/steps"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: A key is hot when it holds more than HOT_ROWS rows and more than one row in HOT_SHARE; at most HOT_SHARE keys can be.
 HOT_ROWS, HOT_SHARE = 100_000, 1000
 

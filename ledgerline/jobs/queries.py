@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as N
 from ledgerline.functions import scoring as S
-from ledgerline.functions.runtime import cut, ensure_checkpoint_dir
+from ledgerline.functions.runtime import ensure_checkpoint_dir, stored
 from ledgerline.jobs import fixtures as X
 from ledgerline.jobs import oracles as O
 from ledgerline.operators import anomalies as A
@@ -297,9 +297,9 @@ def r_unmatched_company(spark, sf_dir):
 
 
 def _run(spark, sf_dir):
-    bank, ledger = (cut(s) for s in X.sides(spark, sf_dir))
+    bank, ledger = (stored(s) for s in X.sides(spark, sf_dir))
     matches, left = R.match_pipeline(bank, ledger)
-    matches = cut(matches)
+    matches = stored(matches)
     return bank, ledger, matches, A.detect_anomalies(bank, ledger, matches, left)
 
 
@@ -386,7 +386,7 @@ FROM {O.NAMED_MATCHES} m LEFT JOIN sure s ON s.b = m.bank_transaction_id AND s.c
 def a_apply_reviews(spark, sf_dir):
     """A8, its matches: a confirmation of a pair holds although a later review of the anomaly is another action."""
     _, _, matches, found = _run(spark, sf_dir)
-    found = cut(found)
+    found = stored(found)
     out = A.apply_anomaly_reviews(found, matches, _reviews(found))[1]
     return out.select("id", "bank_transaction_id", "company_transaction_id", "status", "confidence")
 
@@ -395,7 +395,7 @@ def a_apply_reviews(spark, sf_dir):
 def a_reviewed_anomalies(spark, sf_dir):
     """A8, its anomalies: the latest action of each review is none that confirms."""
     _, _, matches, found = _run(spark, sf_dir)
-    found = cut(found)
+    found = stored(found)
     return A.apply_anomaly_reviews(found, matches, _reviews(found))[0].select("id", "type", "status")
 
 
@@ -618,7 +618,7 @@ SELECT parse_job_id, 0 AS part, CASE WHEN greatest(n, errors) > 50000 THEN 2 ELS
 FROM t JOIN e USING (parse_job_id) JOIN m USING (parse_job_id)""")
 def s_statement_package(spark, sf_dir):
     """S13: what stands in the packages."""
-    rows = cut(_normalized(spark, sf_dir))
+    rows = stored(_normalized(spark, sf_dir))
     good = V.canonical_transactions(rows)
     jobs = V.job_counters(rows).withColumns({
         "reconciliation_id": F.lit("REC"), "source_id": F.lit("SRC"), "source_type": F.lit("BANK_STATEMENT"), "filename": F.lit("orders.csv"), "file_type": F.lit("CSV"),
@@ -637,7 +637,7 @@ def s_write_output(spark, sf_dir):
     """S12: all jobs are written, one is written again with doubled amounts, and the folder is read back."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/output-{uuid.uuid4().hex}"
-    rows = cut(V.canonical_transactions(_normalized(spark, sf_dir)).select("parse_job_id", "id", "amount"))
+    rows = stored(V.canonical_transactions(_normalized(spark, sf_dir)).select("parse_job_id", "id", "amount"))
     T.write_job_output(rows, path)
     T.write_job_output(rows.filter("parse_job_id = 'JOB_1'").withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")), path)
     return T.read_job_output(spark, path).groupBy("parse_job_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"))
@@ -687,7 +687,7 @@ def _candidates(rows):
 
 
 def _mapped(spark, sf_dir):
-    rows = cut(T.extract_delimited_rows(X.raw_files(spark, sf_dir)))
+    rows = stored(T.extract_delimited_rows(X.raw_files(spark, sf_dir)))
     return rows, M.infer_column_mappings(_candidates(rows))
 
 
@@ -707,7 +707,7 @@ maps(source_column, target_field, confidence, method) AS (VALUES ('Posted', 'dat
 SELECT 'FILE_' || k::VARCHAR AS file_id, source_column, target_field, confidence, method, 0.86::DOUBLE AS file_confidence, 'READY_FOR_EXECUTION' AS status FROM files, maps""")
 def m_content_mappings(spark, sf_dir):
     """M5, M6, M8, M11."""
-    maps = cut(M.infer_column_mappings(_candidates(cut(_unnamed(spark, sf_dir)))))
+    maps = stored(M.infer_column_mappings(_candidates(stored(_unnamed(spark, sf_dir)))))
     whole = M.mapping_confidence(maps).withColumnRenamed("confidence", "file_confidence")
     return maps.join(whole, "file_id").select("file_id", "source_column", "target_field", "confidence", "method", "file_confidence", "status")
 
@@ -748,7 +748,7 @@ def m_mapping_confidence(spark, sf_dir):
 @query(f"{_LAYOUTS} SELECT 'FILE_' || k::VARCHAR AS file_id, source_column, target_field, 1.0::DOUBLE AS confidence, 'learned' AS method FROM files JOIN maps ON k % 3 = kind")
 def m_learned_rules(spark, sf_dir):
     """M9, M10: the rules of the first customers' layouts laid over all files."""
-    maps = cut(_mapped(spark, sf_dir)[1].withColumn("source_type", F.lit("BANK_STATEMENT")))
+    maps = stored(_mapped(spark, sf_dir)[1].withColumn("source_type", F.lit("BANK_STATEMENT")))
     rules = M.learn_rules(maps, 1).dropDuplicates(["source_type", "source_column"])
     return M.overlay_learned_rules(maps, rules).select("file_id", "source_column", "target_field", "confidence", "method")
 
@@ -760,7 +760,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey""")
 def w_user_mapping(spark, sf_dir):
     """M12: in files of even customers the user has debit and credit changed over and maps no description but the reference."""
     rows, maps = _mapped(spark, sf_dir)
-    maps = cut(maps)
+    maps = stored(maps)
     even = F.regexp_extract("file_id", r"(\d+)$", 1).cast("long") % 2 == 0
     turned = F.when(F.col("target_field") == "debit", "credit").when(F.col("target_field") == "credit", "debit").otherwise(F.col("target_field"))
     user = maps.filter(even & F.col("target_field").isin("date", "debit", "credit", "reference")).withColumn("target_field", turned)
@@ -777,13 +777,13 @@ def w_files_to_matches(spark, sf_dir):
     bank = X.raw_files(spark, sf_dir).withColumns({"kind": F.lit("BANK_STATEMENT"), "source_id": F.lit("SRC_BANK")})
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~x.rlike(r"UTR\d*7([,;|\t]|$)")), "\n")
     ledger = bank.withColumns({"text": kept, "kind": F.lit("ACCOUNTING_LEDGER"), "source_id": F.lit("SRC_LEDGER"), "file_id": F.concat(F.lit("L"), "file_id")})
-    files = cut(bank.unionByName(ledger))
-    rows = cut(T.extract_delimited_rows(files))
+    files = stored(bank.unionByName(ledger))
+    rows = stored(T.extract_delimited_rows(files))
     maps = M.infer_column_mappings(_candidates(rows))
     rec = F.concat(F.lit("REC_"), (F.regexp_extract("file_id", r"(\d+)$", 1).cast("long") % 16).cast("string"))
     origin = files.select("file_id", F.col("kind").alias("source_type"), "source_id", rec.alias("reconciliation_id"))
     mapped = M.apply_mapping(rows, maps).join(origin, "file_id").withColumns({"parse_job_id": F.col("file_id"), "filename": F.lit("statement.csv")})
-    transactions = cut(V.canonical_transactions(V.normalize_rows(mapped)))
+    transactions = stored(V.canonical_transactions(V.normalize_rows(mapped)))
     matches = R.match_pipeline(*R.split_sides(transactions))[0]
     named = lambda p: transactions.select(F.col("id").alias(f"{p}_transaction_id"), F.col("reference").alias(f"{p}_reference"))
     out = matches.join(named("bank"), "bank_transaction_id").join(named("company"), "company_transaction_id", "left")

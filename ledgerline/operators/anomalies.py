@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import stored
 from ledgerline.functions.scoring import money
 from ledgerline.functions.text import with_text_score
 
@@ -42,7 +42,7 @@ def duplicate_pairs(side: DataFrame, threshold: float) -> DataFrame:
     b = side.select(*cols, F.col("date").alias("day"), F.col("date").alias("d2"), F.col("description").alias("t2"),
                     F.col("id").alias("id2"), order.alias("o2"))
     near = a.join(b, [*cols, "day"]).filter("o1 < o2")
-    return with_text_score(cut(near), "t1", "t2").filter(F.col("desc_score") >= threshold).withColumn("days", F.abs(F.date_diff("d2", "d1")))
+    return with_text_score(stored(near), "t1", "t2").filter(F.col("desc_score") >= threshold).withColumn("days", F.abs(F.date_diff("d2", "d1")))
 
 
 def _duplicates(side: DataFrame, threshold: float, severity: str, evidence: list[Column]) -> DataFrame:

@@ -26,20 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import HOT_ROWS, cut, rank_within
+from ledgerline.functions.runtime import HOT_ROWS, rank_within, stored
 
 #: Rows and class edges of a group that one task settles, and rows that a task takes of several groups.
 GROUP_ROWS, GROUP_EDGES, TASK_ROWS = 400_000, 400_000, 50_000
 #: Rounds in which labels of classes spread through a group beyond the bound.
 LABEL_ROUNDS = 6
-_PAIRS = "b_cls binary, c_cls binary, b_id string, c_id string"
+_PAIRS = "b_cls string, c_cls string, b_id string, c_id string"
 
 
 def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, group: Column, prefer: Column | None = None) -> DataFrame:
     """Pairs ``b_id``, ``c_id`` with the columns of their edge, as a sequential pass over bank rows would make them.
 
     ``bank`` has ``b_id``, ``b_ord`` (date, source_row, id) and ``b_cls``, ``company`` the same with ``c_``; ``edges`` has one row for each
-    pair of classes that may meet, and the numbers of their rows, ``b_n`` and ``c_n`` (counted where absent). No edge leads from
+    pair of classes (strings) that may meet, and the numbers of their rows, ``b_n`` and ``c_n`` (counted where absent). No edge leads from
     one ``group`` (a number) to another. A bank row takes the free company row of the highest ``prefer``, then of the first ``c_ord``.
     """
     for p, rows in (("b", bank), ("c", company)):
@@ -47,7 +47,7 @@ def match_classes(bank: DataFrame, company: DataFrame, edges: DataFrame, group:
             edges = edges.join(rows.groupBy(f"{p}_cls").agg(F.count(F.lit(1)).alias(f"{p}_n")), f"{p}_cls")
     met = lambda p: F.count(F.lit(1)).over(W.partitionBy(f"{p}_cls"))
     edges = edges.withColumns({"prefer": F.lit(0.0) if prefer is None else prefer, "group": group})
-    edges = cut(edges.withColumn("b_met", met("b")).withColumn("c_met", met("c")))
+    edges = stored(edges.withColumn("b_met", met("b")).withColumn("c_met", met("c")))
     alone = (F.col("b_met") == 1) & (F.col("c_met") == 1)
     most = lambda where, c: F.max(F.when(where, F.col(c))).alias(c)
     known = edges.agg(most(alone, "b_n"), most(alone, "c_n"), F.count_if(~alone).alias("others")).first()
@@ -82,13 +82,13 @@ def _settled(bank: DataFrame, company: DataFrame, edges: DataFrame) -> DataFrame
     seen = sizes.agg(F.count_if(large).alias("large"), F.sum(F.when(~large, F.col("rows") + F.col("edges"))).alias("size")).first()
     if not seen.large:
         return _passes(bank, company, edges, seen.size or 0)
-    sizes = cut(sizes)
+    sizes = stored(sizes)
     small = edges.join(sizes.filter(~large).select("group"), "group")
-    parts = cut(_components(edges.join(sizes.filter(large).select("group"), "group")))
-    sizes = cut(_weights(parts).join(parts.groupBy("group").agg(F.max("open").alias("open")), "group"))
+    parts = stored(_components(edges.join(sizes.filter(large).select("group"), "group")))
+    sizes = stored(_weights(parts).join(parts.groupBy("group").agg(F.max("open").alias("open")), "group"))
     large = large | F.col("open")
     closed = parts.join(sizes.filter(~large).select("group"), "group").select(small.columns)
-    small = cut(small.unionByName(closed))
+    small = stored(small.unionByName(closed))
     out = _passes(bank, company, small, _weights(small).agg(F.sum(F.col("rows") + F.col("edges"))).first()[0] or 0)
     beyond = parts.join(sizes.filter(large).select("group"), "group").select(small.columns)
     return out if beyond.isEmpty() else out.unionByName(_beyond(bank, company, beyond))
@@ -96,12 +96,12 @@ def _settled(bank: DataFrame, company: DataFrame, edges: DataFrame) -> DataFrame
 
 def _components(edges: DataFrame) -> DataFrame:
     """``edges`` with a ``group`` for each connected component, as far as labels come in LABEL_ROUNDS; ``open`` where they have not met."""
-    label = cut(edges.withColumn("group", F.xxhash64("c_cls")))
+    label = stored(edges.withColumn("group", F.xxhash64("c_cls")))
     for _ in range(LABEL_ROUNDS):
         least = lambda p: F.min("group").over(W.partitionBy(f"{p}_cls"))
-        label = cut(label.withColumn("group", least("b")).withColumn("group", least("c")))
+        label = stored(label.withColumn("group", least("b")).withColumn("group", least("c")))
         ends = lambda p: F.min("group").over(W.partitionBy(f"{p}_cls")) != F.max("group").over(W.partitionBy(f"{p}_cls"))
-        label = cut(label.withColumn("open", ends("b")).withColumn("open", F.col("open") | ends("c")))
+        label = stored(label.withColumn("open", ends("b")).withColumn("open", F.col("open") | ends("c")))
         if label.filter("open").isEmpty():
             break
         label = label.drop("open")
@@ -111,7 +111,7 @@ def _components(edges: DataFrame) -> DataFrame:
 def _passes(bank: DataFrame, company: DataFrame, edges: DataFrame, size: float) -> DataFrame:
     """Sequential passes: edges and rows of a group meet in one task, which takes about TASK_ROWS of them."""
     parts = max(1, int(size // TASK_ROWS) + 1)
-    none = {"b_cls": "binary", "c_cls": "binary", "prefer": "double", "date": "date", "source_row": "long", "id": "string"}
+    none = {"b_cls": "string", "c_cls": "string", "prefer": "double", "date": "date", "source_row": "long", "id": "string"}
     part = F.pmod(F.xxhash64("group"), F.lit(parts)).alias("part")
     shape = lambda df, **given: df.select(part, *[given[c].alias(c) if c in given else F.lit(None).cast(t).alias(c) for c, t in none.items()])
 
@@ -126,8 +126,8 @@ def _passes(bank: DataFrame, company: DataFrame, edges: DataFrame, size: float)
 def _pass(table: pa.Table) -> pa.Table:
     """One pass over the groups of a task. Rows have one class, edges two."""
     order: Callable = lambda r: (r[0] is not None, r[0], r[1] is not None, r[1], r[2])  # noqa: E731  null first, as in Spark
-    wishes: dict[bytes, dict[float, list[bytes]]] = {}
-    free: dict[bytes, list[tuple]] = {}
+    wishes: dict[str, dict[float, list[str]]] = {}
+    free: dict[str, list[tuple]] = {}
     rows: list[tuple] = []
     names = ("b_cls", "c_cls", "prefer", "date", "source_row", "id")
     for b, c, prefer, *place in zip(*(table[n].to_pylist() for n in names), strict=True):
@@ -140,7 +140,7 @@ def _pass(table: pa.Table) -> pa.Table:
     rows.sort()
     for places in free.values():
         places.sort(reverse=True)  # the head is the last
-    tiers: dict[bytes, list[list[tuple]]] = {}
+    tiers: dict[str, list[list[tuple]]] = {}
     out: list[tuple] = []
     for place, b in rows:
         if b not in tiers:
@@ -164,15 +164,14 @@ def _pass(table: pa.Table) -> pa.Table:
             else:
                 heapq.heappop(heads)
     columns = list(zip(*out, strict=True)) or [[]] * 4
-    kinds = (pa.binary(), pa.binary(), pa.string(), pa.string())
-    return pa.table({n: pa.array(v, k) for n, v, k in zip(("b_cls", "c_cls", "b_id", "c_id"), columns, kinds, strict=True)})
+    return pa.table({n: pa.array(v, pa.string()) for n, v in zip(("b_cls", "c_cls", "b_id", "c_id"), columns, strict=True)})
 
 
 def _beyond(bank: DataFrame, company: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of rows of groups beyond the bound: ranked and joined where every class meets every other equally well, else in rounds."""
     ends = [f(c).alias(f"{p}_{c}") for c in ("b_met", "c_met", "prefer") for p, f in (("lo", F.min), ("hi", F.max))]
     sizes = edges.groupBy("group").agg(F.count(F.lit(1)).alias("n"), *ends, F.sum("b_n").alias("sum_b"), F.sum("c_n").alias("sum_c"))
-    groups = cut(sizes.select(
+    groups = stored(sizes.select(
         "group",
         # where all bank classes meet as many, and all company classes, every pair meets if the product is the number of edges
         F.expr("lo_b_met <> hi_b_met or lo_c_met <> hi_c_met or n <> hi_b_met * hi_c_met or lo_prefer <> hi_prefer").alias("mixed"),
@@ -202,7 +201,7 @@ def priority_match(edges: DataFrame) -> DataFrame:
     """
     turn = edges.select("cls", "b", "b_rank").distinct()
     turn = turn.select("b", F.row_number().over(W.partitionBy("cls").orderBy("b_rank")).alias("turn"))
-    live = cut(edges.join(turn, "b").withColumn("pos", F.row_number().over(W.partitionBy("b").orderBy("wish"))))
+    live = stored(edges.join(turn, "b").withColumn("pos", F.row_number().over(W.partitionBy("b").orderBy("wish"))))
     upto = W.partitionBy("cls").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
     while True:
         at = live.groupBy("b").agg(F.min("pos").alias("at"), F.first("cls").alias("cls"), F.first("turn").alias("turn"))
@@ -211,7 +210,7 @@ def priority_match(edges: DataFrame) -> DataFrame:
         best = ahead.filter("not behind").groupBy("b").agg(F.min_by(F.struct("c", "b_rank"), F.col("pos")).alias("p"))
         held = best.groupBy(F.col("p.c").alias("c")).agg(F.min("p.b_rank").alias("held_rank"))
         beaten = F.coalesce(F.col("b_rank") > F.col("held_rank"), F.lit(False))
-        kept = cut(ahead.join(held, "c", "left").withColumn("lost", F.col("behind") | beaten).drop("behind", "held_rank"))
+        kept = stored(ahead.join(held, "c", "left").withColumn("lost", F.col("behind") | beaten).drop("behind", "held_rank"))
         if kept.filter("lost").isEmpty():
             return live.join(best.select("b", F.col("p.c").alias("c")), ["b", "c"]).drop("turn", "pos")
         live = kept.filter("not lost").drop("lost")
@@ -225,18 +224,18 @@ def priority_pairs(hyperedges: DataFrame) -> DataFrame:
     live pair that touches either of its company rows; taken rows and their
     edges go. Exact, and each round takes at least the lowest rank.
     """
-    live, done = cut(hyperedges), None
+    live, done = stored(hyperedges), None
     while not live.isEmpty():
         best = live.groupBy("b").agg(F.min_by(F.struct("c1", "c2", "b_rank"), F.col("wish")).alias("p")).select("b", "p.*")
         ends = live.select(F.explode(F.array("c1", "c2")).alias("c"), "b_rank")
         first = ends.groupBy("c").agg(F.min("b_rank").alias("first_rank"))
         one = first.select(F.col("c").alias("c1"), F.col("first_rank").alias("r1"))
         two = first.select(F.col("c").alias("c2"), F.col("first_rank").alias("r2"))
-        sure = cut(best.join(one, "c1").join(two, "c2").filter((F.col("b_rank") == F.col("r1")) & (F.col("b_rank") == F.col("r2"))).select("b", "c1", "c2"))
+        sure = stored(best.join(one, "c1").join(two, "c2").filter((F.col("b_rank") == F.col("r1")) & (F.col("b_rank") == F.col("r2"))).select("b", "c1", "c2"))
         won = live.join(sure, ["b", "c1", "c2"], "left_semi")
         done = won if done is None else done.unionByName(won)
         used = sure.select(F.explode(F.array("c1", "c2")).alias("u"))
         rest = live.join(sure.select("b"), "b", "left_anti")
         rest = rest.join(used, rest.c1 == used.u, "left_anti").join(used, rest.c2 == used.u, "left_anti")
-        live = cut(rest)
+        live = stored(rest)
     return live if done is None else done

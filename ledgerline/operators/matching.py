@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scoring as S
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import stored
 from ledgerline.functions.text import with_text_score
 from ledgerline.operators.assign import match_classes, priority_pairs
 
@@ -68,22 +68,26 @@ def _class_fields() -> list[Column]:
 
 
 def _class_name() -> Column:
-    """A class by the SHA-256 digest of its fields, each with its length (-1 if null): 32 bytes, whatever the length of the texts."""
-    texts = [c.cast("string") for c in _class_fields()]
-    parts = [p for c in texts for p in (F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.coalesce(c, F.lit("")))]
-    return F.unhex(F.sha2(F.concat_ws("|", *parts), 256))
+    """A class by two 64-bit hashes of its fields and of which of them are null: 128 bits, whatever the length of the texts."""
+    parts = [*[F.col(c).isNull() for c in _CLASS[:4]], *_class_fields()]
+    return F.concat_ws(":", *[F.xxhash64(F.lit(seed), *parts).cast("string") for seed in (1, 2)])
+
+
+def with_classes(side: DataFrame) -> DataFrame:
+    """A stored side with the name of each row's class, ``cls``; one that has it already as it is."""
+    return side if "cls" in side.columns else stored(side.withColumn("cls", _class_name()))
 
 
 def _rows(side: DataFrame, p: str) -> DataFrame:
     """Id, place in the order and class of each row."""
-    return side.select(F.col("id").alias(f"{p}_id"), F.struct("date", "source_row", "id").alias(f"{p}_ord"), _class_name().alias(f"{p}_cls"))
+    return with_classes(side).select(F.col("id").alias(f"{p}_id"), F.struct("date", "source_row", "id").alias(f"{p}_ord"), F.col("cls").alias(f"{p}_cls"))
 
 
 def _classes(side: DataFrame, p: str) -> DataFrame:
     """The distinct classes of a side, their numbers of rows, and their fields: ``reconciliation_id``, ``type`` and the others by prefix."""
-    classes = side.select(*_class_fields()).groupBy(*_CLASS).agg(F.count(F.lit(1)).alias(f"{p}_n"))
+    classes = with_classes(side).select("cls", *_class_fields()).groupBy("cls", *_CLASS).agg(F.count(F.lit(1)).alias(f"{p}_n"))
     own = [F.col(c).alias(f"{p}_{c}") for c in _CLASS[2:]]
-    return classes.select(_class_name().alias(f"{p}_cls"), f"{p}_n", "reconciliation_id", "type", *own)
+    return classes.select(F.col("cls").alias(f"{p}_cls"), f"{p}_n", "reconciliation_id", "type", *own)
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
@@ -94,7 +98,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     days = S.days_apart(F.col("b_date"), F.col("c_date"))
     if "type" in pairs.columns:
         pairs = pairs.withColumns({"b_type": F.col("type"), "c_type": F.col("type")}).drop("type")
-    out = with_text_score(cut(pairs), "b_description", "c_description").select(
+    out = with_text_score(stored(pairs), "b_description", "c_description").select(
         "*", S.amount_score(F.col("b_amount"), F.col("c_amount")).alias("amount_score"), days.alias("days"),
         S.reference_score(F.col("b_reference"), F.col("c_reference")).alias("reference_score"),
         F.abs(F.col("b_amount") - F.col("c_amount")).cast("decimal(18,2)").alias("diff"),
@@ -134,6 +138,7 @@ def _first_two() -> Column:
 
 def match_exact(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Same type, amount and date, and equal references or descriptions of .85 and more: MATCHED, at least .95."""
+    bank, company = with_classes(bank), with_classes(company)
     b, c = _classes(bank, "b"), _classes(company, "c")
     key = {"amount": "b_amount", "date": "b_date"}
     pairs = b.withColumns({k: F.col(v) for k, v in key.items()}).join(
@@ -151,6 +156,7 @@ def match_reference(bank: DataFrame, company: DataFrame) -> DataFrame:
 
     A MATCHED pair can differ in amount or date.
     """
+    bank, company = with_classes(bank), with_classes(company)
     keyed = lambda side, p: _classes(side, p).filter(f"{p}_reference <> ''").withColumn("key", F.upper(F.trim(f"{p}_reference")))
     pairs = keyed(bank, "b").join(keyed(company, "c"), ["reconciliation_id", "type", "key"])
     won = _assigned(bank, company, score_pairs(pairs).filter((F.col("diff") == 0) | (F.col("confidence") >= REFERENCE)), ("key",))
@@ -167,6 +173,7 @@ def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
     a per cent. Each case is an equi-join on buckets of which the neighbours
     are listed as well.
     """
+    bank, company = with_classes(bank), with_classes(company)
     b, c = _classes(bank, "b"), _classes(company, "c")
     base = ["reconciliation_id", "type"]
     near = lambda col: F.explode(F.sequence(col - 1, col + 1))
@@ -196,6 +203,7 @@ def fuzzy_candidates(bank: DataFrame, company: DataFrame) -> DataFrame:
 
 def match_fuzzy(bank: DataFrame, company: DataFrame) -> DataFrame:
     """The free company row of the highest score from .75: MATCHED from .90 with equal amount and date."""
+    bank, company = with_classes(bank), with_classes(company)
     scored = score_pairs(fuzzy_candidates(bank, company)).filter(F.col("confidence") >= FUZZY)
     won = _assigned(bank, company, scored, (), F.col("confidence"))
     sure = (F.col("confidence") >= SURE) & (F.col("days") == 0) & (F.col("diff") == 0)
@@ -206,6 +214,7 @@ def match_fuzzy(bank: DataFrame, company: DataFrame) -> DataFrame:
 
 def match_date_tolerance(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Same type and amount, 1 to 5 days apart, a score of .70: PROBABLE_MATCH."""
+    bank, company = with_classes(bank), with_classes(company)
     b, c = _classes(bank, "b").withColumn("amount", F.col("b_amount")), _classes(company, "c").withColumn("amount", F.col("c_amount"))
     pairs = b.join(c, ["reconciliation_id", "type", "amount"]).drop("amount")
     pairs = pairs.filter(S.days_apart(F.col("b_date"), F.col("c_date")).between(1, WINDOW_DAYS))
@@ -287,16 +296,16 @@ STAGES = (match_exact, match_reference, match_fuzzy, match_date_tolerance, match
 
 def match_pipeline(bank: DataFrame, company: DataFrame) -> tuple[DataFrame, DataFrame]:
     """All stages: one result for each bank row, and the company rows left over."""
-    free_b, free_c, found = cut(bank), cut(company), None
+    free_b, free_c, found = with_classes(bank), with_classes(company), None
     for stage in STAGES:
-        got = cut(stage(free_b, free_c))
+        got = stored(stage(free_b, free_c))
         found = got if found is None else found.unionByName(got)
-        free_b = cut(free_b.join(got.select(F.col("bank_transaction_id").alias("id")), "id", "left_anti"))
-        free_c = cut(unmatched_company(free_c, got))
+        free_b = stored(free_b.join(got.select(F.col("bank_transaction_id").alias("id")), "id", "left_anti"))
+        free_c = stored(unmatched_company(free_c, got))
     rest = unmatched_bank(free_b, found)
     out = found.unionByName(rest)
     key = F.concat_ws("|", "reconciliation_id", "match_type", "bank_transaction_id", F.coalesce("company_transaction_id", F.lit("")))
-    return out.withColumn("id", F.concat(F.lit("MATCH_"), F.upper(F.substring(F.sha2(key, 256), 1, 10)))), free_c
+    return out.withColumn("id", F.concat(F.lit("MATCH_"), F.upper(F.substring(F.sha2(key, 256), 1, 10)))), free_c.drop("cls")
 
 
 def run_summary(matches: DataFrame, anomalies: DataFrame) -> DataFrame:

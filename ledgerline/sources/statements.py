@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut
+from ledgerline.functions.runtime import stored
 from ledgerline.sources.store import read_parts, write_parts
 
 #: Accepted extensions, size limit, delimiters in order of preference, header keywords.
@@ -43,8 +43,15 @@ def describe_files(files: DataFrame) -> DataFrame:
 
 
 def read_statement_files(spark: SparkSession, directory: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory).select("path", "content")
-    return describe_files(files)
+    """All files below a folder, described; ``file_id`` is the hash of a file's path.
+
+    Files above the size limit are listed without being read: the source skips them by their length.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    read = describe_files(listed.filter(F.col("length") <= MAX_BYTES).select("path", "content"))
+    large = listed.filter(F.col("length") > MAX_BYTES).select("path", F.lit(None).cast("binary").alias("content"), "length")
+    large = describe_files(large).withColumn("size", F.col("length")).withColumn("rejected", F.coalesce("rejected", F.lit("TOO_LARGE"))).drop("length")
+    return read.unionByName(large).withColumn("file_id", F.concat(F.lit("FILE_"), F.upper(F.substring(F.sha2("path", 256), 1, 16))))
 
 
 def flag_duplicate_files(files: DataFrame) -> DataFrame:
@@ -109,8 +116,8 @@ def find_header_row(grid: DataFrame, limit: int = CSV_HEADER_LINES) -> DataFrame
 
 
 def _parse_delimited(text: str) -> list[dict[str, str]]:
-    """Rows of one delimited text, from its header row down; short rows are filled with empty cells."""
-    lines = [x for x in text.replace("\r\n", "\n").split("\n") if x.strip()]
+    """Rows of one delimited text, from its header row down; short rows are filled with empty cells. Lines end as in any text file."""
+    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()]
     head = "\n".join(lines[:SNIFF_LINES])
     delimiter = max(DELIMITERS, key=lambda d: (head.count(d), -DELIMITERS.index(d)))
     if not head.count(delimiter):
@@ -148,6 +155,38 @@ def extract_delimited_rows(files: DataFrame) -> DataFrame:
     return files.select("file_id", "text").mapInPandas(run, ROWS)
 
 
+def extract_file_rows(files: DataFrame, lines: DataFrame | None = None, grid: DataFrame | None = None) -> DataFrame:
+    """Raw rows of described files (``file_id``, ``filename``, ``content``, ``rejected``), by the format that each is found to have.
+
+    Delimited and unknown files are decoded as UTF-8, bad bytes replaced. Page texts and sheets come from ``lines`` (``file_id``, ``line_no``,
+    ``line``; ``pdf_kind`` of the file tells scanned ones) and ``grid``. A file that is rejected, or of which no lines or
+    sheets are given, has one row with the cell UNREAD: the reason. Contents are never shuffled.
+    """
+    found = files.withColumn("format", detect_format(F.coalesce("content", F.lit(b"")), F.col("filename")))
+    if "pdf_kind" in files.columns:
+        found = found.withColumn("format", F.when(F.col("format") == "PDF", F.coalesce("pdf_kind", F.lit("PDF"))).otherwise(F.col("format")))
+    taken = F.col("rejected").isNull()
+    paged = F.col("format").isin("PDF", "PDF_TEXT", "PDF_OCR", "XLSX")
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    out = extract_delimited_rows(found.filter(taken & ~paged).select("file_id", text.alias("text")))
+    named = found.select("file_id", "format", "rejected")
+    of = lambda *kinds: named.filter(taken & F.col("format").isin(*kinds)).select("file_id")
+    given = []
+    if lines is not None:
+        out = out.unionByName(extract_text_rows(lines.join(of("PDF", "PDF_TEXT"), "file_id", "left_semi")))
+        out = out.unionByName(extract_ocr_rows(lines.join(of("PDF_OCR"), "file_id", "left_semi")))
+        given.append(lines.select("file_id"))
+    if grid is not None:
+        out = out.unionByName(extract_grid_rows(grid.join(of("XLSX"), "file_id", "left_semi")))
+        given.append(grid.select("file_id"))
+    absent = named.filter(taken & paged)
+    for known in given:
+        absent = absent.join(known, "file_id", "left_anti")
+    reason = lambda df, why: df.select("file_id", F.lit(0).alias("row_no"), F.create_map(F.lit(UNREAD), why).alias("cells"))
+    out = out.unionByName(reason(named.filter(~taken), F.concat(F.lit("The file was rejected: "), "rejected")))
+    return out.unionByName(reason(absent, F.concat(F.lit("No lines or sheets are given of a file of format "), "format")))
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
     """Number the rows of each file from 1 in the order of their lines."""
     turn = F.row_number().over(W.partitionBy("file_id").orderBy("line_no"))
@@ -227,7 +266,7 @@ def write_job_output(df: DataFrame, path: str, jobs: DataFrame | None = None) ->
 
 def read_job_output(spark: SparkSession, path: str, jobs: DataFrame | None = None) -> DataFrame:
     """The rows that the last run of each job has written, of all jobs or of ``jobs``."""
-    return read_parts(spark, path, only=None if jobs is None else jobs.select(F.concat(F.lit("p_"), "parse_job_id").alias("part")))
+    return read_parts(spark, path, only=None if jobs is None else jobs.select(F.concat(F.lit("p_"), "parse_job_id").alias("store_part")))
 
 
 def _nested(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFrame]:
@@ -237,7 +276,7 @@ def _nested(rows: DataFrame, name: str, *order: str) -> tuple[DataFrame, DataFra
     """
     own = [c for c in rows.columns if c not in ("parse_job_id", *order)]
     dealt = rows.select("parse_job_id", F.struct(*order, *own).alias("r")).repartitionByRange("parse_job_id", "r")
-    dealt = cut(dealt.withColumn("range", F.spark_partition_id()))
+    dealt = stored(dealt.withColumn("range", F.spark_partition_id()))
     sizes = dealt.groupBy("parse_job_id", "range").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("parse_job_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select("parse_job_id", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ledgerline.operators import ingest as I
 from ledgerline.operators import mapping as M
 from ledgerline.operators import validate as V
 from ledgerline.sources import statements as T
@@ -110,7 +111,7 @@ def test_package_holds_every_row(spark, monkeypatch, tmp_path):
     T.write_statement_packages(packages, str(tmp_path / "p"))
     T.write_statement_packages(packages.filter("parse_job_id = 'B'"), str(tmp_path / "p"))
     back = T.read_statement_packages(spark, str(tmp_path / "p"))
-    assert back.count() == 5 and back.columns == packages.columns
+    assert back.count() == 5 and back.columns == packages.columns and back.filter("parse_job_id = 'A'").select("part").distinct().count() == 3
 
 
 HDFC = """BANK STATEMENT OF ACCOUNT
@@ -169,3 +170,45 @@ def test_files_of_one_layout_are_mapped_once(spark):
     maps = M.infer_column_mappings(M.header_candidates(heads, M.header_samples(rows)))
     assert {(m.file_id, m.target_field, tuple(m.sample_values)) for m in maps.collect()} == {
         (f, t, v) for f, n in (("a", "x"), ("b", "y")) for t, v in (("date", ("01/10/2026",)), ("description", (n,)), ("debit", ("5",)))}
+
+
+def test_a_folder_to_canonical_rows_and_reasons(spark, tmp_path):
+    folder = tmp_path / "in"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "bad.csv").write_bytes(b"My Bank\r\nDate,Narration,Ref No,Debit,Credit\r\n01/10/2026,Caf\xe9 \xff,U1,5.00,\r\n02/10/2026,Tea,,6.00,\r\n")
+    (folder / "deep" / "T.TSV").write_bytes("Date\tParticulars\tAmount\r03/10/2026\tRent – München\t-7.50\r".encode())
+    (folder / "notes.docx").write_bytes(b"Date,Narration,Debit\n01/10/2026,x,1\n")
+    (folder / "large.csv").write_bytes(b"Date,Narration,Debit\n" + b"01/10/2026,x,1\n" * (26 * 1024 * 1024 // 15))
+    (folder / "page.pdf").write_bytes(b"%PDF-1.4 ...")
+    (folder / "sheet.xlsx").write_bytes(b"PK\x03\x04 ...")
+    files = T.read_statement_files(spark, str(folder)).withColumn("source_type", F.lit("BANK_STATEMENT"))
+    seen = {r.filename: (r.rejected, r.size > 0, r.sha256 is None) for r in files.drop("content").collect()}
+    assert seen["large.csv"] == ("TOO_LARGE", True, True) and seen["notes.docx"][0] == "UNSUPPORTED_EXTENSION" and seen["bad.csv"] == (None, True, False)
+    lines = files.filter("filename = 'page.pdf'").select("file_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("line_no"), F.lit("Date  Description  Debit").alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit("04/10/2026  Coal  8.00").alias("line")))).alias("l")).select("file_id", "l.*")
+    good, errors, _ = I.ingest_files(files, lines=lines)
+    got = {(str(t.date), t.description, str(t.amount), t.type, t.reference) for t in good.collect()}
+    assert got == {("2026-10-01", "Caf� �", "5.00", "DEBIT", "U1"), ("2026-10-02", "Tea", "6.00", "DEBIT", None),
+                   ("2026-10-03", "Rent – München", "7.50", "DEBIT", None), ("2026-10-04", "Coal", "8.00", "DEBIT", None)}
+    fatal = sorted((e.raw_value, e.message) for e in errors.filter("severity = 'FATAL'").collect())
+    assert fatal == [("large.csv", "The file was rejected: TOO_LARGE"), ("notes.docx", "The file was rejected: UNSUPPORTED_EXTENSION"),
+                     ("sheet.xlsx", "No lines or sheets are given of a file of format XLSX")]
+    assert errors.filter("severity = 'WARNING'").count() == 3
+
+
+def test_a_second_job_is_mapped_by_what_the_first_saved(spark, tmp_path):
+    def files(name, text):
+        return spark.createDataFrame([(name, f"{name}.csv", text.encode(), None, "BANK_STATEMENT")], "file_id string, filename string, content binary, rejected string, source_type string")
+
+    text = "Date,Narration,Foo,Bar\n01/10/2026,Tea,12,x1\n"
+    good, _, maps = I.ingest_files(files("a", text.replace("12", "?")))
+    assert good.count() == 0 and {m.source_column for m in maps.filter("target_field is null").collect()} == {"Foo", "Bar"}
+    chosen = spark.createDataFrame([("a", "date", "Date"), ("a", "description", "Narration"), ("a", "debit", "Bar"), ("a", "reference", "Foo")], "file_id string, target_field string, source_column string")
+    rules = str(tmp_path / "rules")
+    I.save_rules(chosen.withColumn("source_type", F.lit("BANK_STATEMENT")), rules)
+    turned = spark.createDataFrame([("BANK_STATEMENT", " foo", "debit"), ("BANK_STATEMENT", "BAR ", "reference")], "source_type string, source_column string, target_field string")
+    I.save_rules(turned, rules)
+    assert I.read_rules(spark, rules).count() == 4
+    good, _, maps = I.ingest_files(files("b", text), rules=I.read_rules(spark, rules))
+    assert [(str(t.amount), t.type, t.reference) for t in good.collect()] == [("12.00", "DEBIT", "x1")]
+    assert {m.source_column: m.method for m in maps.collect()} == {"Date": "learned", "Narration": "learned", "Foo": "learned", "Bar": "learned"}

@@ -182,9 +182,9 @@ def classes_and_rows(spark, rng, n_bank, n_company, kinds, share):
     def frame(rows, p):
         df = spark.createDataFrame(rows, f"{p}_id string, cls int")
         place = F.struct(F.lit(None).cast("date").alias("date"), F.lit(1).alias("source_row"), F.col(f"{p}_id").alias("id"))
-        return df.select(f"{p}_id", place.alias(f"{p}_ord"), F.col("cls").cast("string").cast("binary").alias(f"{p}_cls"))
+        return df.select(f"{p}_id", place.alias(f"{p}_ord"), F.col("cls").cast("string").alias(f"{p}_cls"))
 
-    e = spark.createDataFrame([(str(x).encode(), str(y).encode(), w) for (x, y), w in edges.items()], "b_cls binary, c_cls binary, w double")
+    e = spark.createDataFrame([(str(x), str(y), w) for (x, y), w in edges.items()], "b_cls string, c_cls string, w double")
     return frame(bank, "b"), frame(company, "c"), e, expected
 
 
@@ -202,19 +202,19 @@ def test_classes_are_serial_choice(spark, monkeypatch, bound):
 def test_a_group_beyond_the_bound_with_long_chains(spark, monkeypatch):
     monkeypatch.setattr(assign, "GROUP_ROWS", 10)
     monkeypatch.setattr(assign, "LABEL_ROUNDS", 2)
-    name = lambda i: str(i).encode()
+    name = lambda i: str(i)
     chain = [(name(i), name(j), 1.0) for i in range(14) for j in (i, i + 1)] + [(name(100), name(100), 1.0), (name(100), name(101), 1.0)]
     side_ = lambda p, ids: spark.createDataFrame([(f"{p}{i:03d}", i) for i in ids], f"{p}_id string, cls int").select(
         f"{p}_id", F.struct(F.lit(None).cast("date").alias("date"), F.lit(1).alias("source_row"), F.col(f"{p}_id").alias("id")).alias(f"{p}_ord"),
-        F.col("cls").cast("string").cast("binary").alias(f"{p}_cls"))
-    got = assign.match_classes(side_("b", [*range(14), 100]), side_("c", [*range(15), 100, 101]), spark.createDataFrame(chain, "b_cls binary, c_cls binary, w double"), F.lit(0))
+        F.col("cls").cast("string").alias(f"{p}_cls"))
+    got = assign.match_classes(side_("b", [*range(14), 100]), side_("c", [*range(15), 100, 101]), spark.createDataFrame(chain, "b_cls string, c_cls string, w double"), F.lit(0))
     assert {(r.b_id, r.c_id) for r in got.collect()} == {(f"b{i:03d}", f"c{i:03d}") for i in [*range(14), 100]}
 
 
 def stored_steps(monkeypatch):
     seen = []
     for module in (assign, R):
-        monkeypatch.setattr(module, "cut", lambda df, f=module.cut: (seen.append(1), f(df))[1])
+        monkeypatch.setattr(module, "stored", lambda df, f=module.stored: (seen.append(1), f(df))[1])
     return seen
 
 

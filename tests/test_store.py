@@ -44,7 +44,7 @@ def test_a_write_that_fails_half_way_leaves_the_old_rows(spark, tmp_path):
         T.write_job_output(broken, out)
     assert xs(spark, out) == [("a", 1), ("b", 2)]
     # all rows are written, but the job ends before they are logged
-    spark.createDataFrame([("a", 7)], JOBS).withColumn("part", F.lit("p_a")).write.partitionBy("part").parquet(f"{out}/data/generation=unlogged")
+    spark.createDataFrame([("a", 7)], JOBS).withColumn("store_part", F.lit("p_a")).write.partitionBy("store_part").parquet(f"{out}/data/store_generation=unlogged")
     assert xs(spark, out) == [("a", 1), ("b", 2)]
 
 
