@@ -74,6 +74,25 @@ BOTH = f"WITH {_BASE},{_BANK},{_LEDGER}"
 RAW_ROWS = f"WITH {_RAW}"
 
 
+def write_folder(files: DataFrame, folder: str) -> None:
+    """Write ``files`` (``name``, ``content``) as they are below a folder that driver and executors share."""
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs as filesystems
+
+        where = "/" + folder[5:].lstrip("/") if folder.startswith("file:") else folder
+        fs, top = filesystems.FileSystem.from_uri(where)
+        fs.create_dir(top, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(batch.column(c).to_pylist() for c in ("name", "content")), strict=True):
+                with fs.open_output_stream(f"{top}/{name}") as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]}, pa.schema([("n", pa.int64())]))
+
+    files.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def _views(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return spark.sql(
         query,

@@ -15,11 +15,13 @@ from ledgerline.functions.runtime import ensure_checkpoint_dir, stored
 from ledgerline.jobs import fixtures as X
 from ledgerline.jobs import oracles as O
 from ledgerline.operators import anomalies as A
+from ledgerline.operators import ingest as I
 from ledgerline.operators import mapping as M
 from ledgerline.operators import matching as R
 from ledgerline.operators import reports as Q
 from ledgerline.operators import validate as V
 from ledgerline.sources import statements as T
+from ledgerline.sources import store as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -471,6 +473,99 @@ def q_anomalies_report(spark, sf_dir):
     return _evidence(out.withColumns(plain), *_FINDING.split(", "), *both)
 
 
+# Two stored runs of every reconciliation.
+_STARTS = ("2026-10-05 10:00:00", "2026-10-06 10:00:00")
+
+
+def _stored_runs(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/runs-{uuid.uuid4().hex}"
+    bank, ledger, matches, found = _run(spark, sf_dir)
+    found = stored(A.investigate(found))
+    for at in _STARTS:
+        P.save_runs(path, P.new_runs(bank, at), matches, found, ledger)
+    return path, bank, ledger
+
+
+_RUNS = f"""
+runs AS MATERIALIZED (SELECT reconciliation_id, began, 'RECON_' || upper(substr(sha256(reconciliation_id || '|' || began), 1, 10)) AS run_id
+  FROM (SELECT DISTINCT reconciliation_id FROM bank), (VALUES ('{_STARTS[0]}'), ('{_STARTS[1]}')) v(began)),
+run_matches AS MATERIALIZED (SELECT r.run_id, m.*, 'MATCH_' || upper(substr(sha256(r.run_id || '|' || match_type || '|' || bank_transaction_id || '|' || coalesce(company_transaction_id, '')), 1, 10)) AS run_match
+  FROM results m JOIN runs r USING (reconciliation_id))"""
+_RUN_ANOMALIES = """,
+run_anomalies AS MATERIALIZED (SELECT r.run_id, r.began, a.*, 'ANOM_' || upper(substr(sha256(r.run_id || '|' || type || '|' || transaction_id || '|' || coalesce(candidate_transaction_id, '')), 1, 10)) AS run_anomaly
+  FROM anomalies a JOIN runs r USING (reconciliation_id))"""
+
+
+@query(f"""{O.MATCHED},{_RUNS}
+SELECT run_id, run_match AS id, m.reconciliation_id, bank_transaction_id, company_transaction_id, m.status, confidence, b.amount::DOUBLE AS bank_amount, c.amount::DOUBLE AS company_amount
+FROM run_matches m LEFT JOIN bank b ON b.id = bank_transaction_id LEFT JOIN ledger c ON c.id = company_transaction_id""")
+def q_matches_of_all_runs(spark, sf_dir):
+    """Q3 over the store: the matches of two runs side by side."""
+    path, bank, ledger = _stored_runs(spark, sf_dir)
+    out = Q.matches_report(P.read_of_runs(spark, path, "matches"), bank, ledger)
+    money = [F.col(c).cast("double").alias(c) for c in ("bank_amount", "company_amount")]
+    return out.select("run_id", "id", "reconciliation_id", "bank_transaction_id", "company_transaction_id", "status", "confidence", *money)
+
+
+@query(f"""{O.ANOMALIES},{_RUNS}{_RUN_ANOMALIES},
+latest AS (SELECT reconciliation_id, max_by(run_id, began) AS run_id FROM runs GROUP BY 1),
+m AS (SELECT run_id, count(*) AS total_bank_transactions, count(*) FILTER (status = 'MATCHED') AS matched, count(*) FILTER (status = 'PROBABLE_MATCH') AS probable, count(*) FILTER (status = 'UNMATCHED') AS unmatched
+      FROM run_matches GROUP BY 1),
+x AS (SELECT run_id, count(*) AS anomalies, count(*) FILTER (type = 'DUPLICATE_TRANSACTION') AS duplicates, sum(amount_difference::DECIMAL(18,2))::DOUBLE AS total_difference FROM run_anomalies GROUP BY 1),
+l AS (SELECT reconciliation_id, count(*) AS company_rows FROM ledger GROUP BY 1)
+SELECT latest.*, coalesce(company_rows, 0) AS company_rows, total_bank_transactions, matched, probable, unmatched, coalesce(anomalies, 0) AS anomalies, coalesce(duplicates, 0) AS duplicates,
+       coalesce(total_difference, 0) AS total_difference, matched + probable AS total_company_transactions,
+       CASE WHEN coalesce(anomalies, 0) = 0 AND probable = 0 THEN 'RECONCILIATION COMPLETE' ELSE 'REVIEW REQUIRED' END AS headline
+FROM latest JOIN m USING (run_id) LEFT JOIN x USING (run_id) LEFT JOIN l USING (reconciliation_id)""")
+def q_summary_of_latest_run(spark, sf_dir):
+    """Q1 and Q2 over the store: of two runs the later one counts."""
+    path, _, _ = _stored_runs(spark, sf_dir)
+    latest = stored(Q.latest_run(P.read_runs(spark, path)))
+    out = Q.summary_of_runs(latest, P.read_of_runs(spark, path, "matches", latest), P.read_of_runs(spark, path, "anomalies", latest))
+    return out.withColumn("total_difference", F.col("total_difference").cast("double"))
+
+
+@query(f"""{O.ANOMALIES},{_RUNS}{_RUN_ANOMALIES},
+sums AS (SELECT run_id, count(*) AS total_bank, count(*) FILTER (status = 'MATCHED') AS matched_count, count(*) FILTER (status = 'PROBABLE_MATCH') AS probable_count,
+                count(*) FILTER (status = 'UNMATCHED') AS unmatched_count FROM run_matches GROUP BY 1),
+odd AS (SELECT run_id, count(*) AS n FROM run_anomalies GROUP BY 1)
+SELECT r.reconciliation_id, s.*, coalesce(n, 0) AS anomaly_count, CASE WHEN coalesce(n, 0) = 0 AND matched_count = total_bank THEN 'COMPLETED' ELSE 'REVIEW_REQUIRED' END AS run_status
+FROM runs r JOIN sums s USING (run_id) LEFT JOIN odd USING (run_id)""")
+def r_stored_run_summaries(spark, sf_dir):
+    """R11 over the store: a row for each run."""
+    return P.read_runs(spark, _stored_runs(spark, sf_dir)[0]).drop("started_at", "company_rows")
+
+
+def _reviewed_runs(spark, sf_dir):
+    """Reviews of the first runs' anomalies, a third confirmed and a third rejected, laid over both runs."""
+    path, _, _ = _stored_runs(spark, sf_dir)
+    found = P.read_of_runs(spark, path, "anomalies")
+    first = P.read_runs(spark, path).filter(F.col("started_at") == F.lit(_STARTS[0]).cast("timestamp")).select("run_id")
+    n = _last_character("id") % 3
+    action = F.when(n == 0, "CONFIRM_MATCH").otherwise("REJECT_MATCH").alias("action")
+    events = found.join(first, "run_id", "left_semi").filter(n < 2).select(F.col("id").alias("anomaly_id"), action, F.lit(1).alias("review_seq"))
+    P.append_events(events, path, "reviews")
+    return A.apply_anomaly_reviews(found, P.read_of_runs(spark, path, "matches"), spark.read.parquet(f"{path}/reviews"))
+
+
+@query(f"""{O.ANOMALIES},{_RUNS}{_RUN_ANOMALIES},
+sure AS (SELECT DISTINCT transaction_id AS b, candidate_transaction_id AS c FROM run_anomalies WHERE began = '{_STARTS[0]}' AND candidate_transaction_id IS NOT NULL AND ascii(right(run_anomaly, 1)) % 3 = 0)
+SELECT run_id, run_match AS id, bank_transaction_id, CASE WHEN s.b IS NOT NULL THEN 'MATCHED' ELSE status END AS status, CASE WHEN s.b IS NOT NULL THEN 1.0::DOUBLE ELSE confidence END AS confidence
+FROM run_matches m LEFT JOIN sure s ON s.b = m.bank_transaction_id AND s.c = m.company_transaction_id""")
+def a_confirmed_in_all_runs(spark, sf_dir):
+    """A8 over the store: what is confirmed in one run is sure in every run."""
+    return _reviewed_runs(spark, sf_dir)[1].select("run_id", "id", "bank_transaction_id", "status", "confidence")
+
+
+@query(f"""{O.ANOMALIES},{_RUNS}{_RUN_ANOMALIES}
+SELECT run_id, run_anomaly AS id, type, CASE WHEN began <> '{_STARTS[0]}' OR ascii(right(run_anomaly, 1)) % 3 = 2 THEN 'PENDING' WHEN ascii(right(run_anomaly, 1)) % 3 = 0 THEN 'CONFIRMED' ELSE 'RESOLVED' END AS status
+FROM run_anomalies""")
+def a_statuses_of_all_runs(spark, sf_dir):
+    """A8 over the store: a review is of an anomaly of one run."""
+    return _reviewed_runs(spark, sf_dir)[0].select("run_id", "id", "type", "status")
+
+
 @query(f"{_CANON} SELECT transaction_id AS id, source_row, description FROM (SELECT *, row_no AS source_row FROM canon WHERE parse_job_id = 'JOB_3') ORDER BY source_row LIMIT 50 OFFSET 20")
 def q_transactions_page(spark, sf_dir):
     """Q5. The limit is the page."""
@@ -801,3 +896,28 @@ def w_ingest(spark, sf_dir):
     mapped = M.apply_mapping(rows, maps).withColumns({"parse_job_id": F.col("file_id"), "filename": F.lit("statement.csv")})
     out = V.canonical_transactions(V.normalize_rows(mapped))
     return out.select("provenance.file_id", F.col("source_row").alias("row_no"), F.col("date").cast("string").alias("date"), "description", F.col("amount").cast("double").alias("amount"), "type", "reference")
+
+
+@query("""
+WITH f AS (SELECT *, o_custkey % 5 AS kind FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'statement-' || o_custkey || CASE kind WHEN 3 THEN '.TSV' WHEN 4 THEN '.dat' ELSE '.csv' END AS filename, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)::INT AS source_row,
+       o_orderdate::DATE::VARCHAR AS date, 'Caf' || chr(65533) || ', ' || c_name AS description, o_totalprice::DECIMAL(18,2)::DOUBLE AS amount,
+       CASE WHEN o_orderstatus = 'F' THEN 'CREDIT' ELSE 'DEBIT' END AS type, 'UTR' || o_orderkey::VARCHAR AS reference, NULL AS reason
+FROM f WHERE kind <> 4
+UNION ALL SELECT DISTINCT 'statement-' || o_custkey || '.dat', 0, NULL, NULL, NULL::DOUBLE, NULL, NULL, 'The file was rejected: UNSUPPORTED_EXTENSION' FROM f WHERE kind = 4""")
+def w_folder_to_rows(spark, sf_dir):
+    """W1 from a folder (S1, S3, S5 to S7, S11, M, N, V): a file for each customer, with bytes that are no UTF-8, of which one kind has an extension that is not accepted."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/folder-{uuid.uuid4().hex}"
+    key = F.regexp_extract("file_id", r"(\d+)$", 1)
+    kind = key.cast("long") % 5
+    end = F.when(kind == 3, ".TSV").when(kind == 4, ".dat").otherwise(".csv")
+    pieces = F.transform(F.split("text", "Pay, "), lambda p: p.cast("binary"))
+    content = F.aggregate(pieces, F.unhex(F.lit("")), lambda a, p: F.when(F.octet_length(a) == 0, p).otherwise(F.concat(a, F.unhex(F.lit("436166E92C20")), p)))
+    X.write_folder(X.raw_files(spark, sf_dir).select(F.concat(F.lit("statement-"), key, end).alias("name"), content.alias("content")), folder)
+    good, errors, _ = I.ingest_files(T.read_statement_files(spark, folder))
+    rows = good.select(
+        "provenance.filename", "source_row", F.col("date").cast("string").alias("date"), "description", F.col("amount").cast("double").alias("amount"), "type", "reference", F.lit(None).cast("string").alias("reason"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in rows.dtypes[2:7]]
+    unread = errors.filter("severity = 'FATAL'").select(F.col("raw_value").alias("filename"), F.col("row_number").alias("source_row"), *none, F.col("message").alias("reason"))
+    return rows.unionByName(unread)
