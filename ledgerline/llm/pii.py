@@ -43,6 +43,8 @@ HIDDEN = 16
 #: Bounds of the training sample: documents, their characters in all and each, and windows of them.
 MAX_DOCS, MAX_CHARS, MAX_TEXT, MAX_WINDOWS = 1_500, 20_000_000, 200_000, 12_000
 STEPS, BATCH = 320, 64
+#: Characters of texts that are read together.
+TOGETHER = 2_000_000
 #: Least mean posterior probability of a span that the network adds.
 CONFIDENCE = 0.9
 SIGNAL = re.compile(r"[0-9@]|(?<![A-Za-z])dot(?![A-Za-z])")
@@ -167,26 +169,32 @@ class Tagger:
             "trans": np.zeros((TAGS, TAGS), np.float32),
         }
 
-    def _lstm(self, x, d, keep):
-        """Hidden states (time first) in direction ``d``; ``keep`` gathers what the backward pass needs."""
-        h = c = np.zeros((x.shape[0], HIDDEN), np.float32)
-        gates_in, u = self.p[f"x{d}"], self.p[f"u{d}"]
-        hs = np.empty((x.shape[1], x.shape[0], HIDDEN), np.float32)
-        for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
-            z = gates_in[x[:, t]] + h @ u
-            s, g = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
-            i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
+    def _lstm(self, x, keep):
+        """Hidden states (time first, both directions side by side); ``keep`` gathers what the backward pass needs.
+
+        Both directions go through time together, the second over the windows turned round.
+        """
+        n, steps = x.shape
+        turned = x[:, ::-1]
+        gates_in = np.stack([self.p["xf"][x.T], self.p["xb"][turned.T]], axis=1)
+        live = np.stack([x.T != PAD, turned.T != PAD], axis=1)[..., None]
+        u = np.stack([self.p["uf"], self.p["ub"]])
+        h = c = np.zeros((2, n, HIDDEN), np.float32)
+        hs = np.empty((steps, 2, n, HIDDEN), np.float32)
+        for t in range(steps):
+            z = gates_in[t] + h @ u
+            s, g = _sigmoid(z[..., : 3 * HIDDEN]), np.tanh(z[..., 3 * HIDDEN :])
+            i, f, o = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :]
             before, c = c, f * c + i * g
             tc = np.tanh(c)
             if keep is not None:
-                keep.append((t, h, before, i, f, o, g, tc))
-            live = (x[:, t] != PAD)[:, None]
-            h, c = o * tc * live, c * live
+                keep.append((h, before, i, f, o, g, tc, live[t]))
+            h, c = o * tc * live[t], c * live[t]
             hs[t] = h
-        return hs
+        return np.concatenate([hs[:, 0], hs[::-1, 1]], axis=2)
 
-    def emissions(self, x, keeps=(None, None)):
-        h = np.concatenate([self._lstm(x, "f", keeps[0]), self._lstm(x, "b", keeps[1])], axis=2)
+    def emissions(self, x, keep=None):
+        h = self._lstm(x, keep)
         return h, h @ self.p["out"] + self.p["bias"]
 
     def viterbi(self, x):
@@ -208,57 +216,72 @@ class Tagger:
         return tags, e
 
     def _chains(self, x, e):
-        """Forward and backward log sums of the CRF, and the log partition."""
-        live, trans = (x != PAD).T, self.p["trans"] + _ALLOWED
-        lse = lambda a, ax: (m := a.max(ax)) + np.log(np.exp(a - np.expand_dims(m, ax)).sum(ax))
-        alpha, beta = np.empty_like(e), np.zeros_like(e)
-        alpha[0] = e[0]
-        for t in range(1, len(e)):
-            alpha[t] = np.where(live[t][:, None], lse(alpha[t - 1][:, :, None] + trans, 1) + e[t], alpha[t - 1])
-        for t in range(len(e) - 2, -1, -1):
-            beta[t] = np.where(live[t + 1][:, None], lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2), beta[t + 1])
-        return alpha, beta, lse(alpha[-1], 1)
+        """Of the CRF: posterior probabilities of the tags, the log partition, and the expected number of each move.
+
+        Forward and backward sums are scaled at every step.
+        """
+        live, moves = (x != PAD).T, np.exp((self.p["trans"] + _ALLOWED).astype(np.float64))
+        top = e.max(2)
+        ee = np.exp(e.astype(np.float64) - top[..., None])
+        alpha, beta, scale = np.empty_like(ee), np.ones_like(ee), np.ones(top.shape)
+        v = ee[0]
+        for t in range(len(e)):
+            v = (alpha[t - 1] @ moves) * ee[t] if t else v
+            s = v.sum(1)
+            scale[t] = np.where(live[t], s, 1.0) if t else s
+            alpha[t] = np.where(live[t][:, None], v / s[:, None], alpha[t - 1]) if t else v / s[:, None]
+        ahead = np.empty_like(ee)  # what follows a move into each tag
+        for t in range(len(e) - 1, -1, -1):
+            ahead[t] = ee[t] * beta[t] / scale[t][:, None]
+            if t:
+                beta[t - 1] = np.where(live[t][:, None], ahead[t] @ moves.T, beta[t])
+        z = (np.log(scale) + top * np.where(np.arange(len(e))[:, None] > 0, live, True)).sum(0)
+        k = e.shape[2]
+        expected = moves * (alpha[:-1].reshape(-1, k).T @ (ahead[1:] * live[1:, :, None]).reshape(-1, k))
+        posterior = alpha * beta
+        return posterior / posterior.sum(2, keepdims=True), z, expected
 
     def marginals(self, x, e, tags):
         """Posterior probability of each chosen tag."""
-        alpha, beta, z = self._chains(x, e)
-        prob = np.exp(alpha + beta - z[None, :, None]).transpose(1, 0, 2)
+        prob = self._chains(x, e)[0].transpose(1, 0, 2)
         return np.take_along_axis(prob, tags[:, :, None].astype(np.int64), 2)[:, :, 0]
 
     def gradients(self, x, y):
         """Loss and gradients of the CRF's negative log likelihood of the tags ``y``."""
-        keeps = ([], [])
-        h, e = self.emissions(x, keeps)
+        keep: list = []
+        h, e = self.emissions(x, keep)
         n, steps, p = len(x), x.shape[1], self.p
         live, trans = (x != PAD).T, p["trans"] + _ALLOWED
-        alpha, beta, z = self._chains(x, e)
-        d = np.exp(alpha + beta - z[None, :, None]) * live[:, :, None]
-        rows, loss, g_trans = np.arange(n), z.sum(), np.zeros_like(trans)
-        for t in range(steps):
-            d[t, rows, y[:, t]] -= live[t]
-            loss -= (e[t, rows, y[:, t]] * live[t]).sum()
-            if t:
-                pair = alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]
-                g_trans += (np.exp(pair) * live[t][:, None, None]).sum(0)
-                np.add.at(g_trans, (y[live[t], t - 1], y[live[t], t]), -1)
-                loss -= (trans[y[:, t - 1], y[:, t]] * live[t]).sum()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["trans"] = g_trans
-        g["out"], g["bias"] = np.einsum("tnh,tnk->hk", h, d), d.sum((0, 1))
+        posterior, z, g_trans = self._chains(x, e)
+        d = (posterior * live[:, :, None]).astype(np.float32)
+        rows, at = np.arange(n), np.arange(steps)[:, None]
+        d[at, rows, y.T] -= live
+        d[np.abs(d) < 1e-9] = 0  # numbers next to nothing slow the arithmetic down
+        moves = y[:, :-1].astype(np.int64) * TAGS + y[:, 1:]
+        loss = z.sum() - (e[at, rows, y.T] * live).sum() - (trans.ravel()[moves] * live[1:].T).sum()
+        g = {"trans": (g_trans - np.bincount(moves[live[1:].T], minlength=TAGS * TAGS).reshape(TAGS, TAGS)).astype(np.float32)}
+        g["out"], g["bias"] = h.reshape(steps * n, -1).T @ d.reshape(steps * n, -1), d.sum((0, 1))
         dh_all = d @ p["out"].T
-        for k, way in enumerate("fb"):
-            dh = dc = np.zeros((n, HIDDEN), np.float32)
-            part = dh_all[:, :, k * HIDDEN : (k + 1) * HIDDEN]
-            for t, h0, c0, i, f, o, gg, tc in reversed(keeps[k]):
-                m = live[t][:, None]
-                dh = (dh + part[t]) * m
-                dc = dc * m + dh * o * (1 - tc * tc)
-                dz = np.concatenate(
-                    [dc * gg * i * (1 - i), dc * c0 * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], axis=1
-                )
-                np.add.at(g[f"x{way}"], x[:, t], dz)
-                g[f"u{way}"] += h0.T @ dz
-                dh, dc = dz @ p[f"u{way}"].T, dc * f
+        part = np.stack([dh_all[..., :HIDDEN], dh_all[::-1, :, HIDDEN:]], axis=1)
+        u = np.stack([p["uf"], p["ub"]]).transpose(0, 2, 1)
+        dh = dc = np.zeros((2, n, HIDDEN), np.float32)
+        dzs = np.empty((steps, 2, n, 4 * HIDDEN), np.float32)
+        for t in range(steps - 1, -1, -1):
+            _, c0, i, f, o, gg, tc, m = keep[t]
+            dh = (dh + part[t]) * m
+            dc = dc * m + dh * o * (1 - tc * tc)
+            dz = dzs[t]
+            dz[..., :HIDDEN] = dc * gg * i * (1 - i)
+            dz[..., HIDDEN : 2 * HIDDEN] = dc * c0 * f * (1 - f)
+            dz[..., 2 * HIDDEN : 3 * HIDDEN] = dh * tc * o * (1 - o)
+            dz[..., 3 * HIDDEN :] = dc * i * (1 - gg * gg)
+            dh, dc = dz @ u, dc * f
+        h0 = np.stack([k[0] for k in keep])
+        for k, (way, turned) in enumerate((("f", x), ("b", x[:, ::-1]))):
+            seen = np.zeros((steps * n, PAD + 1), np.float32)
+            seen[np.arange(steps * n), turned.T.ravel()] = 1
+            flat = dzs[:, k].reshape(steps * n, -1)
+            g[f"x{way}"], g[f"u{way}"] = seen.T @ flat, h0[:, k].reshape(steps * n, -1).T @ flat
         return loss / n, {k: v / n for k, v in g.items()}
 
 
@@ -326,12 +349,16 @@ def train(texts: list[str], steps: int = STEPS, seed: int = 1, windows: int = MA
     return net.p
 
 
-def read_windows(net: Tagger, x: np.ndarray, starts: list[int], block: int = 1024) -> list[tuple[str, int, int, float]]:
-    """Spans (kind, start, end, mean probability) of the windows, in places of the whole text."""
-    out = []
-    for o in range(0, len(starts), block):
-        at = starts[o : o + block]
-        windows = np.stack([_window(x, s) for s in at])
+def read_windows(net: Tagger, texts: list[tuple[np.ndarray, list[int]]], block: int = 1024) -> list[list[tuple[str, int, int, float]]]:
+    """Spans (kind, start, end, mean probability) of the windows of each text (its classes, the windows' starts), in places of the whole text.
+
+    Windows of several texts are read together, ``block`` at a time.
+    """
+    out: list[list[tuple[str, int, int, float]]] = [[] for _ in texts]
+    places = [(i, s) for i, (_, starts) in enumerate(texts) for s in starts]
+    for o in range(0, len(places), block):
+        at = places[o : o + block]
+        windows = np.stack([_window(texts[i][0], s) for i, s in at])
         tags, e = net.viterbi(windows)
         marked = np.flatnonzero(tags.any(1))
         if not len(marked):
@@ -343,7 +370,7 @@ def read_windows(net: Tagger, x: np.ndarray, starts: list[int], block: int = 102
             for t in range(WINDOW + 1):
                 tag = tags[r, t] if t < WINDOW else 0
                 if a is not None and not (tag and tag % 2 == 0):
-                    out.append((KINDS[(tags[r, a] - 1) // 2], at[r] + a, at[r] + t, float(prob[r, a:t].mean())))
+                    out[at[r][0]].append((KINDS[(tags[r, a] - 1) // 2], at[r][1] + a, at[r][1] + t, float(prob[r, a:t].mean())))
                     a = None
                 if tag % 2:
                     a = t
@@ -381,14 +408,19 @@ def reconcile(text: str, base, found) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
-def all_spans(text: str | None, net: Tagger | None, skip_bare_windows: bool = True):
-    """Base spans, and all spans, of a text."""
-    text = text or ""
-    base = base_spans(text)
-    starts = signal_windows(text) if skip_bare_windows else list(window_starts(len(text)))
-    if net is None or not starts or not text:
-        return base, base
-    return base, reconcile(text, base, read_windows(net, classes(text), starts))
+def spans_of(texts: list[str], net: Tagger | None, skip_bare_windows: bool = True) -> list[tuple[list, list]]:
+    """Base spans, and all spans, of each text."""
+    bases = [base_spans(t) for t in texts]
+    if net is None:
+        return [(b, b) for b in bases]
+    starts = [(signal_windows(t) if skip_bare_windows else list(window_starts(len(t)))) if t else [] for t in texts]
+    found = read_windows(net, [(classes(t) if s else np.empty(0, np.uint8), s) for t, s in zip(texts, starts, strict=True)])
+    return [(b, reconcile(t, b, f) if s else b) for t, b, s, f in zip(texts, bases, starts, found, strict=True)]
+
+
+def all_spans(text: str | None, net: Tagger | None, skip_bare_windows: bool = True) -> tuple[list, list]:
+    """Base spans, and all spans, of one text."""
+    return spans_of([text or ""], net, skip_bare_windows)[0]
 
 
 def training_sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, max_text: int = MAX_TEXT) -> DataFrame:
@@ -430,7 +462,14 @@ def find_spans(docs: DataFrame, net: dict[str, np.ndarray] | None = None) -> Dat
         tagger = Tagger(shared.value) if shared.value else None
         pack = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
         for texts in batches:
-            rows = [all_spans(t, tagger) for t in texts]
+            rows, some, size = [], [], 0
+            for t in texts:
+                some.append(t or "")
+                size += len(some[-1])
+                if size >= TOGETHER:
+                    rows += spans_of(some, tagger)
+                    some, size = [], 0
+            rows += spans_of(some, tagger)
             yield pd.DataFrame({"base": [pack(b) for b, _ in rows], "spans": [pack(s) for _, s in rows]})
 
     return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")

@@ -202,6 +202,33 @@ def test_pii_zeros_of_any_length(spark):
     assert [len(pii.base_spans(t)) for t in texts] == [1, 1, 1, 0, 1]
 
 
+def test_pii_paths_are_the_best_of_all_and_their_probabilities_true():
+    rng = np.random.default_rng(2)
+    net = pii.Tagger(seed=5)
+    net.p["trans"] = rng.standard_normal((pii.TAGS, pii.TAGS)).astype(np.float32)
+    net.p["bias"] = rng.standard_normal(pii.TAGS).astype(np.float32)
+    x = rng.integers(32, 127, (3, 4)).astype(np.uint8)
+    x[2, 3] = pii.PAD
+    tags, e = net.viterbi(x)
+    prob = net.marginals(x, e, tags)
+    trans = net.p["trans"] + pii._ALLOWED
+    for r in range(3):
+        n = 4 - (r == 2)
+        paths = np.array(np.meshgrid(*[range(pii.TAGS)] * n, indexing="ij")).reshape(n, -1)
+        score = sum(e[t, r, paths[t]] for t in range(n)) + sum(trans[paths[t - 1], paths[t]] for t in range(1, n))
+        assert tuple(tags[r, :n]) == tuple(paths[:, score.argmax()])
+        weight = np.exp(score - score.max())
+        for t in range(n):
+            assert abs(weight[paths[t] == tags[r, t]].sum() / weight.sum() - prob[r, t]) < 1e-4
+
+
+def test_pii_windows_of_many_texts_are_read_together():
+    rng = random.Random(6)
+    net = pii.Tagger(pii.train([f"call +49 171 {i:07d} or mail a{i}@b.org now, ip 10.0.{i}.1 " * 3 for i in range(60)], steps=40, windows=400))
+    texts = ["", "no signal", *(f"x{rng.random()} call 171.555.{i:04d} a{i} at b dot org " * rng.randint(1, 40) for i in range(30))]
+    assert pii.spans_of(texts, net) == [pii.all_spans(t, net) for t in texts]
+
+
 def test_bpe_broadcasts_plain_values(spark):
     sent = bpe._sent(spark, bpe.Files("a", b"b", "c")).value
     assert type(sent) is tuple and sent == ("a", b"b", "c")
