@@ -1,11 +1,12 @@
 """License scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs (lines, and windows of neighbouring lines that may hold a wrapped
+Paragraphs (lines, and windows of neighbouring sentences that may hold a wrapped
 notice) are classified by softmax regression over hashed word n-grams that occur
 in license notices; all other n-grams carry no weight. The class ``unknown`` is
 learned from paragraphs of the documents, and a threshold on the probability of
-a notice is calibrated on paragraphs kept out. A family is confirmed in such a
-notice when enough of a template's words stand there, and its name and version.
+a notice is calibrated on paragraphs kept out. The classifier names the family;
+a template of that family then confirms it when enough of its words stand in the
+window, and its name and version. Windows that hold too few words of every template cannot be confirmed and are not classified.
 """
 
 from __future__ import annotations
@@ -70,6 +71,8 @@ NAMES = {
     "unlicense": r"free and unencumbered software",
 }
 _NAMED = {k: re.compile(rf"\b({v})\b".encode()) for k, v in NAMES.items()}
+#: Where a line parts into sentences.
+_SENTENCE = re.compile(r"(?<=[.;!?])\s+(?=[A-Z])")
 #: Bounds of the training sample: documents whose paragraphs serve as unknown ones, characters of such a document,
 #: paragraphs, and words that are put around notices.
 MAX_DOCS, MAX_TEXT, MAX_PARAGRAPHS, MAX_FILLER = 400, 50_000, 3_000, 20_000
@@ -184,40 +187,64 @@ def _like(mask: int) -> set[str]:
     return {k for k, t in _MASKS if (mask & t).bit_count() >= CONFIRM * t.bit_count()}
 
 
-def notices(text: str | None) -> list[tuple[str, int, int]]:
-    """(family, first line, line after the last) of all places that agree with a template; line numbers are those of
-    ``paragraphs``. Windows do not go over a blank line, and of windows that overlap the shortest stands for the family."""
-    lines, blocks, masks = [], [], []
-    block = 0
-    for line in (text or "").split("\n"):
-        if not line.strip():
+def sentences(text: str | None) -> list[tuple[int, int, list[bytes]]]:
+    """(line, block, words) of every sentence; lines are numbered as in ``paragraphs``, blocks are parted by blank lines."""
+    out, line, block = [], 0, 0
+    for t in (text or "").split("\n"):
+        if not t.strip():
             block += 1
             continue
-        words = _word_list(line)
+        out += [(line, block, words) for s in _SENTENCE.split(t) if (words := _word_list(s))]
+        line += 1
+    return out
+
+
+def windows(text: str | None) -> list[tuple[int, int, bytes]]:
+    """(first sentence, end, words) of all windows of neighbouring sentences that hold enough words of any template to be confirmed.
+
+    Windows do not go over a blank line and are at most about as long as two templates. Which family a window
+    is of, if any, is for the classifier to say.
+    """
+    parts = sentences(text)
+    masks = []
+    for _, _, words in parts:
         mask = 0
         for w in set(words):
             mask |= _WORDS.get(w, 0)
-        lines.append(words), blocks.append(block), masks.append(mask)
+        masks.append(mask)
     whole = 0
     for mask in masks:
         whole |= mask
     if not _like(whole):
         return []
-    found = []
-    for i in range(len(lines)):
+    out = []
+    for i in range(len(parts)):
         if not masks[i]:
             continue
-        mask, words, seen = 0, [], set()
-        for j in range(i, len(lines)):
-            if blocks[j] != blocks[i] or (j > i and len(words) >= _LONGEST):
+        mask, words = 0, []
+        for j in range(i, len(parts)):
+            if parts[j][1] != parts[i][1] or (j > i and len(words) >= _LONGEST):
                 break
-            mask, words = mask | masks[j], words + lines[j]
-            for k in _like(mask) - seen:
-                if _NAMED[k].search(b" ".join(words)):
-                    seen.add(k)
-                    found.append((k, i, j + 1))
+            mask, words = mask | masks[j], words + parts[j][2]
+            if masks[j] and _like(mask):
+                out.append((i, j + 1, b" ".join(words)))
+    return out
+
+
+def confirmed(family: str, words: bytes) -> bool:
+    """Whether a window agrees with a template of its predicted family, and its name and version are that family's."""
+    mask = 0
+    for w in set(words.split()):
+        mask |= _WORDS.get(w, 0)
+    alike = any((mask & t).bit_count() >= CONFIRM * t.bit_count() for k, t in _MASKS if k == family)
+    return alike and bool(_NAMED[family].search(words))
+
+
+def notices(found: list[tuple[int, int, bytes]], families: list[str]) -> list[tuple[str, int, int]]:
+    """(family, first sentence, end) of the windows whose predicted family is confirmed; of windows of a family that overlap the shortest stands."""
+    sure = [(k, i, j) for (i, j, words), k in zip(found, families, strict=True) if k != "unknown" and confirmed(k, words)]
     out, taken = [], set()
-    for k, i, j in sorted(found, key=lambda f: (f[2] - f[1], f[1])):
+    for k, i, j in sorted(sure, key=lambda f: (f[2] - f[1], f[1])):
         if taken.isdisjoint(own := [(k, n) for n in range(i, j)]):
             taken.update(own)
             out.append((k, i, j))
@@ -268,14 +295,16 @@ def scan(docs: DataFrame, model: LicenseModel | None = None) -> DataFrame:
         m = LicenseModel(*shared.value)
         for texts in batches:
             parts = [paragraphs(t) for t in texts]
-            places = [notices(t) for t in texts]
+            found = [windows(t) for t in texts]
             lines = iter(classify(m, [p for ps in parts for p in ps]))
-            windows = iter(classify(m, [" ".join(ps[i:j]) for ps, fs in zip(parts, places, strict=True) for _, i, j in fs]))
+            read = iter(classify(m, [words.decode("utf-8", "replace") for fs in found for _, _, words in fs]))
             out = []
-            for ps, fs in zip(parts, places, strict=True):
+            for text, ps, fs in zip(texts, parts, found, strict=True):
                 predicted = {n for n in range(len(ps)) if next(lines)[0] != "unknown"}
-                sure = [f for f in fs if next(windows)[0] != "unknown"]
-                predicted.update(n for _, i, j in sure for n in range(i, j))
+                sure = notices(fs, [next(read)[0] for _ in fs])
+                if sure:
+                    at = [line for line, _, _ in sentences(text)]
+                    predicted.update(at[n] for _, i, j in sure for n in range(i, j))
                 out.append((len(ps), len(predicted), len(sure), ",".join(sorted({k for k, _, _ in sure}))))
             yield pd.DataFrame(out, columns=["n_paragraphs", "n_predicted", "n_confirmed", "licenses"])
 

@@ -400,6 +400,43 @@ def test_licenses_wrapped_and_versions(spark):
     assert {d: got[d] for d in wanted} == wanted and all(got[i] == "" for i in range(50))
 
 
+UNKNOWN = [f"{a} {b} of the {c} is under {d} and {a} may be used by the {b} for {c}" for a in ("river", "house", "market") for b in ("people", "version", "public") for c in ("town", "work", "software") for d in ("terms", "water", "use")]
+
+
+def test_licenses_windows_are_all_that_can_be_confirmed():
+    rng = random.Random(8)
+    pool = [w for ts in licenses.TEMPLATES.values() for x in ts for w in x.split()] + ["river", "house", "and."]
+    for _ in range(60):
+        lines = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 12))) if rng.random() < 0.85 else "" for _ in range(12)]
+        lines.insert(rng.randrange(12), rng.choice(rng.choice(list(licenses.TEMPLATES.values()))))
+        text = "\n".join(lines)
+        parts, got = licenses.sentences(text), {(i, j) for i, j, _ in licenses.windows(text)}
+        for i in range(len(parts)):
+            for j in range(i + 1, len(parts) + 1):
+                words = b" ".join(b" ".join(p[2]) for p in parts[i:j])
+                short = sum(len(p[2]) for p in parts[i : j - 1]) < licenses._LONGEST
+                starts = any(w in licenses._WORDS for w in parts[i][2]) and any(w in licenses._WORDS for w in parts[j - 1][2])
+                if short and starts and parts[i][1] == parts[j - 1][1] and any(licenses.confirmed(k, words) for k in licenses.TEMPLATES):
+                    assert (i, j) in got
+
+
+def test_licenses_the_classifier_names_the_family(spark):
+    model = licenses.train(UNKNOWN)
+    templates = [(k, x) for k, ts in licenses.TEMPLATES.items() for x in ts]
+    read = licenses.classify(model, [x for _, x in templates])
+    assert [f for f, _ in read] == [k for k, _ in templates]
+    # of other paragraphs than those it has learned from, next to none pass the calibrated threshold
+    rng = random.Random(9)
+    pool = [*{w for u in UNKNOWN for w in u.split()}, *(w for ts in licenses.TEMPLATES.values() for x in ts for w in x.split()[:3]), *(f"word{i}" for i in range(60))]
+    some = lambda n: [" ".join(rng.choice(pool) for _ in range(rng.randint(3, 25))) for _ in range(n)]
+    assert sum(f != "unknown" for f, _ in licenses.classify(licenses.train(some(1000)), some(1000))) <= 10
+    rows = docs(spark, [(n, x) for n, (_, x) in enumerate(templates)])
+    right = {r.doc_id: r.licenses for r in licenses.scan(rows, model).collect()}
+    assert right == {n: k for n, (k, _) in enumerate(templates)}
+    turned = licenses.LicenseModel(model.features, model.weights[:, [0, *range(2, len(licenses.FAMILIES)), 1]], model.bias[[0, *range(2, len(licenses.FAMILIES)), 1]], model.threshold)
+    assert not any(r.licenses for r in licenses.scan(rows, turned).collect())
+
+
 def test_chat_parses_whole_transcripts(spark, monkeypatch):
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"User: is it {c}?" if t % 2 == 0 else f"Assistant: it is.\nReally so, {c}\n\nand more of it")
             for c in range(40) for t in range(4)]
