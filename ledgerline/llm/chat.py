@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.runtime import cut, small_batches
+from ledgerline.functions.runtime import cut, rank_within, small_batches
 from ledgerline.llm.toxicity import fold
 
 ROLES = ("system", "user", "assistant")
@@ -103,8 +103,10 @@ def fit(conversations: DataFrame) -> dict[str, np.ndarray]:
         move[2 * row["r"], 2 * row["r"] + 1] += row["one"]
         move[2 * row["r"] + 1, 2 * row["r"] + 1] += row["more"]
     ends = (2 * F.col("r") + (F.col("n") > 1).cast("int")).alias("p")
-    before = seen.select("conv_id", (F.col("turn") + 1).alias("turn"), ends)
-    for row in seen.join(before, ["conv_id", "turn"]).groupBy("p", "r").count().collect():
+    # of rows that share a turn number each goes before each of the next number; they are counted, not joined
+    before = seen.groupBy("conv_id", (F.col("turn") + 1).alias("turn"), ends).agg(F.count(F.lit(1)).alias("n_p"))
+    after = seen.groupBy("conv_id", "turn", "r").agg(F.count(F.lit(1)).alias("n_r"))
+    for row in after.join(before, ["conv_id", "turn"]).groupBy("p", "r").agg(F.sum(F.col("n_p") * F.col("n_r")).alias("count")).collect():
         move[row["p"], 2 * row["r"]] += row["count"]
     for row in seen.filter("turn = 0").groupBy("r").count().collect():
         start[2 * row["r"]] += row["count"]
@@ -209,10 +211,12 @@ def format_chats(conversations: DataFrame, model: dict[str, np.ndarray] | None =
     turns = cut(_turns(conversations))
     keys = ["c", "alone", "seg"]
     placed = turns.select(
-        F.when(F.col("alone").isNull(), F.col("conv_id")).alias("c"), F.coalesce("alone", F.lit(-1)).alias("alone"),
-        F.when(F.col("alone").isNull(), F.floor(F.col("turn") / SEGMENT)).otherwise(F.lit(0)).alias("seg"),
-        F.struct("turn", "text", "syms", "conv_id").alias("t"),
-    ).withColumn("c", F.coalesce("c", F.lit(0)))
+        F.coalesce(F.when(F.col("alone").isNull(), F.col("conv_id")), F.lit(0)).alias("c"), F.coalesce("alone", F.lit(-1)).alias("alone"),
+        F.struct("turn", "text", F.monotonically_increasing_id().alias("row"), "syms", "conv_id").alias("t"),
+    )
+    # segments are of rows as they follow each other, so that a turn number that many rows share is no segment of its own
+    most = placed.groupBy("c", "alone").count().agg(F.max("count")).first()[0] or 0
+    placed = rank_within(placed, ["c", "alone"], "t", "at", most).withColumn("seg", F.floor((F.col("at") - 1) / SEGMENT))
     segments = cut(placed.groupBy(*keys).agg(F.sort_array(F.collect_list("t")).alias("ts")))
     opening = segments.groupBy("c", "alone").agg(F.min("seg").alias("seg")).withColumn("first", F.lit(True))
     sizes = F.transform("ts", lambda t: F.size(t.syms)).alias("sizes")

@@ -400,6 +400,24 @@ def test_licenses_wrapped_and_versions(spark):
     assert {d: got[d] for d in wanted} == wanted and all(got[i] == "" for i in range(50))
 
 
+def test_chat_of_a_turn_number_that_many_rows_share(spark, monkeypatch):
+    monkeypatch.setattr(chat, "SEGMENT", 8)
+    rows = [(1, 5, "user", f"User: question {i:03d}?") for i in range(150)] + [(1, 6, "assistant", f"Assistant: answer {i:03d}.") for i in range(150)]
+    rows += [(c, t, ("user", "assistant")[t % 2], f"{('User', 'Assistant')[t % 2]}: line {c} {t}") for c in range(2, 30) for t in range(6)]
+    frame = spark.createDataFrame([(c, t, r, x) for c, t, r, x in rows], "conv_id long, turn long, role string, text string").repartition(4)
+    sizes = []
+
+    def ranked(df, *rest, f=chat.rank_within):
+        out = cut(f(df, *rest))
+        sizes.append(out.groupBy("c", "alone", F.floor((F.col("at") - 1) / 8)).count().agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(chat, "rank_within", ranked)
+    got = chat.format_chats(frame).collect()
+    assert sizes == [8] and len(got) == len(rows)
+    assert sorted((r.conv_id, r.turn, r.role_pred) for r in got if r.conv_id > 1) == sorted((c, t, r) for c, t, r, _ in rows if c > 1)
+
+
 UNKNOWN = [f"{a} {b} of the {c} is under {d} and {a} may be used by the {b} for {c}" for a in ("river", "house", "market") for b in ("people", "version", "public") for c in ("town", "work", "software") for d in ("terms", "water", "use")]
 
 
