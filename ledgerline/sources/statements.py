@@ -7,7 +7,7 @@ import io
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ SNIFF_LINES, CSV_HEADER_LINES, TEXT_HEADER_LINES, MIN_PDF_TEXT, MAX_EXPORT = 15,
 #: Account and currency where a statement names none.
 CURRENCY, ACCOUNT = "INR", "DEFAULT_ACC"
 ROWS = "file_id string, row_no int, cells map<string,string>"
+#: Rows that are handed back to Spark together.
+BATCH_ROWS = 5_000
 #: The only cell of a row, numbered 0, that stands for a file that could not be read: the reason.
 UNREAD = "\x00unread"
 
@@ -140,19 +142,29 @@ def extract_delimited_rows(files: DataFrame) -> DataFrame:
     A file that cannot be parsed gives one row with the cell UNREAD, from which validation makes a FATAL error.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = (("file_id", pa.string()), ("row_no", pa.int32()), ("cells", pa.map_(pa.string(), pa.string())))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         csv.field_size_limit(sys.maxsize)
+        out: list[tuple] = []
         for files_ in batches:
-            for file_id, text in zip(files_["file_id"], files_["text"], strict=True):
+            for file_id, text in zip(files_.column("file_id").to_pylist(), files_.column("text").to_pylist(), strict=True):
                 first = 1
                 try:
                     rows = _parse_delimited(text or "")
                 except csv.Error as e:
                     rows, first = [{UNREAD: f"The file could not be read: {e}"}], 0
-                if rows:
-                    yield pd.DataFrame({"file_id": file_id, "row_no": range(first, first + len(rows)), "cells": rows})
-
-    return files.select("file_id", "text").mapInPandas(run, ROWS)
+                out += [(file_id, n, list(cells.items())) for n, cells in enumerate(rows, first)]
+                if len(out) >= BATCH_ROWS:  # rows of many files go back together
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    return files.select("file_id", "text").mapInArrow(run, ROWS)
 
 
 def extract_file_rows(files: DataFrame, lines: DataFrame | None = None, grid: DataFrame | None = None) -> DataFrame:
