@@ -335,6 +335,18 @@ def a_company_duplicates(spark, sf_dir):
     return A.company_duplicates(X.sides(spark, sf_dir)[1]).select("transaction_id", "candidate_transaction_id", "date_difference_days", "severity")
 
 
+@query(f"""{X.BOTH.replace('WITH', 'WITH RECURSIVE', 1)},
+pairs AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM bank a JOIN bank b ON a.reconciliation_id = b.reconciliation_id AND a.type = b.type AND a.amount = b.amount
+  AND abs(date_diff('day', a.date, b.date)) <= 1 AND a.id <> b.id AND a.description = b.description),
+reach AS (SELECT x AS id, x AS other FROM pairs UNION SELECT id, y FROM reach JOIN pairs ON other = x),
+links AS (SELECT x AS id, count(*) AS n_links FROM pairs GROUP BY 1)
+SELECT r.id, arg_min(other, (b.date, b.source_row, b.id)) AS group_id, count(*) AS group_size, any_value(n_links) AS n_links
+FROM reach r JOIN bank b ON b.id = other JOIN links l ON l.id = r.id GROUP BY r.id""")
+def a_duplicate_groups(spark, sf_dir):
+    """A1 by membership. Derived duplicates have equal texts."""
+    return A.duplicate_groups(X.sides(spark, sf_dir)[0], 0.80)
+
+
 @query(f"""{X.BOTH}
 SELECT id AS transaction_id, 'MISSING_IN_BANK' AS type, CASE WHEN amount >= 10000 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, amount::DOUBLE AS amount_difference
 FROM ledger c WHERE reference IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bank b WHERE b.reference = c.reference AND b.reconciliation_id = c.reconciliation_id AND b.type = c.type)""")

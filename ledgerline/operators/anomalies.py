@@ -30,19 +30,64 @@ def _anomaly(df: DataFrame, kind: str, severity: Column, diff: Column, days: Col
     )
 
 
-def duplicate_pairs(side: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of rows of one amount and type, at most a day apart, whose descriptions agree to ``threshold``.
+_TWIN = ("reconciliation_id", "type", "amount", "date", "description")
+
 
-    A row meets rows of its own day and the next, so a pair is found once by an equi-join.
+def _twins(side: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their class ``cls`` (equal rows of one day), the classes with their numbers of rows, and links between
+    classes of one amount and type, at most a day apart, whose descriptions agree to ``threshold``.
+
+    A class meets classes of its own day and the next, so a pair is found once by an equi-join; texts are compared by classes.
+    """
+    name = F.concat_ws(":", *[F.xxhash64(F.lit(seed), *[F.col(c).isNull() for c in _TWIN], *_TWIN).cast("string") for seed in (1, 2)])
+    rows = stored(side.select(*_TWIN, "id", F.struct("date", "source_row", "id").alias("ord"), name.alias("cls")))
+    classes = stored(rows.groupBy("cls", *_TWIN).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first")))
+    cols = list(_TWIN[:3])
+    named = lambda k: [F.col("cls").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("description").alias(f"t{k}"), F.col("date").alias(f"d{k}")]
+    a = classes.select(*cols, *named(1), F.explode(F.array("date", F.date_add("date", 1))).alias("day"))
+    b = classes.select(*cols, *named(2), F.col("date").alias("day"))
+    near = a.join(b, [*cols, "day"]).filter("d1 < d2 or c1 < c2")
+    links = with_text_score(stored(near), "t1", "t2").filter(F.col("desc_score") >= threshold)
+    return rows, classes, stored(links.select("c1", "c2", "n1", "n2", "desc_score", F.abs(F.date_diff("d2", "d1")).alias("days")))
+
+
+def duplicate_pairs(side: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows of one amount and type, at most a day apart, whose descriptions agree to ``threshold``: all of them, so that k equal
+    rows give k (k - 1) / 2. ``duplicate_groups`` tells the same by membership."""
+    rows, classes, links = _twins(side, threshold)
+    own = classes.filter("n > 1").select(F.col("cls").alias("c1"), F.col("cls").alias("c2"), F.lit(1.0).alias("desc_score"), F.lit(0).alias("days"))
+    met = links.select(own.columns).unionByName(own)
+    first = rows.select(*_TWIN[:3], F.col("cls").alias("c1"), F.struct("ord", "id", "date").alias("x"))
+    second = rows.select(F.col("cls").alias("c2"), F.struct("ord", "id", "date").alias("y"))
+    both = met.join(first, "c1").join(second, "c2").filter("c1 <> c2 or x.ord < y.ord")
+    turned = F.col("x.ord") < F.col("y.ord")
+    one, two = F.when(turned, F.col("x")).otherwise(F.col("y")), F.when(turned, F.col("y")).otherwise(F.col("x"))
+    return both.select(*_TWIN[:3], one["id"].alias("id1"), one["date"].alias("d1"), two["id"].alias("id2"), two["date"].alias("d2"), "desc_score", "days")
+
+
+def duplicate_groups(side: DataFrame, threshold: float) -> DataFrame:
+    """Membership in groups of duplicates: ``id``, ``group_id`` (the first row of the group), ``group_size`` and ``n_links`` (rows that the
+    row itself agrees with), for every row that agrees with any. Rows that are joined through others are one group.
+
+    Work goes by classes of equal rows, so any number of equal rows gives as many rows and no pairs.
     """
-    order = F.struct("date", "source_row", "id")
-    cols = ["reconciliation_id", "type", "amount"]
-    a = side.select(*cols, F.col("date").alias("d1"), F.col("description").alias("t1"), F.col("id").alias("id1"), order.alias("o1"),
-                    F.explode(F.array("date", F.date_add("date", 1))).alias("day"))
-    b = side.select(*cols, F.col("date").alias("day"), F.col("date").alias("d2"), F.col("description").alias("t2"),
-                    F.col("id").alias("id2"), order.alias("o2"))
-    near = a.join(b, [*cols, "day"]).filter("o1 < o2")
-    return with_text_score(stored(near), "t1", "t2").filter(F.col("desc_score") >= threshold).withColumn("days", F.abs(F.date_diff("d2", "d1")))
+    rows, classes, links = _twins(side, threshold)
+    both = links.select("c1", "c2", "n2").unionByName(links.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), F.col("n1").alias("n2")))
+    others = both.groupBy(F.col("c1").alias("cls")).agg(F.sum("n2").alias("n_others"))
+    known = classes.join(others, "cls", "left").withColumn("n_links", F.coalesce("n_others", F.lit(0)) + F.col("n") - 1).filter("n_links > 0")
+    label = stored(known.select("cls", "first", "n", "n_links", F.col("cls").alias("label")))
+    while True:  # labels spread to neighbours and jump to the label of their label, so that chains shorten by half
+        near = both.join(label.select(F.col("cls").alias("c2"), F.col("label").alias("other")), "c2").groupBy(F.col("c1").alias("cls")).agg(F.min("other").alias("other"))
+        spread = label.join(near, "cls", "left").withColumn("new", F.least("label", F.coalesce("other", "label"))).drop("other")
+        spread = stored(spread)
+        jump = spread.select(F.col("cls").alias("new"), F.col("new").alias("further"))
+        moved = stored(spread.join(jump, "new").select("cls", "first", "n", "n_links", F.least("new", "further").alias("label"), (F.col("label") != F.least("new", "further")).alias("changed")))
+        label = moved.drop("changed")
+        if moved.filter("changed").isEmpty():
+            break
+    groups = label.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("group_size"))
+    of_class = label.select("cls", "label", "n_links").join(groups, "label").select("cls", F.col("first.id").alias("group_id"), "group_size", "n_links")
+    return rows.select("id", "cls").join(of_class, "cls").select("id", "group_id", "group_size", "n_links")
 
 
 def _duplicates(side: DataFrame, threshold: float, severity: str, evidence: list[Column]) -> DataFrame:

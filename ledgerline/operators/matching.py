@@ -8,9 +8,12 @@ Transactions have ``id``, ``reconciliation_id``, ``source_id``, ``source_type``,
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions import scoring as S
 from ledgerline.functions.runtime import stored
@@ -229,19 +232,58 @@ def _side(df: DataFrame, p: str) -> DataFrame:
     return df.select("reconciliation_id", "type", *named, F.struct("date", "source_row", "id").alias(f"{p}_ord"))
 
 
+#: Bank amounts of a window that one call looks through.
+SLICE = 2_000
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("b", T.LongType()), T.StructField("small", T.LongType())])))
+def _two_sums(wanted: pd.Series, there: pd.Series) -> pd.Series:
+    """Of whole numbers, those ``wanted`` that are the sum of two of ``there`` (or twice one), with the smaller one."""
+    out = []
+    for w, t in zip(wanted, there, strict=True):
+        have, found = np.unique(np.asarray(t, np.int64)), []
+        for b in np.unique(np.asarray(w, np.int64)):
+            small = have[: np.searchsorted(have, b // 2, side="right")]
+            at = np.searchsorted(have, b - small)
+            hit = small[(at < len(have)) & (have[np.minimum(at, len(have) - 1)] == b - small)]
+            found += [{"b": int(b), "small": int(x)} for x in hit]
+        out.append(found)
+    return pd.Series(out)
+
+
+def _sums(b: DataFrame, c: DataFrame) -> DataFrame:
+    """``b_amount`` and ``small_amount`` by reconciliation, type and window of six days (``kd``): the bank amounts of the window that two
+    company amounts of it and its neighbours add up to.
+
+    Windows hold distinct amounts; a window with many bank amounts is split into slices of about SLICE.
+    """
+    keys = ["reconciliation_id", "type", "kd"]
+    cents = lambda col: (F.col(col) * 100).cast("long")
+    amounts = b.select(*keys, cents("b_amount").alias("a")).distinct()
+    sizes = amounts.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / SLICE).alias("slices"))
+    sliced = amounts.join(sizes, keys).groupBy(*keys, F.pmod(F.xxhash64("a"), F.col("slices")).alias("slice")).agg(F.collect_list("a").alias("wanted"))
+    around = c.filter("c_amount > 0").select(*keys[:2], F.explode(F.sequence(F.col("kd") - 1, F.col("kd") + 1)).alias("kd"), cents("c_amount").alias("a")).distinct()
+    there = around.groupBy(*keys).agg(F.collect_list("a").alias("there"))
+    found = sliced.join(there, keys).select(*keys, F.explode(_two_sums("wanted", "there")).alias("f"))
+    money = lambda n: (F.col(f"f.{n}").cast("decimal(20,0)") / 100).cast("decimal(18,2)")
+    return found.select(*keys, money("b").alias("b_amount"), money("small").alias("small_amount")).distinct()
+
+
 def match_composite(bank: DataFrame, company: DataFrame) -> DataFrame:
     """Two company rows of one type within 5 days whose amounts add up to the bank amount: PROBABLE_MATCH.
 
-    The smaller of the two is found by a range join on days, the other by an equi-join on the amount that is missing.
+    Which bank amounts are the sum of two company amounts of their days is told first, by distinct amounts alone; only rows of
+    these amounts are joined: the smaller of the two by its amount and days, the other by the amount that is missing.
     """
     b, c = _side(bank, "b"), _side(company, "c")
     part = lambda p: c.select("reconciliation_id", "type", *[F.col(f"c_{x}").alias(f"{p}_{x}") for x in ("id", "date", "amount", "ord")])
     within = lambda x: F.abs(F.date_diff("b_date", x)) <= WINDOW_DAYS
     day = lambda x: F.floor(F.unix_date(F.col(x)) / 6)
+    sums = stored(_sums(b.withColumn("kd", day("b_date")), c.withColumn("kd", day("c_date"))))
     small = (
-        b.withColumn("kd", F.explode(F.sequence(day("b_date") - 1, day("b_date") + 1)))
-        .join(part("small").withColumn("kd", day("small_date")), ["reconciliation_id", "type", "kd"])
-        .filter(within("small_date") & (F.col("small_amount") * 2 <= F.col("b_amount")))
+        b.withColumn("kd", day("b_date")).join(sums, ["reconciliation_id", "type", "kd", "b_amount"])
+        .join(part("small"), ["reconciliation_id", "type", "small_amount"])
+        .filter(within("small_date"))
         .withColumn("missing", (F.col("b_amount") - F.col("small_amount")).cast("decimal(18,2)"))
     )
     large = part("large").withColumn("missing", F.col("large_amount").cast("decimal(18,2)"))

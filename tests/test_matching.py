@@ -236,3 +236,46 @@ def test_many_equal_rows_and_an_odd_one_without_pairs_of_rows(spark, monkeypatch
     seen = stored_steps(monkeypatch)
     got = R.match_exact(rows("B", "salary october staff"), rows("C", "october salary")).collect()
     assert sorted((m.bank_transaction_id, m.company_transaction_id) for m in got) == [(f"B{i:05d}", f"C{i:05d}") for i in range(n + 1)] and len(seen) <= 8
+
+
+def test_duplicate_groups_are_components_of_pairs(spark):
+    rng = random.Random(6)
+    texts = ["monthly rent north", "rent monthly north", "monthly rents north", "tea", "teas", "wood and coal"]
+    rows = side(spark, [(f"B{i:02d}", rng.randrange(12), rng.choice(texts), rng.choice(["5.00", "6.00"]), "DEBIT", None) for i in range(70)], "BANK")
+    pairs = [(r.id1, r.id2) for r in A.duplicate_pairs(rows, 0.85).collect()]
+    all_rows = sorted(rows.collect(), key=lambda r: (r.date, r.source_row, r.id))
+    wanted = {(a.id, b.id) for i, a in enumerate(all_rows) for b in all_rows[i + 1 :]
+              if a.amount == b.amount and abs((a.date - b.date).days) <= 1 and description_score(a.description, b.description) >= 0.85}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == wanted
+    group = {r.id: r.id for r in all_rows}
+    for _ in range(len(all_rows)):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b], key=lambda i: [r.id for r in all_rows].index(i))
+    got = {r.id: (r.group_id, r.group_size, r.n_links) for r in A.duplicate_groups(rows, 0.85).collect()}
+    linked = {i for p in pairs for i in p}
+    assert got == {i: (group[i], sum(group[j] == group[i] for j in linked), sum(i in p for p in pairs)) for i in linked}
+
+
+def test_many_equal_rows_are_a_group_without_pairs(spark):
+    n = 10_000
+    rows = side(spark, [(f"B{i:05d}", 0, "fee", "5.00", "DEBIT", None) for i in range(n)] + [("C", 1, "fees", "5.00", "DEBIT", None), ("D", 5, "fee", "5.00", "DEBIT", None)], "BANK")
+    got = A.duplicate_groups(rows, 0.80).collect()
+    assert len(got) == n + 1 and {(r.group_id, r.group_size, r.n_links) for r in got} == {("B00000", n + 1, n)}
+
+
+def test_sums_of_two_are_told_before_rows_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(R, "SLICE", 3)
+    rng = random.Random(7)
+    bank = side(spark, [(f"B{i}", rng.randrange(20), "b", f"{rng.randrange(400, 4000)}.00", "DEBIT", f"X{i}") for i in range(60)], "BANK")
+    company = side(spark, [(f"C{i}", rng.randrange(20), "c", f"{rng.randrange(1, 2500)}.00", "DEBIT", f"Y{i}") for i in range(80)], "LEDGER")
+    order = lambda d: sorted(d.collect(), key=lambda r: (r.date, r.source_row, r.id))
+    made = []
+    monkeypatch.setattr(R, "priority_pairs", lambda e: (made.append(e.count()), assign.priority_pairs(e))[1])
+    b, c = order(bank), order(company)
+    used, expected = set(), set()
+    for x in b:
+        free = [y for y in c if y.id not in used and abs((x.date - y.date).days) <= 5]
+        pair = next(((y, z) for i, y in enumerate(free) for z in free[i + 1 :] if y.amount + z.amount == x.amount), None)
+        if pair:
+            used.update(p.id for p in pair), expected.add((x.id, "+".join(p.id for p in pair)))
+    assert {(m.bank_transaction_id, m.company_transaction_id) for m in R.match_composite(bank, company).collect()} == expected and expected
