@@ -644,6 +644,23 @@ def s_duplicate_files(spark, sf_dir):
     return T.flag_duplicate_files(files).select("file_id", "is_duplicate")
 
 
+@query("""
+SELECT o_orderkey AS file_id, row_number() OVER (PARTITION BY o_custkey % 16, sha256(o_custkey::VARCHAR) ORDER BY o_orderkey) > 1 AS is_duplicate FROM orders""")
+def s_duplicates_of_batches(spark, sf_dir):
+    """S2 over two batches: the second meets the hashes of the first, not its files."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/hashes-{uuid.uuid4().hex}"
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    files = o.select(
+        F.col("o_orderkey").alias("file_id"), (F.col("o_custkey") % 16).alias("reconciliation_id"),
+        F.sha2(F.col("o_custkey").cast("string"), 256).alias("sha256"), F.col("o_orderkey").alias("uploaded_seq"),
+    )
+    half = files.agg(F.expr("max(uploaded_seq) div 2")).first()[0] or 0
+    first = T.flag_and_remember_files(files.filter(F.col("uploaded_seq") <= half), path)
+    second = T.flag_and_remember_files(files.filter(F.col("uploaded_seq") > half), path)
+    return first.unionByName(second).select("file_id", "is_duplicate")
+
+
 def _page_lines(spark, sf_dir):
     """Lines of page texts: a heading and a line for each order, columns two spaces apart."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")

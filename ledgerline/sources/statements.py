@@ -8,6 +8,7 @@ import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,6 +63,25 @@ def flag_duplicate_files(files: DataFrame) -> DataFrame:
     return files.withColumn("is_duplicate", turn > 1)
 
 
+def flag_and_remember_files(files: DataFrame, path: str) -> DataFrame:
+    """``flag_duplicate_files`` of a batch against all batches before it, whose hashes are kept in a table at ``path``; the batch is added to it.
+
+    Old files are not read again: of the stored hashes only those meet the batch that it holds too. Batches come in the
+    order of their ``uploaded_seq``. A batch that is flagged again gives the same flags: a file meets only earlier ones.
+    """
+    spark, keys = files.sparkSession, ["reconciliation_id", "sha256"]
+    batch = stored(files)
+    firsts = batch.groupBy(*keys).agg(F.min("uploaded_seq").alias("first_seq"))
+    try:
+        known = spark.read.parquet(path).join(firsts.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("first_seq").alias("known_seq"))
+    except AnalysisException:  # the first batch
+        known = firsts.select(*keys, F.col("first_seq").alias("known_seq"))
+    out = stored(flag_duplicate_files(batch).join(known, keys, "left").withColumn(
+        "is_duplicate", F.col("is_duplicate") | F.coalesce(F.col("known_seq") < F.col("uploaded_seq"), F.lit(False))).select(*files.columns, "is_duplicate"))
+    firsts.coalesce(1).write.mode("append").parquet(path)
+    return out
+
+
 def detect_format(content: Column, filename: Column) -> Column:
     """PDF, XLSX, CSV or UNKNOWN by the first bytes, the extension, or a delimiter in the first line."""
     name = F.lower(filename)

@@ -98,3 +98,15 @@ def test_runs_side_by_side(spark, tmp_path):
 def test_ids_of_a_page_are_cut_as_they_are(spark):
     rows = spark.createDataFrame([("J.1_TXN_A", "J.1", 1), ("Jx1_TXN_B", "J.1", 2)], "id string, parse_job_id string, source_row int")
     assert [r.id for r in Q.transactions_page(rows, "J.1").collect()] == ["TXN_A", "Jx1_TXN_B"]
+
+
+def test_files_meet_the_hashes_of_earlier_batches(spark, tmp_path):
+    rows = [("f1", "R", "h1", 1), ("f2", "R", "h1", 2), ("f3", "Q", "h1", 3), ("f4", "R", "h2", 4), ("f5", "R", "h1", 5), ("f6", "R", "h2", 6), ("f7", None, "h2", 7)]
+    files = spark.createDataFrame(rows, "file_id string, reconciliation_id string, sha256 string, uploaded_seq long")
+    whole = {r.file_id: r.is_duplicate for r in T.flag_duplicate_files(files).collect()}
+    path, got = str(tmp_path / "hashes"), {}
+    for low, high in ((0, 3), (3, 5), (5, 9)):
+        batch = files.filter(f"uploaded_seq > {low} and uploaded_seq <= {high}")
+        for _ in range(2):  # flagging a batch again changes nothing
+            got |= {r.file_id: r.is_duplicate for r in T.flag_and_remember_files(batch, path).collect()}
+    assert got == whole == {"f1": False, "f2": True, "f3": False, "f4": False, "f5": True, "f6": True, "f7": False}
