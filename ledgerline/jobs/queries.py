@@ -585,6 +585,13 @@ def q_transactions_page(spark, sf_dir):
     return Q.transactions_page(rows, "JOB_3", 50, 20).select("id", "source_row", "description")
 
 
+@query(f"{_CANON} SELECT transaction_id AS id, source_row, description FROM (SELECT *, row_no AS source_row FROM canon WHERE parse_job_id = 'JOB_3') ORDER BY source_row LIMIT 50 OFFSET 500")
+def q_indexed_page(spark, sf_dir):
+    """Q5 by an index of ranges, on stored rows. The limit is the page."""
+    rows = stored(V.canonical_transactions(_normalized(spark, sf_dir)).repartitionByRange("parse_job_id", "source_row").sortWithinPartitions("parse_job_id", "source_row"))
+    return Q.indexed_page(rows, Q.page_index(rows, 100), "JOB_3", 50, 500).select("id", "source_row", "description")
+
+
 @query(f"{_ERRORS} SELECT row_no AS row_number, field, severity, message FROM errs WHERE parse_job_id = 'JOB_5'")
 def q_errors_report(spark, sf_dir):
     """Q6."""

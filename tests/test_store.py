@@ -110,3 +110,17 @@ def test_files_meet_the_hashes_of_earlier_batches(spark, tmp_path):
         for _ in range(2):  # flagging a batch again changes nothing
             got |= {r.file_id: r.is_duplicate for r in T.flag_and_remember_files(batch, path).collect()}
     assert got == whole == {"f1": False, "f2": True, "f3": False, "f4": False, "f5": True, "f6": True, "f7": False}
+
+
+def test_a_deep_page_reads_few_ranges(spark, tmp_path):
+    rows = spark.range(3000).select(F.concat(F.lit("J"), (F.col("id") % 3).cast("string")).alias("parse_job_id"), (F.col("id") * 7919 % 3000).cast("int").alias("source_row"))
+    rows = rows.unionByName(spark.createDataFrame([("J1", 1500)] * 40, "parse_job_id string, source_row int")).withColumn("id", F.concat("parse_job_id", F.lit("_T"), "source_row"))
+    rows.repartitionByRange(8, "parse_job_id", "source_row").sortWithinPartitions("parse_job_id", "source_row").write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    index = Q.page_index(rows, 50)
+    for job in ("J0", "J1", "J2", "none"):
+        for limit, offset in ((10, 0), (100, 475), (30, 990), (5, 5000), (2000, 0)):
+            page = Q.indexed_page(rows, index, job, limit, offset)
+            assert [(r.id, r.source_row) for r in page.collect()] == [(r.id, r.source_row) for r in Q.transactions_page(rows, job, limit, offset).collect()]
+    plan = Q.indexed_page(rows, index, "J1", 20, 700)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(source_row" in plan
