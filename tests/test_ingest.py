@@ -212,3 +212,11 @@ def test_a_second_job_is_mapped_by_what_the_first_saved(spark, tmp_path):
     good, _, maps = I.ingest_files(files("b", text), rules=I.read_rules(spark, rules))
     assert [(str(t.amount), t.type, t.reference) for t in good.collect()] == [("12.00", "DEBIT", "xx")]
     assert {m.source_column: m.method for m in maps.collect()} == {"Date": "learned", "Narration": "learned", "Foo": "learned", "Bar": "learned"}
+
+
+def test_a_file_without_dates_needs_review(spark):
+    files = spark.createDataFrame([("a", "Narration,Debit\nTea,5\n"), ("b", "Date,Narration,Debit\n01/10/2026,Tea,5\n")], "file_id string, text string")
+    rows = T.extract_delimited_rows(files)
+    origin = files.select("file_id", F.lit("BANK_STATEMENT").alias("source_type"))
+    _, whole = I.suggest_mappings(rows, origin)
+    assert {(r.file_id, r.confidence, r.status) for r in whole.collect()} == {("a", 0.6, "NEEDS_REVIEW"), ("b", 1.0, "READY_FOR_EXECUTION")}
