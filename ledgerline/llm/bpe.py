@@ -177,6 +177,11 @@ def _sent(spark: SparkSession, files: Files | None):
     return spark.sparkContext.broadcast(astuple(files or default_files()))
 
 
+def coder_of(value: tuple | Files) -> Coder:
+    """The coder of broadcast files."""
+    return Coder(Files(*value) if isinstance(value, tuple) else value)
+
+
 def _small(keys: DataFrame) -> DataFrame:
     """A stored table of keys, marked to be broadcast if it has few rows."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
@@ -224,7 +229,7 @@ def encode_chunks(texts: DataFrame, shared: DataFrame, files) -> DataFrame:
 
     @F.pandas_udf("head string, body binary, tail string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = Coder(Files(*files.value))
+        coder = coder_of(files.value)
         for rows in batches:
             found = [coder.prepare(t) for t in rows]
             packed = [(None, None, None) if e is None else (e[0], np.asarray(e[1], coder.stored).tobytes(), e[2]) for e in found]
@@ -247,13 +252,13 @@ def _encode(docs: DataFrame, files: Files | None, kind: str, finish: Callable) -
 
     @F.pandas_udf(kind)
     def alone(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder(Files(*shared_files.value))
+        coder = coder_of(shared_files.value)
         for texts in batches:
             yield _series([finish(coder, coder.encode_whole(t)) for t in texts], kind)
 
     @F.pandas_udf(kind)
     def joined(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        coder = Coder(Files(*shared_files.value))
+        coder = coder_of(shared_files.value)
         for texts, entries in batches:
             out = []
             for t, es in zip(texts, entries, strict=True):
@@ -298,7 +303,7 @@ def decode_documents(encoded: DataFrame, files: Files | None = None) -> DataFram
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Coder(Files(*shared.value))
+        coder = coder_of(shared.value)
         for rows in batches:
             yield pd.Series([coder.decode([] if i is None else list(i)) for i in rows])
 
