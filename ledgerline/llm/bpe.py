@@ -237,7 +237,8 @@ def encode_chunks(texts: DataFrame, shared: DataFrame, files) -> DataFrame:
 
     handed = texts.join(_small(wanted), "key").select(F.explode(pick("text", "hashes")).alias("c")).select("c.hash", "c.chunk")
     dealt = handed.repartition("hash")  # the chunks of a long text are encoded by many tasks
-    return cut(dealt.select("hash", encode("chunk").alias("e")).select("hash", "e.*").filter("head is not null"))
+    # as deterministic, the filter would move below the exchange and take a second run of the encoder there, in the tasks that pick
+    return cut(dealt.select("hash", encode.asNondeterministic()("chunk").alias("e")).select("hash", "e.*").filter("head is not null"))
 
 
 def _encode(docs: DataFrame, files: Files | None, kind: str, finish: Callable) -> DataFrame:

@@ -229,6 +229,16 @@ def test_pii_windows_of_many_texts_are_read_together():
     assert pii.spans_of(texts, net) == [pii.all_spans(t, net) for t in texts]
 
 
+def test_bpe_encodes_a_chunk_once(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "cut", lambda df: df)
+    texts = spark.createDataFrame([("a", "some words " * 400), ("b", "some words " * 400)], "key string, text string")
+    shared = spark.createDataFrame([(b"h", 2, "a", True)], "hash binary, n long, owner string, several boolean")
+    plan = bpe.encode_chunks(texts, shared, bpe._sent(spark, None))._jdf.queryExecution().executedPlan().toString()
+    encoding, picking = plan.split("REPARTITION_BY_COL")
+    # the tasks that pick chunks do not encode them
+    assert encoding.count("ArrowEvalPython") == picking.count("ArrowEvalPython") == 1
+
+
 def test_bpe_broadcasts_plain_values(spark):
     sent = bpe._sent(spark, bpe.Files("a", b"b", "c")).value
     assert type(sent) is tuple and sent == ("a", b"b", "c")
