@@ -748,7 +748,7 @@ SELECT parse_job_id, 0 AS part, CASE WHEN greatest(n, errors) > 50000 THEN 2 ELS
        n AS n_transactions, lo AS first_row, hi AS last_row, amount, errors AS n_errors
 FROM t JOIN e USING (parse_job_id) JOIN m USING (parse_job_id)""")
 def s_statement_package(spark, sf_dir):
-    """S13: what stands in the packages."""
+    """S13: what stands in the packages of each job, all its parts together."""
     rows = stored(_normalized(spark, sf_dir))
     good = V.canonical_transactions(rows)
     jobs = V.job_counters(rows).withColumns({
@@ -756,10 +756,18 @@ def s_statement_package(spark, sf_dir):
         "sha256": F.sha2("parse_job_id", 256)})
     packages = T.export_statement_package(good, V.validate_rows(rows), V.control_totals(good), jobs)
     t = F.col("transactions")
-    return packages.select(
-        "parse_job_id", "part", "parts", "statement_id", "filename", "total_rows", "valid_rows", "warning_count", "error_count", "metadata.validation_status",
-        F.size(t).alias("n_transactions"), t[0]["source_row"].alias("first_row"), F.element_at(t, -1)["source_row"].alias("last_row"),
-        F.aggregate(t, F.lit(0).cast("decimal(38,2)"), lambda a, r: (a + r.amount).cast("decimal(38,2)")).cast("double").alias("amount"), F.size("errors").alias("n_errors"),
+    own = ("parse_job_id", "parts", "statement_id", "filename", "total_rows", "valid_rows", "warning_count", "error_count", "validation_status")
+    inside = packages.withColumn("validation_status", F.col("metadata.validation_status")).select(
+        *own, "part", F.size(t).alias("n"), t[0]["source_row"].alias("first_row"), F.element_at(t, -1)["source_row"].alias("last_row"),
+        F.aggregate(t, F.lit(0).cast("decimal(38,2)"), lambda a, r: (a + r.amount).cast("decimal(38,2)")).alias("amount"), F.size("errors").alias("bad"),
+    )
+    whole = inside.groupBy(*own).agg(
+        F.min("part").alias("part"), F.sum("n").cast("int").alias("n_transactions"), F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"),
+        F.sum("amount").cast("double").alias("amount"), F.sum("bad").cast("int").alias("n_errors"),
+    )
+    return whole.select(
+        "parse_job_id", "part", "parts", "statement_id", "filename", "total_rows", "valid_rows", "warning_count", "error_count", "validation_status", "n_transactions",
+        "first_row", "last_row", "amount", "n_errors",
     )
 
 

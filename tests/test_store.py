@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.jobs.queries import QUERIES
 from ledgerline.operators import anomalies as A
 from ledgerline.operators import matching as R
 from ledgerline.operators import reports as Q
@@ -124,3 +125,11 @@ def test_a_deep_page_reads_few_ranges(spark, tmp_path):
             assert [(r.id, r.source_row) for r in page.collect()] == [(r.id, r.source_row) for r in Q.transactions_page(rows, job, limit, offset).collect()]
     plan = Q.indexed_page(rows, index, "J1", 20, 700)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(source_row" in plan
+
+
+def test_the_package_query_tells_whole_jobs_of_several_parts(spark, monkeypatch):
+    one = QUERIES["s_statement_package"](spark, "/root/testdata/sf0.001").drop("parts").orderBy("parse_job_id").collect()
+    monkeypatch.setattr(T, "MAX_EXPORT", 50)
+    several = QUERIES["s_statement_package"](spark, "/root/testdata/sf0.001").orderBy("parse_job_id")
+    assert [(r.part, r.parts > 1, r.n_transactions) for r in several.collect()] == [(0, True, r.valid_rows) for r in one]
+    assert several.drop("parts").collect() == one
