@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions import scoring as S
 from ledgerline.functions.text import description_score
 from ledgerline.jobs import queries as J
 from ledgerline.operators import anomalies as A
@@ -279,3 +280,26 @@ def test_sums_of_two_are_told_before_rows_are_joined(spark, monkeypatch):
         if pair:
             used.update(p.id for p in pair), expected.add((x.id, "+".join(p.id for p in pair)))
     assert {(m.bank_transaction_id, m.company_transaction_id) for m in R.match_composite(bank, company).collect()} == expected and expected
+
+
+def test_fuzzy_candidates_are_all_pairs_that_can_reach_the_threshold(spark):
+    rng = random.Random(8)
+    refs = [None, None, "7", "41", "UTR7", "  ", "UTR123456", "utr123456", "XUTR123456/9", "123456", "23456", "PAY-998877-A", "998877-A", "Z9", "ABCDEFGHIJ", "EFGHIJ"]
+    amounts = ["100.00", "100.50", "99.50", "102.00", "98.00", "105.00", "95.00", "95.24", "104.99", "100.01", "7.00", "900.00"]
+    rows = lambda p: [(f"{p}{i}", rng.choice([0, 0, 1, 2, 3, 4, 5, 6, 9, 40]), "rent", rng.choice(amounts), rng.choice(["DEBIT", "CREDIT"]), rng.choice(refs)) for i in range(130)]
+    bank, company = side(spark, rows("B"), "BANK_STATEMENT"), side(spark, rows("C"), "LEDGER")
+    b, c = R._classes(bank, "b"), R._classes(company, "c")
+    ref = S.reference_score(F.col("b_reference"), F.col("c_reference"))
+    parts = (S.amount_score(F.col("b_amount"), F.col("c_amount")), S.date_score(S.days_apart(F.col("b_date"), F.col("c_date"))), F.lit(1.0), ref)
+    every = b.join(c, ["reconciliation_id", "type"]).filter(S.match_score(*parts, F.col("b_reference"), F.col("c_reference")) >= R.FUZZY)
+    pairs = lambda d: sorted((r.b_cls, r.c_cls) for r in d.select("b_cls", "c_cls").collect())
+    assert pairs(R.fuzzy_candidates(bank, company)) == pairs(every)
+
+
+def test_unrelated_references_of_far_dates_are_not_paired(spark):
+    n = 400
+    rows = lambda p, ref, far: [(f"{p}{i}", 9 * i + far, "rent", "100.00", "DEBIT", f"{ref}{i:06d}") for i in range(n)]
+    pairs = R.fuzzy_candidates(side(spark, rows("B", "AA", 0), "BANK_STATEMENT"), side(spark, rows("C", "BB", 4), "LEDGER"))
+    assert pairs.isEmpty()
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "contains(" in x.lower()]
+    assert any("(g#" in x for x in joins)  # references that hold others are met by their characters, not by amounts alone
