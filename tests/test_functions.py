@@ -1,4 +1,5 @@
 import datetime
+import random
 from decimal import Decimal
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions import normalize as N
 from ledgerline.functions import scoring as S
+from ledgerline.functions import text as X
 from ledgerline.functions.text import description_score
 
 D = datetime.date
@@ -67,3 +69,13 @@ def test_scores(spark):
         S.match_score(F.lit(0.0), F.lit(1.0), F.lit(1.0), F.lit(1.0), F.lit("a"), F.lit("a")).alias("capped"),
     ).first()
     assert (row.a, row.d, row.r, row.n, row.m, row.capped) == (0.95, 0.4, 0.85, 0.0, 0.7647, 0.45)
+
+
+def test_many_texts_are_compared_as_one_by_one(spark):
+    rng = random.Random(3)
+    words = ["a", "b", "ab", "ba", "é", "ßx", "zz", "日本", "q" * 40, "w" * 70, "\0", "customer#000041", "customer#000014", "payment"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(7)))
+    pairs = [(text(), text()) for _ in range(1500)]
+    assert X.similarities(pairs) == [X.similarity(a, b) for a, b in pairs]
+    df = spark.createDataFrame([(a, b) for a, b in pairs if "\0" not in a + b] + [(None, "x"), (None, None), (" A ", "a")], "a string, b string")
+    assert all(r.s == X.description_score(r.a, r.b) for r in df.select("a", "b", X.text_score("a", "b").alias("s")).collect())
