@@ -200,6 +200,17 @@ def test_classes_are_serial_choice(spark, monkeypatch, bound):
         assert {(r.b_id, r.c_id) for r in got.collect()} == expected
 
 
+@pytest.mark.parametrize("bound", [10, 30])
+def test_a_group_beyond_the_bound_is_settled_in_slices(spark, monkeypatch, bound):
+    rng = random.Random(5)
+    monkeypatch.setattr(assign, "GROUP_ROWS", bound)
+    for name in ("_components", "priority_match"):
+        monkeypatch.setattr(assign, name, lambda *a: pytest.fail("no rounds are needed"))
+    for kinds, share in ((5, 0.5), (30, 0.2)):
+        bank, company, e, expected = classes_and_rows(spark, rng, 40, 40, kinds, share)
+        assert {(r.b_id, r.c_id) for r in assign.match_classes(bank, company, e, F.lit(0), F.col("w")).collect()} == expected
+
+
 def test_a_group_beyond_the_bound_with_long_chains(spark, monkeypatch):
     monkeypatch.setattr(assign, "GROUP_ROWS", 10)
     monkeypatch.setattr(assign, "LABEL_ROUNDS", 2)
