@@ -133,3 +133,13 @@ def test_the_package_query_tells_whole_jobs_of_several_parts(spark, monkeypatch)
     several = QUERIES["s_statement_package"](spark, "/root/testdata/sf0.001").orderBy("parse_job_id")
     assert [(r.part, r.parts > 1, r.n_transactions) for r in several.collect()] == [(0, True, r.valid_rows) for r in one]
     assert several.drop("parts").collect() == one
+
+
+def test_an_index_of_small_ranges_takes_few_tasks(spark, monkeypatch):
+    dealt, kind = [], type(spark.range(1))
+    orig = kind.repartitionByRange
+    monkeypatch.setattr(kind, "repartitionByRange", lambda df, n, *cols: (dealt.append(n), orig(df, n, *cols))[1])
+    rows = spark.range(2000).select(F.concat(F.lit("J"), (F.col("id") % 2).cast("string")).alias("parse_job_id"), F.col("id").cast("int").alias("source_row"))
+    index = Q.page_index(rows, 10).orderBy("parse_job_id", "first_row").collect()
+    assert dealt == [1] and len(index) == 200 and all(r.n == 10 for r in index)
+    assert [r.before for r in index if r.parse_job_id == "J1"] == list(range(0, 1000, 10))
